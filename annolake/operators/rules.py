@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from annolake.functions.text import condition_pair, condition_tokens
+from annolake.functions.text import condition_pair, condition_tokens, strip
 from annolake.operators.joins import lookup
 from annolake.operators.similarity import DEFAULT_THRESHOLD, closest, column_lists
 
@@ -38,7 +38,6 @@ class Catalog:
         return self.datasets.select(*self.study_keys, "domain", "label").join(
             columns, [*self.study_keys, "domain"], "left").select(
             *self.study_keys, "domain", F.lit(True).alias("exists"),
-            F.nullif(F.trim("label"), F.lit("")).alias("trimmed"),
             F.nullif("label", F.lit("")).alias("label"),
             F.coalesce("has_qnam", F.lit(False)).alias("has_qnam"),
             F.coalesce("has_idvar", F.lit(False)).alias("has_idvar"))
@@ -178,7 +177,7 @@ def rule_findings(options: CheckOptions = CheckOptions()) -> list[Column]:
     first = F.col("token_no") == 0
     labelled = first & F.col("check_label")
     exists, known_label = F.col("_exists"), F.col("_label")
-    same = F.lower(F.trim(label)) == F.lower(F.trim(known_label))
+    same = F.lower(strip(label)) == F.lower(strip(known_label))
     strict = F.lit(options.strict_domains) & F.col("check_variable") & variable.isNotNull()
     near = F.col("_closest.name").isNotNull()
     not_found = F.concat(F.lit("Variable "), _quoted(variable), F.lit(" not found in "), domain)
