@@ -195,8 +195,8 @@ def alignment_totals(aligned: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> D
 def resize(annotations: DataFrame, variant: str = "export", measurer: TextMeasurer = TextMeasurer(),
            content: str = "content", box: str = "rect", expand_width: bool = True,
            expand_height: bool = True, max_width: float | None = 200.0,
-           max_height: float | None = 300.0, skip=None, font_size: Column | None = None
-           ) -> DataFrame:
+           max_height: float | None = 300.0, skip=None, font_size: Column | None = None,
+           cleaned: bool = False) -> DataFrame:
     """Fit boxes to their texts; adds ``resized`` (rectangle), ``checked`` and ``changed``.
 
     ``box``      the box's own font; a side may shrink, growth is capped
@@ -204,7 +204,8 @@ def resize(annotations: DataFrame, variant: str = "export", measurer: TextMeasur
     ``export``   the standard font, width only: the larger of present and needed
                  plus five points, when that differs by more than one point
     """
-    r, text = F.col(box), clean_text(F.col(content))
+    r = F.col(box)
+    text = F.col(content) if cleaned else clean_text(F.col(content))
     old_w, old_h = width(r), height(r)
     df = mark_skipped(annotations, skip, "_skip").withColumn("_text", text)
     text = F.col("_text")

@@ -28,10 +28,13 @@ class DatasetRegistry:
     def refresh(self) -> None:
         """Forget what was scanned and look again."""
         self.spark.catalog.refreshByPath(self.folder)
-        files = (self.spark.read.format("binaryFile")
+        # a dataset is a file or a folder of part files; contents are not read
+        found = rf"^(.*?/[^/]+\.{self.format})(?:/.*)?$"
+        files = (self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
                  .option("pathGlobFilter", f"*.{self.format}").load(self.folder)
-                 .select("path").withColumn("name", F.element_at(F.split("path", "/"), -1))
-                 .select(domain_of_file(F.col("name")).alias("domain"), "path"))
+                 .select(F.regexp_extract("path", found, 1).alias("path")).distinct()
+                 .select(domain_of_file(F.substring_index("path", "/", -1)).alias("domain"),
+                         "path"))
         self.paths = {r.domain: r.path for r in files.orderBy("domain").collect()}
 
     def domains(self) -> list[str]:
