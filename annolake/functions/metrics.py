@@ -133,10 +133,14 @@ class TextMeasurer:
         return self._box(F.coalesce(width, guess) + 2 * self.horizontal_padding,
                          size * self.line_spacing + 2 * self.vertical_padding)
 
-    def dimensions(self, text: Column, font, size, max_width: Column | None = None) -> Column:
-        """Box that holds the text; with a limit the line count is estimated from the width."""
+    def dimensions(self, text: Column, font, size, max_width: Column | None = None,
+                   line: Column | None = None) -> Column:
+        """Box that holds the text; with a limit the line count is estimated from the width.
+
+        ``line`` is the width of the text as one line, for callers that have it.
+        """
         size = _col(size)
-        width = self.width(text, font, size)
+        width = self.width(text, font, size) if line is None else line
         blank = self._box(F.lit(2 * self.horizontal_padding), size + 2 * self.vertical_padding)
         single = self._one_line(text, size, width)
         if max_width is None:
@@ -150,9 +154,10 @@ class TextMeasurer:
                 .when(width.isNull() | (width <= room) | (room == 0), single)
                 .otherwise(wrapped))
 
-    def fits(self, text: Column, font, size, width: Column, height: Column) -> Column:
+    def fits(self, text: Column, font, size, width: Column, height: Column,
+             line: Column | None = None) -> Column:
         """Does the text fit a box of this size, within half a point?"""
-        need = self.dimensions(text, font, size, width)
+        need = self.dimensions(text, font, size, width, line)
         return F.when(self._blank(text), F.lit(True)).otherwise(
             (need["width"] <= width + 0.5) & (need["height"] <= height + 0.5))
 
@@ -216,16 +221,17 @@ class TextMeasurer:
 
         return F.aggregate(self._words(text, font, size), start, step, finish)
 
-    def optimal(self, text: Column, font, size, width: Column | None = None) -> Column:
+    def optimal(self, text: Column, font, size, width: Column | None = None,
+                line: Column | None = None) -> Column:
         """Single-line box, or with a width the box of the wrapped text."""
         size = _col(size)
         if width is None:
-            return self.dimensions(text, font, size)
+            return self.dimensions(text, font, size, line=line)
         wrapped = self.wrapped_size(text, font, size, width - 2 * self.horizontal_padding)
         blank = self._box(F.lit(2 * self.horizontal_padding), size + 2 * self.vertical_padding)
         unknown = self.width(F.lit(" "), font, size).isNull()
         return (F.when(self._blank(text), blank)
-                .when(unknown, self.dimensions(text, font, size, width))
+                .when(unknown, self.dimensions(text, font, size, width, line))
                 .otherwise(self._box(
                     F.least(width, wrapped["widest"] + 2 * self.horizontal_padding),
                     wrapped["lines"] * (size * self.line_spacing) + 2 * self.vertical_padding)))

@@ -35,14 +35,23 @@ def first_match(text: Column, patterns) -> Column:
     return rule
 
 
-def _field(name: str, text: Column, winner: Column, patterns) -> Column:
-    rule = None
+def _groups(text: Column, winner: Column, patterns) -> Column:
+    """The winner's groups, in order of the fields it fills."""
+    rule = F.when(F.lit(False), F.array().cast("array<string>"))
     for i, p in enumerate(patterns, 1):
-        group = p.fields.get(name)
-        if group is not None:
-            value = F.regexp_extract(text, _start(p.regex), group)
-            rule = (F.when if rule is None else rule.when)(winner == i, value)
-    return F.lit(None).cast("string") if rule is None else nonblank(rule)
+        if p.fields:
+            rule = rule.when(winner == i, F.array(*(
+                F.regexp_extract(text, _start(p.regex), g) for g in p.fields.values())))
+    return rule
+
+
+def _field(name: str, winner: Column, patterns) -> Column:
+    """A field's value: the place of its group differs from pattern to pattern."""
+    places = [list(p.fields).index(name) if name in p.fields else -1 for p in patterns]
+    if max(places) < 0:
+        return F.lit(None).cast("string")
+    place = F.try_element_at(F.array(*(F.lit(n) for n in places)), winner)
+    return nonblank(F.when(place >= 0, F.get("_groups", place)))
 
 
 def _flag(winner: Column, patterns, test) -> Column:
@@ -76,10 +85,14 @@ def parse(annotations: DataFrame, patterns=None, dialect: str = "config", dm_var
 
     winner, stripped = F.col("_winner"), F.col("text")
     rows = annotations.withColumn("text", strip(F.col(text)))
-    rows = rows.withColumn("_winner", first_match(stripped, patterns))
-    fields = {f: _field(f, stripped, winner, patterns) for f in PARSED_FIELDS}
+    # what comes out of an explode is not computed again by the steps and
+    # filters after it, so each text meets the regexes once
+    rows = rows.select("*", F.explode_outer(F.array(first_match(stripped, patterns)))
+                       .alias("_winner"))
+    rows = rows.withColumn("_groups", _groups(stripped, winner, patterns))
+    fields = {f: _field(f, winner, patterns) for f in PARSED_FIELDS}
     rows = rows.select("*", *(e.alias(f) for f, e in fields.items()),
-                       _field("variables", stripped, winner, patterns).alias("_list"))
+                       _field("variables", winner, patterns).alias("_list")).drop("_groups")
     comment = (lambda p: p.name in BUILTIN_COMMENTS) if builtin else (lambda p: p.is_comment)
     rows = rows.select("*", _name(winner, patterns).alias("pattern_type"),
                        _flag(winner, patterns, comment).alias("is_comment"))

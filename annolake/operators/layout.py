@@ -212,8 +212,10 @@ def resize(annotations: DataFrame, variant: str = "export", measurer: TextMeasur
     free = (F.col("type") == "FreeText") & ~F.col("_skip")
     filled = F.coalesce(F.length(text) > 0, F.lit(False))
     size = font_size if font_size is not None else header_font_size(text).cast("double")
+    line = F.col("_line")
     if variant == "export":
-        df = df.withColumn("_need", measurer.optimal(text, STANDARD_FONT, size))
+        df = df.withColumn("_line", measurer.width(text, STANDARD_FONT, size))
+        df = df.withColumn("_need", measurer.optimal(text, STANDARD_FONT, size, line=line))
         new_w = F.greatest(old_w, F.col("_need.width")) + 5
         df = df.withColumn("_checked", free & filled).withColumn(
             "_changed", F.col("_checked") & (F.abs(new_w - old_w) > 1))
@@ -230,8 +232,10 @@ def resize(annotations: DataFrame, variant: str = "export", measurer: TextMeasur
         df = df.withColumn("_checked", free).withColumn("_changed", F.lit(False))
         return _resized(df, r, old_w, old_h)
     keep_width = variant == "box" and not expand_width
-    df = df.withColumn("_fits", measurer.fits(text, name, size, old_w, old_h))
-    df = df.withColumn("_need", measurer.optimal(text, name, size, old_w if keep_width else None))
+    df = df.withColumn("_line", measurer.width(text, name, size))
+    df = df.withColumn("_fits", measurer.fits(text, name, size, old_w, old_h, line))
+    df = df.withColumn("_need", measurer.optimal(text, name, size, old_w if keep_width else None,
+                                                 line))
 
     def grown(old: Column, need: Column, cap: float | None, wanted: bool) -> Column:
         if not wanted:
@@ -250,10 +254,12 @@ def resize(annotations: DataFrame, variant: str = "export", measurer: TextMeasur
 
 def _resized(df: DataFrame, r: Column, new_w: Column, new_h: Column) -> DataFrame:
     changed = F.coalesce("_changed", F.lit(False))
-    new = F.when(changed, rect(r["x0"], r["y0"], r["x0"] + new_w, r["y0"] + new_h)).otherwise(r)
+    # built edge by edge, so that a later step that reads one corner skips the rest
+    new = rect(r["x0"], r["y0"], F.when(changed, r["x0"] + new_w).otherwise(r["x1"]),
+               F.when(changed, r["y0"] + new_h).otherwise(r["y1"]))
     df = df.withColumn("resized", new).withColumn("checked", F.coalesce("_checked", F.lit(False)))
     df = df.withColumn("changed", changed)
-    return df.drop("_skip", "_text", "_need", "_fits", "_font", "_checked", "_changed")
+    return df.drop("_skip", "_text", "_line", "_need", "_fits", "_font", "_checked", "_changed")
 
 
 def resize_operations(resized: DataFrame, box: str = "rect", content: str = "content") -> DataFrame:

@@ -162,7 +162,7 @@ def with_facts(gated: DataFrame, catalog: Catalog,
 def _finding(rule_no: int, when: Column, severity: str, category: str, message: Column,
              suggestion: str | None = None) -> Column:
     return F.when(when, F.struct(
-        F.lit(rule_no).alias("rule_no"), F.lit(severity).alias("severity"),
+        F.lit(rule_no).alias("rule_no"), F.col("token_no"), F.lit(severity).alias("severity"),
         F.lit(category).alias("category"), message.alias("message"),
         F.lit(suggestion).cast("string").alias("suggested_correction")))
 
@@ -239,13 +239,10 @@ def find(parsed: DataFrame, catalog: Catalog, options: CheckOptions = CheckOptio
     gated = gate(parsed, catalog, options)
     rows = with_facts(gated, catalog, options)
     found = F.array_compact(F.array(*rule_findings(options)))
-    rows = rows.withColumn("_found", found).filter(F.size("_found") > 0)
-    base = [c for c in FINDING if c in rows.columns]
-    findings = rows.select(*base, F.explode("_found").alias("_f")).select(
-        *(F.col(f"_f.{c}") if c in ("rule_no", "severity", "category", "message",
-                                    "suggested_correction") else F.col(c)
-          for c in FINDING if c in base or c in ("rule_no", "severity", "category", "message",
-                                                 "suggested_correction")))
+    decided = ("rule_no", "token_no", "severity", "category", "message", "suggested_correction")
+    base = [c for c in FINDING if c in rows.columns and c not in decided]
+    findings = rows.select(*base, F.explode_outer(found).alias("_f")).filter(
+        "_f is not null").select(*base, *(f"_f.{c}" for c in decided))
     for rule in _CUSTOM.values():
         findings = findings.unionByName(rule(gated, catalog), allowMissingColumns=True)
     return findings

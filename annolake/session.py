@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +46,18 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="annolake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A driver-side list as a table whose size the optimizer knows.
+
+    Rows that come as an Arrow table are planned as a local relation, so joins
+    see how small it is; rows that come as a Python list are an RDD of unknown
+    size, which makes Spark shuffle both sides.
+    """
+    fields = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in column], f.type)
+              for column, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), fields)

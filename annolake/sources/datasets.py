@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from annolake.schemas import DATASET_CATALOG, VARIABLE_CATALOG
+from annolake.session import small_table
 
 
 def domain_of_file(file_name: Column) -> Column:
@@ -63,7 +64,7 @@ class DatasetRegistry:
         return [r[0] for r in data.select(variable).limit(n).collect()]
 
     def dataset_catalog(self) -> DataFrame:
-        return self.spark.createDataFrame(
+        return small_table(self.spark, 
             [(d, self.labels.get(d), p) for d, p in self.paths.items()], DATASET_CATALOG)
 
     def variable_catalog(self) -> DataFrame:
@@ -71,10 +72,10 @@ class DatasetRegistry:
         rows = []
         for domain in self.paths:
             rows += variable_rows(domain, self.dataset(domain).schema)
-        return self.spark.createDataFrame(rows, VARIABLE_CATALOG)
+        return small_table(self.spark, rows, VARIABLE_CATALOG)
 
     def _values(self, column: str, wanted) -> DataFrame:
-        out = self.spark.createDataFrame([], f"domain string, {column.lower()} string")
+        out = small_table(self.spark, [], f"domain string, {column.lower()} string")
         for domain in self.paths:
             if wanted(domain) and self.has_variable(domain, column):
                 out = out.unionByName(self.dataset(domain).select(
