@@ -21,6 +21,7 @@ DATASETS = (
     ("PF", "Pharmacogenomics Findings"), ("FA", "Findings About"), ("DS", "Disposition"),
     ("XX", None), ("SUPPDM", "Supplemental DM"), ("SUPPAE", "Supplemental AE"),
     ("RELREC", "Related Records"), ("MH", "Medical History"), ("EX", "Exposure"),
+    ("EG", "ECG Test Results"), ("TV", "Trial Visits"),
 )
 COLUMNS = {
     "DM": ("STUDYID", "USUBJID", "SUBJID", "AGE", "SEX", "RACE", "RFICDTC", "BRTHDTC"),
@@ -37,6 +38,8 @@ COLUMNS = {
     "RELREC": ("STUDYID", "RDOMAIN", "IDVAR", "IDVARVAL", "RELID"),
     "MH": ("STUDYID", "USUBJID", "MHSEQ", "MHTERM"),
     "EX": ("STUDYID", "USUBJID", "EXSEQ", "EXTRT", "EXDOSE"),
+    "EG": ("STUDYID", "USUBJID", "EGSEQ", "EGTESTCD", "EGORRES"),
+    "TV": ("STUDYID", "VISITNUM", "VISIT"),
 }
 QNAMS = ("RACEOTH", "RACE1", "CHILDPOT")
 IDVARS = ("FASEQ", "AESEQ")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from annolake.functions import metrics as M
+from annolake.functions import text as X
 from annolake.operators import patterns as P
+from annolake.operators import report as R
+from annolake.workload import feeds as W
 from annolake.workload.oracle import (ANN, BOXES, CATALOG, CLEAN, EVENT_ANN, EVENT_PAGES, EXTRACT,
                                       arr, checked, parsed, pick, q, with_)
 
@@ -31,3 +37,252 @@ ORACLE["unused_datasets"] = parsed("""SELECT domain AS "Dataset", 'May be using
 ORACLE["variable_metadata"] = parsed("""SELECT ok.domain, ok.variable_name, CASE WHEN v.name IS NOT NULL THEN 'character' END AS variable_type, CASE WHEN v.name IS NOT NULL THEN 8 END AS variable_length,
   CASE WHEN v.name IS NOT NULL THEN upper(v.name[1:1]) || lower(v.name[2:]) END AS variable_label, count(*) AS n
   FROM ok LEFT JOIN vars v ON v.domain = ok.domain AND v.name = ok.variable_name GROUP BY ALL""")
+
+
+# --- text ------------------------------------------------------------------
+
+_UNESCAPED = "replace(replace(replace(replace(replace(html, '&amp;', chr(1)), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), chr(1), '&')"
+ORACLE["clean_pages"] = f"""SELECT page_id, {CLEAN.format(_UNESCAPED)} AS text, trim(replace(replace(html, chr(13), ''), chr(10), ' ')) AS simple FROM pages"""
+ORACLE["clean_documents"] = f"""SELECT doc_id, {CLEAN.format('text')} AS text FROM documents"""
+_HEADER = r"(regexp_matches(content, '^[A-Z]{2}\s*=\s*.+') AND instr(content, '''') = 0 AND instr(content, '\"') = 0)".replace('\\"', '"')
+_CODE = r"nullif(regexp_extract(content, '^([A-Z]{2})\s*=\s*([^=]+)$', 1), '')"
+_LABEL = rf"CASE WHEN {_CODE} IS NOT NULL THEN trim(regexp_extract(content, '^([A-Z]{{2}})\s*=\s*([^=]+)$', 2)) END"
+ORACLE["header_texts"] = with_(ANN, EXTRACT, body=f"""SELECT study_id, doc_id, page, annot_idx, {_HEADER} AS is_header, {_CODE} AS code, {_LABEL} AS label,
+  CASE WHEN {_HEADER} THEN 12 ELSE 10 END AS font_size, CASE WHEN {_CODE} IS NOT NULL THEN content ELSE upper(content) END AS recased FROM ext""")
+
+# What each text template turns into, written out; a lower-case domain is no header.
+_QUOTED = {
+    "{v} = '{l}'": '{v} = "{l}"', "{v} = {n}": '{v} = "{n}"', "{v} when {w} = HEIGHT": '{v} when {w} = "HEIGHT"',
+    "{v}1 when {w} = HEIGHT": '{v}1 when {w} = "HEIGHT"', "{v},{w} when VSTESTCD=HEIGHT": '{v},{w} when VSTESTCD = "HEIGHT"',
+    "{v} in SUPPAE when AGE = {n}": '{v} in SUPPAE when AGE = "{n}"', "RELID in RELREC when {v} = AESEQ": 'RELID in RELREC when {v} = "AESEQ"',
+    "PFORRES,{v} when PFTESTCD = {w}": 'PFORRES,{v} when PFTESTCD = "{w}"', "{v} = '{l}' when {w} = Y": '{v} = "{l}" when {w} = "Y"',
+    "{v},{w} = '{l}'": '{v},{w} = "{l}"', 'DOMAIN={d} VARIABLE={v} VALUE="{n}"': 'DOMAIN = "{d}" VARIABLE = "{v}" VALUE = "{n}"',
+}
+
+
+def _quoted_text() -> str:
+    templates = [_QUOTED.get(t, t) for t in W.TEMPLATES]
+    domain = pick(W.DOMAINS, "l_orderkey + l_linenumber")
+    label = pick([" ".join(x.split()) for x in W.LABELS], "l_partkey + l_linenumber")
+    text = pick(templates, "l_orderkey * 7 + l_linenumber + l_partkey")
+    text = f"CASE WHEN {text} = '{{d}} = {{l}}' AND {domain} = 'ae' THEN '{{d}} = \"{{l}}\"' ELSE {text} END"
+    for mark, value in (("{v}", pick(W.NAMES, "l_orderkey + l_partkey")), ("{w}", pick(W.NAMES, "l_partkey * 3 + 1")),
+                        ("{d}", domain), ("{l}", label), ("{n}", "CAST(CAST(l_quantity AS INT) AS VARCHAR)")):
+        text = f"replace({text}, {q(mark)}, {value})"
+    return text
+
+
+# bracketed and free texts keep the label's trailing blank inside the text
+ORACLE["normalized_quotes"] = with_(ANN, body=f"""SELECT study_id, doc_id, page, annot_idx,
+  CASE WHEN instr(content, '=') = 0 THEN {CLEAN.format('content')} ELSE {_quoted_text()} END AS content FROM ann""")
+
+_ORDER = X.RED_DOMAINS + X.BLUE_DOMAINS
+_MENTIONS = " ".join(f"WHEN contains(upper({{0}}), '{d} =') OR contains(upper({{0}}), '{d}CAT') OR contains(upper({{0}}), 'SUPP{d}') OR starts_with(upper({{0}}), '{d}') THEN '{d}'" for d in _ORDER)
+
+
+def _domain(text: str) -> str:
+    code = rf"nullif(regexp_extract({text}, '^([A-Z]{{2}})\s*=\s*([^=]+)$', 1), '')"
+    return f"coalesce({code}, CASE {_MENTIONS.format(text)} END)"
+
+
+def _word_domain(text: str) -> str:
+    return rf"nullif(regexp_extract(upper({text}), '(?:^|\s)({'|'.join(_ORDER)})', 1), '')"
+
+
+_RED = "('FA', 'AE', 'DS', 'DD', 'MH')"
+ORACLE["text_domains"] = with_(ANN, EXTRACT, body=f"""SELECT study_id, doc_id, page, annot_idx, domain, word_domain, CASE WHEN domain IN {_RED} THEN '#FF0000' ELSE '#0000FF' END AS color
+  FROM (SELECT *, {_domain('content')} AS domain, {_word_domain('content')} AS word_domain FROM ext)""")
+ORACLE["document_domains"] = f"SELECT doc_id, {_domain('text')} AS domain, {_word_domain('text')} AS word_domain FROM documents"
+ORACLE["condition_parts"] = parsed("""SELECT study_id, doc_id, page, annot_idx, part_idx,
+  CASE WHEN len(string_split(condition, '=')) = 2 THEN trim(string_split(condition, '=')[1]) END AS left_side, CASE WHEN len(string_split(condition, '=')) = 2 THEN trim(string_split(condition, '=')[2]) END AS right_side,
+  generate_subscripts(regexp_extract_all(condition, '([A-Z0-9_]+)'), 1) - 1 AS token_no, unnest(regexp_extract_all(condition, '([A-Z0-9_]+)')) AS token FROM ok WHERE condition IS NOT NULL""")
+ORACLE["previews"] = """SELECT doc_id, CASE WHEN length(text) > 30 THEN text[1:30] || '...' ELSE text END AS short, CASE WHEN length(text) > 50 THEN text[1:50] || '...' ELSE text END AS longer,
+  CASE WHEN length(text) > 40 THEN text[1:37] || '...' ELSE text END AS child, source AS author FROM documents"""
+_HEX = "printf('#%02X%02X%02X', CAST(trunc({0} * 255) AS INT), CAST(trunc({1} * 255) AS INT), CAST(trunc({2} * 255) AS INT))"
+ORACLE["author_texts"] = with_(ANN, body=f"""SELECT study_id, doc_id, page, annot_idx, CASE WHEN trim(coalesce(author, '')) = '' THEN 'Reviewer' ELSE author END AS author,
+  'font-size:10.0pt;text-align:left;color:' || {_HEX.format('r', 'g', 'b')} || ';font-weight:bold;font-style:normal;font-family:Arial;font-stretch:normal' AS style,
+  '(' || CAST(round(x0, 2) AS VARCHAR) || ', ' || CAST(round(y0, 2) AS VARCHAR) || ')' AS position FROM ann""")
+ORACLE["document_forms"] = r"""SELECT doc_id, coalesce(CASE WHEN regexp_matches(text, 'Form:\s*(.+?)(?:\n|$)') THEN trim(regexp_extract(text, 'Form:\s*(.+?)(?:\n|$)', 1)) END,
+  list_filter(list_transform(string_split(trim(text, ' ' || chr(10)), chr(10))[1:5], lambda x: trim(x)), lambda x: length(x) > 3 AND length(x) < 100)[1], 'Page ' || CAST(doc_id AS VARCHAR)) AS form FROM documents"""
+
+
+# --- colours ---------------------------------------------------------------
+
+def _standard(palette: str) -> str:
+    top = "greatest(r, g, b)"
+    rn, gn, bn = (f"({c} / nullif({top}, 0))" for c in "rgb")
+    if palette == "v1":
+        return ("CASE WHEN r < 0.5 AND b > 0.5 THEN '#0000FF' WHEN r > 0.5 AND g < 0.5 AND b < 0.5 THEN '#FF0000' WHEN r < 0.5 AND g > 0.5 AND b < 0.5 THEN '#00FF00' "
+                f"WHEN r > 0.5 AND g > 0.5 AND b < 0.5 THEN '#FFA500' WHEN r < 0.3 AND g < 0.3 AND b < 0.3 THEN '#000000' ELSE {_HEX.format('r', 'g', 'b')} END")
+    green = "#007C00" if palette == "v3" else "#00FF00"
+    first = f"WHEN {top} = 0 THEN '#000000'" if palette == "v3" else f"WHEN {top} < 0.15 THEN '#000000'"
+    orange = f"WHEN {rn} > 0.7 AND {gn} > 0.5 AND {bn} < 0.3 THEN '#FFA500'" if palette == "v2" else ""
+    return (f"CASE {first} WHEN {bn} > 0.9 AND {rn} < 0.3 AND {gn} < 0.3 THEN '#0000FF' WHEN {rn} > 0.9 AND {gn} < 0.3 AND {bn} < 0.3 THEN '#FF0000' "
+            f"WHEN {gn} > 0.9 AND {rn} < 0.3 AND {bn} < 0.3 THEN '{green}' {orange} WHEN {bn} > 0.8 AND {gn} > 0.8 AND {rn} < 0.2 THEN '#00FFFF' "
+            f"WHEN {rn} > 0.8 AND {bn} > 0.8 AND {gn} < 0.2 THEN '#FF00FF' WHEN b > 0.8 AND r < 0.2 AND g < 0.3 THEN '#0000FF' WHEN r > 0.8 AND g < 0.2 AND b < 0.2 THEN '#FF0000' "
+            f"WHEN g > 0.8 AND r < 0.2 AND b < 0.2 THEN '{green}' ELSE {_HEX.format('r', 'g', 'b')} END")
+
+
+def _bands(r: str, g: str, b: str) -> str:
+    near = "abs({0} - {1}) < {2}"
+    rules = (("Blue", (0, .1), (0, .1), (1.0, .1)), ("Red", (1.0, .1), (0, .1), (0, .1)), ("Green", (0, .1), (0.5, .2), (0, .1)),
+             ("Cyan", (0.75, .1), (1.0, .1), (1.0, .1)), ("Black", (0, .1), (0, .1), (0, .1)), ("Purple", (0.5, .2), (0, .2), (0.5, .2)), ("Orange", (1.0, .1), (0.5, .2), (0, .1)))
+    whens = " ".join("WHEN " + " AND ".join(near.format(c, *band) for c, band in zip((r, g, b), bands)) + f" THEN '{name}'" for name, *bands in rules)
+    return f"CASE {whens} ELSE printf('RGB(%.2f, %.2f, %.2f)', {r}, {g}, {b}) END"
+
+
+def _class(r: str, g: str, b: str) -> str:
+    return (f"CASE WHEN abs({r} - 1) < 0.1 AND abs({g}) < 0.1 AND abs({b}) < 0.1 THEN 'RED' WHEN abs({r}) < 0.1 AND abs({g}) < 0.1 AND abs({b} - 1) < 0.1 THEN 'BLUE' "
+            f"ELSE printf('RGB(%.2f,%.2f,%.2f)', {r}, {g}, {b}) END")
+
+
+_V = {p: _standard(p) for p in ("v1", "v2", "v3")}
+ORACLE["standard_colors"] = with_(ANN, body=f"""SELECT *, CASE v3 WHEN '#FF0000' THEN 'RED' WHEN '#0000FF' THEN 'BLUE' WHEN '#000000' THEN 'BLACK' WHEN '#00FF00' THEN 'GREEN' ELSE 'OTHER' END AS byte_class, true AS same FROM
+  (SELECT study_id, doc_id, page, annot_idx, {_HEX.format('r', 'g', 'b')} AS hex, {_V['v1']} AS v1, {_V['v2']} AS v2, {_V['v3']} AS v3,
+  printf('RGB(%d, %d, %d)', CAST(trunc(r * 255) AS INT), CAST(trunc(g * 255) AS INT), CAST(trunc(b * 255) AS INT)) AS rgb, {_bands('r', 'g', 'b')} AS name, {_class('r', 'g', 'b')} AS output_class FROM ann)""")
+_F = "l_linestatus = 'F'"
+_IS = "(dr = {0} AND dg = {1} AND db = {2})"
+_DHEX = _HEX.format("dr", "dg", "db")
+_SHEX = _HEX.format("r", "g", "b")
+_SKIP = " OR ".join(_IS.format(*c) for c in ((0, 1, 1), (1, 1, 1), (0.75, 1, 1), (0.85, 1, 1)))
+ORACLE["text_colors"] = with_(ANN, body=f"""SELECT study_id, doc_id, page, annot_idx, CASE WHEN {_F} THEN {_DHEX} ELSE '#000000' END AS da_color,
+  CASE WHEN {_F} AND NOT {_IS.format(0, 0, 0)} THEN {_DHEX} WHEN {_SKIP} OR {_IS.format(0, 0, 0)} THEN '#000000' ELSE {_DHEX} END AS export_color,
+  CASE WHEN {_F} AND NOT ({_IS.format(0, 0, 0)} OR {_IS.format(1, 1, 1)}) THEN {_DHEX} ELSE '#000000' END AS archived_color, {_SHEX} AS preserve_color FROM ann""")
+ORACLE["parsed_colors"] = with_(ANN, body=f"""SELECT study_id, doc_id, page, annot_idx,
+  CASE type WHEN 'Square' THEN {_DHEX} WHEN 'Highlight' THEN '#00FFFF' ELSE {_SHEX} END AS fill,
+  CASE type WHEN 'Highlight' THEN NULL ELSE {_SHEX} END AS style FROM ann""")
+ORACLE["output_color_totals"] = with_(ANN, body=f"""SELECT study_id, count(*) AS total, count(*) FILTER (c = 'RED') AS red, count(*) FILTER (c = 'BLUE') AS blue, count(*) FILTER (c NOT IN ('RED', 'BLUE')) AS other
+  FROM (SELECT study_id, CASE WHEN {_F} THEN {_class('dr', 'dg', 'db')} ELSE 'RGB(0.00,0.00,0.00)' END AS c FROM ann WHERE type = 'FreeText' AND page <= 5) GROUP BY study_id""")
+_KEPT = f"""kept AS (SELECT study_id, doc_id, page, annot_idx, trim(content) AS content, round_even(r, 3) AS r, round_even(g, 3) AS g, round_even(b, 3) AS b,
+  {_bands('r', 'g', 'b')} AS color_name FROM ann WHERE trim(content) <> '')"""
+ORACLE["color_usage"] = with_(ANN, _KEPT, body=f"""SELECT doc_id, page, color_name, arg_min({_HEX.format('r', 'g', 'b')}, annot_idx) AS color, count(*) AS count, min(annot_idx) AS first_idx FROM kept GROUP BY ALL""")
+ORACLE["color_usage_items"] = with_(ANN, _KEPT, body="""SELECT doc_id, page, min(annot_idx) OVER (PARTITION BY doc_id, page, color_name) AS first_idx, color_name, annot_idx, content[1:50] AS content FROM kept""")
+ORACLE["distinct_colors"] = with_(ANN, _KEPT, body="SELECT DISTINCT color_name, r, g, b FROM kept")
+
+
+# --- sizes -----------------------------------------------------------------
+
+ORACLE["da_fonts"] = with_(ANN, body="""SELECT lower(table_font) AS font, table_size AS size, table_font, table_size, count(*) AS n
+  FROM (SELECT CASE WHEN l_linestatus = 'F' THEN 'Helv' ELSE 'Cour' END AS table_font, CASE WHEN l_linestatus = 'F' THEN 10.0 ELSE 8.0 END AS table_size FROM ann) GROUP BY ALL""")
+_INTS = lambda name, cols: ", ".join(f"CAST(trunc({c} * 255) AS INT) AS \"{name}_{n}\"" for c, n in zip(cols, "RGB"))
+_RGB = "printf('RGB(%d, %d, %d)', CAST(trunc({0} * 255) AS INT), CAST(trunc({1} * 255) AS INT), CAST(trunc({2} * 255) AS INT))"
+ORACLE["style_table"] = with_(ANN, body=f"""SELECT study_id, doc_id, annot_idx, page AS "Page", {CLEAN.format('content')} AS "Content", {_RGB.format('tr', 'tg', 'tb')} AS "Text_Color", {_INTS('Text_Color', ('tr', 'tg', 'tb'))},
+  'RGB(0, 255, 255)' AS "Background_Color", 0 AS "Background_R", 255 AS "Background_G", 255 AS "Background_B", {_RGB.format('r', 'g', 'b')} AS "Border_Color", {_INTS('Border', ('r', 'g', 'b'))},
+  1.0 AS "Border_Width", 'S' AS "Border_Style", round(x0, 3) AS "Position_X0", round(y0, 3) AS "Position_Y0", round(x1, 3) AS "Position_X1", round(y1, 3) AS "Position_Y1",
+  round(x1 - x0, 3) AS "Width", round(y1 - y0, 3) AS "Height", CASE WHEN {_F} THEN 'Helv' ELSE 'Cour' END AS "Font_Name", CASE WHEN {_F} THEN 10.0 ELSE 8.0 END AS "Font_Size",
+  coalesce(author, '') AS "Author", '' AS "Subject", '' AS "Creation_Date", '' AS "Modification_Date"
+  FROM (SELECT *, CASE WHEN {_F} THEN dr ELSE 0 END AS tr, CASE WHEN {_F} THEN dg ELSE 0 END AS tg, CASE WHEN {_F} THEN db ELSE 0 END AS tb FROM ann WHERE type = 'FreeText')""")
+
+
+def _units(text: str, widths, default: int) -> str:
+    """Width by width class: what vanishes from the text when a class is deleted."""
+    terms = []
+    for width, chars in widths.items():
+        accented = "".join(chr(c) for c in range(0xC0, 0x100) if unicodedata.normalize("NFD", chr(c))[0] in chars and unicodedata.normalize("NFD", chr(c))[0] != chr(c))
+        terms.append(f"{width - default} * (length({text}) - length(translate({text}, {q(chars + accented)}, '')))")
+    return f"({default} * length({text}) + {' + '.join(terms)})"
+
+
+def _bold(text: str) -> str:
+    return _units(text, M.HELVETICA_BOLD, 278)
+
+
+_WRAP = f"""words AS (SELECT *, list_transform(string_split(content, ' '), lambda w: {{'w': w, 'n': {_bold('w')} / 100.0}}) AS ws, x1 - x0 AS lim, y1 - y0 AS hgt, {_bold('content')} / 100.0 AS line FROM ext),
+wrap AS (SELECT *, list_reduce(list_prepend({{'lines': CAST([] AS VARCHAR[]), 'cur': '', 'n': 0.0, 'widest': 0.0, 'w': '', 'wn': 0.0}},
+    list_transform(ws, lambda t: {{'lines': CAST([] AS VARCHAR[]), 'cur': '', 'n': 0.0, 'widest': 0.0, 'w': t.w, 'wn': t.n}})),
+  lambda a, t: CASE
+    WHEN a.cur = '' AND t.wn <= lim - 8 THEN {{'lines': a.lines, 'cur': t.w, 'n': t.wn, 'widest': a.widest, 'w': '', 'wn': 0.0}}
+    WHEN a.cur = '' THEN {{'lines': list_append(a.lines, t.w), 'cur': '', 'n': 0.0, 'widest': greatest(a.widest, t.wn), 'w': '', 'wn': 0.0}}
+    WHEN a.n + 2.78 + t.wn <= lim - 8 THEN {{'lines': a.lines, 'cur': a.cur || ' ' || t.w, 'n': a.n + 2.78 + t.wn, 'widest': a.widest, 'w': '', 'wn': 0.0}}
+    ELSE {{'lines': list_append(a.lines, a.cur), 'cur': t.w, 'n': t.wn, 'widest': greatest(a.widest, a.n), 'w': '', 'wn': 0.0}} END) AS z FROM words),
+boxed AS (SELECT *, CASE WHEN z.cur = '' THEN z.lines ELSE list_append(z.lines, z.cur) END AS lines, greatest(z.widest, z.n) AS widest,
+  CASE WHEN lim - 8 <= 0 THEN lim * 0.8 ELSE lim - 8 END AS room FROM wrap),
+sized AS (SELECT *, CASE WHEN line <= room THEN line + 8 ELSE lim END AS lw, CASE WHEN line <= room THEN 16.0 ELSE greatest(1, CAST(floor(line / room + 0.5) AS INT)) * 12.0 + 4 END AS lh FROM boxed)"""
+ORACLE["text_boxes"] = with_(ANN, EXTRACT, _WRAP, body=f"""SELECT study_id, doc_id, page, annot_idx, round(line, 3) AS line, round(line + 8, 3) AS plain_width, 16.0 AS plain_height,
+  round(lw, 3) AS limited_width, lh AS limited_height, round(least(lim, widest + 8), 3) AS wrapped_width, len(lines) * 12.0 + 4 AS wrapped_height, array_to_string(lines, '|') AS lines,
+  lw <= lim + 0.5 AND lh <= hgt + 0.5 AS fits, round({_units('content', M.HELVETICA, 278)} * 8 / 1000.0, 3) AS helvetica, round(length(content) * 4.8, 3) AS courier FROM sized""")
+ORACLE["document_widths"] = f"SELECT doc_id, round({_bold('text')} / 100.0, 2) AS width FROM documents"
+
+
+# --- reports ---------------------------------------------------------------
+
+_SEV = "[{'ord': 0, 's': 'ERROR'}, {'ord': 1, 's': 'WARNING'}, {'ord': 2, 's': 'INFO'}]"
+
+
+def _severity(by: str = "") -> str:
+    lead = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {lead}v.ord AS ord, v.s AS severity, CASE v.s WHEN 'ERROR' THEN e WHEN 'WARNING' THEN w ELSE i END AS count,
+  printf('%.1f%%', CASE v.s WHEN 'ERROR' THEN e WHEN 'WARNING' THEN w ELSE i END / n * 100) AS percent
+  FROM (SELECT {lead}count(*) AS n, count(*) FILTER (severity = 'ERROR') AS e, count(*) FILTER (severity = 'WARNING') AS w, count(*) FILTER (severity = 'INFO') AS i, unnest({_SEV}) AS v FROM f {group})"""
+
+
+_METRICS = """count(*) AS total_issues, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings,
+  count(*) FILTER (severity = 'INFO') AS infos, count(DISTINCT domain) AS unique_domains, count(DISTINCT variable_name) AS unique_variables"""
+
+
+def _top(column: str, n: int, by: str = "", errors: bool = False) -> str:
+    lead = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    total = f"sum(count(*)) OVER ({part})" if column == "category" else (
+        f"(SELECT count(*) FROM f g WHERE g.{by} = f.{by})" if by else "(SELECT count(*) FROM f)")
+    having = "HAVING bool_or(severity = 'ERROR')" if errors else ""
+    return f"""SELECT {lead}rank, {column}, count, printf('%.1f%%', count / total * 100) AS percent FROM (
+  SELECT {lead}{column}, count, total, row_number() OVER ({part} ORDER BY count DESC, seen) AS rank FROM (
+  SELECT {lead}{column}, count(*) AS count, {total} AS total, min((study_id, doc_id, page, annot_idx, part_idx, rule_no, token_no)) AS seen
+  FROM f WHERE {column} IS NOT NULL GROUP BY {lead}{column} {having})) WHERE rank <= {n}"""
+
+
+ORACLE["severity_totals"] = checked(_severity())
+ORACLE["study_severity_totals"] = checked(_severity("study_id"))
+ORACLE["key_metrics"] = checked(f"SELECT study_id, {_METRICS} FROM f GROUP BY study_id")
+ORACLE["category_counts"] = checked("SELECT category, count(*) AS count FROM f GROUP BY category")
+ORACLE["domain_counts"] = checked("SELECT study_id, domain, count(*) AS count FROM f WHERE domain IS NOT NULL GROUP BY ALL")
+ORACLE["category_severity_summary"] = checked("SELECT category, severity, count(*) AS count, round_even(count(*) / sum(count(*)) OVER () * 100, 1) AS percentage FROM f GROUP BY category, severity")
+ORACLE["annotation_types"] = with_(ANN, body="SELECT doc_id, type, count(*) AS count FROM ann GROUP BY ALL")
+ORACLE["dataset_coverage"] = parsed("""SELECT domain, count(*) AS variables, count(*) FILTER (named) AS referenced, count(*) FILTER (NOT named) AS unused, round_even(count(*) FILTER (named) / count(*) * 100, 1) AS percent
+  FROM (SELECT domain, name, EXISTS (SELECT 1 FROM ok WHERE ok.domain = vars.domain AND ok.variable_name = vars.name) AS named FROM vars) GROUP BY domain""")
+ORACLE["top_categories"] = checked(_top("category", 5))
+ORACLE["top_domains"] = checked(_top("domain", 5, "study_id"))
+ORACLE["top_error_domains"] = checked(_top("domain", 2, "doc_id", True))
+_EACH = "[('Total Issues', total_issues), ('Errors', errors), ('Warnings', warnings), ('Info', infos), ('Unique Domains', unique_domains), ('Unique Variables', unique_variables)]"
+ORACLE["dashboard"] = checked(f"""SELECT 'Key Metrics' AS section, i - 1 AS ord, names[i] AS label, CAST(vals[i] AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS percent
+  FROM (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i, ['Total Issues', 'Errors', 'Warnings', 'Info', 'Unique Domains', 'Unique Variables'] AS names, [total_issues, errors, warnings, infos, unique_domains, unique_variables] AS vals FROM (SELECT {_METRICS} FROM f))
+  UNION ALL SELECT 'Distribution by Severity', ord, severity, CAST(count AS VARCHAR), percent FROM ({_severity()})
+  UNION ALL SELECT 'Most Common Issues', rank, category, CAST(count AS VARCHAR), percent FROM ({_top('category', 5)})
+  UNION ALL SELECT 'Top Domains with Issues', rank, domain, CAST(count AS VARCHAR), percent FROM ({_top('domain', 5)})
+  UNION ALL SELECT 'Summary', 0, 'Found ' || (SELECT count(*) FROM f WHERE severity = 'ERROR') || ' critical errors requiring attention. Focus on fixing ''' ||
+    (SELECT string_agg(category, ', ' ORDER BY rank) FROM ({_top('category', 2, '', True)})) || ''' issues in the ' || (SELECT string_agg(domain, ', ' ORDER BY rank) FROM ({_top('domain', 2, '', True)})) || ' domain(s).', NULL, NULL""")
+_FK = "study_id, doc_id, annot_idx, part_idx, rule_no, token_no"
+ORACLE["report_details"] = checked(f"""SELECT {_FK}, page AS "Page", text AS "Original Annotation", domain AS "Domain", variable_name AS "Variable", value AS "Value", category AS "Category", severity AS "Severity", message AS "Message",
+  suggested_correction AS "Suggested Correction", '2024-01-01 00:00:00' AS "Timestamp" FROM f""")
+ORACLE["report_overview"] = checked(f"""SELECT {_FK}, page AS "Page", text AS "Annotation Text", domain AS "Domain", label AS "Label", variable_name AS "Variable", value AS "Value", severity AS "Validation Status",
+  coalesce(pattern_type, 'None') AS "Pattern Type" FROM f""")
+ORACLE["report_unmatched"] = checked(f"""SELECT {_FK}, page AS "Page", text AS "Annotation Text", '(' || CAST(round(x0, 2) AS VARCHAR) || ', ' || CAST(round(y0, 2) AS VARCHAR) || ')' AS "Position",
+  '2024-01-01 00:00:00' AS "Timestamp" FROM f WHERE pattern_type IS NULL AND text <> ''""")
+_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+def _report(head, summary, middle, block, foot) -> str:
+    n = {"n": "count(*)", "ERROR": "count(*) FILTER (severity = 'ERROR')", "WARNING": "count(*) FILTER (severity = 'WARNING')", "INFO": "count(*) FILTER (severity = 'INFO')"}
+    frame = [q(h) for h in head] + [f"{q(a)} || CAST({n[c]} AS VARCHAR) || {q(z)}" for a, c, z in summary] + [q(m) for m in middle]
+    out = f"""SELECT 0 AS section, i - 1 AS line_no, ls[i] AS line, 1 AS n FROM (SELECT [{', '.join(frame)}] AS ls, unnest(range(1, {len(frame) + 1})) AS i FROM f)
+  UNION ALL SELECT 1, i - 1, ls[i], count(*) FROM (SELECT [{', '.join(block)}] AS ls, unnest(range(1, {len(block) + 1})) AS i FROM f) GROUP BY ALL"""
+    if foot:
+        out += f" UNION ALL SELECT 2, i - 1, ls[i], 1 FROM (SELECT [{', '.join(q(x) for x in foot)}] AS ls, unnest(range(1, {len(foot) + 1})) AS i)"
+    return checked(out)
+
+
+ORACLE["report_text"] = _report(
+    ["SDTM Validation Report", "=" * 50, "", "Summary", "-" * 20],
+    [("Total Annotations: ", "n", ""), ("Errors: ", "ERROR", ""), ("Warnings: ", "WARNING", ""), ("Info: ", "INFO", "")],
+    ["", "Detailed Results", "-" * 20],
+    ["'Domain: ' || coalesce(domain, '')", "'Variable: ' || coalesce(variable_name, '')", "'Severity: ' || severity", "'Message: ' || message", "''"], [])
+ORACLE["report_html"] = _report(
+    R.HTML_HEAD,
+    [("<tr><th>Total Annotations</th><td>", "n", "</td></tr>"), ("<tr><th>Errors</th><td class='error'>", "ERROR", "</td></tr>"),
+     ("<tr><th>Warnings</th><td class='warning'>", "WARNING", "</td></tr>"), ("<tr><th>Info</th><td class='info'>", "INFO", "</td></tr>")],
+    ["</table>", "<h2>Detailed Results</h2>", "<table>", "<tr><th>Domain</th><th>Variable</th><th>Severity</th><th>Message</th></tr>"],
+    ["'<tr>'", f"'<td>' || {_ESC.format('coalesce(domain, ' + q('') + ')')} || '</td>'", f"'<td>' || {_ESC.format('coalesce(variable_name, ' + q('') + ')')} || '</td>'",
+     "'<td class=''' || lower(severity) || '''>' || severity || '</td>'", f"'<td>' || {_ESC.format('message')} || '</td>'", "'</tr>'"],
+    ["</table>", "</body>", "</html>"])

@@ -118,3 +118,281 @@ def variable_metadata(spark, sf):
     return rules.variable_metadata(parsed, W.catalog(spark)).groupBy(
         "domain", "variable_name", "variable_type", "variable_length", "variable_label").agg(
         F.count("*").alias("n"))
+
+
+# --- text ------------------------------------------------------------------
+
+@query
+def clean_pages(spark, sf):
+    pages = W.table(spark, sf, "pages")
+    return pages.select("page_id", X.clean_text(F.col("html")).alias("text"),
+                        X.clean_text(F.col("html"), "simple").alias("simple"))
+
+
+@query
+def clean_documents(spark, sf):
+    docs = W.table(spark, sf, "documents")
+    return docs.select("doc_id", X.clean_text(F.col("text")).alias("text"))
+
+
+@query
+def header_texts(spark, sf):
+    rows = tables.extract(W.annotations(spark, sf))
+    text = F.col("content")
+    return rows.select(*KEY, X.is_header(text).alias("is_header"),
+                       X.header_code(text).alias("code"), X.header_label(text).alias("label"),
+                       X.header_font_size(text).alias("font_size"),
+                       X.upper_non_header(text).alias("recased"))
+
+
+@query
+def normalized_quotes(spark, sf):
+    rows = tables.extract(W.annotations(spark, sf))
+    return rows.select(*KEY, X.normalize_quotes(F.col("content")).alias("content"))
+
+
+@query
+def document_quotes(spark, sf):
+    docs = W.table(spark, sf, "documents")
+    return docs.select("doc_id", X.normalize_quotes(F.col("text")).alias("text"))
+
+
+@query
+def text_domains(spark, sf):
+    rows = tables.extract(W.annotations(spark, sf))
+    domain = X.domain_from_text(F.col("content"))
+    return rows.select(*KEY, domain.alias("domain"), X.domain_from_words(F.col("content")).alias("word_domain"),
+                       C.domain_color(domain, X.RED_DOMAINS).alias("color"))
+
+
+@query
+def document_domains(spark, sf):
+    docs = W.table(spark, sf, "documents")
+    return docs.select("doc_id", X.domain_from_text(F.col("text")).alias("domain"),
+                       X.domain_from_words(F.col("text")).alias("word_domain"))
+
+
+@query
+def condition_parts(spark, sf):
+    rows = classify.accepted(_parsed(spark, sf)).filter("condition is not null")
+    pair = X.condition_pair(F.col("condition"))
+    return rows.select(*KEY, "part_idx", pair["left"].alias("left_side"), pair["right"].alias("right_side"),
+                       F.posexplode(X.condition_tokens(F.col("condition"))).alias("token_no", "token"))
+
+
+@query
+def previews(spark, sf):
+    docs = W.table(spark, sf, "documents")
+    text = F.col("text")
+    return docs.select("doc_id", X.preview(text, 30).alias("short"), X.preview(text, 50).alias("longer"),
+                       X.preview(text, 37, 40).alias("child"), X.author_or_default(F.col("source")).alias("author"))
+
+
+@query
+def author_texts(spark, sf):
+    rows = W.annotations(spark, sf)
+    hexed = C.to_hex(F.col("stroke"))
+    return rows.select(*KEY, X.author_or_default(F.col("author"), "Reviewer").alias("author"),
+                       X.style_text(F.lit(10.0), hexed, italic=False).alias("style"),
+                       X.position_text(F.round("rect.x0", 2), F.round("rect.y0", 2)).alias("position"))
+
+
+@query
+def document_forms(spark, sf):
+    docs = W.table(spark, sf, "documents")
+    return docs.select("doc_id", X.form_name(F.col("text"), F.col("doc_id")).alias("form"))
+
+
+# --- colours ---------------------------------------------------------------
+
+@query
+def standard_colors(spark, sf):
+    color = F.col("stroke")
+    rows = W.annotations(spark, sf)
+    for name in ("v1", "v2", "v3"):
+        rows = rows.withColumn(name, C.standardize_color(color, name))
+    return rows.select(*KEY, C.to_hex(color).alias("hex"), *(C.to_hex(F.col(n)).alias(n) for n in ("v1", "v2", "v3")),
+                       C.rgb_text(color).alias("rgb"), C.color_name(color).alias("name"),
+                       C.output_class(color).alias("output_class"), C.byte_class(F.col("v3")).alias("byte_class"),
+                       (C.from_hex(C.to_hex(color)) == C.from_hex(F.ltrim(C.to_hex(color), F.lit("#")))).alias("same"))
+
+
+@query
+def text_colors(spark, sf):
+    rows = W.annotations(spark, sf)
+    da, stroke, look = F.col("da"), F.col("stroke"), F.col("appearance_text")
+    policies = {"da": (da, stroke), "export": (da, None, look), "archived": (da, stroke, look), "preserve": (da, stroke)}
+    picked = {n: C.text_color(*args, policy=n) for n, args in policies.items()}
+    return rows.select(*KEY, *(C.to_hex(c).alias(f"{n}_color") for n, c in picked.items()))
+
+
+@query
+def parsed_colors(spark, sf):
+    rows = W.annotations(spark, sf).withColumn("hex", C.to_hex(F.col("stroke")))
+    triple = F.expr("concat_ws(' ', cast(stroke.r as decimal(6,4)), cast(stroke.g as decimal(6,4)), cast(stroke.b as decimal(6,4)))")
+    listed = F.expr("concat('rgb(', cast(stroke.r * 255 as int), ', ', cast(stroke.g * 255 as int), ',', cast(stroke.b * 255 as int), ')')")
+    texts = F.when(F.col("type") == "Square", triple).when(F.col("type") == "Highlight", F.lit("none")).otherwise(F.col("hex"))
+    rows = rows.withColumn("fill_text", texts).withColumn("style_text", F.when(F.col("type") == "Square", listed).otherwise(texts))
+    return rows.select(*KEY, C.to_hex(C.parse_fill(F.col("fill_text"))).alias("fill"),
+                       C.to_hex(C.parse_style_color(F.col("style_text"))).alias("style"))
+
+
+@query
+def output_color_totals(spark, sf):
+    rows = W.annotations(spark, sf).filter("type = 'FreeText' and page <= 5")
+    rows = rows.withColumn("color_class", C.output_class(C.color_from_da(F.col("da"))))
+    return report.color_class_totals(rows, ("study_id",))
+
+
+@query
+def color_usage(spark, sf):
+    rows = ST.preserve_colors(W.annotations(spark, sf))
+    usage = report.color_usage(rows)
+    return usage.select("doc_id", "page", "color_name", C.to_hex(F.col("color")).alias("color"), "count", "first_idx")
+
+
+@query
+def color_usage_items(spark, sf):
+    rows = ST.preserve_colors(W.annotations(spark, sf))
+    return report.color_usage_items(rows, "source_text").select(
+        "doc_id", "page", "first_idx", "color_name", "annot_idx", "content")
+
+
+@query
+def distinct_colors(spark, sf):
+    rows = ST.preserve_colors(W.annotations(spark, sf))
+    return report.distinct_colors(rows).select("color_name", *(F.col(f"color.{c}").alias(c) for c in "rgb"))
+
+
+# --- sizes -----------------------------------------------------------------
+
+@query
+def da_fonts(spark, sf):
+    rows = W.annotations(spark, sf)
+    own, table = M.font_from_da(F.col("da")), M.font_for_table(F.col("da"))
+    return rows.groupBy(own["name"].alias("font"), own["size"].alias("size"),
+                        table["name"].alias("table_font"), table["size"].alias("table_size")).agg(F.count("*").alias("n"))
+
+
+@query
+def style_table(spark, sf):
+    out = tables.style_table(W.annotations(spark, sf))
+    places = [c for c in out.columns if c.startswith("Position_") or c in ("Width", "Height")]
+    return out.select(*(c for c in out.columns if c not in places and c != "Content"), *(col_round(c) for c in places),
+                      X.clean_text(F.col("Content")).alias("Content"))
+
+
+@query
+def text_boxes(spark, sf):
+    measure = M.TextMeasurer()
+    rows = tables.extract_full(W.annotations(spark, sf))
+    text, limit = F.col("content"), F.col("rect.x1") - F.col("rect.x0")
+    rows = rows.withColumn("line", measure.width(text, "hebi", 10))
+    rows = rows.withColumn("plain", measure.dimensions(text, "hebi", 10, line=F.col("line")))
+    rows = rows.withColumn("limited", measure.dimensions(text, "hebi", 10, limit, F.col("line")))
+    rows = rows.withColumn("wrapped", measure.optimal(text, "hebi", 10, limit))
+    rows = rows.withColumn("lines", measure.wrapped_lines(text, "hebi", 10, limit - 8))
+    height = F.col("rect.y1") - F.col("rect.y0")
+    return rows.select(*KEY, col_round("line"), F.round("plain.width", 3).alias("plain_width"),
+                       F.round("plain.height", 3).alias("plain_height"), F.round("limited.width", 3).alias("limited_width"),
+                       F.round("limited.height", 3).alias("limited_height"), F.round("wrapped.width", 3).alias("wrapped_width"),
+                       F.round("wrapped.height", 3).alias("wrapped_height"), F.concat_ws("|", "lines").alias("lines"),
+                       measure.fits(text, "hebi", 10, limit, height, F.col("line")).alias("fits"),
+                       F.round(measure.width(text, "helv", 8), 3).alias("helvetica"), F.round(measure.width(text, "cour", 8), 3).alias("courier"))
+
+
+@query
+def document_widths(spark, sf):
+    measure = M.TextMeasurer()
+    docs = W.table(spark, sf, "documents")
+    return docs.select("doc_id", F.round(measure.width(F.col("text"), "hebi", 10), 2).alias("width"))
+
+
+# --- reports ---------------------------------------------------------------
+
+@query
+def severity_totals(spark, sf):
+    return report.severity_totals(_findings(spark, sf))
+
+
+@query
+def study_severity_totals(spark, sf):
+    return report.severity_totals(_findings(spark, sf), ("study_id",))
+
+
+@query
+def key_metrics(spark, sf):
+    return report.key_metrics(_findings(spark, sf), ("study_id",))
+
+
+@query
+def category_counts(spark, sf):
+    return report.category_counts(_findings(spark, sf))
+
+
+@query
+def domain_counts(spark, sf):
+    return report.domain_counts(_findings(spark, sf), ("study_id",))
+
+
+@query
+def category_severity_summary(spark, sf):
+    return report.category_severity_summary(_findings(spark, sf))
+
+
+@query
+def annotation_types(spark, sf):
+    return report.type_counts(W.annotations(spark, sf), ("doc_id",))
+
+
+@query
+def dataset_coverage(spark, sf):
+    return report.dataset_coverage(classify.accepted(_parsed(spark, sf)), W.catalog(spark))
+
+
+@query
+def top_categories(spark, sf):
+    return report.top_values(_findings(spark, sf), "category")
+
+
+@query
+def top_domains(spark, sf):
+    return report.top_values(_findings(spark, sf), "domain", 5, ("study_id",))
+
+
+@query
+def top_error_domains(spark, sf):
+    return report.top_values(_findings(spark, sf), "domain", 2, ("doc_id",), errors_only=True)
+
+
+@query
+def dashboard(spark, sf):
+    return report.dashboard_table(_findings(spark, sf))
+
+
+@query
+def report_details(spark, sf):
+    return report.details_table(_findings(spark, sf), "2024-01-01 00:00:00")
+
+
+@query
+def report_overview(spark, sf):
+    return report.overview_table(_findings(spark, sf))
+
+
+@query
+def report_unmatched(spark, sf):
+    rows = _findings(spark, sf).withColumn("x0", F.round("x0", 2)).withColumn("y0", F.round("y0", 2))
+    return report.unmatched_table(rows, "2024-01-01 00:00:00")
+
+
+@query
+def report_text(spark, sf):
+    lines = report.report_lines(_findings(spark, sf), "text")
+    return lines.groupBy("section", "line_no", "line").agg(F.count("*").alias("n"))
+
+
+@query
+def report_html(spark, sf):
+    lines = report.report_lines(_findings(spark, sf), "html")
+    return lines.groupBy("section", "line_no", "line").agg(F.count("*").alias("n"))
