@@ -14,8 +14,8 @@ _FILL_OPERATOR = r"(?U)([\d.]+\s+[\d.]+\s+[\d.]+)\s+rg"
 
 
 def rgb(r: Column, g: Column, b: Column) -> Column:
-    return F.struct(r.cast("double").alias("r"), g.cast("double").alias("g"),
-                    b.cast("double").alias("b"))
+    return F.named_struct(F.lit("r"), r.cast("double"), F.lit("g"), g.cast("double"),
+                          F.lit("b"), b.cast("double"))
 
 
 def color_lit(channels) -> Column:

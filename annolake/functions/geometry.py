@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def rect(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"),
-                    x1.cast("double").alias("x1"), y1.cast("double").alias("y1"))
+    return F.named_struct(F.lit("x0"), x0.cast("double"), F.lit("y0"), y0.cast("double"),
+                          F.lit("x1"), x1.cast("double"), F.lit("y1"), y1.cast("double"))
 
 
 def width(r: Column) -> Column:

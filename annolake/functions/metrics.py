@@ -15,9 +15,9 @@ from pyspark.sql import Column, functions as F
 # Public glyph widths, width -> characters.
 HELVETICA_BOLD = {
     238: "'",
-    278: " ,./\\IijlI`",
+    278: " ,./\\Iijl",
     280: "|",
-    333: "!()-:;[]ft",
+    333: "!()-:;[]`ft",
     389: "*r{}",
     474: '"',
     500: "z",
@@ -42,7 +42,7 @@ HELVETICA = {
     355: '"',
     389: "*",
     469: "^",
-    500: "Jckosvxyz",
+    500: "Jcksvxyz",
     556: "#$0123456789?L_abdeghnopqu",
     584: "+<=>~",
     611: "FTZ",

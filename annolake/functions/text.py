@@ -170,7 +170,7 @@ def condition_pair(col: Column) -> Column:
     """``{left, right}`` when the condition has exactly one equals sign, else null."""
     parts = F.split(col, "=", -1)
     return F.when(F.size(parts) == 2,
-                  F.struct(strip(parts[0]).alias("left"), strip(parts[1]).alias("right")))
+                  F.named_struct(F.lit("left"), strip(parts[0]), F.lit("right"), strip(parts[1])))
 
 
 def condition_tokens(col: Column) -> Column:

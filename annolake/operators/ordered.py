@@ -26,9 +26,9 @@ def with_previous(df: DataFrame, part: list[str], order: str, value: str, out: s
     df = df.withColumn("_chunk", chunk).withColumn(out, F.lag(value).over(inside))
     ends = df.groupBy(*part, "_chunk").agg(F.max_by(value, order).alias("_last"))
     across = Window.partitionBy(*part).orderBy("_chunk")
-    ends = ends.select(*part, "_chunk", F.lag("_last").over(across).alias("_before"))
+    ends = ends.select(*part, "_chunk", F.lag("_last").over(across).alias("_carried"))
     return (df.join(ends, [*part, "_chunk"])
-            .withColumn(out, F.coalesce(out, "_before")).drop("_chunk", "_before"))
+            .withColumn(out, F.coalesce(out, "_carried")).drop("_chunk", "_carried"))
 
 
 def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: str,
@@ -43,6 +43,6 @@ def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: s
     across = (Window.partitionBy(*part).orderBy("_chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select(*part, "_chunk",
-                       F.last("_last", ignorenulls=True).over(across).alias("_before"))
+                       F.last("_last", ignorenulls=True).over(across).alias("_carried"))
     return (df.join(ends, [*part, "_chunk"])
-            .withColumn(out, F.coalesce(out, "_before")).drop("_chunk", "_before"))
+            .withColumn(out, F.coalesce(out, "_carried")).drop("_chunk", "_carried"))

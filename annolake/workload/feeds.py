@@ -167,7 +167,10 @@ def event_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    return audit_rows(table(spark, sf_dir, "events"))
+
+
+def audit_rows(events: DataFrame) -> DataFrame:
     return events.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "event_type",
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user"),

@@ -163,13 +163,13 @@ ORACLE["distinct_colors"] = with_(ANN, _KEPT, body="SELECT DISTINCT color_name,
 # --- sizes -----------------------------------------------------------------
 
 ORACLE["da_fonts"] = with_(ANN, body="""SELECT lower(table_font) AS font, table_size AS size, table_font, table_size, count(*) AS n
-  FROM (SELECT CASE WHEN l_linestatus = 'F' THEN 'Helv' ELSE 'Cour' END AS table_font, CASE WHEN l_linestatus = 'F' THEN 10.0 ELSE 8.0 END AS table_size FROM ann) GROUP BY ALL""")
+  FROM (SELECT CASE WHEN l_linestatus = 'F' THEN 'Helv' ELSE 'Cour' END AS table_font, CASE WHEN l_linestatus = 'F' THEN 10.0::DOUBLE ELSE 8.0::DOUBLE END AS table_size FROM ann) GROUP BY ALL""")
 _INTS = lambda name, cols: ", ".join(f"CAST(trunc({c} * 255) AS INT) AS \"{name}_{n}\"" for c, n in zip(cols, "RGB"))
 _RGB = "printf('RGB(%d, %d, %d)', CAST(trunc({0} * 255) AS INT), CAST(trunc({1} * 255) AS INT), CAST(trunc({2} * 255) AS INT))"
 ORACLE["style_table"] = with_(ANN, body=f"""SELECT study_id, doc_id, annot_idx, page AS "Page", {CLEAN.format('content')} AS "Content", {_RGB.format('tr', 'tg', 'tb')} AS "Text_Color", {_INTS('Text_Color', ('tr', 'tg', 'tb'))},
   'RGB(0, 255, 255)' AS "Background_Color", 0 AS "Background_R", 255 AS "Background_G", 255 AS "Background_B", {_RGB.format('r', 'g', 'b')} AS "Border_Color", {_INTS('Border', ('r', 'g', 'b'))},
-  1.0 AS "Border_Width", 'S' AS "Border_Style", round(x0, 3) AS "Position_X0", round(y0, 3) AS "Position_Y0", round(x1, 3) AS "Position_X1", round(y1, 3) AS "Position_Y1",
-  round(x1 - x0, 3) AS "Width", round(y1 - y0, 3) AS "Height", CASE WHEN {_F} THEN 'Helv' ELSE 'Cour' END AS "Font_Name", CASE WHEN {_F} THEN 10.0 ELSE 8.0 END AS "Font_Size",
+  1.0::DOUBLE AS "Border_Width", 'S' AS "Border_Style", round(x0, 3) AS "Position_X0", round(y0, 3) AS "Position_Y0", round(x1, 3) AS "Position_X1", round(y1, 3) AS "Position_Y1",
+  round(x1 - x0, 3) AS "Width", round(y1 - y0, 3) AS "Height", CASE WHEN {_F} THEN 'Helv' ELSE 'Cour' END AS "Font_Name", CASE WHEN {_F} THEN 10.0::DOUBLE ELSE 8.0::DOUBLE END AS "Font_Size",
   coalesce(author, '') AS "Author", '' AS "Subject", '' AS "Creation_Date", '' AS "Modification_Date"
   FROM (SELECT *, CASE WHEN {_F} THEN dr ELSE 0 END AS tr, CASE WHEN {_F} THEN dg ELSE 0 END AS tg, CASE WHEN {_F} THEN db ELSE 0 END AS tb FROM ann WHERE type = 'FreeText')""")
 
@@ -198,9 +198,9 @@ wrap AS (SELECT *, list_reduce(list_prepend({{'lines': CAST([] AS VARCHAR[]), 'c
 boxed AS (SELECT *, CASE WHEN z.cur = '' THEN z.lines ELSE list_append(z.lines, z.cur) END AS lines, greatest(z.widest, z.n) AS widest,
   CASE WHEN lim - 8 <= 0 THEN lim * 0.8 ELSE lim - 8 END AS room FROM wrap),
 sized AS (SELECT *, CASE WHEN line <= room THEN line + 8 ELSE lim END AS lw, CASE WHEN line <= room THEN 16.0 ELSE greatest(1, CAST(floor(line / room + 0.5) AS INT)) * 12.0 + 4 END AS lh FROM boxed)"""
-ORACLE["text_boxes"] = with_(ANN, EXTRACT, _WRAP, body=f"""SELECT study_id, doc_id, page, annot_idx, round(line, 3) AS line, round(line + 8, 3) AS plain_width, 16.0 AS plain_height,
-  round(lw, 3) AS limited_width, lh AS limited_height, round(least(lim, widest + 8), 3) AS wrapped_width, len(lines) * 12.0 + 4 AS wrapped_height, array_to_string(lines, '|') AS lines,
-  lw <= lim + 0.5 AND lh <= hgt + 0.5 AS fits, round({_units('content', M.HELVETICA, 278)} * 8 / 1000.0, 3) AS helvetica, round(length(content) * 4.8, 3) AS courier FROM sized""")
+ORACLE["text_boxes"] = with_(ANN, EXTRACT, _WRAP, body=f"""SELECT study_id, doc_id, page, annot_idx, round(line, 3) AS line, round(line + 8, 3) AS plain_width, 16.0::DOUBLE AS plain_height,
+  round(lw, 3) AS limited_width, lh::DOUBLE AS limited_height, round(least(lim, widest + 8), 3) AS wrapped_width, (len(lines) * 12.0 + 4)::DOUBLE AS wrapped_height, array_to_string(lines, '|') AS lines,
+  lw <= lim + 0.5 AND lh <= hgt + 0.5 AS fits, round({_units('content', M.HELVETICA, 278)} * 8 / 1000.0, 3) AS helvetica, round((length(content) * 4.8)::DOUBLE, 3) AS courier FROM sized""")
 ORACLE["document_widths"] = f"SELECT doc_id, round({_bold('text')} / 100.0, 2) AS width FROM documents"
 
 
@@ -286,3 +286,280 @@ ORACLE["report_html"] = _report(
     ["'<tr>'", f"'<td>' || {_ESC.format('coalesce(domain, ' + q('') + ')')} || '</td>'", f"'<td>' || {_ESC.format('coalesce(variable_name, ' + q('') + ')')} || '</td>'",
      "'<td class=''' || lower(severity) || '''>' || severity || '</td>'", f"'<td>' || {_ESC.format('message')} || '</td>'", "'</tr>'"],
     ["</table>", "</body>", "</html>"])
+
+
+# --- catalogue look-ups ----------------------------------------------------
+
+ORACLE["supplemental_names"] = """SELECT p_brand AS brand, upper(p_type) AS name, count(*) AS missing FROM part p
+  WHERE NOT EXISTS (SELECT 1 FROM part k WHERE k.p_size >= 48 AND k.p_brand = p.p_brand AND upper(k.p_type) = upper(p.p_type)) GROUP BY ALL"""
+ORACLE["record_links"] = """WITH t AS (SELECT o_custkey, unnest(regexp_extract_all(upper(o_orderpriority), '([A-Z0-9_]+)')) AS idvar FROM orders)
+  SELECT idvar, count(*) AS missing FROM t WHERE NOT EXISTS (SELECT 1 FROM orders k WHERE k.o_orderstatus = 'O' AND k.o_custkey = t.o_custkey
+  AND upper(string_split(k.o_orderpriority, '-')[-1]) = t.idvar) GROUP BY idvar"""
+ORACLE["label_compare"] = """SELECT s_suppkey, CASE WHEN n_name IS NULL THEN 'Wrong Domain' WHEN s_acctbal > 5000 AND 'NATION_' || s_nationkey = n_name THEN 'ok' ELSE 'Metadata Mismatch' END AS outcome
+  FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey"""
+
+
+# --- layout ----------------------------------------------------------------
+
+def _mean_groups(name: str, at: str, tolerance: float, source: str = "bx") -> str:
+    near = f"abs(p.pt - r.s / r.n) <= {tolerance}"
+    return f"""{name}_p AS (SELECT doc_id, page, annot_idx, {at} AS pt, row_number() OVER (PARTITION BY doc_id, page ORDER BY {at}, annot_idx) AS rn FROM {source}),
+{name}_r AS (SELECT doc_id, page, annot_idx, pt, rn, CAST(pt AS DOUBLE) AS s, 1 AS n, 0 AS g FROM {name}_p WHERE rn = 1
+  UNION ALL SELECT p.doc_id, p.page, p.annot_idx, p.pt, p.rn, CASE WHEN {near} THEN r.s + p.pt ELSE p.pt END, CASE WHEN {near} THEN r.n + 1 ELSE 1 END, CASE WHEN {near} THEN r.g ELSE r.g + 1 END
+  FROM {name}_r r JOIN {name}_p p ON p.doc_id = r.doc_id AND p.page = r.page AND p.rn = r.rn + 1),
+{name} AS (SELECT * FROM (SELECT doc_id, page, annot_idx, pt, g, count(*) OVER (PARTITION BY doc_id, page, g) AS size, avg(pt) OVER (PARTITION BY doc_id, page, g) AS mean FROM {name}_r) WHERE size >= 2)"""
+
+
+def _fit_groups(name: str, at: str, tolerance: float, source: str = "bx") -> str:
+    hit = f"list_position(list_transform(r.f, lambda z: abs(p.pt - z) <= {tolerance}), true)"
+    return f"""{name}_p AS (SELECT doc_id, page, annot_idx, CAST({at} AS DOUBLE) AS pt, row_number() OVER (PARTITION BY doc_id, page ORDER BY annot_idx) AS rn FROM {source}),
+{name}_r AS (SELECT doc_id, page, annot_idx, pt, rn, [pt] AS f, CAST(1 AS BIGINT) AS g FROM {name}_p WHERE rn = 1
+  UNION ALL SELECT p.doc_id, p.page, p.annot_idx, p.pt, p.rn, CASE WHEN coalesce({hit}, 0) > 0 THEN r.f ELSE list_append(r.f, p.pt) END, CASE WHEN coalesce({hit}, 0) > 0 THEN CAST({hit} AS BIGINT) ELSE CAST(len(r.f) + 1 AS BIGINT) END
+  FROM {name}_r r JOIN {name}_p p ON p.doc_id = r.doc_id AND p.page = r.page AND p.rn = r.rn + 1),
+{name} AS (SELECT * FROM (SELECT doc_id, page, annot_idx, pt, g, count(*) OVER (PARTITION BY doc_id, page, g) AS size, avg(pt) OVER (PARTITION BY doc_id, page, g) AS mean FROM {name}_r) WHERE size >= 2)"""
+
+
+def _rec(*ctes: str, body: str) -> str:
+    return with_(*ctes, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_GROUP = "SELECT DISTINCT doc_id, page, CAST(pt AS DOUBLE) AS "at", size AS group_size, round(mean, 6) AS group_mean FROM h"
+ORACLE["row_groups"] = _rec(BOXES, _mean_groups("h", "y0", 10), body=_GROUP)
+ORACLE["column_groups"] = _rec(BOXES, _mean_groups("h", "x0", 10), body=_GROUP)
+_FREE = "(SELECT * FROM bx WHERE type = 'FreeText')"
+ORACLE["first_fit_groups"] = _rec(BOXES, _fit_groups("h", "y0", 10, _FREE), body=_GROUP)
+
+
+def _moved(far: str) -> str:
+    return f"""mv AS (SELECT b.*, coalesce(abs(b.y0 - h.mean) {far}, false) AS h_moved, coalesce(abs(b.x0 - v.mean) {far}, false) AS v_moved, h.mean AS hm, v.mean AS vm, h.g AS hg, v.g AS vg
+  FROM bx b LEFT JOIN h ON h.doc_id = b.doc_id AND h.annot_idx = b.annot_idx LEFT JOIN v ON v.doc_id = b.doc_id AND v.annot_idx = b.annot_idx),
+al AS (SELECT *, CASE WHEN v_moved THEN vm ELSE x0 END AS nx, CASE WHEN h_moved THEN hm ELSE y0 END AS ny FROM mv)"""
+
+
+_ALIGNED = "SELECT doc_id, annot_idx, h_moved, v_moved, round(nx, 4) AS x0, round(ny, 4) AS y0, round(nx + 60, 4) AS x1, round(ny + 12, 4) AS y1 FROM al"
+_MEANS = (BOXES, _mean_groups("h", "y0", 10), _mean_groups("v", "x0", 10), _moved(">= 0.5"))
+ORACLE["aligned_boxes"] = _rec(*_MEANS, body=_ALIGNED)
+_POOL = "(SELECT * FROM bx WHERE type = 'FreeText' AND page NOT IN (2, 3))"
+ORACLE["aligned_export_boxes"] = _rec(BOXES, _fit_groups("h", "y0", 1, _POOL), _fit_groups("v", "x0", 10, _POOL), _moved("> 0.5"), body=_ALIGNED)
+ORACLE["alignment_totals"] = _rec(*_MEANS, body="""SELECT doc_id, count(*) AS total_annotations, count(DISTINCT (page, hg)) FILTER (hg IS NOT NULL) AS horizontal_groups, count(DISTINCT (page, vg)) FILTER (vg IS NOT NULL) AS vertical_groups,
+  count(*) FILTER (h_moved) AS horizontal_aligned, count(*) FILTER (v_moved) AS vertical_aligned FROM al GROUP BY doc_id""")
+_LINE = "'Page ' || page || ' [Group]: ''' || CASE WHEN length(content) > 30 THEN content[1:30] || '...' ELSE content END || ''' aligned {0} ' || printf('(%.1f, %.1f) -> (%.1f, %.1f)', {1}) AS line"
+ORACLE["alignment_report"] = _rec(*_MEANS, body=f"""SELECT doc_id, page, 'horizontal' AS alignment_type, annot_idx, {_LINE.format('horizontally', 'x0, y0, x0, ny')} FROM al WHERE h_moved
+  UNION ALL SELECT doc_id, page, 'vertical', annot_idx, {_LINE.format('vertically', 'x0, ny, nx, ny')} FROM al WHERE v_moved""")
+
+
+def _need(line: str, size: str) -> str:
+    """CTE ``nd``: box, width of the text and whether it fits, for every annotation."""
+    return f"""nd AS (SELECT *, CASE WHEN line <= room THEN line + 8 ELSE w END <= w + 0.5 AND CASE WHEN line <= room THEN 1 ELSE greatest(1, CAST(floor(line / room + 0.5) AS INT)) END * (size * 1.2) + 4 <= h + 0.5 AS fits FROM (
+  SELECT *, CASE WHEN w - 8 <= 0 THEN w * 0.8 ELSE w - 8 END AS room FROM (SELECT *, x1 - x0 AS w, y1 - y0 AS h, ({line})::DOUBLE AS line, ({size})::DOUBLE AS size FROM (
+  SELECT * REPLACE ({CLEAN.format('content')} AS content) FROM ann))))"""
+
+
+def _resized(new_w: str, new_h: str, checked: str, extra: str = "", test: str = "abs(nw - w) >= 1 OR abs(nh - h) >= 1") -> str:
+    return f"""rs AS (SELECT *, {checked} AS checked, {checked} {extra} AND ({test}) AS changed FROM (SELECT *, {new_w} AS nw, {new_h} AS nh FROM nd))"""
+
+
+_SIZES = "SELECT doc_id, annot_idx, checked, changed, round(x0, 4) AS x0, round(y0, 4) AS y0, round(CASE WHEN changed THEN x0 + nw ELSE x1 END, 4) AS x1, round(CASE WHEN changed THEN y0 + nh ELSE y1 END, 4) AS y1 FROM rs"
+_OWN = (f"CASE WHEN {_F} THEN {_units('content', M.HELVETICA, 278)} / 100.0 ELSE length(content) * 4.8 END", f"CASE WHEN {_F} THEN 10 ELSE 8 END")
+_STD_SIZE = f"CASE WHEN {_HEADER} THEN 12 ELSE 10 END"
+_STD = (f"{_bold('content')} * {_STD_SIZE} / 1000.0", _STD_SIZE)
+_BOX_RS = (ANN, _need(*_OWN), _resized("w + least(line + 8 - w, 200)", "h + least(size * 1.2 + 4 - h, 300)", "type = 'FreeText'", "AND NOT fits"))
+ORACLE["resized_box_font"] = with_(*_BOX_RS, body=_SIZES)
+ORACLE["resize_totals"] = with_(*_BOX_RS, body="""SELECT doc_id, count(*) AS total_annotations, count(*) FILTER (type = 'FreeText') AS freetext_annotations, count(*) FILTER (checked) AS checked,
+  count(*) FILTER (changed) AS resized, count(*) FILTER (checked AND NOT changed) AS skipped FROM rs GROUP BY doc_id""")
+
+
+def _std_rs(checked: str):
+    return (ANN, _need(*_STD), _resized("w + greatest(0, least(line + 8 - w, 200))", "h + greatest(0, least(size * 1.2 + 4 - h, 300))", checked, "AND NOT fits"))
+
+
+ORACLE["resized_standard"] = with_(*_std_rs("(type = 'FreeText' AND page <> 7)"), body=_SIZES)
+_EXPORT_RS = (ANN, _need(*_STD), _resized("greatest(w, line + 8) + 5", "h", "type = 'FreeText'", "", "abs(nw - w) > 1"))
+ORACLE["resized_export"] = with_(*_EXPORT_RS, body=_SIZES)
+ORACLE["resize_report"] = with_(*_std_rs("type = 'FreeText'"), body=f"""SELECT doc_id, annot_idx, 'Page ' || page || ': ''' || CASE WHEN length(content) > 50 THEN content[1:50] || '...' ELSE content END || ''' [' ||
+  CASE WHEN {_F} THEN 'helv 10.0' ELSE 'cour 8.0' END || 'pt] ' || printf('(%.1fx%.1f) -> (%.1fx%.1f)', x1 - x0, y1 - y0, (x0 + nw) - x0, (y0 + nh) - y0) AS line FROM rs WHERE changed""")
+ORACLE["skip_pages"] = r"""SELECT event_id, no AS entry_no, entry, CASE WHEN valid THEN CAST(entry AS INT) END AS skip_page, valid FROM (SELECT *, regexp_matches(entry, '^[+-]?\d+$') AND coalesce(TRY_CAST(entry AS INT) BETWEEN 1 AND 60, false) AS valid FROM (
+  SELECT event_id, unnest(es) AS entry, generate_subscripts(es, 1) - 1 AS no FROM (SELECT event_id, list_filter(list_transform(string_split(user_id || ', 5, x,' || (event_id % 90) || ', ', ','), lambda s: trim(s)), lambda s: s <> '') AS es FROM events)))"""
+
+
+# --- forms and bookmarks ---------------------------------------------------
+
+_FORMS = """fm AS (SELECT doc_id, page, CASE WHEN value < 5 THEN event_type || ' log' WHEN value < 8 THEN 'Page ' || page ELSE title END AS form, value >= 8 AS marked FROM pg)"""
+
+
+def _runs(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT doc_id, page, form FROM (SELECT *, lag(form) OVER (PARTITION BY doc_id ORDER BY page) AS prev FROM {source}) WHERE prev IS NULL OR prev <> form)"""
+
+
+_HEADS = rf"""hd AS (SELECT doc_id, page, annot_idx, {_CODE} AS domain, {_LABEL} AS label FROM ea WHERE {_CODE} IS NOT NULL)"""
+_FIRST = """fd AS (SELECT doc_id, domain, min(page) AS first_page, arg_min(label, page) AS label FROM hd GROUP BY ALL)"""
+ORACLE["form_runs"] = with_(EVENT_PAGES, _FORMS, _runs("rn", "fm"), body="SELECT * FROM rn")
+ORACLE["first_pages"] = with_(EVENT_ANN, _HEADS, _FIRST, body="SELECT * FROM fd")
+_BELOW = """bl AS (SELECT DISTINCT x.doc_id, x.domain, x.run_page, rn.form FROM (SELECT h.doc_id, h.domain, (SELECT max(r.page) FROM rn r WHERE r.doc_id = h.doc_id AND r.page <= h.page) AS run_page FROM {0} h) x
+  JOIN rn ON rn.doc_id = x.doc_id AND rn.page = x.run_page)"""
+
+
+def _toc(source: str, section: int, level: int, title: str, page: str, domain: str = "''", sort_page: str = "0", order: str = "0") -> str:
+    return f"SELECT doc_id, {section} AS section, {domain} AS domain, {sort_page} AS sort_page, {order} AS ord, {level} AS level, {title} AS title, {page} AS page FROM {source}"
+
+
+def _all(*parts: str) -> str:
+    return "\nUNION ALL ".join(parts)
+
+
+ORACLE["standard_bookmarks"] = with_(EVENT_PAGES, EVENT_ANN, _FORMS, _runs("rn", "fm"), _HEADS, _FIRST, _BELOW.format("hd"), body=_all(
+    _toc("(SELECT DISTINCT doc_id FROM rn)", 1, 1, "'Form_bookmarks'", "1"), _toc("rn", 1, 2, "form", "page", sort_page="page"),
+    _toc("(SELECT DISTINCT doc_id FROM fd)", 2, 1, "'SDTM'", "1"), _toc("fd", 2, 2, "domain", "first_page", "domain"),
+    _toc("bl", 2, 3, "form", "run_page", "domain", "run_page")))
+_SHEADS = r"""sh AS (SELECT doc_id, page, trim(string_split(content, '=')[1]) AS domain FROM ea WHERE regexp_matches(trim(content), '^[A-Z]{2}\s*=\s*[A-Z\s]+$'))"""
+ORACLE["script_bookmarks"] = with_(EVENT_PAGES, EVENT_ANN, _FORMS, _runs("rn", "(SELECT * FROM fm WHERE marked)"), _SHEADS, _BELOW.format("sh"), body=_all(
+    _toc("(SELECT DISTINCT doc_id FROM pg)", 1, 1, "'Form_bookmarks'", "1"), _toc("rn", 1, 2, "form", "page", sort_page="page"),
+    _toc("(SELECT DISTINCT doc_id FROM pg)", 2, 1, "'SDTM'", "1"), _toc("(SELECT doc_id, domain, min(run_page) AS fp FROM bl GROUP BY ALL)", 2, 2, "domain", "fp", "domain"),
+    _toc("bl", 2, 3, "form", "run_page", "domain", "run_page")))
+ORACLE["xfdf_bookmarks"] = with_(EVENT_PAGES, EVENT_ANN, _FORMS, _HEADS, _FIRST, body=_all(
+    _toc("(SELECT 'U' || user_id AS doc_id, event_id FROM events WHERE event_type = 'signup' AND value <= 30 AND 'U' || user_id IN (SELECT doc_id FROM fd))", 0, 1, "'Contents'", "1", order="event_id"),
+    _toc("(SELECT DISTINCT doc_id FROM fd)", 2, 1, "'SDTM'", "1"), _toc("fd", 2, 2, "domain || ' - ' || label", "first_page", "domain"),
+    _toc("(SELECT DISTINCT h.doc_id, h.domain, h.page, form FROM hd h JOIN fm ON fm.doc_id = h.doc_id AND fm.page = h.page)", 2, 3, "'Page ' || page || ' - ' || form", "page", "domain", "page")))
+
+
+def _items(source: str, prelude: tuple, text: str = "content") -> str:
+    code = rf"nullif(regexp_extract({text}, '^([A-Z]{{2}})\s*=\s*([^=]+)$', 1), '')"
+    label = rf"CASE WHEN {code} IS NOT NULL THEN trim(regexp_extract({text}, '^([A-Z]{{2}})\s*=\s*([^=]+)$', 2)) END"
+    return with_(*prelude, f"""it AS (SELECT * FROM (SELECT doc_id, page, annot_idx, {code} AS code, {label} AS label, upper({text}) AS item, coalesce({code}, {_word_domain(text)}) AS domain FROM {source}) WHERE domain IS NOT NULL),
+fi AS (SELECT doc_id, domain, min(page) AS first_page, arg_min(label, (page, annot_idx)) FILTER (code IS NOT NULL) AS label FROM it GROUP BY ALL),
+tx AS (SELECT *, row_number() OVER (PARTITION BY doc_id, domain ORDER BY page, annot_idx) AS no FROM (SELECT doc_id, domain, item, unnest(min((page, annot_idx))::STRUCT(page INT, annot_idx BIGINT)) FROM it WHERE code IS NULL GROUP BY doc_id, domain, item))""",
+        body=_all(_toc("(SELECT DISTINCT doc_id FROM fi)", 2, 1, "'SDTM'", "1"),
+                  _toc("fi", 2, 2, "CASE WHEN label IS NOT NULL THEN domain || ' - ' || label ELSE domain END", "first_page", "domain"),
+                  _toc("(SELECT tx.* FROM tx JOIN fi ON fi.doc_id = tx.doc_id AND fi.domain = tx.domain WHERE no <= 10 AND fi.label IS NOT NULL)", 2, 3,
+                       "CASE WHEN length(item) > 40 THEN item[1:37] || '...' ELSE item END", "page", "domain", "0", "no")))
+
+
+ORACLE["item_bookmarks"] = _items("ea", (EVENT_ANN,))
+ORACLE["preserved_bookmarks"] = _items("kept", (ANN, _KEPT))
+
+
+# --- standardize jobs ------------------------------------------------------
+
+_QTEXT = f"CASE WHEN instr(content, '=') = 0 THEN {CLEAN.format('content')} ELSE {_quoted_text()} END"
+
+
+def _on_da(sql: str) -> str:
+    """A colour rule over r, g, b applied to the channels written in the DA text."""
+    return f"(SELECT {sql} FROM (SELECT dr AS r, dg AS g, db AS b))"
+
+
+# the export rule starts from the DA colour, or the appearance text when that is black; both hold the same numbers
+_BLACKISH = f"({_SKIP} OR {_IS.format(0, 0, 0)})"
+_EXPORT_COLOR = f"CASE WHEN {_F} AND NOT {_IS.format(0, 0, 0)} THEN {_on_da(_standard('v3'))} WHEN {_BLACKISH} THEN '#000000' ELSE {_on_da(_standard('v3'))} END"
+_EXPORT = f"""ex AS (SELECT *, {_EXPORT_COLOR} AS text_hex, {_QTEXT} AS text FROM ann WHERE type = 'FreeText'),
+exs AS (SELECT *, CASE WHEN {_HEADER.replace('content', 'text')} THEN 12 ELSE 10 END AS size FROM ex),
+exw AS (SELECT *, {_bold('text')} * size / 1000.0 AS line FROM exs)"""
+ORACLE["export_rows"] = with_(ANN, _EXPORT, body="""SELECT study_id, doc_id, page, annot_idx, 'Annotator' AS author, text AS content, size::DOUBLE AS font_size, text_hex, '#00FFFF' AS fill_hex,
+  abs(greatest(x1 - x0, line + 8) + 5 - (x1 - x0)) > 1 AS resized, round(x0, 4) AS x0, round(792 - y1, 4) AS y0, round(x0 + greatest(x1 - x0, line + 8) + 5, 4) AS x1, round(792 - y0, 4) AS y1 FROM exw""")
+_EPOOL = "(SELECT * FROM ann WHERE type = 'FreeText')"
+ORACLE["export_aligned_rows"] = _rec(ANN, _EXPORT, _fit_groups("h", "y0", 1, _EPOOL), _fit_groups("v", "x0", 10, _EPOOL), body=f"""SELECT study_id, e.doc_id, e.page, e.annot_idx, text AS content, text_hex,
+  CASE WHEN {_F} AND NOT {_IS.format(0, 0, 0)} THEN text_hex <> {_DHEX} WHEN {_BLACKISH} THEN false ELSE text_hex <> {_DHEX} END AS recolored,
+  true AS resized, round(CASE WHEN abs(x0 - v.mean) > 0.5 THEN v.mean ELSE x0 END, 4) AS x0, round(CASE WHEN abs(y0 - h.mean) > 0.5 THEN h.mean ELSE y0 END, 4) AS y0,
+  round(CASE WHEN abs(x0 - v.mean) > 0.5 THEN v.mean ELSE x0 END + greatest(x1 - x0, line + 8) + 5, 4) AS x1, round(CASE WHEN abs(y0 - h.mean) > 0.5 THEN h.mean ELSE y0 END + (y1 - y0), 4) AS y1
+  FROM exw e LEFT JOIN h ON h.doc_id = e.doc_id AND h.annot_idx = e.annot_idx LEFT JOIN v ON v.doc_id = e.doc_id AND v.annot_idx = e.annot_idx""")
+_NUM = "CAST({} AS VARCHAR)"
+_BODY = ('<contents-richtext><body xmlns="http://www.w3.org/1999/xhtml" xmlns:xfa="http://www.xfa.org/schema/xfa-data/1.0/" xfa:APIVersion="Acrobat:21.7.0" xfa:spec="2.0.2" style="font-size:')
+ORACLE["export_lines"] = with_(ANN, _EXPORT, body=f"""SELECT doc_id, page, annot_idx, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, page, annot_idx, unnest([2, 3, 4, 5]) AS i, ['',
+    {q('      ' + _BODY)} || size || 'pt;text-align:left;color:' || text_hex || ';font-weight:bold;font-style:italic;font-family:Arial;font-stretch:normal"><p dir="ltr">' || {_ESC.format('text')} || '</p></body></contents-richtext>',
+    '      <defaultappearance>0 0 0 rg /Arial,BoldItalic ' || size || ' Tf</defaultappearance>',
+    '      <defaultstyle>font: italic bold Arial,sans-serif ' || size || 'pt; text-align:left; color:#000000 </defaultstyle>', '    </freetext>'] AS ls FROM exw)
+  UNION ALL SELECT doc_id, 0, 0, i - 1, ls[i] FROM (SELECT doc_id, unnest([1, 2, 3, 4]) AS i, ['<?xml version="1.0" encoding="UTF-8"?>', '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">', '  <f href="crf.pdf"/>', '  <annots>'] AS ls FROM (SELECT DISTINCT doc_id FROM exw))
+  UNION ALL SELECT doc_id, max(page) + 1, 0, 1, '</xfdf>' FROM exw GROUP BY doc_id""")
+_DA_COLOR = f"CASE WHEN {_F} THEN {_on_da(_standard('v3'))} ELSE '#000000' END"
+_NOTE = "('Text', 'StrikeOut', 'Caret', 'Highlight', 'Underline')"
+ORACLE["library_rows"] = with_(ANN, _need(*_STD), _resized("w + greatest(0, least(line + 8 - w, 200))", "h + greatest(0, least(size * 1.2 + 4 - h, 300))", "type = 'FreeText'", "AND NOT fits"), body=f"""SELECT study_id, doc_id, page, annot_idx,
+  'Annotator' AS author, {_HEADER} AS is_header, {_CODE} AS domain, {_LABEL} AS label, checked, changed AS resized, CASE WHEN type = 'FreeText' THEN size END AS font_size, CASE WHEN type = 'FreeText' THEN 'hebi' END AS font_name,
+  CASE WHEN type = 'FreeText' THEN {_DA_COLOR} END AS text, CASE WHEN type NOT IN {_NOTE} THEN '#00FFFF' END AS fill, CASE WHEN type NOT IN {_NOTE} THEN '#000000' END AS stroke,
+  CASE WHEN type = 'Square' THEN 2.0::DOUBLE END AS border_width, CASE WHEN type = 'Square' THEN 'S' END AS border_style FROM rs""")
+_CHANGED_COLOR = f"(CASE WHEN {_F} THEN {_on_da(_standard('v3'))} <> {_DHEX} ELSE false END)"
+ORACLE["library_totals"] = _rec(ANN, _need(*_STD), _resized("w + greatest(0, least(line + 8 - w, 200))", "h + greatest(0, least(size * 1.2 + 4 - h, 300))", "type = 'FreeText'", "AND NOT fits"),
+    _mean_groups("h", "y0", 1, "ann"), _mean_groups("v", "x0", 10, "ann"), body=f"""SELECT e.doc_id, count(*) AS annotations_modified, count({_CODE}) AS headers_found, count(*) FILTER (type = 'Square') AS rectangles_styled, count(*) FILTER (checked) AS textboxes_checked,
+  count(*) FILTER (changed) AS textboxes_resized, count(*) FILTER (abs(y0 - h.mean) >= 0.5) AS annotations_aligned_horizontal, count(*) FILTER (abs(x0 - v.mean) >= 0.5) AS annotations_aligned_vertical,
+  count(*) FILTER (type = 'FreeText' AND {_CHANGED_COLOR}) AS colors_standardized
+  FROM rs e LEFT JOIN h ON h.doc_id = e.doc_id AND h.annot_idx = e.annot_idx LEFT JOIN v ON v.doc_id = e.doc_id AND v.annot_idx = e.annot_idx GROUP BY e.doc_id""")
+ORACLE["preserved_rows"] = with_(ANN, _KEPT, body=f"""SELECT study_id, doc_id, page, annot_idx, CASE WHEN {_CODE} IS NOT NULL THEN content ELSE upper(content) END AS content, {_CODE} IS NOT NULL AS is_header, CASE WHEN {_CODE} IS NOT NULL THEN 12 ELSE 10 END AS font_size,
+  color_name, {_HEX.format('r', 'g', 'b')} AS color FROM kept""")
+_NEAR = " AND ".join(f"abs(e.{s} - k.{s}) < 5" for s in ("x0", "y0", "x1", "y1"))
+ORACLE["color_workflow"] = with_(ANN, EXTRACT, _EXPORT, body=f"""SELECT doc_id, count(*) AS exported, count(*) FILTER (recolored) AS colors_standardized, count(*) AS imported FROM (SELECT doc_id,
+  CASE WHEN {_F} AND NOT {_IS.format(0, 0, 0)} THEN text_hex <> {_DHEX} WHEN {_BLACKISH} THEN false ELSE text_hex <> {_DHEX} END AS recolored FROM exw e) GROUP BY doc_id""")
+ORACLE["position_matches"] = with_(BOXES, body="""SELECT e.doc_id, e.page, e.annot_idx, min(k.annot_idx) AS match_idx FROM (SELECT doc_id, page, annot_idx, content, x0 + 3 AS x0, y0 - 2 AS y0 FROM bx) e
+  LEFT JOIN bx k ON k.doc_id = e.doc_id AND k.page = e.page AND k.content = e.content AND abs(e.x0 - k.x0) < 5 AND abs(e.y0 - k.y0) < 5 GROUP BY ALL""")
+
+
+# --- files -----------------------------------------------------------------
+
+ORACLE["fdf_pages"] = """SELECT doc_id, pos, page, content FROM (SELECT 'U' || user_id AS doc_id, event_id AS pos, event_type, CAST(max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS page,
+  event_type || ' of (' || value || ')' AS content FROM events) WHERE event_type = 'view' AND page IS NOT NULL"""
+_SHEX0 = _HEX.format("r", "g", "b")
+_LISTED = "printf('rgb(%d, %d, %d)', CAST(trunc(r * 255) AS INT), CAST(trunc(g * 255) AS INT), CAST(trunc(b * 255) AS INT))"
+_ELS = f"""els AS (SELECT *, type <> 'Highlight' AS rich, trim(content) AS t, 'font-size:9.5pt;color:' || CASE WHEN type = 'Square' THEN {_LISTED} WHEN page = 1 THEN 'blue' ELSE {_SHEX0} END || ';font-weight:bold' AS style,
+  trunc(r * 255) / 255 AS qr, trunc(g * 255) / 255 AS qg, trunc(b * 255) / 255 AS qb FROM ann)"""
+ORACLE["xfdf_elements"] = with_(ANN, _ELS, body=f"""SELECT doc_id, page, annot_idx, coalesce(author, 'Annotator') AS author, CASE WHEN rich THEN {_SHEX0} ELSE '#00FFFF' END AS fill, {CLEAN.format('content')} AS content,
+  CASE WHEN rich THEN 9.5::DOUBLE ELSE 10::DOUBLE END AS font_size, CASE WHEN rich AND type <> 'Square' AND page <> 1 THEN {_SHEX0} ELSE '#000000' END AS text_color, CASE WHEN page = 50 THEN 'invalid rect format' END AS error,
+  CASE WHEN page <> 50 THEN round(x0, 4) END AS x0, CASE WHEN page <> 50 THEN round(y0, 4) END AS y0, CASE WHEN page <> 50 THEN round(x1, 4) END AS x1, CASE WHEN page <> 50 THEN round(y1, 4) END AS y1 FROM els""")
+_QSTD = f"(SELECT {_standard('v3')} FROM (SELECT qr AS r, qg AS g, qb AS b))"
+_UPDATED = f"""up AS (SELECT *, CASE WHEN rich AND (type = 'Square' OR page <> 1) THEN 'font-size:9.5pt;color:' || {_QSTD} || ';font-weight:bold' WHEN rich THEN style END AS new_style,
+  CASE WHEN NOT rich THEN NULL WHEN (type = 'Square' OR page <> 1) AND {_QSTD} <> {_SHEX0} THEN 'standardized' ELSE 'unchanged' END AS outcome FROM els)"""
+ORACLE["xfdf_color_update"] = with_(ANN, _ELS, _UPDATED, body="SELECT doc_id, annot_idx, new_style, outcome FROM up")
+ORACLE["xfdf_color_totals"] = with_(ANN, _ELS, _UPDATED, body="""SELECT doc_id, count(outcome) AS annotations_processed, count(*) FILTER (outcome = 'standardized') AS colors_standardized,
+  count(*) FILTER (outcome = 'unchanged') AS colors_unchanged FROM up GROUP BY doc_id""")
+_RESTYLED = rf"""rt AS (SELECT *, CASE WHEN is_header THEN t ELSE upper(t) END AS new_text, CASE WHEN rich THEN 'font-size:' || CASE WHEN is_header THEN '12.0' ELSE '10.0' END || 'pt;text-align:left;color:' || CASE WHEN domain IN {_RED} THEN '#FF0000' ELSE '#0000FF' END ||
+    ';font-weight:bold;font-style:italic;font-family:Arial;font-stretch:normal' END AS new_style, CASE WHEN rich THEN {_SHEX0} WHEN domain IS NULL THEN NULL WHEN domain IN {_RED} THEN '1.0 0.0 0.0' ELSE '0.0 0.0 1.0' END AS new_color,
+    CASE WHEN author IS NOT NULL THEN 'Annotator' END AS new_title FROM (SELECT *, {_domain('t')} AS domain, regexp_matches(t, '^([A-Z]{{2}})\s*=\s*([^=]+)$') AS is_header FROM els))"""
+ORACLE["xfdf_restyled"] = with_(ANN, _ELS, _RESTYLED, body="SELECT doc_id, annot_idx, domain, is_header, new_text, new_style, new_color, new_title FROM rt")
+ORACLE["xfdf_restyle_totals"] = with_(ANN, _ELS, _RESTYLED, body=f"""SELECT doc_id, count(*) FILTER (rich) AS annotations_modified, count(*) FILTER (is_header) AS headers_found, count(*) FILTER (NOT is_header) AS text_capitalized,
+  count(*) FILTER (rich AND coalesce(domain IN {_RED}, false)) AS red_annotations, count(*) FILTER (rich AND NOT coalesce(domain IN {_RED}, false)) AS blue_annotations, count(new_title) AS authors_changed FROM rt GROUP BY doc_id""")
+ORACLE["xfdf_relinked"] = """SELECT page_id AS doc_id, true AS changed, '<xfdf>' || chr(10) || '<f href="crf$' || page_id || '.pdf"/>' || chr(10) || html || '  <f href="out.pdf"/>' || chr(10) || '</xfdf>' AS new_text FROM pages"""
+
+
+# --- settings --------------------------------------------------------------
+
+def _settings(version: int = 1) -> str:
+    n = f"(c_custkey * {version})"
+    return f"""SELECT CAST(c_custkey AS VARCHAR) AS config_id, unnest([
+    {{'key': 'validation.fuzzy_matching', 'kind': CASE WHEN {n} % 7 = 0 THEN 'str' ELSE 'bool' END, 'value': CASE WHEN {n} % 7 = 0 THEN '"yes"' ELSE 'true' END}},
+    {{'key': 'validation.fuzzy_threshold', 'kind': CASE WHEN {n} % 5 = 0 THEN 'int' ELSE 'float' END, 'value': CASE WHEN {n} % 5 = 0 THEN '1' WHEN {n} % 3 = 0 THEN '1.5' ELSE '0.8' END}},
+    {{'key': 'validation.ignore_domains', 'kind': 'list', 'value': CASE {n} % 4 WHEN 0 THEN '["ae", ""]' WHEN 1 THEN '["ae"]' ELSE '["DM", 3]' END}},
+    {{'key': 'validation.ignore_variables', 'kind': 'list', 'value': CASE WHEN {n} % 6 = 0 THEN '["a b", "AGE_1", "x"]' ELSE '["STUDYID"]' END}},
+    {{'key': 'validation.output_format', 'kind': 'str', 'value': CASE WHEN {n} % 8 = 0 THEN '"pdf"' ELSE '"csv"' END}},
+    {{'key': 'validation.max_results', 'kind': CASE WHEN {n} % 9 = 0 THEN 'bool' ELSE 'int' END, 'value': CASE WHEN {n} % 9 = 0 THEN 'true' ELSE CAST({n} * 11 AS VARCHAR) END}},
+    {{'key': 'paths.output_directory', 'kind': 'str', 'value': CASE WHEN {n} % 2 = 0 THEN '""' ELSE '"out/"' END}}], recursive := true) FROM customer"""
+
+
+def _problem(test: str, key: str, message: str, severity: str = "error") -> str:
+    return f"SELECT CAST(c_custkey AS VARCHAR) AS config_id, '{key}' AS key, '{severity}' AS severity, '{message}' AS message FROM customer WHERE {test}"
+
+
+ORACLE["settings_problems"] = _all(
+    _problem("c_custkey % 7 = 0", "fuzzy_matching", "Fuzzy Matching must be of type bool"),
+    _problem("c_custkey % 5 = 0", "fuzzy_threshold", "Fuzzy Threshold must be of type float"),
+    _problem("c_custkey % 5 <> 0 AND c_custkey % 3 = 0", "fuzzy_threshold", "Fuzzy Threshold must be less than or equal to 1.0"),
+    _problem("c_custkey % 4 = 0", "ignore_domains", "Domain should be uppercase: ae", "warning"),
+    _problem("c_custkey % 4 = 0", "ignore_domains", "Domain cannot be empty"),
+    _problem("c_custkey % 4 > 1", "ignore_domains", "Domain must be a string, got int"),
+    _problem("c_custkey % 6 = 0", "ignore_variables", "Variable should be uppercase: a b", "warning"),
+    _problem("c_custkey % 6 = 0", "ignore_variables", "Variable contains invalid characters: a b"),
+    _problem("c_custkey % 6 = 0", "ignore_variables", "Variable should be uppercase: x", "warning"),
+    _problem("c_custkey % 8 = 0", "output_format", "Output Format must be one of: xlsx, csv, json"),
+    _problem("true", "include_timestamp", "Missing required setting: Include Timestamp"),
+    _problem("c_custkey % 9 <> 0 AND c_custkey * 11 > 10000", "max_results", "Max Results must be less than or equal to 10000"),
+    _problem("c_custkey % 9 <> 0 AND c_custkey * 11 < 1", "max_results", "Max Results must be greater than or equal to 1"))
+ORACLE["configuration_problems"] = f"""SELECT config_id, key, CASE WHEN key LIKE 'paths.%' THEN 'output_directory is required' WHEN key LIKE '%matching' THEN 'fuzzy_matching must be a boolean' ELSE 'fuzzy_threshold must be between 0 and 1' END AS message
+  FROM ({_settings()}) WHERE (key LIKE 'paths.%' AND value = '""') OR (key LIKE '%fuzzy_matching' AND kind <> 'bool') OR (key LIKE '%fuzzy_threshold' AND value = '1.5')"""
+ORACLE["settings_changes"] = f"""SELECT n.config_id, n.key, o.value AS old, n.value AS new FROM ({_settings(2)}) n LEFT JOIN ({_settings()}) o ON o.config_id = n.config_id AND o.key = n.key WHERE o.value IS DISTINCT FROM n.value"""
+ORACLE["settings_defaults"] = f"""SELECT config_id, key, kind, CASE WHEN key LIKE '%fuzzy_threshold' AND value = '0.8' THEN '0.85' ELSE value END AS value FROM ({_settings()})
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'validation.align_annotations', 'bool', 'true' FROM customer"""
+
+
+# --- audit and streams -----------------------------------------------------
+
+_AUDIT = """au AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, event_type, 'user' || user_id AS "user", 'did ' || event_type AS action, props AS details, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status FROM events)"""
+ORACLE["audit_filtered"] = with_(_AUDIT, body="""SELECT timestamp, event_type, "user", action, details, status FROM au WHERE timestamp >= '2024-01-02T00:00:00' AND timestamp <= '2024-01-20T23:59:59' AND status = 'success'""")
+ORACLE["audit_retained"] = with_(_AUDIT, body="""SELECT timestamp[1:10] AS event_date, "user", count(*) AS n FROM au WHERE timestamp >= '2024-01-10T00:00:00' GROUP BY ALL""")
+ORACLE["streamed_findings"] = checked("SELECT study_id, rule_no, severity, category, count(*) AS n FROM f GROUP BY ALL")
+ORACLE["streamed_audit"] = with_(_AUDIT, body="""SELECT timestamp[1:10] AS event_date, "user", count(*) AS n FROM au WHERE status = 'failure' GROUP BY ALL""")

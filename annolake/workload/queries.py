@@ -396,3 +396,411 @@ def report_text(spark, sf):
 def report_html(spark, sf):
     lines = report.report_lines(_findings(spark, sf), "html")
     return lines.groupBy("section", "line_no", "line").agg(F.count("*").alias("n"))
+
+
+# --- catalogue look-ups ----------------------------------------------------
+
+@query
+def supplemental_names(spark, sf):
+    """Part types as names, checked against the types of the larger parts per brand."""
+    part = W.table(spark, sf, "part")
+    names = part.select(F.col("p_brand").alias("brand"), F.upper("p_type").alias("name"), "p_partkey")
+    known = part.filter("p_size >= 48").select(
+        F.col("p_brand").alias("brand"), F.upper("p_type").alias("name")).distinct().withColumn("known", F.lit(True))
+    rows = rules.lookup(names, known, [(F.col("brand"), "brand"), (F.col("name"), "name")], {"known": "hit"},
+                        salt=4, spread=["p_partkey"])
+    return rows.filter("hit is null").groupBy("brand", "name").agg(F.count("*").alias("missing"))
+
+
+@query
+def record_links(spark, sf):
+    """Order priorities as condition tokens, checked against those of open orders by customer."""
+    orders = W.table(spark, sf, "orders")
+    known = orders.filter("o_orderstatus = 'O'").select(
+        "o_custkey", F.upper(F.substring_index("o_orderpriority", "-", -1)).alias("idvar")).distinct()
+    tokens = orders.select("o_orderkey", "o_custkey", F.posexplode(
+        X.condition_tokens(F.upper("o_orderpriority"))).alias("token_no", "idvar"))
+    return tokens.join(known, ["o_custkey", "idvar"], "left_anti").groupBy("idvar").agg(F.count("*").alias("missing"))
+
+
+@query
+def label_compare(spark, sf):
+    """Supplier names with noise against the names of the suppliers of their nation's first key."""
+    supplier, nation = W.table(spark, sf, "supplier"), W.table(spark, sf, "nation")
+    rows = supplier.select("s_suppkey", F.col("s_nationkey").alias("domain"), F.when(
+        F.col("s_acctbal") > 5000, F.concat(F.lit(" nation_"), F.col("s_nationkey").cast("string"), F.lit("  "))
+    ).otherwise(F.col("s_name")).alias("label"))
+    known = nation.select(F.col("n_nationkey").alias("domain"), F.col("n_name").alias("known"))
+    joined = rules.lookup(rows, known, [(F.col("domain"), "domain")], {"known": "known"})
+    same = F.lower(X.strip(F.col("label"))) == F.lower(X.strip(F.col("known")))
+    return joined.select("s_suppkey", F.when(F.col("known").isNull(), "Wrong Domain").when(same, "ok")
+                         .otherwise("Metadata Mismatch").alias("outcome"))
+
+
+# --- layout ----------------------------------------------------------------
+
+def _boxes(spark, sf):
+    return W.event_boxes(spark, sf)
+
+
+def _groups(spark, sf, at, tolerance, method):
+    boxes = _boxes(spark, sf).withColumn("at", F.col(f"rect.{at}"))
+    if method == "first_fit":
+        boxes = boxes.filter("type = 'FreeText'")
+    groups = layout.proximity_groups(boxes, "at", tolerance, method)
+    return groups.select("doc_id", "page", "at", "group_size", F.round("group_mean", 6).alias("group_mean"))
+
+
+@query
+def row_groups(spark, sf):
+    return _groups(spark, sf, "y0", 10.0, "running_mean")
+
+
+@query
+def column_groups(spark, sf):
+    return _groups(spark, sf, "x0", 10.0, "running_mean")
+
+
+@query
+def first_fit_groups(spark, sf):
+    return _groups(spark, sf, "y0", 10.0, "first_fit")
+
+
+def _corners(c: str):
+    return [F.round(f"{c}.{k}", 4).alias(k) for k in ("x0", "y0", "x1", "y1")]
+
+
+@query
+def aligned_boxes(spark, sf):
+    return layout.align(_boxes(spark, sf)).select("doc_id", "annot_idx", "h_moved", "v_moved", *_corners("aligned"))
+
+
+@query
+def aligned_export_boxes(spark, sf):
+    out = layout.align(_boxes(spark, sf), 1.0, 10.0, method="first_fit", skip=[2, 3])
+    return out.select("doc_id", "annot_idx", "h_moved", "v_moved", *_corners("aligned"))
+
+
+@query
+def alignment_totals(spark, sf):
+    return layout.alignment_totals(layout.align(_boxes(spark, sf)))
+
+
+@query
+def alignment_report(spark, sf):
+    return layout.alignment_report(layout.alignment_operations(layout.align(_boxes(spark, sf)))).select(
+        "doc_id", "page", "alignment_type", "annot_idx",
+        F.regexp_replace("line", r"\[Group \d+\]", "[Group]").alias("line"))
+
+
+def _resize(spark, sf, variant, **options):
+    out = layout.resize(W.annotations(spark, sf), variant, **options)
+    return out.select("doc_id", "annot_idx", "checked", "changed", *_corners("resized"))
+
+
+@query
+def resized_box_font(spark, sf):
+    return _resize(spark, sf, "box")
+
+
+@query
+def resized_height_only(spark, sf):
+    return _resize(spark, sf, "box", expand_width=False)
+
+
+@query
+def resized_standard(spark, sf):
+    return _resize(spark, sf, "standard", skip=[7])
+
+
+@query
+def resized_export(spark, sf):
+    return _resize(spark, sf, "export")
+
+
+@query
+def resize_totals(spark, sf):
+    return layout.resize_totals(layout.resize(W.annotations(spark, sf), "box"))
+
+
+@query
+def resize_report(spark, sf):
+    out = layout.resize(W.annotations(spark, sf), "standard")
+    return layout.resize_report(layout.resize_operations(out)).select("doc_id", "annot_idx", "line")
+
+
+@query
+def skip_pages(spark, sf):
+    lists = W.table(spark, sf, "events").select(
+        "event_id", F.concat(F.col("user_id").cast("string"), F.lit(", 5, x,"), (F.col("event_id") % 90).cast("string"), F.lit(", ")
+                             ).alias("skip_pages"), F.lit(60).alias("page_count"))
+    return layout.parse_skip_pages(lists).select("event_id", "entry_no", "entry", "skip_page", "valid")
+
+
+# --- forms and bookmarks ---------------------------------------------------
+
+TOC = ["doc_id", "section", "domain", "sort_page", "ord", "level", "title", "page"]
+
+
+@query
+def form_runs(spark, sf):
+    return forms.form_runs(forms.page_forms(W.event_pages(spark, sf)))
+
+
+@query
+def first_pages(spark, sf):
+    return forms.first_of_domain(forms.headers(W.event_annotations(spark, sf)))
+
+
+@query
+def standard_bookmarks(spark, sf):
+    return forms.bookmarks(forms.page_forms(W.event_pages(spark, sf)),
+                           forms.headers(W.event_annotations(spark, sf))).select(*TOC)
+
+
+@query
+def script_bookmarks(spark, sf):
+    return forms.script_bookmarks(W.event_pages(spark, sf), W.event_annotations(spark, sf)).select(*TOC)
+
+
+@query
+def xfdf_bookmarks(spark, sf):
+    pages, notes = W.event_pages(spark, sf), W.event_annotations(spark, sf)
+    existing = W.table(spark, sf, "events").filter("event_type = 'signup'").select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("doc_id"), F.col("event_id").alias("ord"),
+        F.lit(1).alias("level"), F.when(F.col("value") > 30, F.lit("SDTM")).otherwise(F.lit("Contents")).alias("title"),
+        F.lit(1).alias("page"))
+    return forms.xfdf_bookmarks(forms.headers(notes), forms.page_forms(pages), existing).select(*TOC)
+
+
+@query
+def item_bookmarks(spark, sf):
+    return forms.item_bookmarks(W.event_annotations(spark, sf)).select(*TOC)
+
+
+@query
+def preserved_bookmarks(spark, sf):
+    return ST.preserved_bookmarks(ST.preserve_colors(W.annotations(spark, sf))).select(*TOC)
+
+
+# --- standardize jobs ------------------------------------------------------
+
+@query
+def export_rows(spark, sf):
+    out = ST.export(W.annotations(spark, sf), ST.StandardizeOptions(align=False))
+    return out.select(*KEY, "author", "content", "font_size", "text_hex", "fill_hex", "resized", *_corners("xfdf_rect"))
+
+
+@query
+def export_aligned_rows(spark, sf):
+    return ST.export(W.annotations(spark, sf)).select(*KEY, "content", "text_hex", "recolored", "resized",
+                                                      *_corners("rect"))
+
+
+@query
+def export_lines(spark, sf):
+    out = ST.export(W.annotations(spark, sf), ST.StandardizeOptions(align=False, auto_resize=False))
+    lines = xfdf.document_lines(out, "crf.pdf")
+    return lines.filter("line_no <> 0 or page = 0").select("doc_id", "page", "annot_idx", "line_no", "line")
+
+
+@query
+def library_rows(spark, sf):
+    out = ST.standardize(W.annotations(spark, sf), ST.StandardizeOptions(align=False))
+    style = F.col("style")
+    return out.select(*KEY, "author", "is_header", "domain", "label", "checked", "resized",
+                      style["font_size"].alias("font_size"), style["font_name"].alias("font_name"),
+                      C.to_hex(style["text_color"]).alias("text"), C.to_hex(style["fill"]).alias("fill"),
+                      C.to_hex(style["stroke"]).alias("stroke"), style["border_width"].alias("border_width"),
+                      style["border_style"].alias("border_style"))
+
+
+@query
+def library_totals(spark, sf):
+    out = ST.standardize(W.annotations(spark, sf))
+    return ST.standardize_totals(out)
+
+
+@query
+def preserved_rows(spark, sf):
+    return ST.preserve_colors(W.annotations(spark, sf)).select(
+        *KEY, "content", "is_header", "font_size", "color_name", C.to_hex(F.col("color")).alias("color"))
+
+
+@query
+def color_workflow(spark, sf):
+    notes = W.annotations(spark, sf)
+    out = ST.export(notes, ST.StandardizeOptions(align=False, auto_resize=False, quotes=False))
+    return ST.color_workflow_totals(out, tables.extract_full(notes))
+
+
+@query
+def position_matches(spark, sf):
+    boxes = _boxes(spark, sf).select("doc_id", "page", "annot_idx", "content", "rect")
+    shifted = boxes.withColumn("rect", F.expr(
+        "named_struct('x0', rect.x0 + 3, 'y0', rect.y0 - 2, 'x1', rect.x1 + 3, 'y1', rect.y1 - 2)")).withColumn(
+        "content", F.upper("content"))
+    return matching.match_positions(shifted, boxes).select("doc_id", "page", "annot_idx", "match_idx")
+
+
+# --- files -----------------------------------------------------------------
+
+@query
+def fdf_pages(spark, sf):
+    events = W.table(spark, sf, "events")
+    page = F.concat(F.lit("<</Page "), F.col("event_id").cast("string"), F.lit("/Type/Annot>>"))
+    text = F.concat(F.lit("/Contents("), F.col("event_type"), F.lit(" of ("), F.col("value").cast("string"), F.lit("))/F 4"))
+    lines = events.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("doc_id"), (F.col("event_id") / 700).cast("long").alias("block"),
+        F.col("event_id").alias("pos"), F.when(F.col("event_type") == "click", page).when(F.col("event_type") == "view", text)
+        .otherwise(F.lit("endobj")).alias("line"))
+    return fdf.fdf_contents(lines).select("doc_id", "pos", "page", "content")
+
+
+def _elements(spark, sf):
+    """Raw XFDF elements, one per order line, as the file scan would give them."""
+    notes = W.annotations(spark, sf)
+    rich = F.col("type") != "Highlight"
+    hexed, whole = C.to_hex(F.col("stroke")), F.col("type") == "Square"
+    listed = F.concat(F.lit("rgb("), *[p for c in "rgb" for p in ((F.col(f"stroke.{c}") * 255).cast("int").cast("string"), F.lit(", "))][:-1], F.lit(")"))
+    style = F.concat(F.lit("font-size:9.5pt;color:"), F.when(whole, listed).when(F.col("page") == 1, F.lit("blue")).otherwise(hexed), F.lit(";font-weight:bold"))
+    return notes.select(
+        "doc_id", "annot_idx", (F.col("page") - 1).cast("string").alias("page_text"),
+        F.when(F.col("page") == 50, F.lit("1,2,3")).otherwise(rect_text(F.col("rect"))).alias("rect_text"),
+        F.col("author").alias("title"), F.when(rich, hexed).alias("color"),
+        F.when(~rich, F.col("content")).alias("contents"), F.when(rich, style).alias("body_style"),
+        F.when(rich, F.col("content")).alias("paragraph"), F.lit(None).cast("string").alias("span_style"),
+        F.lit(None).cast("string").alias("span"), F.col("da"), F.lit(None).cast("string").alias("corrupt"))
+
+
+@query
+def xfdf_elements(spark, sf):
+    return xfdf.parse_elements(_elements(spark, sf)).select(
+        "doc_id", "page", "annot_idx", "author", C.to_hex(F.col("fill")).alias("fill"), "content", "font_size",
+        C.to_hex(F.col("text_color")).alias("text_color"), "error", *_corners("rect"))
+
+
+@query
+def xfdf_color_update(spark, sf):
+    return xfdf.update_colors(_elements(spark, sf)).select("doc_id", "annot_idx", "new_style", "outcome")
+
+
+@query
+def xfdf_color_totals(spark, sf):
+    return xfdf.color_update_totals(xfdf.update_colors(_elements(spark, sf)))
+
+
+@query
+def xfdf_restyled(spark, sf):
+    return xfdf.restyle(_elements(spark, sf)).select(
+        "doc_id", "annot_idx", "domain", "is_header", "new_text", "new_style", "new_color", "new_title")
+
+
+@query
+def xfdf_restyle_totals(spark, sf):
+    return xfdf.restyle_totals(xfdf.restyle(_elements(spark, sf)))
+
+
+@query
+def xfdf_relinked(spark, sf):
+    pages = W.table(spark, sf, "pages")
+    files = pages.select(F.col("page_id").alias("doc_id"), F.concat(
+        F.lit("<xfdf>\n<f  href='"), F.col("url"), F.lit("'/>\n"), F.col("html"), F.lit("</xfdf>")).alias("text"))
+    linked = xfdf.relink(files, F.concat(F.lit("crf$"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    return xfdf.append_reference(linked.select("doc_id", F.col("new_text").alias("text"), "changed"), "out.pdf").select(
+        "doc_id", "changed", "new_text")
+
+
+# --- settings --------------------------------------------------------------
+
+def _settings(spark, sf, version: int = 1):
+    """One configuration per customer, settings drawn from its row."""
+    c = W.table(spark, sf, "customer")
+    number = F.col("c_custkey") * version
+    entries = {
+        "fuzzy_matching": (F.when(number % 7 == 0, "str").otherwise("bool"), F.when(number % 7 == 0, '"yes"').otherwise("true")),
+        "fuzzy_threshold": (F.when(number % 5 == 0, "int").otherwise("float"),
+                            F.when(number % 5 == 0, "1").when(number % 3 == 0, "1.5").otherwise("0.8")),
+        "ignore_domains": (F.lit("list"), F.when(number % 4 == 0, '["ae", ""]').when(number % 4 == 1, '["ae"]').otherwise('["DM", 3]')),
+        "ignore_variables": (F.lit("list"), F.when(number % 6 == 0, '["a b", "AGE_1", "x"]').otherwise('["STUDYID"]')),
+        "output_format": (F.lit("str"), F.when(number % 8 == 0, '"pdf"').otherwise('"csv"')),
+        "max_results": (F.when(number % 9 == 0, "bool").otherwise("int"), F.when(number % 9 == 0, "true").otherwise(
+            (number * 11).cast("string"))),
+    }
+    rows = F.array(*(F.struct(F.lit(f"validation.{k}").alias("key"), kind.alias("kind"), value.alias("value"))
+                     for k, (kind, value) in entries.items()))
+    out = c.select(F.col("c_custkey").cast("string").alias("config_id"), F.explode(rows).alias("_s")).select("config_id", "_s.*")
+    return out.unionByName(c.select(
+        F.col("c_custkey").cast("string").alias("config_id"), F.lit("paths.output_directory").alias("key"),
+        F.lit("str").alias("kind"), F.when(number % 2 == 0, '""').otherwise('"out/"').alias("value")))
+
+
+@query
+def settings_problems(spark, sf):
+    return S.check_settings(_settings(spark, sf)).select("config_id", "key", "severity", "message")
+
+
+@query
+def configuration_problems(spark, sf):
+    return S.check_configuration(_settings(spark, sf))
+
+
+@query
+def settings_changes(spark, sf):
+    return S.settings_diff(_settings(spark, sf, 2), _settings(spark, sf))
+
+
+@query
+def settings_defaults(spark, sf):
+    filled = S.with_defaults(_settings(spark, sf), {
+        "validation.fuzzy_threshold": ("float", "0.85"), "validation.align_annotations": ("bool", "true")})
+    return filled.select("config_id", "key", "kind", "value")
+
+
+# --- audit -----------------------------------------------------------------
+
+@query
+def audit_filtered(spark, sf):
+    return audit.filter_events(W.audit_events(spark, sf), "2024-01-02T00:00:00", "2024-01-20T23:59:59", status="success"
+                               ).select("timestamp", "event_type", "user", "action", "details", "status")
+
+
+@query
+def audit_retained(spark, sf):
+    kept = audit.retained(W.audit_events(spark, sf), "2024-01-10T00:00:00")
+    return kept.groupBy(audit.event_date(F.col("timestamp")).alias("event_date"), "user").agg(F.count("*").alias("n"))
+
+
+# --- streams ---------------------------------------------------------------
+
+def _stream(spark, sf, name):
+    """A given table as a stream of its files."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+def _run_folder(spark, name):
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def streamed_findings(spark, sf):
+    from annolake.streaming.check_stream import append_findings, stream_findings
+
+    folder = _run_folder(spark, "findings")
+    rows = stream_findings(W.line_annotations(_stream(spark, sf, "lineitem")), W.catalog(spark), EXACT)
+    append_findings(rows, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("study_id", "rule_no", "severity", "category").agg(F.count("*").alias("n"))
+
+
+@query
+def streamed_audit(spark, sf):
+    from annolake.streaming.audit_stream import append_by_day, stream_events
+
+    folder = _run_folder(spark, "audit")
+    rows = stream_events(W.audit_rows(_stream(spark, sf, "events")), status="failure")
+    append_by_day(rows, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy(F.col("event_date").cast("string").alias("event_date"), "user").agg(
+        F.count("*").alias("n"))
