@@ -323,7 +323,7 @@ def _rec(*ctes: str, body: str) -> str:
     return with_(*ctes, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-_GROUP = "SELECT DISTINCT doc_id, page, CAST(pt AS DOUBLE) AS "at", size AS group_size, round(mean, 6) AS group_mean FROM h"
+_GROUP = 'SELECT DISTINCT doc_id, page, CAST(pt AS DOUBLE) AS "at", size AS group_size, round(mean, 6) AS group_mean FROM h'
 ORACLE["row_groups"] = _rec(BOXES, _mean_groups("h", "y0", 10), body=_GROUP)
 ORACLE["column_groups"] = _rec(BOXES, _mean_groups("h", "x0", 10), body=_GROUP)
 _FREE = "(SELECT * FROM bx WHERE type = 'FreeText')"
