@@ -13,11 +13,12 @@ def read_fdf_lines(spark: SparkSession, path: str) -> DataFrame:
     Files are read in splits, not whole: ``block`` is the split's start in the
     file and ``pos`` rises inside it, which together order a file's lines.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
+    lines = spark.read.text(path)
     return lines.select(F.col("_metadata.file_path").alias("doc_id"),
                         F.col("_metadata.file_block_start").alias("block"),
                         F.monotonically_increasing_id().alias("pos"),
-                        F.col("value").alias("line"))
+                        # the reader keeps a line's bytes, here Latin-1
+                        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"))
 
 
 def fdf_contents(lines: DataFrame) -> DataFrame:
