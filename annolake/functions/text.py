@@ -13,7 +13,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Every character that counts as white space when text is stripped.
 WHITESPACE = "".join(map(chr, (
@@ -61,10 +61,28 @@ def clean_text(col: Column, rule: str = "full") -> Column:
         return strip(F.translate(col, "\n\r", " "))
     if rule != "full":
         raise ValueError(f"unknown cleaning rule {rule!r}")
-    plain = F.translate(unescape(col), ZERO_WIDTH, "")
+    return _squeeze(unescape(col))
+
+
+def _squeeze(col: Column) -> Column:
+    plain = F.translate(col, ZERO_WIDTH, "")
     return strip(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def with_clean_text(df: DataFrame, source: str = "content", out: str = "content",
+                    rule: str = "full") -> DataFrame:
+    """Add the cleaned text as a column that later filters do not compute again.
+
+    Spark moves a filter below a projection by repeating its expression, here
+    with the trip to Python; it does not move one below an explode.
+    """
+    others = [F.col(c) for c in df.columns if c != out]
+    if rule != "full":
+        return df.select(*others, F.explode_outer(F.array(clean_text(F.col(source), rule))).alias(out))
+    rows = df.select(*others, unescape(F.col(source)).alias("_plain"))
+    return rows.select(*others, F.explode_outer(F.array(_squeeze(F.col("_plain")))).alias(out))
+
+
 # --- headers ---------------------------------------------------------------
 
 def is_header(col: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annolake.functions.geometry import height, rect, width
 from annolake.functions.metrics import STANDARD_FONT, TextMeasurer, font_from_da
-from annolake.functions.text import clean_text, header_font_size, preview
+from annolake.functions.text import clean_text, header_font_size, preview, with_clean_text
 
 PAGE = ("study_id", "doc_id", "page")
 
@@ -205,9 +205,9 @@ def resize(annotations: DataFrame, variant: str = "export", measurer: TextMeasur
                  plus five points, when that differs by more than one point
     """
     r = F.col(box)
-    text = F.col(content) if cleaned else clean_text(F.col(content))
     old_w, old_h = width(r), height(r)
-    df = mark_skipped(annotations, skip, "_skip").withColumn("_text", text)
+    df = mark_skipped(annotations, skip, "_skip")
+    df = df.withColumn("_text", F.col(content)) if cleaned else with_clean_text(df, content, "_text")
     text = F.col("_text")
     free = (F.col("type") == "FreeText") & ~F.col("_skip")
     filled = F.coalesce(F.length(text) > 0, F.lit(False))

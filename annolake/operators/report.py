@@ -109,44 +109,79 @@ def top_values(findings: DataFrame, column: str, n: int = 5, by: tuple[str, ...]
                          _percent_text(F.col("count"), F.col("_total")).alias("percent"))
 
 
-def dashboard_sentence(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One sentence: errors and where to start, or warnings, or all clear.
+def summary(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All dashboard figures of a group in one row, from one pass over the findings.
 
-    With errors but no domain the sentence ends after the categories.
+    Each finding counts for the total, its category, its domain and its
+    variable; those counts combine on the map side, are ranked per kind, and
+    only the few ranked rows are gathered.  Variables are merely counted, so
+    they are dealt to buckets instead of one ranking.
     """
-    if not by:
-        # an empty run has a sentence too, so the grand total leads
-        keyed = findings.withColumn("_all", F.lit(0))
-        some = dashboard_sentence(keyed, ("_all",)).drop("_all")
-        clear = findings.agg(F.count("*").alias("n")).filter("n = 0").select(
-            F.lit("No critical errors found. All validations passed successfully!")
-            .alias("summary"))
-        return some.unionByName(clear)
-    counts = findings.groupBy(*by).agg(
-        F.count_if(F.col("severity") == "ERROR").alias("errors"),
-        F.count_if(F.col("severity") == "WARNING").alias("warnings"))
-
-    def names(column: str, out: str) -> DataFrame:
-        top = top_values(findings, column, 2, by, errors_only=True)
-        return top.groupBy(*by).agg(F.concat_ws(", ", F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", column))),
-            lambda e: e[column])).alias(out))
-
-    for part in (names("category", "_categories"), names("domain", "_domains")):
-        counts = counts.join(part, list(by), "left")
-    focus = F.when(F.col("_categories") != "", F.concat(
-        F.lit("Focus on fixing '"), "_categories", F.lit("' issues "))).otherwise(F.lit(""))
-    where = F.when(F.col("_domains") != "", F.concat(
-        F.lit("in the "), "_domains", F.lit(" domain(s)."))).otherwise(F.lit(""))
-    sentence = (F.when(F.col("errors") > 0, F.concat(
+    kinds = [("total", F.lit("")), ("category", F.col("category")), ("domain", F.col("domain")),
+             ("variable", F.col("variable_name"))]
+    marks = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("label")) for k, v in kinds))
+    rows = findings.select(*by, "severity", _seen(findings).alias("_seen"),
+                           F.explode(marks).alias("_m")).filter("_m.label is not null")
+    counts = rows.groupBy(*by, F.col("_m.kind").alias("kind"), F.col("_m.label").alias("label")).agg(
+        F.count("*").alias("n"), F.min("_seen").alias("_first"),
+        *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
+    variable, error = F.col("kind") == "variable", F.col("ERROR") > 0
+    bucket = F.when(variable, F.pmod(F.hash("label"), F.lit(997))).otherwise(F.lit(0))
+    counts = counts.withColumn("_bucket", bucket)
+    best = Window.partitionBy(*by, "kind", "_bucket").orderBy(F.desc("n"), "_first")
+    counts = counts.withColumn("rank", F.row_number().over(best)).withColumn(
+        "error_rank", F.sum(error.cast("int")).over(
+            best.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    def total(column: str, name: str) -> Column:
+        value = F.max(F.when(F.col("kind") == "total", F.col(column)))
+        return F.coalesce(value, F.lit(0)).alias(name)
+
+    def ranked(kind: str) -> Column:
+        entry = F.struct("rank", "label", F.col("n").alias("count"))
+        wanted = (F.col("kind") == kind) & (F.col("rank") <= TOP)
+        return F.array_sort(F.collect_list(F.when(wanted, entry)))
+
+    def with_errors(kind: str) -> Column:
+        wanted = (F.col("kind") == kind) & error & (F.col("error_rank") <= TOP_ERRORS)
+        names = F.array_sort(F.collect_list(F.when(wanted, F.struct("error_rank", "label"))))
+        return F.transform(names, lambda e: e["label"])
+
+    return counts.groupBy(*by).agg(
+        total("n", "total_issues"),
+        *(total(s, n) for s, n in zip(SEVERITIES, ("errors", "warnings", "infos"))),
+        F.count_if(F.col("kind") == "domain").alias("unique_domains"),
+        F.count_if(variable).alias("unique_variables"),
+        ranked("category").alias("top_categories"), ranked("domain").alias("top_domains"),
+        with_errors("category").alias("error_categories"),
+        with_errors("domain").alias("error_domains"))
+
+
+TOP, TOP_ERRORS = 5, 2
+
+
+def _sentence() -> Column:
+    def part(names: str, before: str, after: str) -> Column:
+        text = F.concat(F.lit(before), F.concat_ws(", ", names), F.lit(after))
+        return F.when(F.size(names) > 0, text).otherwise(F.lit(""))
+
+    return (F.when(F.col("errors") > 0, F.concat(
         F.lit("Found "), F.col("errors").cast("string"),
-        F.lit(" critical errors requiring attention. "), F.coalesce(focus, F.lit("")),
-        F.coalesce(where, F.lit(""))))
+        F.lit(" critical errors requiring attention. "),
+        part("error_categories", "Focus on fixing '", "' issues "),
+        part("error_domains", "in the ", " domain(s).")))
         .when(F.col("warnings") > 0, F.concat(
             F.lit("No critical errors found. Review "), F.col("warnings").cast("string"),
             F.lit(" warnings for potential improvements.")))
         .otherwise(F.lit("No critical errors found. All validations passed successfully!")))
-    return counts.select(*by, sentence.alias("summary"))
+
+
+def dashboard_sentence(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One sentence: errors and where to start, or warnings, or all clear.
+
+    With errors but no domain the sentence ends after the categories.
+    """
+    return summary(findings, by).select(*by, _sentence().alias("summary"))
 
 
 # --- tables ----------------------------------------------------------------
@@ -194,32 +229,30 @@ def _keys(findings: DataFrame) -> list[str]:
 
 def dashboard_table(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """All dashboard figures as rows: ``section, ord, label, value, percent``."""
-    metrics = key_metrics(findings, by)
-    labels = (("Total Issues", "total_issues"), ("Errors", "errors"), ("Warnings", "warnings"),
-              ("Info", "infos"), ("Unique Domains", "unique_domains"),
-              ("Unique Variables", "unique_variables"))
-    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"),
-                              F.col(c).alias("value")) for i, (label, c) in enumerate(labels)))
-    none = F.lit(None).cast("string")
-    parts = [
-        metrics.select(*by, F.explode(rows).alias("_r")).select(
-            *by, F.lit("Key Metrics").alias("section"), "_r.ord", "_r.label",
-            F.col("_r.value").cast("string").alias("value"), none.alias("percent")),
-        severity_totals(findings, by).select(
-            *by, F.lit("Distribution by Severity").alias("section"), "ord",
-            F.col("severity").alias("label"), F.col("count").cast("string").alias("value"),
-            "percent")]
-    for section, column in (("Most Common Issues", "category"), ("Top Domains with Issues", "domain")):
-        parts.append(top_values(findings, column, 5, by).select(
-            *by, F.lit(section).alias("section"), F.col("rank").alias("ord"),
-            F.col(column).alias("label"), F.col("count").cast("string").alias("value"), "percent"))
-    parts.append(dashboard_sentence(findings, by).select(
-        *by, F.lit("Summary").alias("section"), F.lit(0).alias("ord"),
-        F.col("summary").alias("label"), none.alias("value"), none.alias("percent")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    whole, none = F.col("total_issues"), F.lit(None).cast("string")
+
+    def line(section: str, order: Column, label: Column, value: Column, percent: Column = none):
+        return F.struct(F.lit(section).alias("section"), order.cast("int").alias("ord"),
+                        label.alias("label"), value.cast("string").alias("value"),
+                        percent.alias("percent"))
+
+    metrics = (("Total Issues", "total_issues"), ("Errors", "errors"), ("Warnings", "warnings"),
+               ("Info", "infos"), ("Unique Domains", "unique_domains"),
+               ("Unique Variables", "unique_variables"))
+    lines = [line("Key Metrics", F.lit(i), F.lit(label), F.col(c))
+             for i, (label, c) in enumerate(metrics)]
+    lines += [line("Distribution by Severity", F.lit(i), F.lit(s), F.col(c),
+                   _percent_text(F.col(c), whole))
+              for i, (s, c) in enumerate(zip(SEVERITIES, ("errors", "warnings", "infos")))]
+
+    def ranking(section: str, column: str) -> Column:
+        return F.transform(column, lambda e: line(section, e["rank"], e["label"], e["count"],
+                                                  _percent_text(e["count"], whole)))
+
+    rows = F.concat(F.array(*lines), ranking("Most Common Issues", "top_categories"),
+                    ranking("Top Domains with Issues", "top_domains"),
+                    F.array(line("Summary", F.lit(0), _sentence(), none)))
+    return summary(findings, by).select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*")
 
 
 def full_report(findings: DataFrame, unused: DataFrame, run_ts: str,

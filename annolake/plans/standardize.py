@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from annolake.functions import color as C
 from annolake.functions.geometry import flip
 from annolake.functions.metrics import STANDARD_FONT
-from annolake.functions.text import (DEFAULT_AUTHOR, HEADER_PATTERN, clean_text, header_code,
-                                     header_font_size, header_label, is_header, normalize_quotes)
+from annolake.functions.text import (DEFAULT_AUTHOR, HEADER_PATTERN, header_code, header_font_size,
+                                     header_label, is_header, normalize_quotes, with_clean_text)
 from annolake.operators.forms import bookmarks, headers, item_bookmarks, page_forms
 from annolake.operators.layout import PAGE, align, resize
 from annolake.operators.matching import match_positions
@@ -69,7 +69,7 @@ def export(annotations: DataFrame, options: StandardizeOptions = StandardizeOpti
                      method="first_fit", skip=options.align_skip)
     else:
         rows = rows.withColumn("aligned", F.col("rect"))
-    rows = rows.withColumn("content", clean_text(F.col("content"))).filter(F.col("content") != "")
+    rows = with_clean_text(rows).filter(F.col("content") != "")
     if options.quotes:
         rows = rows.withColumn("content", normalize_quotes(F.col("content")))
     source = C.text_color(F.col("da"), appearance=F.col("appearance_text"), policy="export")
@@ -121,7 +121,7 @@ def style_by_type(df: DataFrame, options: StandardizeOptions, rule: str = "prese
 def standardize(annotations: DataFrame, options: StandardizeOptions = StandardizeOptions()
                 ) -> DataFrame:
     """The library job's rows: style by type, box grown then aligned, header code and label."""
-    rows = annotations.withColumn("content", clean_text(F.col("content")))
+    rows = with_clean_text(annotations)
     rows = rows.withColumn("is_header", is_header(F.col("content")))
     rows = rows.withColumn("font_size", F.when(F.col("is_header"), F.lit(options.header_size))
                            .otherwise(F.lit(options.text_size)).cast("double"))
@@ -181,7 +181,7 @@ def standard_bookmarks(rows: DataFrame, pages: DataFrame,
 
 def preserve_colors(annotations: DataFrame, author: str = DEFAULT_AUTHOR) -> DataFrame:
     """Earlier job: keep text colours (blue where none is known), recase, set sizes."""
-    rows = annotations.withColumn("content", clean_text(F.col("content"), "simple"))
+    rows = with_clean_text(annotations, rule="simple")
     rows = rows.filter(F.col("content") != "")
     color = C.text_color(F.col("da"), F.col("stroke"), policy="preserve")
     rows = rows.withColumn("_color", F.coalesce(color, C.color_lit((0, 0, 1))))

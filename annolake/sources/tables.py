@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from annolake.functions.color import CYAN, color_lit, rgb_text, text_color
 from annolake.functions.geometry import height, width
 from annolake.functions.metrics import font_for_table
-from annolake.functions.text import clean_text
+from annolake.functions.text import with_clean_text
 
 KEYS = ("study_id", "doc_id", "page", "annot_idx")
 
@@ -18,14 +18,14 @@ def _keys(df: DataFrame) -> list[str]:
 
 def extract(annotations: DataFrame) -> DataFrame:
     """Cleaned text and top-left corner of every annotation that has a text."""
-    rows = annotations.withColumn("content", clean_text(F.col("content")))
+    rows = with_clean_text(annotations)
     return rows.filter(F.col("content") != "").select(
         *_keys(annotations), "content", F.col("rect.x0").alias("x0"), F.col("rect.y0").alias("y0"))
 
 
 def extract_full(annotations: DataFrame, run_ts: str | None = None) -> DataFrame:
     """As ``extract`` with author (Unknown where none), full box and type."""
-    rows = annotations.withColumn("content", clean_text(F.col("content")))
+    rows = with_clean_text(annotations)
     out = rows.filter(F.col("content") != "").select(
         *_keys(annotations), F.coalesce("author", F.lit("Unknown")).alias("author"), "content",
         "rect", "type")

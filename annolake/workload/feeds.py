@@ -98,7 +98,10 @@ def line_annotations(lines: DataFrame) -> DataFrame:
         F.concat(F.lit("ST"), F.pmod("l_suppkey", F.lit(5)).cast("string")).alias("study_id"),
         F.concat(F.lit("CRF-"), F.col("l_suppkey").cast("string")).alias("doc_id"),
         (F.pmod(part, F.lit(50)) + 1).cast("int").alias("page"),
-        (part * 10000000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("annot_idx"),
+        # unique on a page: the order line, then part and quantity, which tell repeats apart
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 50000
+         + F.pmod(F.floor(part / 50), F.lit(1000)) * 50
+         + F.col("l_quantity").cast("int") - 1).alias("annot_idx"),
         _pick(kinds, F.col("l_linenumber").cast("long") + part).alias("type"),
         F.when(F.col("l_returnflag") == "R", F.lit(" ")).when(
             F.col("l_returnflag") == "A", F.lit("Coder")).alias("author"),

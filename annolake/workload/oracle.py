@@ -43,7 +43,7 @@ ANN = f"""ann0 AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus,
     'ST' || CAST(l_suppkey % 5 AS VARCHAR) AS study_id, 'CRF-' || CAST(l_suppkey AS VARCHAR) AS doc_id,
     CAST(l_partkey % 50 + 1 AS INT) AS page,
-    l_partkey * 10000000000 + l_orderkey * 10 + l_linenumber AS annot_idx,
+    (l_orderkey * 10 + l_linenumber) * 50000 + (l_partkey // 50) % 1000 * 50 + CAST(l_quantity AS INT) - 1 AS annot_idx,
     {pick(("FreeText", "FreeText", "FreeText", "Square", "FreeText", "Highlight", "FreeText"), "l_linenumber + l_partkey")} AS type,
     CASE WHEN l_returnflag = 'R' THEN ' ' WHEN l_returnflag = 'A' THEN 'Coder' END AS author,
     {_line_text()} AS content,

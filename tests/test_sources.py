@@ -15,8 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def notes(spark):
-    # keys must be unique, which the smallest table does not give by itself
-    return W.annotations(spark, SF).dropDuplicates(["doc_id", "page", "annot_idx"]).persist()
+    return W.annotations(spark, SF).persist()
 
 
 def test_standardized_xfdf_round_trip(spark, notes, tmp_path):
