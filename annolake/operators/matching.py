@@ -19,24 +19,24 @@ def match_positions(imported: DataFrame, existing: DataFrame, tolerance: float =
     box cost one candidate, and are compared within a grid of the tolerance's
     size: only boxes in the same or a neighbouring cell meet.
     """
+    spots = ["doc_id", "page", "_text", *(f"_{s}" for s in SIDES)]
+
     def boxes(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", "page", "annot_idx", F.upper("content").alias("_text"),
-                         *(F.col(f"rect.{s}").alias(s) for s in SIDES))
+        return df.select("*", F.upper("content").alias("_text"),
+                         *(F.col(f"rect.{s}").alias(f"_{s}") for s in SIDES))
 
-    spots = ["doc_id", "page", "_text", *SIDES]
     new = boxes(imported)
     wanted = new.select(*spots).distinct()
     near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
     cells = wanted.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).select(
-        *spots, (_cell(F.col("x0"), tolerance) + F.col("_dx")).alias("_cx"),
-        (_cell(F.col("y0"), tolerance) + F.col("_dy")).alias("_cy"))
+        *spots, (_cell(F.col("_x0"), tolerance) + F.col("_dx")).alias("_cx"),
+        (_cell(F.col("_y0"), tolerance) + F.col("_dy")).alias("_cy"))
     held = boxes(existing).groupBy(*spots).agg(F.min("annot_idx").alias("_idx")).select(
-        "doc_id", "page", "_text", _cell(F.col("x0"), tolerance).alias("_cx"),
-        _cell(F.col("y0"), tolerance).alias("_cy"), "_idx",
-        *(F.col(s).alias(f"_{s}") for s in SIDES))
+        "doc_id", "page", "_text", _cell(F.col("_x0"), tolerance).alias("_cx"),
+        _cell(F.col("_y0"), tolerance).alias("_cy"), "_idx",
+        *(F.col(f"_{s}").alias(f"_held_{s}") for s in SIDES))
     pairs = cells.join(held, ["doc_id", "page", "_text", "_cx", "_cy"])
     for s in SIDES:
-        pairs = pairs.filter(F.abs(F.col(s) - F.col(f"_{s}")) < tolerance)
+        pairs = pairs.filter(F.abs(F.col(f"_{s}") - F.col(f"_held_{s}")) < tolerance)
     best = pairs.groupBy(*spots).agg(F.min("_idx").alias("match_idx"))
-    found = new.join(best, spots).select("doc_id", "page", "annot_idx", "match_idx")
-    return imported.join(found, ["doc_id", "page", "annot_idx"], "left")
+    return new.join(best, spots, "left").select(*imported.columns, "match_idx")
