@@ -374,3 +374,51 @@ def color_class_totals(classed: DataFrame, by: tuple[str, ...] = ()) -> DataFram
         F.count("*").alias("total"), F.count_if(kind == "RED").alias("red"),
         F.count_if(kind == "BLUE").alias("blue"),
         F.count_if(kind.isNotNull() & ~kind.isin("RED", "BLUE")).alias("other"))
+
+
+def color_report_lines(colored: DataFrame, content: str = "content") -> DataFrame:
+    """Colour report of each document as lines to be sorted by ``doc_id, section, page,
+    first_idx, annot_idx, line_no``: distinct colours, then texts by page and colour."""
+    items = color_usage_items(colored, content)
+    zero = F.lit(0).cast("long")
+
+    def lines(df: DataFrame, section: int, page: Column, first: Column, idx: Column, *texts: Column):
+        return df.select("doc_id", F.lit(section).alias("section"), page.cast("int").alias("page"),
+                         first.cast("long").alias("first_idx"), idx.cast("long").alias("annot_idx"),
+                         F.posexplode(F.array(*texts)).alias("line_no", "line"))
+
+    distinct = distinct_colors(colored, ("doc_id",))
+    count = distinct.select("doc_id", "color").distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+    channel = [F.col(f"color.{c}").cast("string") for c in "rgb"]
+    shade = F.concat(F.lit("  "), "color_name", F.lit(": RGB("), F.concat_ws(", ", *channel), F.lit(")"))
+    # distinct colours of a document are listed in channel order
+    order = _sort_code(F.col("color"))
+    places = color_usage(colored).select("doc_id", "page", "color_name", "first_idx")
+    pages = places.select("doc_id", "page").distinct()
+    bar, rule = F.lit("=" * 80), F.lit("-" * 80)
+    return (
+        lines(count, 0, zero, zero, zero, bar, F.lit("PDF ANNOTATION COLOR USAGE REPORT"), bar, F.lit(""),
+              F.concat(F.lit("Total Unique Colors: "), F.col("n").cast("string")), F.lit(""),
+              F.lit("Unique Colors Found:"), rule)
+        .unionByName(lines(distinct, 1, zero, order, zero, shade))
+        .unionByName(lines(count, 2, zero, zero, zero, F.lit(""), bar, F.lit("COLOR USAGE BY PAGE"), bar,
+                           F.lit("")))
+        .unionByName(lines(pages, 3, F.col("page"), F.lit(-2), F.lit(-2), F.lit(""),
+                           F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(":")), rule))
+        .unionByName(lines(places, 3, F.col("page"), F.col("first_idx"), F.lit(-1), F.lit(""),
+                           F.concat(F.lit("  "), "color_name", F.lit(":"))))
+        .unionByName(lines(items, 3, F.col("page"), F.col("first_idx"), F.col("annot_idx"),
+                           F.concat(F.lit("    - "), "content"))))
+
+
+def _sort_code(color: Column) -> Column:
+    """Channels (three places, 0 to 9.999) as equally long text that sorts like the numbers."""
+    return F.concat(*(F.lpad(F.round(color[c] * 1000).cast("int").cast("string"), 4, "0") for c in "rgb"))
+
+
+# --- samples ---------------------------------------------------------------
+
+def first_rows(df: DataFrame, n: int, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """The first ``n`` rows of each group; Spark keeps ``n`` per group and task before it shuffles."""
+    place = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= n)

@@ -16,11 +16,3 @@ def append_by_day(events: DataFrame, path: str, checkpoint: str, once: bool = Fa
     writer = (events.writeStream.format("parquet").outputMode("append").partitionBy("event_date")
               .option("path", path).option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def daily_counts(events: DataFrame, timestamp: str = "ts", late: str = "1 day") -> DataFrame:
-    """Events per day, type and status; a day closes when the watermark passes its end."""
-    return (events.withWatermark(timestamp, late)
-            .groupBy(F.window(timestamp, "1 day"), "event_type", "status")
-            .agg(F.count("*").alias("events"))
-            .select(F.to_date("window.start").alias("event_date"), "event_type", "status", "events"))

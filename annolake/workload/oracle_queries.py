@@ -563,3 +563,33 @@ ORACLE["audit_filtered"] = with_(_AUDIT, body="""SELECT timestamp, event_type, "
 ORACLE["audit_retained"] = with_(_AUDIT, body="""SELECT timestamp[1:10] AS event_date, "user", count(*) AS n FROM au WHERE timestamp >= '2024-01-10T00:00:00' GROUP BY ALL""")
 ORACLE["streamed_findings"] = checked("SELECT study_id, rule_no, severity, category, count(*) AS n FROM f GROUP BY ALL")
 ORACLE["streamed_audit"] = with_(_AUDIT, body="""SELECT timestamp[1:10] AS event_date, "user", count(*) AS n FROM au WHERE status = 'failure' GROUP BY ALL""")
+
+
+# --- late additions --------------------------------------------------------
+
+_OWN_WORD = f"CASE WHEN {_F} THEN {_units('t', M.HELVETICA, 278)} * 10 / 1000.0 ELSE length(t) * 4.8 END"
+_BLANK = f"CASE WHEN {_F} THEN 2.78 ELSE 4.8 END"
+_ROWS = f"""wr AS (SELECT *, list_reduce(list_prepend({{'k': 0, 'o': -1.0::DOUBLE, 'wn': 0.0::DOUBLE}},
+    list_transform(string_split(content, ' '), lambda t: {{'k': 0, 'o': 0.0::DOUBLE, 'wn': ({_OWN_WORD})::DOUBLE}})),
+  lambda a, t: CASE WHEN a.o < 0 AND t.wn <= w - 8 THEN {{'k': a.k, 'o': t.wn, 'wn': 0.0::DOUBLE}} WHEN a.o < 0 THEN {{'k': a.k + 1, 'o': -1.0::DOUBLE, 'wn': 0.0::DOUBLE}}
+    WHEN a.o + {_BLANK} + t.wn <= w - 8 THEN {{'k': a.k, 'o': a.o + {_BLANK} + t.wn, 'wn': 0.0::DOUBLE}} ELSE {{'k': a.k + 1, 'o': t.wn, 'wn': 0.0::DOUBLE}} END) AS z FROM nd),
+rs AS (SELECT *, type = 'FreeText' AS checked, type = 'FreeText' AND NOT fits AND abs(nh - h) >= 1 AS changed FROM (SELECT *, w AS nw, h + least((z.k + (z.o >= 0)::INT) * (size * 1.2) + 4 - h, 300) AS nh FROM wr))"""
+ORACLE["resized_height_only"] = with_(ANN, _need(*_OWN), _ROWS, body=_SIZES)
+ORACLE["annotation_samples"] = with_(ANN, EXTRACT, body="""SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, annot_idx) AS place, page, annot_idx, content FROM ext) WHERE place <= 5""")
+
+
+def _report_lines(source: str, section: int, page: str, first: str, idx: str, *texts: str) -> str:
+    return f"""SELECT doc_id, {section} AS section, CAST({page} AS INT) AS page, CAST({first} AS BIGINT) AS first_idx, CAST({idx} AS BIGINT) AS annot_idx, i - 1 AS line_no, ls[i] AS line
+  FROM (SELECT *, unnest(range(1, {len(texts) + 1})) AS i, [{', '.join(texts)}] AS ls FROM {source})"""
+
+
+_BAR, _RULE = q("=" * 80), q("-" * 80)
+_CODE4 = "lpad(CAST(CAST({} * 1000 AS INT) AS VARCHAR), 4, '0')"
+ORACLE["color_report"] = with_(ANN, _KEPT, """dc AS (SELECT DISTINCT doc_id, color_name, r, g, b FROM kept), ct AS (SELECT doc_id, count(DISTINCT (r, g, b)) AS n FROM kept GROUP BY doc_id),
+  pl AS (SELECT doc_id, page, color_name, min(annot_idx) AS f FROM kept GROUP BY ALL), im AS (SELECT *, min(annot_idx) OVER (PARTITION BY doc_id, page, color_name) AS f FROM kept)""", body=_all(
+    _report_lines("ct", 0, "0", "0", "0", _BAR, "'PDF ANNOTATION COLOR USAGE REPORT'", _BAR, "''", "'Total Unique Colors: ' || n", "''", "'Unique Colors Found:'", _RULE),
+    _report_lines("dc", 1, "0", " || ".join(_CODE4.format(c) for c in "rgb"), "0", "'  ' || color_name || ': RGB(' || r || ', ' || g || ', ' || b || ')'"),
+    _report_lines("ct", 2, "0", "0", "0", "''", _BAR, "'COLOR USAGE BY PAGE'", _BAR, "''"),
+    _report_lines("(SELECT DISTINCT doc_id, page FROM kept)", 3, "page", "-2", "-2", "''", "'Page ' || page || ':'", _RULE),
+    _report_lines("pl", 3, "page", "f", "-1", "''", "'  ' || color_name || ':'"),
+    _report_lines("im", 3, "page", "f", "annot_idx", "'    - ' || content[1:50]")))

@@ -258,6 +258,18 @@ def color_usage_items(spark, sf):
         "doc_id", "page", "first_idx", "color_name", "annot_idx", "content")
 
 
+@query
+def color_report(spark, sf):
+    return report.color_report_lines(ST.preserve_colors(W.annotations(spark, sf)), "source_text")
+
+
+@query
+def annotation_samples(spark, sf):
+    rows = tables.extract(W.annotations(spark, sf))
+    return report.first_rows(rows, 5, ("doc_id",), ("page", "annot_idx")).select(
+        "doc_id", "place", "page", "annot_idx", "content")
+
+
 @query
 def distinct_colors(spark, sf):
     rows = ST.preserve_colors(W.annotations(spark, sf))

@@ -12,7 +12,7 @@ from tools_check import rows
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
 # have no SQL form; tested against brute force on fixtures
-WITHOUT_SQL = {"findings_similar", "document_quotes", "resized_height_only"}
+WITHOUT_SQL = {"findings_similar", "document_quotes"}
 
 
 @pytest.fixture(scope="module")
