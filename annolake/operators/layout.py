@@ -310,3 +310,63 @@ def resize_report(operations: DataFrame) -> DataFrame:
         F.lit("pt] ("), _one_place(F.col("old_width")), F.lit("x"),
         _one_place(F.col("old_height")), F.lit(") -> ("), _one_place(F.col("new_width")),
         F.lit("x"), _one_place(F.col("new_height")), F.lit(")")).alias("line"))
+
+
+REPORT_ORDER = ("doc_id", "section", "page", "part", "annot_idx", "line_no")
+
+
+def _report(df: DataFrame, section: int, texts: Column, page: Column | None = None,
+            part: Column | None = None, idx: Column | None = None) -> DataFrame:
+    zero = F.lit(0)
+    return df.select(
+        "doc_id", F.lit(section).alias("section"),
+        (zero if page is None else page).cast("int").alias("page"),
+        (zero if part is None else part).cast("int").alias("part"),
+        (F.lit(-1) if idx is None else idx).cast("long").alias("annot_idx"),
+        F.posexplode(texts).alias("line_no", "line"))
+
+
+def _frame(totals: DataFrame, title: str, heading: str, changed: Column, figures) -> DataFrame:
+    bar, rule = F.lit("=" * 80), F.lit("-" * 80)
+    summary = F.concat(F.lit("Summary: "), F.concat_ws(", ", *(
+        F.concat(F.lit(f"{label}: "), value.cast("string")) for label, value in figures)))
+    head = F.array(bar, F.lit(title), bar, F.lit(""), summary, F.lit(""))
+    with_list = F.concat(head, F.array(F.lit(heading), rule))
+    foot = F.when(changed, F.array(F.lit(""), bar)).otherwise(F.array(bar))
+    return _report(totals, 0, F.when(changed, with_list).otherwise(head)).unionByName(
+        _report(totals, 2, foot))
+
+
+def alignment_report_lines(aligned: DataFrame) -> DataFrame:
+    """Each document's alignment report as lines to be sorted by ``REPORT_ORDER``."""
+    totals, operations = alignment_totals(aligned), alignment_operations(aligned)
+    part = F.when(F.col("alignment_type") == "horizontal", 1).otherwise(2)
+    counts = operations.groupBy("doc_id", "page", part.alias("_part")).agg(F.count("*").alias("n"))
+    kind = F.when(F.col("_part") == 1, "Horizontal").otherwise("Vertical")
+    figures = [(label, F.col(c)) for label, c in (
+        ("Total annotations", "total_annotations"), ("Horizontal groups", "horizontal_groups"),
+        ("Vertical groups", "vertical_groups"), ("Horizontal aligned", "horizontal_aligned"),
+        ("Vertical aligned", "vertical_aligned"))] + [("Errors", F.lit(0))]
+    moved = F.col("horizontal_aligned") + F.col("vertical_aligned") > 0
+    pages = operations.select("doc_id", "page").distinct()
+    page_head = F.array(F.lit(""), F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(":")))
+    return (
+        _frame(totals, "ANNOTATION ALIGNMENT REPORT", "Alignment Operations:", moved, figures)
+        .unionByName(_report(pages, 1, page_head, F.col("page")))
+        .unionByName(_report(counts, 1, F.array(F.concat(
+            F.lit("  "), kind, F.lit(" alignments: "), F.col("n").cast("string"))),
+            F.col("page"), F.col("_part")))
+        .unionByName(_report(alignment_report(operations), 1, F.array(F.concat(
+            F.lit("    "), "line")), F.col("page"), part, F.col("annot_idx"))))
+
+
+def resize_report_lines(resized: DataFrame) -> DataFrame:
+    """Each document's resize report as lines to be sorted by ``REPORT_ORDER``."""
+    figures = [(label, F.col(c)) for label, c in (
+        ("Total annotations", "total_annotations"), ("FreeText", "freetext_annotations"),
+        ("Checked", "checked"), ("Resized", "resized"), ("Skipped", "skipped"))]
+    frame = _frame(resize_totals(resized), "ANNOTATION RESIZE REPORT", "Resize Operations:",
+                   F.col("resized") > 0, [*figures, ("Errors", F.lit(0))])
+    lines = resize_report(resize_operations(resized))
+    return frame.unionByName(_report(lines, 1, F.array("line"), F.col("page"), F.lit(0),
+                                     F.col("annot_idx")))

@@ -255,6 +255,20 @@ def check_configuration(settings: DataFrame) -> DataFrame:
     return settings.select("config_id", "key", message.alias("message")).filter("message is not null")
 
 
+def check_patterns(catalog: DataFrame) -> DataFrame:
+    """Pattern part of the second check: name, regex and groups must be there."""
+    def blank(column: str) -> Column:
+        return F.coalesce(column, F.lit("")) == ""
+
+    title = F.when(blank("name"), F.lit("Unnamed")).otherwise(F.col("name"))
+    checks = F.array(
+        F.when(blank("name"), F.lit("Pattern name is required")),
+        F.when(blank("regex"), F.concat(F.lit("Pattern "), title, F.lit(" is missing regex"))),
+        F.when(F.coalesce(F.size("groups"), F.lit(0)) <= 0,
+               F.concat(F.lit("Pattern "), title, F.lit(" is missing groups"))))
+    return catalog.select("ordinal", F.explode(F.array_compact(checks)).alias("message"))
+
+
 def settings_diff(new: DataFrame, old: DataFrame, on: tuple[str, ...] = ("config_id",)) -> DataFrame:
     """Keys of the new settings whose value differs: ``key, old, new``."""
     before = old.select(*on, "key", F.col("value").alias("old"))

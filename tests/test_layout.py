@@ -84,6 +84,29 @@ def test_align_both_directions_and_operations(spark):
     assert line.startswith("Page 1 [Group ") and line.endswith("aligned vertically (100.0, 51.3) -> (102.0, 51.3)")
 
 
+def report(df):
+    return [r["line"] for r in df.orderBy(*L.REPORT_ORDER).collect()]
+
+
+def test_reports(spark):
+    df = boxes(spark, [box(0, 100, 50), box(1, 104, 52), box(2, 300, 500, 2, w=20.0, text="a long text that needs room")])
+    bar = "=" * 80
+    assert report(L.alignment_report_lines(L.align(df))) == [
+        bar, "ANNOTATION ALIGNMENT REPORT", bar, "",
+        "Summary: Total annotations: 3, Horizontal groups: 1, Vertical groups: 1, Horizontal aligned: 2, Vertical aligned: 2, Errors: 0",
+        "", "Alignment Operations:", "-" * 80, "", "Page 1:", "  Horizontal alignments: 2",
+        "    Page 1 [Group 0]: 'AE.AETERM' aligned horizontally (100.0, 50.0) -> (100.0, 51.0)",
+        "    Page 1 [Group 0]: 'AE.AETERM' aligned horizontally (104.0, 52.0) -> (104.0, 51.0)",
+        "  Vertical alignments: 2",
+        "    Page 1 [Group 0]: 'AE.AETERM' aligned vertically (100.0, 51.0) -> (102.0, 51.0)",
+        "    Page 1 [Group 0]: 'AE.AETERM' aligned vertically (104.0, 51.0) -> (102.0, 51.0)", "", bar]
+    still = report(L.alignment_report_lines(L.align(df, skip=[1])))
+    assert still[5:] == ["", bar]
+    lines = report(L.resize_report_lines(L.resize(df, "standard")))
+    assert "Summary: Total annotations: 3, FreeText: 3, Checked: 3, Resized: 3, Skipped: 0, Errors: 0" in lines
+    assert lines[-3].startswith("Page 2: 'a long text that needs room' [helv 10.0pt] (20.0x12.0) -> (")
+
+
 def test_skipped_pages_stay(spark):
     df = boxes(spark, [box(0, 10, 50), box(1, 10, 55), box(2, 10, 50, 2), box(3, 10, 55, 2)])
     assert {r["page"] for r in L.align(df, skip=[2]).filter("h_moved").collect()} == {1}

@@ -146,6 +146,14 @@ def test_settings(spark):
     assert [r["message"] for r in S.check_settings(rows.filter("config_id = 'good'"), own).collect()] == ["odd 5"]
 
 
+def test_pattern_requirements(spark):
+    table = spark.createDataFrame([(1, "A", "x", {"value": 1}), (2, "", "", None), (3, "C", None, {})],
+                                  "ordinal int, name string, regex string, groups map<string,int>")
+    assert [tuple(r) for r in S.check_patterns(table).collect()] == [
+        (2, "Pattern name is required"), (2, "Pattern Unnamed is missing regex"), (2, "Pattern Unnamed is missing groups"),
+        (3, "Pattern C is missing regex"), (3, "Pattern C is missing groups")]
+
+
 def test_color_workflow_and_updates(spark, notes):
     totals = ST.color_workflow_totals(ST.export(notes, ST.StandardizeOptions(align=False, auto_resize=False, quotes=False)), tables.extract_full(notes), by=())
     row = totals.collect()[0]
