@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
 
-from annolake.llm import chat, url_filter
+from annolake.llm import chat, tokens, url_filter
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CONTROL_TURNS = ((-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"))
 
 
@@ -30,4 +32,10 @@ def op2_chat_format(spark, sf_dir):
     return chat.digest(chat.format_turns(rows))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format}
+def op9_token_output(spark, sf_dir):
+    """Every document's ids, written to blocks and read back."""
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format,
+           "op9_token_output": op9_token_output}
