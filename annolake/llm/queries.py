@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import chat, tokens, url_filter
+from annolake.llm import chat, quality, tokens, url_filter
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -32,10 +32,20 @@ def op2_chat_format(spark, sf_dir):
     return chat.digest(chat.format_turns(rows))
 
 
+def quality_labels(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+
+
+def op7_quality_classifier(spark, sf_dir):
+    """Every document's score, learnt from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality_labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_output(spark, sf_dir):
     """Every document's ids, written to blocks and read back."""
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format,
-           "op9_token_output": op9_token_output}
+           "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output}
