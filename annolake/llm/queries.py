@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import chat, quality, tokens, url_filter
+from annolake.llm import chat, decontaminate, quality, tokens, url_filter
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -32,6 +32,12 @@ def op2_chat_format(spark, sf_dir):
     return chat.digest(chat.format_turns(rows))
 
 
+def op5_decontamination(spark, sf_dir):
+    """Every document's leaked benchmark items, with the best window."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items).drop("fp")
+
+
 def quality_labels(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
@@ -48,4 +54,4 @@ def op9_token_output(spark, sf_dir):
 
 
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format,
-           "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output}
+           "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output}
