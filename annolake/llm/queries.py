@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import chat, decontaminate, quality, tokens, url_filter
+from annolake.llm import chat, decontaminate, mixing, quality, tokens, url_filter
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: How far the mix lifts small sources, languages and topics.
+POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.95}
 CONTROL_TURNS = ((-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"))
 
 
@@ -53,5 +55,12 @@ def op9_token_output(spark, sf_dir):
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_mixing(spark, sf_dir):
+    """Every document's topic, tokens, rate, probability and whether it is sampled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, POWERS).drop("text")
+
+
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format,
-           "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output}
+           "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output,
+           "op10_mixing": op10_mixing}
