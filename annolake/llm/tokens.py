@@ -6,6 +6,7 @@ of whole documents (``BLOCK`` ids, more where one document has more).  A block i
 one row of the written table:
 
     part, block     the range partition and the block within it
+    before          ids of the partition's earlier blocks
     doc_ids         its documents, little-endian int64
     ends            for each, where its ids end within the block, little-endian uint32
     levels          one binary for each chunk level: the chunks, one byte each
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from annolake.llm.common import pieces, written
 from annolake.session import small_table
@@ -44,7 +45,7 @@ END = 2
 KNOWN = 1 << 20
 #: Documents encoded at a time.
 DOCS = 256
-ROW = ("part int, block int, n_ids long, doc_ids binary, ends binary, levels array<binary>, "
+ROW = ("part int, block int, before long, n_ids long, doc_ids binary, ends binary, levels array<binary>, "
        "bitmaps array<binary>, ranks array<binary>")
 
 
@@ -126,12 +127,13 @@ _APART = re.compile(rb"(?<=[a-z0-9])(?=[.,])").sub
 def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, number = encoder(path), None, 0
+        before = 0
         end = np.array([END], "<u4").tobytes()
         ids, docs, ends = bytearray(), [], []
 
         def flush():
             levels, bitmaps, ranks = pack(np.frombuffer(bytes(ids), "<u4"))
-            row = {"part": part, "block": number, "n_ids": len(ids) // 4, "doc_ids": np.array(docs, "<i8").tobytes(),
+            row = {"part": part, "block": number, "before": before, "n_ids": len(ids) // 4, "doc_ids": np.array(docs, "<i8").tobytes(),
                    "ends": np.array(ends, "<u4").tobytes(), "levels": levels, "bitmaps": bitmaps, "ranks": ranks}
             return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
@@ -146,6 +148,7 @@ def _blocks(path: str):
                     if len(ids) >= 4 * BLOCK:
                         yield flush()
                         number += 1
+                        before += len(ids) // 4
                         ids, docs, ends = bytearray(), [], []
         if docs:
             yield flush()
@@ -154,7 +157,7 @@ def _blocks(path: str):
 
 #: Stands for a null doc_id in the files.
 NULL = -(1 << 63)
-_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()),
+_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()),
                      ("ends", pa.binary()), ("levels", pa.list_(pa.binary())), ("bitmaps", pa.list_(pa.binary())),
                      ("ranks", pa.list_(pa.binary()))])
 
@@ -188,12 +191,9 @@ def read(blocks: DataFrame) -> DataFrame:
     for row in sizes:
         starts.append((row.part, total))
         total += row.n
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")
-                                 .rowsBetween(Window.unboundedPreceding, -1))
-    places = (blocks.select("part", "block", "n_ids").withColumn("before", F.coalesce(before, F.lit(0)))
-              .join(small_table(spark, starts, "part int, start long"), "part")
-              .select("part", "block", (F.col("start") + F.col("before")).alias("first")))
-    return (blocks.join(places, ["part", "block"]).select("first", "doc_ids", "ends", "levels", "bitmaps")
+    first = (F.col("start") + F.col("before")).alias("first")
+    placed = blocks.join(small_table(spark, starts, "part int, start long"), "part")
+    return (placed.select(first, "doc_ids", "ends", "levels", "bitmaps")
             .mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
