@@ -196,3 +196,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
     return (docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score(model, F.col("text")))
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` that score ``THRESHOLD`` or more, with their own columns."""
+    model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return docs.filter(score(model, F.col("text")) >= THRESHOLD)

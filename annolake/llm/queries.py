@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import chat, decontaminate, mixing, quality, tokens, url_filter
+from annolake.llm import chat, decontaminate, jaccard, mixing, quality, tokens, url_filter
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -34,6 +34,11 @@ def op2_chat_format(spark, sf_dir):
     return chat.digest(chat.format_turns(rows))
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    """Every document's set size and component of near duplicates."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark, sf_dir):
     """Every document's leaked benchmark items, with the best window."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -62,5 +67,5 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format,
-           "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output,
+           "op3_ngram_jaccard": op3_ngram_jaccard, "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output,
            "op10_mixing": op10_mixing}
