@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import chat, decontaminate, jaccard, mixing, quality, tokens, url_filter
+from annolake.llm import chat, decontaminate, jaccard, mixing, pii, quality, tokens, url_filter
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -39,6 +39,13 @@ def op3_ngram_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark, sf_dir):
+    """Every document's personal data: counts and digest of base spans, all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *pii.counts(F.col("base")), F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"),
+                        pii.told(F.col("spans")).alias("spans"))
+
+
 def op5_decontamination(spark, sf_dir):
     """Every document's leaked benchmark items, with the best window."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -67,5 +74,5 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format,
-           "op3_ngram_jaccard": op3_ngram_jaccard, "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output,
+           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output,
            "op10_mixing": op10_mixing}
