@@ -13,7 +13,8 @@ Two documents link when NUM / DEN of the union is shared.
    a small count sketch of the corpus calls frequent, then goes by hash, so common
    passages rarely make long lists.  Only these elements are shuffled.  A list is
    sorted by set size and cut into blocks; a block pair is skipped when sizes are too
-   far apart, or when the elements from the current position on are too few.
+   far apart, or when the elements from the current position on are too few.  Pairs
+   that meet in fewer lists than two sets that link must are dropped.
 4. *Answers by cluster.*  Lists yield pairs of clusters, not of their members, and
    only roots are compared.  Distances to the roots then bound what any two members
    can share: most cluster pairs are settled by that, the rest are compared member
@@ -133,7 +134,7 @@ def _entries(levels: np.ndarray):
                 level = levels[(values & np.uint64(SKETCH - 1)).astype(np.int64)]
                 if level.any():
                     values = values[np.argsort(level, kind="stable")]
-                first = n + (-n * NUM // DEN) + 1
+                first = _prefix(n)
                 parts.append((values[:first], docs[row], n))
                 held += first
                 if held > 1 << 18:
@@ -186,41 +187,86 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kept.to_batches()
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of clusters from lists sorted by size, block by block."""
-    found, held = [], 0
+def _prefix(n: np.ndarray) -> np.ndarray:
+    """How many elements of a set of n go into the lists."""
+    return n + (-n * NUM // DEN) + 1
+
+
+def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many listed elements two sets that link share at least: those they share
+    beyond the prefix that ends first are at most that set's remaining elements."""
+    least = -(-NUM * (n + m) // (NUM + DEN))
+    return np.maximum(1, least - np.maximum(n - _prefix(n), m - _prefix(m)))
+
+
+def _fits(n, m, rest, left, late, behind) -> np.ndarray:
+    """Sizes near enough, and enough elements before, at and after the positions."""
+    return ((n * NUM <= m * DEN) & (m * NUM <= n * DEN)
+            & ((np.minimum(late, behind) + np.minimum(rest, left)) * (NUM + DEN) >= NUM * (n + m)))
 
-    def flush():
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+def _once(pairs: np.ndarray) -> np.ndarray:
+    """Rows (list, a, b, need, first) with one row, that of least need, for each list and
+    pair, and the greatest ``first``."""
+    pairs = pairs[np.lexsort(pairs.T[::-1])]
+    if len(pairs):
+        begin = np.flatnonzero(np.concatenate([[True], (pairs[1:, :3] != pairs[:-1, :3]).any(axis=1)]))
+        pairs[begin, 4] = np.maximum.reduceat(pairs[:, 4], begin)
+    return pairs[np.concatenate([[True], (pairs[1:, :3] != pairs[:-1, :3]).any(axis=1)])] if len(pairs) else pairs
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, lists, need, first): pairs of clusters, in how many lists members of both
+    meet, the least that any two of these would have to share, and whether some list
+    may hold the first element that they share.
+
+    Lists are sorted by size.  Short ones are taken together, each row with the row d
+    places on; long ones block by block."""
     for table, starts, ends in _lists(batches):
-        n, rest, root = (table.column(c).to_numpy() for c in ("n", "rest", "root"))
-        for s, e in zip(starts, ends):
-            if e - s < 2 or (root[s:e] == root[s]).all():
-                continue
+        n, rest, late, root = (table.column(c).to_numpy() for c in ("n", "rest", "late", "root"))
+        found = []
+
+        def keep(number, x, y):
+            a, b = root[x], root[y]
+            first = np.minimum(rest[x], rest[y]) * (NUM + DEN) >= NUM * (n[x] + n[y])
+            found.append(_once(np.stack([number, np.minimum(a, b), np.maximum(a, b), _need(n[x], n[y]), first], axis=1)))
+
+        lengths = ends - starts
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        short = np.repeat(mixed & (lengths <= 32), lengths)
+        number = np.repeat(np.arange(len(starts)), lengths)
+        rows = np.flatnonzero(short)
+        for d in range(1, min(32, int(lengths[mixed].max(initial=0)))):
+            rows = rows[rows + d < len(number)]
+            rows = rows[number[rows] == number[rows + d]]
+            x = rows[(root[rows] != root[rows + d]) 
+                     & _fits(n[rows], n[rows + d], rest[rows], rest[rows + d], late[rows], late[rows + d])]
+            if len(x):
+                keep(number[x], x, x + d)
+        for k in np.flatnonzero(mixed & (lengths > 32)):
+            s, e = starts[k], ends[k]
             for i in range(s, e, BLOCK):
-                a = slice(i, min(i + BLOCK, e))
+                a = np.arange(i, min(i + BLOCK, e))
                 for j in range(i, e, BLOCK):
-                    b = slice(j, min(j + BLOCK, e))
-                    if n[b][0] * NUM > n[a][-1] * DEN:
+                    b = np.arange(j, min(j + BLOCK, e))
+                    if n[j] * NUM > n[a[-1]] * DEN:
                         break  # sizes only grow from here
-                    if min(rest[a].max(), rest[b].max()) * (NUM + DEN) < NUM * (n[a][0] + n[b][0]):
-                        continue  # too few elements after the position
-                    ok = ((n[b][None, :] * NUM <= n[a][:, None] * DEN) & (n[a][:, None] * NUM <= n[b][None, :] * DEN)
-                          & (root[a][:, None] != root[b][None, :])
-                          & (np.minimum(rest[a][:, None], rest[b][None, :]) * (NUM + DEN)
-                             >= NUM * (n[a][:, None] + n[b][None, :])))
-                    x, y = np.nonzero(ok)
+                    if ((min(rest[a].max(), rest[b].max()) + min(late[a].max(), late[b].max())) * (NUM + DEN)
+                            < NUM * (n[i] + n[j])):
+                        continue  # too few elements, wherever in the blocks the positions are
+                    x, y = np.nonzero((root[a][:, None] != root[b][None, :])
+                                      & _fits(n[a][:, None], n[b][None, :], rest[a][:, None], rest[b][None, :],
+                                              late[a][:, None], late[b][None, :]))
                     if len(x):
-                        pair = np.stack([root[a][x], root[b][y]], axis=1)
-                        pair.sort(axis=1)
-                        found.append(np.unique(pair, axis=0))
-                        held += len(found[-1])
-            if held > 1 << 19:
-                yield flush()
-                found, held = [], 0
-    yield flush()
+                        keep(np.full(len(x), k), a[x], b[y])
+        if found:
+            pairs = _once(np.concatenate(found))[:, 1:]
+            pairs = pairs[np.lexsort(pairs.T[::-1])]
+            first = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]))
+            lists = np.diff(np.concatenate([first, [len(pairs)]]))
+            most = np.maximum.reduceat(pairs[:, 3], first)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*pairs[first, :2].T, lists, pairs[first, 2], most)],
+                                             ["a", "b", "lists", "need", "first"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,9 +386,11 @@ def join(docs: DataFrame) -> DataFrame:
           .join(nodes.select("print", "n", "node"), ["print", "n"]).select("doc_id", "node", "n").distinct()
           .join(members.select("node", "root"), "node").select("doc_id", "n", "root"))
     lists = (shared.join(of, ["doc_id", "n"]).groupBy("element", "root", "n")
-             .agg(F.max(F.col("n") - F.col("pos")).alias("rest")))
-    pairs = written(lists.repartition(n, "element").sortWithinPartitions("element", "n").select("element", "n", "rest", "root")
-                    .mapInArrow(_cross, "a long, b long").distinct(), "cluster-pairs")
+             .agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("pos").alias("late")))
+    pairs = written(lists.repartition(n, "element").sortWithinPartitions("element", "n").select("element", "n", "rest", "late", "root")
+                    .mapInArrow(_cross, "a long, b long, lists long, need long, first long")
+                    .groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("need").alias("need"), F.max("first").alias("first"))
+                    .filter("lists >= need and first = 1").select("a", "b"), "cluster-pairs")
 
     # answers by cluster
     size = members.groupBy("root").agg(F.max("n").alias("most"), F.max("far").alias("far"), F.count(F.lit(1)).alias("members"))
