@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import chat, decontaminate, jaccard, mixing, pii, quality, tokens, url_filter
+from annolake.llm import ann, chat, decontaminate, jaccard, mixing, pii, quality, tokens, url_filter
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -62,6 +62,11 @@ def op7_quality_classifier(spark, sf_dir):
     return quality.classify(docs, quality_labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_ann(spark, sf_dir):
+    """The 20 nearest others of every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_token_output(spark, sf_dir):
     """Every document's ids, written to blocks and read back."""
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -74,5 +79,6 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format,
-           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_token_output": op9_token_output,
+           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_ann": op8_ann,
+           "op9_token_output": op9_token_output,
            "op10_mixing": op10_mixing}
