@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import ann, chat, decontaminate, jaccard, mixing, pii, quality, tokens, url_filter
+from annolake.llm import ann, chat, decontaminate, jaccard, lm, mixing, pii, quality, tokens, url_filter
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -52,6 +52,12 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.leaks(docs, items).drop("fp")
 
 
+def op6_lm_scoring(spark, sf_dir):
+    """Every document's score under the model of all documents, in ten-thousandths."""
+    found = lm.score(table(spark, sf_dir, "documents"))
+    return found.withColumn("log_score", F.round("log_score", 4))
+
+
 def quality_labels(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
@@ -78,7 +84,6 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(docs, POWERS).drop("text")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format,
-           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_pii": op4_pii, "op5_decontamination": op5_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_ann": op8_ann,
-           "op9_token_output": op9_token_output,
-           "op10_mixing": op10_mixing}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_pii, op5_decontamination, op6_lm_scoring,
+    op7_quality_classifier, op8_ann, op9_token_output, op10_mixing)}

@@ -43,4 +43,19 @@ SELECT conv_id, count(*) AS n_turns,
            + CASE WHEN after = role THEN 0 ELSE {len(chat.CLOSE)} END)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
-ORACLE = {"op1_url_filter": URL_FILTER, "op2_chat_format": CHAT_FORMAT}
+LM_SCORING = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS w, unnest(list_concat([' '], words[:-2])) AS u FROM docs WHERE len(words) > 0),
+ones AS (SELECT w, count(*) AS n FROM placed GROUP BY w),
+marks AS (SELECT w, n FROM ones UNION ALL SELECT ' ', count(*) FROM docs WHERE len(words) > 0),
+twos AS (SELECT u, w, count(*) AS n FROM placed GROUP BY u, w),
+scored AS (
+  SELECT doc_id, CASE WHEN twos.n >= 2 THEN ln(twos.n) - ln(marks.n)
+                      ELSE ln(0.4) + ln(ones.n) - ln((SELECT sum(n) FROM ones)) END AS s
+  FROM placed JOIN twos USING (u, w) JOIN ones ON ones.w = placed.w JOIN marks ON marks.w = placed.u)
+SELECT docs.doc_id, count(s) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score
+FROM docs LEFT JOIN scored ON scored.doc_id = docs.doc_id GROUP BY docs.doc_id
+"""
+ORACLE = {"op1_url_filter": URL_FILTER, "op2_chat_format": CHAT_FORMAT, "op6_lm_scoring": LM_SCORING}
