@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from annolake.workload.oracle_queries import ORACLE as SQL
+from annolake.workload.queries import QUERIES
 from tools_check import rows
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
 # have no SQL form; tested against brute force on fixtures
 WITHOUT_SQL = {"findings_similar", "document_quotes"}
 
@@ -24,17 +25,18 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(SQL) == WITHOUT_SQL
-    assert set(SQL) <= set(entry.queries())
+    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if name in WITHOUT_SQL:
         assert got
