@@ -37,8 +37,8 @@ from annolake.llm.wordhash import arrow_bytes, mix, slices, word_hashes
 
 MIN_COUNT, BACKOFF, HOT = 2, 0.4, 4096
 BITS = np.uint64((1 << 48) - 1)
-#: The context of a text's first word; no word's hash, these are below 2**48.
-START = 1 << 48
+#: The context of a text's first word; words' hashes are below it.
+START = (1 << 48) - 1
 RARE = 65535
 #: Bytes of text packed together.
 PIECE = 1 << 23
@@ -46,7 +46,7 @@ PIECE = 1 << 23
 
 def _words(piece: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = word_hashes(*arrow_bytes(piece.column(column)))
-    return hashes & BITS, at
+    return np.minimum(hashes & BITS, np.uint64(START - 1)), at
 
 
 def _counted(parts: list) -> tuple[np.ndarray, np.ndarray]:
