@@ -10,8 +10,9 @@ Two documents link when NUM / DEN of the union is shared.
    at most from the root (sizes of symmetric differences add up along the tree).
 3. *Index lists.*  Sets that link share an element among their first
    n - ceil(n NUM / DEN) + 1, in any fixed order.  The order puts elements last that
-   a small count sketch of the corpus calls frequent, then goes by hash, so common
-   passages rarely make long lists.  Only these elements are shuffled.  A list is
+   a small sketch of the corpus calls frequent (counts of elements that several
+   documents near each other share), then goes by hash, so common passages rarely make
+   long lists.  Only these elements are shuffled.  A list is
    sorted by set size and cut into blocks; a block pair is skipped when sizes are too
    far apart, or when the elements from the current position on are too few.  Pairs
    that meet in fewer lists than two sets that link must are dropped.
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from annolake.llm.common import pieces, written
 from annolake.llm.wordhash import arrow_bytes, mix, shingles, slices, word_hashes
@@ -46,9 +47,13 @@ from annolake.llm.wordhash import arrow_bytes, mix, shingles, slices, word_hashe
 WIDTH = 5
 NUM, DEN = 75, 100
 #: Counters of the frequency sketch; its size does not grow with the corpus.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
+#: Elements among which repeated ones are counted.
+NEAR = 1 << 21
 #: An element counted this many times as often as the mean counter is frequent.
 FREQUENT = 4
+#: Members of a cluster with which an open pair is tried first.
+PROBES = 6
 #: Entries in a block of an index list.
 BLOCK = 512
 #: Bits of the id filter, of fixed size; a full one passes more rows and loses none.
@@ -75,43 +80,52 @@ _SIGNATURE = "doc_id long, n long, print long, low array<long>, counts binary"
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, fingerprint and three smallest elements of each set; last, one row with
-    the counts of all elements of this partition in the sketch."""
+    the sketch of this partition: how often elements occur again among ``NEAR`` others."""
     counts = np.zeros(SKETCH, np.uint32)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.int64()),
                         ("low", pa.list_(pa.int64())), ("counts", pa.binary())])
+    sets, held = {}, 0
+
+    def count():
+        elements, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        again = times > 1
+        np.add.at(counts, (elements[again] & np.uint64(SKETCH - 1)).astype(np.int64), (times[again] - 1).astype(np.uint32))
+
     for batch in batches:
-        sizes, prints, low, spread, held = [], [], [], [], 0
+        sizes, prints, low = [], [], []
         for _, values in text_sets(batch, 1):
             sizes.append(len(values))
             prints.append(_fingerprint(values) if len(values) else 0)
             low.append(values[:3].view(np.int64).tolist())
-            spread.append((values & np.uint64(SKETCH - 1)).astype(np.int64))
-            held += len(values)
-            if held > SKETCH:
-                counts += np.bincount(np.concatenate(spread), minlength=SKETCH).astype(np.uint32)
-                spread, held = [], 0
-        if spread:
-            counts += np.bincount(np.concatenate(spread), minlength=SKETCH).astype(np.uint32)
+            if prints[-1] not in sets:  # copies say nothing about frequency
+                sets[prints[-1]] = values
+                held += len(values)
+            if held > NEAR:
+                count()
+                sets, held = {}, 0
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()),
                                           pa.array(low, pa.list_(pa.int64())), pa.nulls(len(sizes), pa.binary())],
                                          schema=schema)
+    if sets:
+        count()
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()),
                                       pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tobytes()])], schema=schema)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, np.uint64)
+    total = np.zeros(SKETCH, np.uint32)
     for batch in batches:
         for counts in batch.column(0):
-            total += np.frombuffer(counts.as_py(), np.uint32 if len(counts.as_py()) == 4 * SKETCH else np.uint64)
+            part = np.frombuffer(counts.as_py(), np.uint32)
+            total += np.minimum(part, np.uint32(0xFFFFFFFF) - total)
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
 
 
 def _levels(signatures: DataFrame) -> np.ndarray:
     """For each sketch counter 0, or how far above the mean its count is."""
-    parts = signatures.filter("n < 0").select("counts").coalesce(8).mapInArrow(_added, "counts binary").collect()
-    total = sum((np.frombuffer(r.counts, np.uint64) for r in parts), np.zeros(SKETCH, np.uint64)).astype(float)
-    above = total / max(1.0, FREQUENT * total.mean())
+    parts = signatures.filter("n < 0").select("counts").coalesce(4).mapInArrow(_added, "counts binary").collect()
+    total = sum((np.frombuffer(r.counts, np.uint32).astype(float) for r in parts), np.zeros(SKETCH))
+    above = total / (FREQUENT * (total.mean() + 0.25))
     return np.where(above > 1, 1 + np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
 
 
@@ -403,7 +417,7 @@ def join(docs: DataFrame) -> DataFrame:
                             & (F.col("apart") - F.col("far_a") - F.col("far_b") <= reach(F.col("most_a"), F.col("most_b")))),
                     "open-clusters")
     if open_.limit(1).count():
-        linked += _members_answers(docs, members, open_, reach)
+        linked += _members_answers(docs, members, open_, linked[0], reach)
     edges = linked[0]
     for more in linked[1:]:
         edges = edges.unionByName(more)
@@ -416,16 +430,37 @@ def join(docs: DataFrame) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _members_answers(docs: DataFrame, members: DataFrame, open_: DataFrame, reach) -> list[DataFrame]:
-    """Links (of roots) between clusters whose roots leave the matter open."""
-    inner = members.filter("node <> root")
-    tries = []
-    for own, other in (("a", "b"), ("b", "a")):
-        tries.append(open_.join(inner, F.col(own) == F.col("root"))
-                     .filter(F.col("apart") - F.col("far") - F.col(f"far_{other}") <= reach(F.col("n"), F.col(f"most_{other}")))
-                     .select("node", F.col("n").alias("node_n"), F.col("far").alias("node_far"), F.col(other).alias("to"),
-                             F.col(own).alias("own")))
-    asked = written(tries[0].unionByName(tries[1]), "member-pairs")
+def _members_answers(docs: DataFrame, members: DataFrame, open_: DataFrame, known: DataFrame, reach) -> list[DataFrame]:
+    """Links (of roots) between clusters whose roots leave the matter open; ``known``: links so far."""
+    some = members.filter("node <> root").withColumn(
+        "k", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node"), "node"))).filter(F.col("k") <= PROBES)
+    probes = written(_asked(open_, some, reach), "probes")
+    linked = compare(docs, probes.select(F.col("node").alias("a"), F.col("to").alias("b")).distinct()).filter(_linked())
+    found = written(probes.join(linked.select(F.col("a").alias("node"), F.col("b").alias("to")), ["node", "to"])
+                    .select(F.col("own").alias("a"), F.col("to").alias("b")), "probe-links")
+    label = components(known.unionByName(found))
+    joined = open_.join(label.select(F.col("node").alias("a"), F.col("label").alias("at_a")), "a", "left").join(
+        label.select(F.col("node").alias("b"), F.col("label").alias("at_b")), "b", "left")
+    left = written(joined.filter("at_a is null or at_b is null or at_a <> at_b").drop("at_a", "at_b"), "still-open")
+    if not left.limit(1).count():
+        return [found]
+    return [found, *_all_answers(docs, members, left, reach)]
+
+
+def _asked(open_: DataFrame, members: DataFrame, reach) -> DataFrame:
+    """(node, node_n, node_far, to, own): members and the other cluster's root, where
+    distances allow a link of the member with that cluster."""
+    def side(own: str, other: str) -> DataFrame:
+        return (open_.join(members, F.col(own) == F.col("root"))
+                .filter(F.col("apart") - F.col("far") - F.col(f"far_{other}") <= reach(F.col("n"), F.col(f"most_{other}")))
+                .select("node", F.col("n").alias("node_n"), F.col("far").alias("node_far"), F.col(other).alias("to"),
+                        F.col(own).alias("own"), "apart"))
+    return side("a", "b").unionByName(side("b", "a")).drop("apart")
+
+
+def _all_answers(docs: DataFrame, members: DataFrame, open_: DataFrame, reach) -> list[DataFrame]:
+    """The same for all members of the clusters that are open still."""
+    asked = written(_asked(open_, members.filter("node <> root"), reach), "member-pairs")
     answers = written(asked.join(compare(docs, asked.select(F.col("node").alias("a"), F.col("to").alias("b")).distinct())
                                  .withColumnRenamed("a", "node").withColumnRenamed("b", "to"), ["node", "to"]), "member-answers")
     links = answers.filter(_linked()).select(F.col("own").alias("a"), F.col("to").alias("b"))

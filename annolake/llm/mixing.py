@@ -120,3 +120,10 @@ def mix(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFram
             .withColumn("probability", F.least(F.lit(1.0), F.col("rate") / greatest))
             .withColumn("sampled", draw(F.col("doc_id"), F.col("text"), seed) < F.col("probability"))
             .drop(*(f"__f_{d}" for d in DIMENSIONS)))
+
+
+def sample(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFrame:
+    """The sampled rows of ``docs`` with their own columns."""
+    needed = [c for c in ("doc_id", "text", *DIMENSIONS) if c in docs.columns]
+    held = docs.select(F.struct("*").alias("__row"), *needed)
+    return mix(held, powers, seed).filter("sampled").select("__row.*")

@@ -32,7 +32,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents sampled with their calibrated probabilities."""
-    return mixing.mix(docs, POWERS).filter("sampled").select(*docs.columns)
+    return mixing.sample(docs, POWERS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
