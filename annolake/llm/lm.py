@@ -6,17 +6,19 @@ elsewhere; the first word of a text comes after a mark of its own.  A document's
 is the sum of the logarithms over its words.
 
 1. *Unigram table*: words counted in each task, then by Spark; written.
-2. *Bigram table and its join*: every task deals its exploded bigrams out by the hash of
-   w into packed rows (a row for each piece of text and bucket).  A bucket has all
-   occurrences of its bigrams, so it counts them and looks each one up at once: table
-   and join share one shuffle.  What it knows is summed for each document; where the
-   context's count is missing, (document, context) goes on to
+2. *Bigram table and its join*: every task deals its exploded bigrams out by hash into
+   packed rows (a row for each piece of text and bucket).  A bucket has all occurrences
+   of its bigrams, so it counts them and looks each one up at once: table and join share
+   one shuffle.  What it knows is summed for each document; where the context's count is
+   missing, (document, context) goes on to
 3. a join with the unigram table, and all parts are summed by document.
 
 Words with at least 1 / ``HOT`` of all occurrences (so ``HOT`` at most) are known to
-every task with their counts: their bigrams are dealt out by both words, and contexts
-among them need no join.  So no word, however frequent, fills one bucket.  Buckets
-follow the session's shuffle partitions.
+every task with their counts.  A bigram of two such words is dealt out by both, so no
+word, however frequent, fills one bucket; a bigram with one other word by that word,
+whose pieces' counts travel along; one of two others by w.  Only bigrams of the last
+kind that occur ``MIN_COUNT`` times need the join.  Buckets follow the session's shuffle
+partitions.
 
 Words are told by 48 bits of a hash: of a billion different words two thousand would
 share one.  Null and blank texts have no words and the score 0.  Rows that repeat a
@@ -35,13 +37,13 @@ from pyspark.sql import DataFrame, functions as F
 from annolake.llm.common import pieces, written
 from annolake.llm.wordhash import arrow_bytes, mix, slices, word_hashes
 
-MIN_COUNT, BACKOFF, HOT = 2, 0.4, 4096
+MIN_COUNT, BACKOFF, HOT = 2, 0.4, 16384
 BITS = np.uint64((1 << 48) - 1)
 #: The context of a text's first word; words' hashes are below it.
 START = (1 << 48) - 1
 RARE = 65535
 #: Bytes of text packed together.
-PIECE = 1 << 23
+PIECE = 1 << 22
 
 
 def _words(piece: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +121,12 @@ def _deal(hot: np.ndarray, buckets: int):
                 for at in range(0, piece.num_rows, RARE):  # documents are numbered in 16 bits
                     yield from pack(piece.slice(at, RARE))
 
+    def place(words: np.ndarray) -> np.ndarray:
+        return (mix(words) % np.uint64(buckets)).astype(np.int64)
+
+    def cut(bucket: np.ndarray) -> np.ndarray:
+        return np.searchsorted(bucket, np.arange(buckets + 1))
+
     def pack(piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         word, at = _words(piece, 1)
         if not len(word):
@@ -126,68 +134,104 @@ def _deal(hot: np.ndarray, buckets: int):
         before = np.concatenate([[np.uint64(START)], word[:-1]])
         before[at[:-1][np.diff(at) > 0]] = START
         doc = np.repeat(np.arange(piece.num_rows, dtype=np.uint16), np.diff(at))
-        context, known = _find(hot, before), _find(hot, word) != RARE
-        bucket = (mix(word + np.where(known, mix(before), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((word, bucket))
-        word, before, doc, context, bucket = word[order], before[order], doc[order], context[order], bucket[order]
+        context, own = _find(hot, before), _find(hot, word)
+        # all rare words of the piece, the mark among them, with their occurrences
+        rare, count = np.unique(np.append(word[own == RARE], before[before == START][:np.count_nonzero(np.diff(at))]), return_counts=True)
+        rare, count = rare[_find(hot, rare) == RARE], count[_find(hot, rare) == RARE]
+        home = place(rare)
+        order = np.lexsort((rare, home))
+        rare, count, home = rare[order], count[order], home[order]
+        parts = [(cut(home), (rare, count))]
+        for rows, key in ((own == RARE, word), ((own != RARE) & (context == RARE), before),
+                          ((own != RARE) & (context != RARE), word + mix(before))):
+            key, rows = key[rows], np.flatnonzero(rows)
+            home = place(key)
+            order = np.lexsort((key, home))
+            rows = rows[order]
+            parts.append((cut(home[order]), (rows,)))
         ids = piece.column(0)
-        ids = (ids.fill_null(0).to_numpy().astype("<i8").tobytes() + np.asarray(ids.is_null(), np.uint8).tobytes())
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows = []
-        for s, e in zip(starts, np.concatenate([starts[1:], [len(bucket)]])):
-            unique, count = np.unique(word[s:e], return_counts=True)
-            rows.append(_zip(ids, _six(unique), count.astype("<u4").tobytes(), context[s:e].tobytes(),
-                             _six(before[s:e][context[s:e] == RARE]), doc[s:e].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(rows, pa.binary())],
-                                         ["bucket", "bigrams"])
+        ids = ids.fill_null(0).to_numpy().astype("<i8").tobytes() + np.asarray(ids.is_null(), np.uint8).tobytes()
+        out, numbers = [], []
+        for b in range(buckets):
+            words_of, by_word, by_context, both = (slice(c[b], c[b + 1]) for c, _ in parts)
+            w, c, m = parts[1][1][0][by_word], parts[2][1][0][by_context], parts[3][1][0][both]
+            names = rare[words_of]
+            if len(w) + len(c) + len(m) + len(names) == 0:
+                continue
+            out.append(_zip(
+                ids, _six(names), count[words_of].astype("<u4").tobytes(),
+                _runs(names, word[w]), context[w].tobytes(), _six(before[w][context[w] == RARE]), doc[w].tobytes(),
+                _runs(names, before[c]), own[c].tobytes(), doc[c].tobytes(),
+                context[m].tobytes(), own[m].tobytes(), doc[m].tobytes()))
+            numbers.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(out, pa.binary())], ["bucket", "bigrams"])
     return run
 
 
+def _runs(names: np.ndarray, words: np.ndarray) -> bytes:
+    """How many of the sorted words are each of the sorted names."""
+    return (np.searchsorted(words, names, "right") - np.searchsorted(words, names, "left")).astype("<u4").tobytes()
+
+
 def _score(hot: np.ndarray, hot_counts: np.ndarray, total: int, least: int, backoff: float):
     """(doc_id, word, n, value): sums for each document of a bucket, without a word, and
     how often it needs the logarithm of a context's count subtracted."""
+    counts = np.append(hot_counts, 1)
+
     def run(table: pa.Table) -> pa.Table:
-        words, contexts, places, docs, shift = [], [], [], [], 0
+        words, contexts, places, docs, names, times, shift = [], [], [], [], [], [], 0
+        code = lambda data: np.frombuffer(data, np.uint16)
         for data in table.column("bigrams"):
-            ids, unique, count, context, rare, doc = _unzip(data.as_py())
+            (ids, named, seen, runs, context, rare, doc, runs_of, own, doc_of, contexts_hot, own_hot, doc_hot) = _unzip(data.as_py())
             n = len(ids) // 9
-            missing = np.frombuffer(ids[8 * n:], np.uint8).astype(bool)
-            docs.append((np.frombuffer(ids[:8 * n], "<i8"), missing))
-            code = np.frombuffer(context, np.uint16)
-            before = np.zeros(len(code), np.uint64)
+            docs.append((np.frombuffer(ids[:8 * n], "<i8"), np.frombuffer(ids[8 * n:], np.uint8).astype(bool)))
+            owners = _eight(named)
+            names.append(owners)
+            times.append(np.frombuffer(seen, "<u4").astype(np.int64))
+            context = code(context)
+            before = np.zeros(len(context), np.uint64)
             if len(hot):
-                before[code != RARE] = hot[code[code != RARE]]
-            before[code == RARE] = _eight(rare)
-            words.append(np.repeat(_eight(unique), np.frombuffer(count, "<u4")))
-            contexts.append(before)
-            places.append(np.frombuffer(doc, np.uint16).astype(np.int64) + shift)
+                before[context != RARE] = hot[context[context != RARE]]
+            before[context == RARE] = _eight(rare)
+            words += [np.repeat(owners, np.frombuffer(runs, "<u4")), hot[code(own)], hot[code(own_hot)]]
+            contexts += [before, np.repeat(owners, np.frombuffer(runs_of, "<u4")), hot[code(contexts_hot)]]
+            places += [code(d).astype(np.int64) + shift for d in (doc, doc_of, doc_hot)]
             shift += n
         word, before, place = map(np.concatenate, (words, contexts, places))
+        del words, contexts, places
         ids, missing = map(np.concatenate, zip(*docs))
+        owned, seen = _counted([(np.concatenate(names), np.concatenate(times))])
+
+        def count(values: np.ndarray) -> np.ndarray:
+            """Occurrences of words that are hot or belong to this bucket, 0 of others."""
+            at = _find(hot, values)
+            found = counts[np.minimum(at, len(hot_counts))]
+            rare = at == RARE
+            here = np.minimum(np.searchsorted(owned, values[rare]), max(0, len(owned) - 1))
+            found[rare] = np.where(owned[here] == values[rare], seen[here], 0) if len(owned) else 0
+            return found
+
         _, pair, both = np.unique(mix(word) + before * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
-        _, one, alone = np.unique(word, return_inverse=True, return_counts=True)
-        own, context = _find(hot, word), _find(hot, before)
-        counts = np.append(hot_counts, 1)
-        single = np.where(own == RARE, alone[one], counts[np.minimum(own, len(hot_counts))])
         together = both[pair]
-        kept = together >= least
-        value = np.where(kept, np.log(together) - np.log(np.where(context == RARE, 1, counts[np.minimum(context, len(hot_counts))])),
-                         np.log(backoff) + np.log(single) - np.log(total))
+        del pair, both
+        kept, above = together >= least, count(before)
+        value = np.where(kept, np.log(together) - np.log(np.maximum(above, 1)),
+                         np.log(backoff) + np.log(np.maximum(count(word), 1)) - np.log(total))
         sums, n = np.bincount(place, value, shift), np.bincount(place, minlength=shift)
         some = np.flatnonzero((n > 0) & ~missing)
-        later = np.flatnonzero(kept & (context == RARE) & ~missing[place])
+        later = np.flatnonzero(kept & (above == 0) & ~missing[place])
         # a document that meets a context several times here is one row
         order = later[np.lexsort((before[later], place[later]))]
         new = np.concatenate([[True], (place[order][1:] != place[order][:-1]) | (before[order][1:] != before[order][:-1])])
         first = np.flatnonzero(new[:len(order)])
-        times = np.diff(np.concatenate([first, [len(order)]]))
+        often = np.diff(np.concatenate([first, [len(order)]]))
         order = order[first]
         return pa.table({
             "doc_id": np.concatenate([ids[some], ids[place[order]]]),
             "word": pa.array(np.concatenate([np.zeros(len(some), np.int64), before[order].view(np.int64)]),
                              mask=np.arange(len(some) + len(order)) < len(some)),
             "n": np.concatenate([n[some], np.zeros(len(order), np.int64)]),
-            "value": np.concatenate([sums[some], -times.astype(float)])})
+            "value": np.concatenate([sums[some], -often.astype(float)])})
     return run
 
 
@@ -207,10 +251,11 @@ def score(docs: DataFrame, least: int = MIN_COUNT, backoff: float = BACKOFF) ->
     packed = docs.mapInArrow(_deal(hot, 2 * pieces(docs.sparkSession)), "bucket int, bigrams binary")
     parts = packed.groupBy("bucket").applyInArrow(_score(hot, counts, total, least, backoff),
                                                   "doc_id long, word long, n long, value double")
-    joined = parts.join(table.withColumnRenamed("n", "seen"), "word", "left")
-    sums = joined.groupBy("doc_id").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("seen").isNull(), F.col("value")).otherwise(
-            F.col("value") * F.log("seen"))).alias("value"))
+    parts = written(parts, "parts")
+    later = parts.filter("word is not null").join(table.withColumnRenamed("n", "seen"), "word").select(
+        "doc_id", "n", (F.col("value") * F.log("seen")).alias("value"))
+    sums = (parts.filter("word is null").select("doc_id", "n", "value").unionByName(later)
+            .groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("value").alias("value")))
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
     return ids.join(sums, "doc_id", "left").select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_words"), F.coalesce("value", F.lit(0.0)).alias("log_score"))
