@@ -30,5 +30,13 @@ def flip(r: Column, page_height: Column) -> Column:
     return rect(r["x0"], page_height - r["y1"], r["x1"], page_height - r["y0"])
 
 
+def plain_number(c: Column) -> Column:
+    """A double as text without an exponent, as coordinates are written in files."""
+    text = c.cast("string")
+    digits = F.regexp_replace(text.cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(F.contains(text, F.lit("E")), F.coalesce(plain, text)).otherwise(text)
+
+
 def rect_text(r: Column) -> Column:
-    return F.concat_ws(",", *(r[c].cast("string") for c in ("x0", "y0", "x1", "y1")))
+    return F.concat_ws(",", *(plain_number(r[c]) for c in ("x0", "y0", "x1", "y1")))

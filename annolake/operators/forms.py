@@ -148,11 +148,8 @@ def xfdf_bookmarks(headers: DataFrame, page_forms: DataFrame,
     return _union(parts)
 
 
-CHILDREN = 10
-
-
-def item_bookmarks(annotations: DataFrame, content: str = "content") -> DataFrame:
-    """Domains with up to ten distinct texts below those that have a header."""
+def item_bookmarks(annotations: DataFrame, content: str = "content", children: int = 10) -> DataFrame:
+    """Domains with up to ``children`` distinct texts below those that have a header."""
     rows = annotations.select(
         "doc_id", "page", "annot_idx", header_code(F.col(content)).alias("_code"),
         header_label(F.col(content)).alias("label"), F.upper(content).alias("item"),
@@ -165,7 +162,7 @@ def item_bookmarks(annotations: DataFrame, content: str = "content") -> DataFram
     texts = (rows.filter("_code is null").groupBy("doc_id", "domain", "item")
              .agg(F.min(at).alias("_at")))
     best = Window.partitionBy("doc_id", "domain").orderBy("_at")
-    texts = texts.withColumn("_no", F.row_number().over(best)).filter(F.col("_no") <= CHILDREN)
+    texts = texts.withColumn("_no", F.row_number().over(best)).filter(F.col("_no") <= children)
     texts = texts.join(first.filter("label is not null").select("doc_id", "domain"),
                        ["doc_id", "domain"], "left_semi")
     title = F.when(F.col("label").isNotNull(), F.concat("domain", F.lit(" - "), "label")

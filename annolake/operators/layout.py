@@ -85,8 +85,8 @@ def proximity_groups(boxes: DataFrame, at: str, tolerance: float, method: str =
                      keys: tuple[str, ...] = PAGE, order: str = "annot_idx") -> DataFrame:
     """Groups of two or more boxes per page: ``keys, at, group_id, group_size, group_mean``.
 
-    One row per distinct coordinate that belongs to such a group.  Group numbers
-    rise in scan order; single boxes use numbers up without appearing.
+    One row per distinct coordinate that belongs to such a group.  Groups are
+    numbered from 0 on their page in scan order; single boxes have no number.
     """
     if method not in ("running_mean", "first_fit"):
         raise ValueError(f"unknown grouping {method!r}")
@@ -99,11 +99,12 @@ def proximity_groups(boxes: DataFrame, at: str, tolerance: float, method: str =
                .mapInPandas(_scan(keys, tolerance, method), schema))
     group = Window.partitionBy(*keys, "_group")
     size = F.sum("_n").over(group)
-    return scanned.select(
-        *keys, F.col("_at").alias(at), F.col("_group").alias("group_id"),
-        size.alias("group_size"),
+    sized = scanned.select(
+        *keys, F.col("_at").alias(at), "_group", size.alias("group_size"),
         (F.sum(F.col("_at") * F.col("_n")).over(group) / size).alias("group_mean")
     ).filter("group_size >= 2")
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_group")) - 1
+    return sized.select(*keys, at, number.alias("group_id"), "group_size", "group_mean")
 
 
 # --- alignment -------------------------------------------------------------

@@ -26,6 +26,8 @@ def local_session(app: str = "annolake", cores: str = "*", partitions: int = 8,
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))
+    if cores != "*":
+        builder = builder.config("annolake.input.pieces", cores)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -63,11 +63,14 @@ TEMPLATES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.  One file too small to give every core a piece is dealt out
-    first; tables with enough pieces are read as they lie."""
+    """A given table as it lies, or dealt out to ``annolake.input.pieces`` pieces.
+
+    The setting is for one machine whose tables are one row group each, which Spark
+    cannot split; a cluster leaves it unset.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    pieces = spark.conf.get("annolake.input.pieces", None)
+    return df.repartition(int(pieces)) if pieces else df
 
 
 def _pick(values, number: Column) -> Column:

@@ -33,7 +33,7 @@ ORACLE["missing_variables"] = parsed("""SELECT domain, variable_name, count(*) A
   AND NOT EXISTS (SELECT 1 FROM vars v WHERE v.domain = ok.domain AND v.name = ok.variable_name) GROUP BY ALL""")
 ORACLE["findings"] = checked("""SELECT study_id, doc_id, page, annot_idx, part_idx, rule_no, token_no, domain, variable_name, severity, category, message, suggested_correction FROM f""")
 ORACLE["unused_datasets"] = parsed("""SELECT domain AS "Dataset", 'May be using vendor/external data or oversight in annotation' AS "Possible Reason" FROM ds
-  WHERE domain NOT IN (SELECT domain FROM ok WHERE pattern_type <> 'DOMAIN_LABEL' AND domain IS NOT NULL)""")
+  WHERE domain NOT IN (SELECT domain FROM ok WHERE domain IS NOT NULL)""")
 ORACLE["variable_metadata"] = parsed("""SELECT ok.domain, ok.variable_name, CASE WHEN v.name IS NOT NULL THEN 'character' END AS variable_type, CASE WHEN v.name IS NOT NULL THEN 8 END AS variable_length,
   CASE WHEN v.name IS NOT NULL THEN upper(v.name[1:1]) || lower(v.name[2:]) END AS variable_label, count(*) AS n
   FROM ok LEFT JOIN vars v ON v.domain = ok.domain AND v.name = ok.variable_name GROUP BY ALL""")
@@ -152,11 +152,11 @@ ORACLE["parsed_colors"] = with_(ANN, body=f"""SELECT study_id, doc_id, page, ann
   CASE type WHEN 'Square' THEN {_DHEX} WHEN 'Highlight' THEN '#00FFFF' ELSE {_SHEX} END AS fill,
   CASE type WHEN 'Highlight' THEN NULL ELSE {_SHEX} END AS style FROM ann""")
 ORACLE["output_color_totals"] = with_(ANN, body=f"""SELECT study_id, count(*) AS total, count(*) FILTER (c = 'RED') AS red, count(*) FILTER (c = 'BLUE') AS blue, count(*) FILTER (c NOT IN ('RED', 'BLUE')) AS other
-  FROM (SELECT study_id, CASE WHEN {_F} THEN {_class('dr', 'dg', 'db')} ELSE 'RGB(0.00,0.00,0.00)' END AS c FROM ann WHERE type = 'FreeText' AND page <= 5) GROUP BY study_id""")
+  FROM (SELECT study_id, CASE WHEN {_F} THEN {_class('dr', 'dg', 'db')} ELSE 'RGB(0.00,0.00,0.00)' END AS c FROM ann WHERE type = 'FreeText') GROUP BY study_id""")
 _KEPT = f"""kept AS (SELECT study_id, doc_id, page, annot_idx, trim(content) AS content, round_even(r, 3) AS r, round_even(g, 3) AS g, round_even(b, 3) AS b,
   {_bands('r', 'g', 'b')} AS color_name FROM ann WHERE trim(content) <> '')"""
 ORACLE["color_usage"] = with_(ANN, _KEPT, body=f"""SELECT doc_id, page, color_name, arg_min({_HEX.format('r', 'g', 'b')}, annot_idx) AS color, count(*) AS count, min(annot_idx) AS first_idx FROM kept GROUP BY ALL""")
-ORACLE["color_usage_items"] = with_(ANN, _KEPT, body="""SELECT doc_id, page, min(annot_idx) OVER (PARTITION BY doc_id, page, color_name) AS first_idx, color_name, annot_idx, content[1:50] AS content FROM kept""")
+ORACLE["color_usage_items"] = with_(ANN, _KEPT, body="""SELECT doc_id, page, min(annot_idx) OVER (PARTITION BY doc_id, page, color_name) AS first_idx, color_name, annot_idx, content FROM kept""")
 ORACLE["distinct_colors"] = with_(ANN, _KEPT, body="SELECT DISTINCT color_name, r, g, b FROM kept")
 
 
@@ -307,7 +307,7 @@ def _mean_groups(name: str, at: str, tolerance: float, source: str = "bx") -> st
 {name}_r AS (SELECT doc_id, page, annot_idx, pt, rn, CAST(pt AS DOUBLE) AS s, 1 AS n, 0 AS g FROM {name}_p WHERE rn = 1
   UNION ALL SELECT p.doc_id, p.page, p.annot_idx, p.pt, p.rn, CASE WHEN {near} THEN r.s + p.pt ELSE p.pt END, CASE WHEN {near} THEN r.n + 1 ELSE 1 END, CASE WHEN {near} THEN r.g ELSE r.g + 1 END
   FROM {name}_r r JOIN {name}_p p ON p.doc_id = r.doc_id AND p.page = r.page AND p.rn = r.rn + 1),
-{name} AS (SELECT * FROM (SELECT doc_id, page, annot_idx, pt, g, count(*) OVER (PARTITION BY doc_id, page, g) AS size, avg(pt) OVER (PARTITION BY doc_id, page, g) AS mean FROM {name}_r) WHERE size >= 2)"""
+{name} AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY g) - 1 AS no FROM (SELECT doc_id, page, annot_idx, pt, g, count(*) OVER (PARTITION BY doc_id, page, g) AS size, avg(pt) OVER (PARTITION BY doc_id, page, g) AS mean FROM {name}_r) WHERE size >= 2)"""
 
 
 def _fit_groups(name: str, at: str, tolerance: float, source: str = "bx") -> str:
@@ -316,14 +316,14 @@ def _fit_groups(name: str, at: str, tolerance: float, source: str = "bx") -> str
 {name}_r AS (SELECT doc_id, page, annot_idx, pt, rn, [pt] AS f, CAST(1 AS BIGINT) AS g FROM {name}_p WHERE rn = 1
   UNION ALL SELECT p.doc_id, p.page, p.annot_idx, p.pt, p.rn, CASE WHEN coalesce({hit}, 0) > 0 THEN r.f ELSE list_append(r.f, p.pt) END, CASE WHEN coalesce({hit}, 0) > 0 THEN CAST({hit} AS BIGINT) ELSE CAST(len(r.f) + 1 AS BIGINT) END
   FROM {name}_r r JOIN {name}_p p ON p.doc_id = r.doc_id AND p.page = r.page AND p.rn = r.rn + 1),
-{name} AS (SELECT * FROM (SELECT doc_id, page, annot_idx, pt, g, count(*) OVER (PARTITION BY doc_id, page, g) AS size, avg(pt) OVER (PARTITION BY doc_id, page, g) AS mean FROM {name}_r) WHERE size >= 2)"""
+{name} AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY g) - 1 AS no FROM (SELECT doc_id, page, annot_idx, pt, g, count(*) OVER (PARTITION BY doc_id, page, g) AS size, avg(pt) OVER (PARTITION BY doc_id, page, g) AS mean FROM {name}_r) WHERE size >= 2)"""
 
 
 def _rec(*ctes: str, body: str) -> str:
     return with_(*ctes, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-_GROUP = 'SELECT DISTINCT doc_id, page, CAST(pt AS DOUBLE) AS "at", size AS group_size, round(mean, 6) AS group_mean FROM h'
+_GROUP = 'SELECT DISTINCT doc_id, page, CAST(pt AS DOUBLE) AS "at", no AS group_id, size AS group_size, round(mean, 6) AS group_mean FROM h'
 ORACLE["row_groups"] = _rec(BOXES, _mean_groups("h", "y0", 10), body=_GROUP)
 ORACLE["column_groups"] = _rec(BOXES, _mean_groups("h", "x0", 10), body=_GROUP)
 _FREE = "(SELECT * FROM bx WHERE type = 'FreeText')"
@@ -331,7 +331,7 @@ ORACLE["first_fit_groups"] = _rec(BOXES, _fit_groups("h", "y0", 10, _FREE), body
 
 
 def _moved(far: str) -> str:
-    return f"""mv AS (SELECT b.*, coalesce(abs(b.y0 - h.mean) {far}, false) AS h_moved, coalesce(abs(b.x0 - v.mean) {far}, false) AS v_moved, h.mean AS hm, v.mean AS vm, h.g AS hg, v.g AS vg
+    return f"""mv AS (SELECT b.*, coalesce(abs(b.y0 - h.mean) {far}, false) AS h_moved, coalesce(abs(b.x0 - v.mean) {far}, false) AS v_moved, h.mean AS hm, v.mean AS vm, h.no AS hg, v.no AS vg
   FROM bx b LEFT JOIN h ON h.doc_id = b.doc_id AND h.annot_idx = b.annot_idx LEFT JOIN v ON v.doc_id = b.doc_id AND v.annot_idx = b.annot_idx),
 al AS (SELECT *, CASE WHEN v_moved THEN vm ELSE x0 END AS nx, CASE WHEN h_moved THEN hm ELSE y0 END AS ny FROM mv)"""
 
@@ -343,9 +343,9 @@ _POOL = "(SELECT * FROM bx WHERE type = 'FreeText' AND page NOT IN (2, 3))"
 ORACLE["aligned_export_boxes"] = _rec(BOXES, _fit_groups("h", "y0", 1, _POOL), _fit_groups("v", "x0", 10, _POOL), _moved("> 0.5"), body=_ALIGNED)
 ORACLE["alignment_totals"] = _rec(*_MEANS, body="""SELECT doc_id, count(*) AS total_annotations, count(DISTINCT (page, hg)) FILTER (hg IS NOT NULL) AS horizontal_groups, count(DISTINCT (page, vg)) FILTER (vg IS NOT NULL) AS vertical_groups,
   count(*) FILTER (h_moved) AS horizontal_aligned, count(*) FILTER (v_moved) AS vertical_aligned FROM al GROUP BY doc_id""")
-_LINE = "'Page ' || page || ' [Group]: ''' || CASE WHEN length(content) > 30 THEN content[1:30] || '...' ELSE content END || ''' aligned {0} ' || printf('(%.1f, %.1f) -> (%.1f, %.1f)', {1}) AS line"
-ORACLE["alignment_report"] = _rec(*_MEANS, body=f"""SELECT doc_id, page, 'horizontal' AS alignment_type, annot_idx, {_LINE.format('horizontally', 'x0, y0, x0, ny')} FROM al WHERE h_moved
-  UNION ALL SELECT doc_id, page, 'vertical', annot_idx, {_LINE.format('vertically', 'x0, ny, nx, ny')} FROM al WHERE v_moved""")
+_LINE = "'Page ' || page || ' [Group ' || {2} || ']: ''' || CASE WHEN length(content) > 30 THEN content[1:30] || '...' ELSE content END || ''' aligned {0} ' || printf('(%.1f, %.1f) -> (%.1f, %.1f)', {1}) AS line"
+ORACLE["alignment_report"] = _rec(*_MEANS, body=f"""SELECT doc_id, page, 'horizontal' AS alignment_type, annot_idx, {_LINE.format('horizontally', 'x0, y0, x0, ny', 'hg')} FROM al WHERE h_moved
+  UNION ALL SELECT doc_id, page, 'vertical', annot_idx, {_LINE.format('vertically', 'x0, ny, nx, ny', 'vg')} FROM al WHERE v_moved""")
 
 
 def _need(line: str, size: str) -> str:
@@ -464,12 +464,17 @@ ORACLE["export_aligned_rows"] = _rec(ANN, _EXPORT, _fit_groups("h", "y0", 1, _EP
   FROM exw e LEFT JOIN h ON h.doc_id = e.doc_id AND h.annot_idx = e.annot_idx LEFT JOIN v ON v.doc_id = e.doc_id AND v.annot_idx = e.annot_idx""")
 _NUM = "CAST({} AS VARCHAR)"
 _BODY = ('<contents-richtext><body xmlns="http://www.w3.org/1999/xhtml" xmlns:xfa="http://www.xfa.org/schema/xfa-data/1.0/" xfa:APIVersion="Acrobat:21.7.0" xfa:spec="2.0.2" style="font-size:')
-ORACLE["export_lines"] = with_(ANN, _EXPORT, body=f"""SELECT doc_id, page, annot_idx, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, page, annot_idx, unnest([2, 3, 4, 5]) AS i, ['',
+_PLACED = f"""al AS (SELECT e.doc_id, e.page, e.annot_idx, text, e.size, text_hex, CASE WHEN abs(x0 - v.mean) > 0.5 THEN v.mean ELSE x0 END AS ax,
+  CASE WHEN abs(y0 - h.mean) > 0.5 THEN h.mean ELSE y0 END AS ay, greatest(x1 - x0, line + 8) + 5 AS aw, y1 - y0 AS ah
+  FROM exw e LEFT JOIN h ON h.doc_id = e.doc_id AND h.annot_idx = e.annot_idx LEFT JOIN v ON v.doc_id = e.doc_id AND v.annot_idx = e.annot_idx)"""
+_RECT = " || ',' || ".join(f"CAST(round({c}, 4) AS VARCHAR)" for c in ("ax", "792 - (ay + ah)", "ax + aw", "792 - ay"))
+ORACLE["export_lines"] = _rec(ANN, _EXPORT, _fit_groups("h", "y0", 1, _EPOOL), _fit_groups("v", "x0", 10, _EPOOL), _PLACED, body=f"""SELECT doc_id, page, annot_idx, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, page, annot_idx, unnest([1, 2, 3, 4, 5]) AS i, [
+    '    <freetext color="#00FFFF" flags="print" page="' || (page - 1) || '" rect="' || {_RECT} || '" subject="VOID" title="Annotator">',
     {q('      ' + _BODY)} || size || 'pt;text-align:left;color:' || text_hex || ';font-weight:bold;font-style:italic;font-family:Arial;font-stretch:normal"><p dir="ltr">' || {_ESC.format('text')} || '</p></body></contents-richtext>',
     '      <defaultappearance>0 0 0 rg /Arial,BoldItalic ' || size || ' Tf</defaultappearance>',
-    '      <defaultstyle>font: italic bold Arial,sans-serif ' || size || 'pt; text-align:left; color:#000000 </defaultstyle>', '    </freetext>'] AS ls FROM exw)
+    '      <defaultstyle>font: italic bold Arial,sans-serif ' || size || 'pt; text-align:left; color:#000000 </defaultstyle>', '    </freetext>'] AS ls FROM al)
   UNION ALL SELECT doc_id, 0, 0, i - 1, ls[i] FROM (SELECT doc_id, unnest([1, 2, 3, 4]) AS i, ['<?xml version="1.0" encoding="UTF-8"?>', '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">', '  <f href="crf.pdf"/>', '  <annots>'] AS ls FROM (SELECT DISTINCT doc_id FROM exw))
-  UNION ALL SELECT doc_id, max(page) + 1, 0, 1, '</xfdf>' FROM exw GROUP BY doc_id""")
+  UNION ALL SELECT doc_id, last, 0, i - 1, ls[i] FROM (SELECT doc_id, max(page) + 1 AS last, unnest([1, 2]) AS i, ['  </annots>', '</xfdf>'] AS ls FROM exw GROUP BY doc_id)""")
 _DA_COLOR = f"CASE WHEN {_F} THEN {_on_da(_standard('v3'))} ELSE '#000000' END"
 _NOTE = "('Text', 'StrikeOut', 'Caret', 'Highlight', 'Underline')"
 ORACLE["library_rows"] = with_(ANN, _need(*_STD), _resized("w + greatest(0, least(line + 8 - w, 200))", "h + greatest(0, least(size * 1.2 + 4 - h, 300))", "type = 'FreeText'", "AND NOT fits"), body=f"""SELECT study_id, doc_id, page, annot_idx,
@@ -592,4 +597,4 @@ ORACLE["color_report"] = with_(ANN, _KEPT, """dc AS (SELECT DISTINCT doc_id, col
     _report_lines("ct", 2, "0", "0", "0", "''", _BAR, "'COLOR USAGE BY PAGE'", _BAR, "''"),
     _report_lines("(SELECT DISTINCT doc_id, page FROM kept)", 3, "page", "-2", "-2", "''", "'Page ' || page || ':'", _RULE),
     _report_lines("pl", 3, "page", "f", "-1", "''", "'  ' || color_name || ':'"),
-    _report_lines("im", 3, "page", "f", "annot_idx", "'    - ' || content[1:50]")))
+    _report_lines("im", 3, "page", "f", "annot_idx", "'    - ' || content")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from annolake.functions import color as C
 from annolake.functions import metrics as M
 from annolake.functions import text as X
-from annolake.functions.geometry import flip, rect_text
+from annolake.functions.geometry import flip, rect, rect_text
 from annolake.operators import classify, forms, layout, matching, report, rules
 from annolake.operators import settings as S
 from annolake.operators.patterns import DEFAULT_PATTERNS
@@ -108,8 +108,7 @@ def findings_similar(spark, sf):
 
 @query
 def unused_datasets(spark, sf):
-    parsed = classify.accepted(_parsed(spark, sf)).filter("pattern_type <> 'DOMAIN_LABEL'")
-    return report.unused_table(rules.unused_datasets(parsed, W.catalog(spark)))
+    return report.unused_table(check(W.annotations(spark, sf), W.catalog(spark)).unused)
 
 
 @query
@@ -239,7 +238,7 @@ def parsed_colors(spark, sf):
 
 @query
 def output_color_totals(spark, sf):
-    rows = W.annotations(spark, sf).filter("type = 'FreeText' and page <= 5")
+    rows = W.annotations(spark, sf).filter("type = 'FreeText'")
     rows = rows.withColumn("color_class", C.output_class(C.color_from_da(F.col("da"))))
     return report.color_class_totals(rows, ("study_id",))
 
@@ -414,7 +413,9 @@ def report_html(spark, sf):
 
 @query
 def supplemental_names(spark, sf):
-    """Part types as names, checked against the types of the larger parts per brand."""
+    """Part types as names, checked against the types of the largest parts per brand.
+
+    The list must lack some names, or nothing would be missing."""
     part = W.table(spark, sf, "part")
     names = part.select(F.col("p_brand").alias("brand"), F.upper("p_type").alias("name"), "p_partkey")
     known = part.filter("p_size >= 48").select(
@@ -426,7 +427,9 @@ def supplemental_names(spark, sf):
 
 @query
 def record_links(spark, sf):
-    """Order priorities as condition tokens, checked against those of open orders by customer."""
+    """Order priorities as condition tokens, checked against those of open orders by customer.
+
+    Open orders stand for the declared links; tokens of closed ones may be missing."""
     orders = W.table(spark, sf, "orders")
     known = orders.filter("o_orderstatus = 'O'").select(
         "o_custkey", F.upper(F.substring_index("o_orderpriority", "-", -1)).alias("idvar")).distinct()
@@ -460,7 +463,7 @@ def _groups(spark, sf, at, tolerance, method):
     if method == "first_fit":
         boxes = boxes.filter("type = 'FreeText'")
     groups = layout.proximity_groups(boxes, "at", tolerance, method)
-    return groups.select("doc_id", "page", "at", "group_size", F.round("group_mean", 6).alias("group_mean"))
+    return groups.select("doc_id", "page", "at", "group_id", "group_size", F.round("group_mean", 6).alias("group_mean"))
 
 
 @query
@@ -501,8 +504,7 @@ def alignment_totals(spark, sf):
 @query
 def alignment_report(spark, sf):
     return layout.alignment_report(layout.alignment_operations(layout.align(_boxes(spark, sf)))).select(
-        "doc_id", "page", "alignment_type", "annot_idx",
-        F.regexp_replace("line", r"\[Group \d+\]", "[Group]").alias("line"))
+        "doc_id", "page", "alignment_type", "annot_idx", "line")
 
 
 def _resize(spark, sf, variant, **options):
@@ -577,6 +579,7 @@ def script_bookmarks(spark, sf):
 
 @query
 def xfdf_bookmarks(spark, sf):
+    """Documents that have bookmarks already (one for each sign-up) and others."""
     pages, notes = W.event_pages(spark, sf), W.event_annotations(spark, sf)
     existing = W.table(spark, sf, "events").filter("event_type = 'signup'").select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("doc_id"), F.col("event_id").alias("ord"),
@@ -611,9 +614,11 @@ def export_aligned_rows(spark, sf):
 
 @query
 def export_lines(spark, sf):
-    out = ST.export(W.annotations(spark, sf), ST.StandardizeOptions(align=False, auto_resize=False))
-    lines = xfdf.document_lines(out, "crf.pdf")
-    return lines.filter("line_no <> 0 or page = 0").select("doc_id", "page", "annot_idx", "line_no", "line")
+    """Every line of every document, aligned and resized; coordinates to four places."""
+    out = ST.export(W.annotations(spark, sf))
+    box = F.col("xfdf_rect")
+    out = out.withColumn("xfdf_rect", rect(*(F.round(box[c], 4) for c in ("x0", "y0", "x1", "y1"))))
+    return xfdf.document_lines(out, "crf.pdf").select("doc_id", "page", "annot_idx", "line_no", "line")
 
 
 @query

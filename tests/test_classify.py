@@ -124,7 +124,7 @@ def test_winner_equals_python(spark, values):
 def test_catalogue_editing():
     catalog = P.PatternCatalog()
     assert len(catalog.all()) == 23 and catalog.get("COMMENT").is_comment
-    assert catalog.supported()[0] == "DOMAIN_LABEL: Domain label pattern (e.g., SV = Subject Visit)"
+    assert catalog.supported()[0] == "DOMAIN_LABEL: a domain code and its title"
     catalog.add({"name": "N", "description": "d", "regex": "x", "groups": {}})
     for bad in ({"name": "N", "description": "d", "regex": "x", "groups": {}}, {"name": "M"}, {"name": "M", "description": "", "regex": "(", "groups": {}}):
         with pytest.raises(ValueError):
