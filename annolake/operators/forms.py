@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annolake.functions.text import (domain_from_words, form_name, header_code, header_label,
                                      marked_form_name, preview, strip)
+from annolake.schemas import document_key
 from annolake.operators.ordered import carry_forward, page_chunk, with_previous
 
-TOC_ORDER = ("doc_id", "section", "domain", "level", "sort_page", "ord")
+TOC_ORDER = ("study_id", "doc_id", "section", "domain", "level", "sort_page", "ord")
 FORM_LABEL, DOMAIN_LABEL = "Form_bookmarks", "SDTM"
 SCRIPT_HEADER = r"(?U)^[A-Z]{2}\s*=\s*[A-Z\s]+$"
 
@@ -21,30 +22,32 @@ SCRIPT_HEADER = r"(?U)^[A-Z]{2}\s*=\s*[A-Z\s]+$"
 def page_forms(pages: DataFrame, marked_only: bool = False) -> DataFrame:
     """``doc_id, page, form`` of each page; with ``marked_only`` only pages that say ``Form:``."""
     if marked_only:
-        return pages.select("doc_id", "page", marked_form_name(F.col("text")).alias("form")
+        return pages.select(*document_key(pages), "page", marked_form_name(F.col("text")).alias("form")
                             ).filter("form is not null")
-    return pages.select("doc_id", "page", form_name(F.col("text"), F.col("page")).alias("form"))
+    return pages.select(*document_key(pages), "page", form_name(F.col("text"), F.col("page")).alias("form"))
 
 
 def form_runs(page_forms: DataFrame) -> DataFrame:
     """First page of each run of equal form names; a name that returns starts a new run."""
-    rows = with_previous(page_forms, ["doc_id"], "page", "form", "_before", page_chunk(F.col("page")))
-    return rows.filter("_before is null or _before <> form").select("doc_id", "page", "form")
+    key = document_key(page_forms)
+    rows = with_previous(page_forms, key, "page", "form", "_before", page_chunk(F.col("page")))
+    return rows.filter("_before is null or _before <> form").select(*key, "page", "form")
 
 
 def pages_with_run(pages: DataFrame, runs: DataFrame) -> DataFrame:
     """Every page with the first page of the run it stands in, null before the first run."""
-    starts = runs.select("doc_id", "page", F.col("page").alias("_start"))
-    rows = pages.select("doc_id", "page").join(starts, ["doc_id", "page"], "left")
-    return carry_forward(rows, ["doc_id"], "page", "_start", "run_page",
+    key = document_key(pages, runs)
+    starts = runs.select(*key, "page", F.col("page").alias("_start"))
+    rows = pages.select(*key, "page").join(starts, [*key, "page"], "left")
+    return carry_forward(rows, key, "page", "_start", "run_page",
                          page_chunk(F.col("page"))).drop("_start")
 
 
 def headers(annotations: DataFrame, content: str = "content", pattern: str | None = None) -> DataFrame:
-    """Domain headers: ``doc_id, page, annot_idx, domain, label``."""
+    """Domain headers: document key, ``page, annot_idx, domain, label``."""
     args = () if pattern is None else (pattern,)
     return annotations.select(
-        "doc_id", "page", "annot_idx", header_code(F.col(content), *args).alias("domain"),
+        *document_key(annotations), "page", "annot_idx", header_code(F.col(content), *args).alias("domain"),
         header_label(F.col(content), *args).alias("label")).filter("domain is not null")
 
 
@@ -52,23 +55,24 @@ def script_headers(annotations: DataFrame, content: str = "content") -> DataFram
     """Headers as the stand-alone script reads them: labels in capitals only."""
     hit = strip(F.col(content)).rlike(SCRIPT_HEADER)
     return annotations.filter(hit).select(
-        "doc_id", "page", "annot_idx",
+        *document_key(annotations), "page", "annot_idx",
         strip(F.substring_index(F.col(content), "=", 1)).alias("domain"))
 
 
 def first_of_domain(headers: DataFrame) -> DataFrame:
     """First page and first label of each domain of a document."""
     at = F.struct("page", "annot_idx")
-    return headers.groupBy("doc_id", "domain").agg(
+    return headers.groupBy(*document_key(headers), "domain").agg(
         F.min("page").alias("first_page"), F.min_by("label", at).alias("label"))
 
 
 def domain_runs(headers: DataFrame, pages: DataFrame, runs: DataFrame) -> DataFrame:
-    """Form runs under each domain they mention: ``doc_id, domain, run_page, form``."""
-    spots = headers.select("doc_id", "page", "domain").distinct()
-    placed = spots.join(pages_with_run(pages, runs), ["doc_id", "page"]).filter(
-        "run_page is not null").select("doc_id", "domain", "run_page").distinct()
-    return placed.join(runs.withColumnRenamed("page", "run_page"), ["doc_id", "run_page"])
+    """Form runs under each domain they mention: document key, ``domain, run_page, form``."""
+    key = document_key(headers, pages, runs)
+    spots = headers.select(*key, "page", "domain").distinct()
+    placed = spots.join(pages_with_run(pages, runs), [*key, "page"]).filter(
+        "run_page is not null").select(*key, "domain", "run_page").distinct()
+    return placed.join(runs.withColumnRenamed("page", "run_page"), [*key, "run_page"])
 
 
 def _toc(df: DataFrame, section: int, level: int, title: Column, page: Column,
@@ -76,7 +80,7 @@ def _toc(df: DataFrame, section: int, level: int, title: Column, page: Column,
          order: Column | None = None) -> DataFrame:
     zero = F.lit(0)
     return df.select(
-        "doc_id", F.lit(section).alias("section"),
+        *document_key(df), F.lit(section).alias("section"),
         (F.lit("") if domain is None else domain).alias("domain"),
         (zero if sort_page is None else sort_page).cast("int").alias("sort_page"),
         (zero if order is None else order).cast("long").alias("ord"),
@@ -97,9 +101,9 @@ def bookmarks(page_forms: DataFrame, headers: DataFrame, form_label: str = FORM_
     first = first_of_domain(headers)
     below = domain_runs(headers, page_forms, runs)
     return _union([
-        _toc(runs.select("doc_id").distinct(), 1, 1, F.lit(form_label), F.lit(1)),
+        _toc(runs.select(*document_key(runs)).distinct(), 1, 1, F.lit(form_label), F.lit(1)),
         _toc(runs, 1, 2, F.col("form"), F.col("page"), sort_page=F.col("page")),
-        _toc(first.select("doc_id").distinct(), 2, 1, F.lit(domain_label), F.lit(1)),
+        _toc(first.select(*document_key(first)).distinct(), 2, 1, F.lit(domain_label), F.lit(1)),
         _toc(first, 2, 2, F.col("domain"), F.col("first_page"), F.col("domain")),
         _toc(below, 2, 3, F.col("form"), F.col("run_page"), F.col("domain"), F.col("run_page")),
     ])
@@ -109,8 +113,8 @@ def script_bookmarks(pages: DataFrame, annotations: DataFrame, content: str = "c
     """As above from marked pages and capital headers; a domain points to its first form."""
     runs = form_runs(page_forms(pages, marked_only=True))
     below = domain_runs(script_headers(annotations, content), pages, runs)
-    first = below.groupBy("doc_id", "domain").agg(F.min("run_page").alias("first_page"))
-    documents = pages.select("doc_id").distinct()
+    first = below.groupBy(*document_key(below), "domain").agg(F.min("run_page").alias("first_page"))
+    documents = pages.select(*document_key(pages, annotations)).distinct()
     return _union([
         _toc(documents, 1, 1, F.lit(FORM_LABEL), F.lit(1)),
         _toc(runs, 1, 2, F.col("form"), F.col("page"), sort_page=F.col("page")),
@@ -128,8 +132,9 @@ def xfdf_bookmarks(headers: DataFrame, page_forms: DataFrame,
     titled SDTM in front, in documents that have headers.
     """
     first = first_of_domain(headers)
-    documents = first.select("doc_id").distinct()
-    spots = headers.select("doc_id", "domain", "page").distinct().join(page_forms, ["doc_id", "page"])
+    documents = first.select(*document_key(first)).distinct()
+    key = document_key(headers, page_forms)
+    spots = headers.select(*key, "domain", "page").distinct().join(page_forms, [*key, "page"])
     page = F.col("page")
     parts = [
         _toc(documents, 2, 1, F.lit(DOMAIN_LABEL), F.lit(1)),
@@ -139,8 +144,9 @@ def xfdf_bookmarks(headers: DataFrame, page_forms: DataFrame,
              F.col("domain"), page),
     ]
     if existing is not None:
-        kept = existing.filter(F.col("title") != DOMAIN_LABEL).join(documents, "doc_id", "left_semi")
-        old = kept.select("doc_id", F.lit(0).alias("section"), F.lit("").alias("domain"),
+        kept = existing.filter(F.col("title") != DOMAIN_LABEL).join(
+            documents, document_key(existing, documents), "left_semi")
+        old = kept.select(*document_key(existing, documents), F.lit(0).alias("section"), F.lit("").alias("domain"),
                           F.lit(0).alias("sort_page"), F.col("ord").cast("long").alias("ord"),
                           F.col("level").cast("int").alias("level"), "title",
                           F.col("page").cast("int").alias("page"))
@@ -150,25 +156,26 @@ def xfdf_bookmarks(headers: DataFrame, page_forms: DataFrame,
 
 def item_bookmarks(annotations: DataFrame, content: str = "content", children: int = 10) -> DataFrame:
     """Domains with up to ``children`` distinct texts below those that have a header."""
+    key = document_key(annotations)
     rows = annotations.select(
-        "doc_id", "page", "annot_idx", header_code(F.col(content)).alias("_code"),
+        *key, "page", "annot_idx", header_code(F.col(content)).alias("_code"),
         header_label(F.col(content)).alias("label"), F.upper(content).alias("item"),
         domain_from_words(F.col(content)).alias("_word"))
     rows = rows.withColumn("domain", F.coalesce("_code", "_word")).filter("domain is not null")
     at = F.struct("page", "annot_idx")
-    first = rows.groupBy("doc_id", "domain").agg(
+    first = rows.groupBy(*key, "domain").agg(
         F.min("page").alias("first_page"),
         F.min_by("label", F.when(F.col("_code").isNotNull(), at)).alias("label"))
-    texts = (rows.filter("_code is null").groupBy("doc_id", "domain", "item")
+    texts = (rows.filter("_code is null").groupBy(*key, "domain", "item")
              .agg(F.min(at).alias("_at")))
-    best = Window.partitionBy("doc_id", "domain").orderBy("_at")
+    best = Window.partitionBy(*key, "domain").orderBy("_at")
     texts = texts.withColumn("_no", F.row_number().over(best)).filter(F.col("_no") <= children)
-    texts = texts.join(first.filter("label is not null").select("doc_id", "domain"),
-                       ["doc_id", "domain"], "left_semi")
+    texts = texts.join(first.filter("label is not null").select(*key, "domain"),
+                       [*key, "domain"], "left_semi")
     title = F.when(F.col("label").isNotNull(), F.concat("domain", F.lit(" - "), "label")
                    ).otherwise(F.col("domain"))
     return _union([
-        _toc(first.select("doc_id").distinct(), 2, 1, F.lit(DOMAIN_LABEL), F.lit(1)),
+        _toc(first.select(*document_key(first)).distinct(), 2, 1, F.lit(DOMAIN_LABEL), F.lit(1)),
         _toc(first, 2, 2, title, F.col("first_page"), F.col("domain")),
         _toc(texts, 2, 3, preview(F.col("item"), 37, 40), F.col("_at.page"), F.col("domain"),
              order=F.col("_no")),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annolake.functions.geometry import height, rect, width
 from annolake.functions.metrics import STANDARD_FONT, TextMeasurer, font_from_da
+from annolake.schemas import document_key
 from annolake.functions.text import clean_text, header_font_size, preview, with_clean_text
 
 PAGE = ("study_id", "doc_id", "page")
@@ -34,11 +35,12 @@ def parse_skip_pages(lists: DataFrame, pages: str = "skip_pages",
 
 
 def mark_skipped(df: DataFrame, skip: DataFrame | list[int] | None, out: str,
-                 keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+                 keys: tuple[str, ...] | None = None) -> DataFrame:
     """Flag rows on skipped pages: a list of pages for all documents, or rows of ``keys``."""
     if skip is None:
         return df.withColumn(out, F.lit(False))
     if isinstance(skip, DataFrame):
+        keys = keys or (*document_key(df, skip), "page")
         marks = skip.select(*keys).distinct().withColumn(out, F.lit(True))
         return df.join(marks, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(False)))
     return df.withColumn(out, F.col("page").isin(*skip) if skip else F.lit(False))
@@ -177,11 +179,15 @@ def alignment_operations(aligned: DataFrame, content: str = "content") -> DataFr
         F.explode(moves).alias("_m")).select(*keys, "content_preview", "_m.*")
 
 
-def alignment_totals(aligned: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Boxes, groups and moves in each direction.  A page's groups are counted once."""
-    pages = aligned.groupBy(*dict.fromkeys([*by, "doc_id", "page"]), "h_group", "v_group").agg(
+def alignment_totals(aligned: DataFrame, by: tuple[str, ...] | None = None) -> DataFrame:
+    """Boxes, groups and moves in each direction.  A page's groups are counted once.
+
+    ``by``: one row for each of these, each document by default."""
+    key = document_key(aligned)
+    by = key if by is None else by
+    pages = aligned.groupBy(*dict.fromkeys([*by, *key, "page"]), "h_group", "v_group").agg(
         F.count("*").alias("n"), F.count_if("h_moved").alias("h"), F.count_if("v_moved").alias("v"))
-    spot = [F.col("doc_id"), F.col("page")]
+    spot = [*(F.col(c) for c in key), F.col("page")]
     return pages.groupBy(*by).agg(
         F.sum("n").alias("total_annotations"),
         F.countDistinct(F.when(F.col("h_group").isNotNull(), F.struct(*spot, "h_group")))
@@ -275,9 +281,9 @@ def resize_operations(resized: DataFrame, box: str = "rect", content: str = "con
         font["name"].alias("fontname"), font["size"].alias("fontsize"))
 
 
-def resize_totals(resized: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def resize_totals(resized: DataFrame, by: tuple[str, ...] | None = None) -> DataFrame:
     free = F.col("type") == "FreeText"
-    return resized.groupBy(*by).agg(
+    return resized.groupBy(*(by or document_key(resized))).agg(
         F.count("*").alias("total_annotations"), F.count_if(free).alias("freetext_annotations"),
         F.count_if("checked").alias("checked"), F.count_if("changed").alias("resized"),
         F.count_if(F.col("checked") & ~F.col("changed")).alias("skipped"))
@@ -313,14 +319,14 @@ def resize_report(operations: DataFrame) -> DataFrame:
         F.lit("x"), _one_place(F.col("new_height")), F.lit(")")).alias("line"))
 
 
-REPORT_ORDER = ("doc_id", "section", "page", "part", "annot_idx", "line_no")
+REPORT_ORDER = ("study_id", "doc_id", "section", "page", "part", "annot_idx", "line_no")
 
 
 def _report(df: DataFrame, section: int, texts: Column, page: Column | None = None,
             part: Column | None = None, idx: Column | None = None) -> DataFrame:
     zero = F.lit(0)
     return df.select(
-        "doc_id", F.lit(section).alias("section"),
+        *document_key(df), F.lit(section).alias("section"),
         (zero if page is None else page).cast("int").alias("page"),
         (zero if part is None else part).cast("int").alias("part"),
         (F.lit(-1) if idx is None else idx).cast("long").alias("annot_idx"),
@@ -342,14 +348,14 @@ def alignment_report_lines(aligned: DataFrame) -> DataFrame:
     """Each document's alignment report as lines to be sorted by ``REPORT_ORDER``."""
     totals, operations = alignment_totals(aligned), alignment_operations(aligned)
     part = F.when(F.col("alignment_type") == "horizontal", 1).otherwise(2)
-    counts = operations.groupBy("doc_id", "page", part.alias("_part")).agg(F.count("*").alias("n"))
+    counts = operations.groupBy(*document_key(operations), "page", part.alias("_part")).agg(F.count("*").alias("n"))
     kind = F.when(F.col("_part") == 1, "Horizontal").otherwise("Vertical")
     figures = [(label, F.col(c)) for label, c in (
         ("Total annotations", "total_annotations"), ("Horizontal groups", "horizontal_groups"),
         ("Vertical groups", "vertical_groups"), ("Horizontal aligned", "horizontal_aligned"),
         ("Vertical aligned", "vertical_aligned"))] + [("Errors", F.lit(0))]
     moved = F.col("horizontal_aligned") + F.col("vertical_aligned") > 0
-    pages = operations.select("doc_id", "page").distinct()
+    pages = operations.select(*document_key(operations), "page").distinct()
     page_head = F.array(F.lit(""), F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(":")))
     return (
         _frame(totals, "ANNOTATION ALIGNMENT REPORT", "Alignment Operations:", moved, figures)

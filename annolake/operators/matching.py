@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from annolake.schemas import document_key
+
 SIDES = ("x0", "y0", "x1", "y1")
 
 
@@ -19,7 +21,8 @@ def match_positions(imported: DataFrame, existing: DataFrame, tolerance: float =
     box cost one candidate, and are compared within a grid of the tolerance's
     size: only boxes in the same or a neighbouring cell meet.
     """
-    spots = ["doc_id", "page", "_text", *(f"_{s}" for s in SIDES)]
+    key = document_key(imported, existing)
+    spots = [*key, "page", "_text", *(f"_{s}" for s in SIDES)]
 
     def boxes(df: DataFrame) -> DataFrame:
         return df.select("*", F.upper("content").alias("_text"),
@@ -32,10 +35,10 @@ def match_positions(imported: DataFrame, existing: DataFrame, tolerance: float =
         *spots, (_cell(F.col("_x0"), tolerance) + F.col("_dx")).alias("_cx"),
         (_cell(F.col("_y0"), tolerance) + F.col("_dy")).alias("_cy"))
     held = boxes(existing).groupBy(*spots).agg(F.min("annot_idx").alias("_idx")).select(
-        "doc_id", "page", "_text", _cell(F.col("_x0"), tolerance).alias("_cx"),
+        *key, "page", "_text", _cell(F.col("_x0"), tolerance).alias("_cx"),
         _cell(F.col("_y0"), tolerance).alias("_cy"), "_idx",
         *(F.col(f"_{s}").alias(f"_held_{s}") for s in SIDES))
-    pairs = cells.join(held, ["doc_id", "page", "_text", "_cx", "_cy"])
+    pairs = cells.join(held, [*key, "page", "_text", "_cx", "_cy"])
     for s in SIDES:
         pairs = pairs.filter(F.abs(F.col(f"_{s}") - F.col(f"_held_{s}")) < tolerance)
     best = pairs.groupBy(*spots).agg(F.min("_idx").alias("match_idx"))

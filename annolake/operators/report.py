@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annolake.functions.text import escape_markup, position_text
 from annolake.operators.rules import ORDER, Catalog
-from annolake.schemas import SEVERITIES
+from annolake.schemas import SEVERITIES, document_key
 
 
 def _seen(findings: DataFrame) -> Column:
@@ -340,12 +340,13 @@ def _lines(findings: DataFrame, totals: DataFrame, frame: list[Column], foot: li
 
 # --- colours ---------------------------------------------------------------
 
-def color_usage(colored: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+def color_usage(colored: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """Per page and colour name: the colour first seen, count and first position.
 
     ``colored`` has ``color`` (rounded) and ``color_name``; the texts themselves
     stay rows, see ``color_usage_items``.
     """
+    keys = keys or (*document_key(colored), "page")
     return colored.groupBy(*keys, "color_name").agg(
         F.min_by("color", "annot_idx").alias("color"), F.count("*").alias("count"),
         F.min("annot_idx").alias("first_idx"))
@@ -356,12 +357,13 @@ def distinct_colors(colored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def color_usage_items(colored: DataFrame, content: str = "content",
-                      keys: tuple[str, ...] = ("doc_id", "page"),
+                      keys: tuple[str, ...] | None = None,
                       preview: int | None = None) -> DataFrame:
     """Texts under their page and colour name; sort by page, first_idx, annot_idx.
 
     ``preview``: only so many characters of each text, for a short report.
     """
+    keys = keys or (*document_key(colored), "page")
     text = F.col(content) if preview is None else F.substring(content, 1, preview)
     first = color_usage(colored, keys).select(*keys, "color_name", "first_idx",
                                               F.col("color").alias("named_color"))
@@ -382,22 +384,22 @@ def color_class_totals(classed: DataFrame, by: tuple[str, ...] = ()) -> DataFram
 def color_report_lines(colored: DataFrame, content: str = "content") -> DataFrame:
     """Colour report of each document as lines to be sorted by ``doc_id, section, page,
     first_idx, annot_idx, line_no``: distinct colours, then texts by page and colour."""
-    items = color_usage_items(colored, content)
+    items, key = color_usage_items(colored, content), document_key(colored)
     zero = F.lit(0).cast("long")
 
     def lines(df: DataFrame, section: int, page: Column, first: Column, idx: Column, *texts: Column):
-        return df.select("doc_id", F.lit(section).alias("section"), page.cast("int").alias("page"),
+        return df.select(*key, F.lit(section).alias("section"), page.cast("int").alias("page"),
                          first.cast("long").alias("first_idx"), idx.cast("long").alias("annot_idx"),
                          F.posexplode(F.array(*texts)).alias("line_no", "line"))
 
-    distinct = distinct_colors(colored, ("doc_id",))
-    count = distinct.select("doc_id", "color").distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+    distinct = distinct_colors(colored, tuple(key))
+    count = distinct.select(*key, "color").distinct().groupBy(*key).agg(F.count("*").alias("n"))
     channel = [F.col(f"color.{c}").cast("string") for c in "rgb"]
     shade = F.concat(F.lit("  "), "color_name", F.lit(": RGB("), F.concat_ws(", ", *channel), F.lit(")"))
     # distinct colours of a document are listed in channel order
     order = _sort_code(F.col("color"))
-    places = color_usage(colored).select("doc_id", "page", "color_name", "first_idx")
-    pages = places.select("doc_id", "page").distinct()
+    places = color_usage(colored).select(*key, "page", "color_name", "first_idx")
+    pages = places.select(*key, "page").distinct()
     bar, rule = F.lit("=" * 80), F.lit("-" * 80)
     return (
         lines(count, 0, zero, zero, zero, bar, F.lit("PDF ANNOTATION COLOR USAGE REPORT"), bar, F.lit(""),

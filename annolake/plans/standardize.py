@@ -14,6 +14,7 @@ from annolake.functions.text import (DEFAULT_AUTHOR, HEADER_PATTERN, header_code
 from annolake.operators.forms import bookmarks, headers, item_bookmarks, page_forms
 from annolake.operators.layout import PAGE, align, resize
 from annolake.operators.matching import match_positions
+from annolake.schemas import document_key
 
 # Types that take neither border nor fill.
 NOTE_TYPES = ("Text", "StrikeOut", "Caret", "Highlight", "Underline")
@@ -153,10 +154,11 @@ def standardize(annotations: DataFrame, options: StandardizeOptions = Standardiz
 
 
 def standardize_totals(rows: DataFrame, toc: DataFrame | None = None,
-                       by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+                       by: tuple[str, ...] | None = None) -> DataFrame:
     """Modified, headers, boxes checked and resized, moves, shapes and bookmarks."""
     shape = ~F.col("type").isin("FreeText", *NOTE_TYPES)
     free = F.col("type") == "FreeText"
+    by = by or document_key(rows, *([] if toc is None else [toc]))
     out = rows.groupBy(*by).agg(
         F.count("*").alias("annotations_modified"), F.count("domain").alias("headers_found"),
         F.count_if(shape).alias("rectangles_styled"),
@@ -199,9 +201,9 @@ def preserved_bookmarks(rows: DataFrame) -> DataFrame:
 
 
 def color_workflow_totals(exported: DataFrame, existing: DataFrame, tolerance: float = 5.0,
-                          by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+                          by: tuple[str, ...] | None = None) -> DataFrame:
     """Exported rows, rows whose colour changed, and rows found again among the annotations."""
     matched = match_positions(exported, existing, tolerance)
-    return matched.groupBy(*by).agg(
+    return matched.groupBy(*(by or document_key(matched))).agg(
         F.count("*").alias("exported"), F.count_if("recolored").alias("colors_standardized"),
         F.count("match_idx").alias("imported"))

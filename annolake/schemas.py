@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, types as T
 
 RECT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x0", "y0", "x1", "y1")])
 RGB = T.StructType([T.StructField(n, T.DoubleType()) for n in ("r", "g", "b")])
 
 # Who an annotation is; carried through every operator.
 ANNOTATION_KEY = ("study_id", "doc_id", "page", "annot_idx")
+# Which document it stands in: names of documents repeat across studies.
+DOCUMENT_KEY = ("study_id", "doc_id")
+
+
+def document_key(*tables: DataFrame) -> list[str]:
+    """The document key's columns that all tables have; tables of one study may lack it."""
+    return [c for c in DOCUMENT_KEY if all(c in t.columns for t in tables)]
 
 ANNOTATIONS = T.StructType([
     T.StructField("study_id", T.StringType()),

@@ -259,7 +259,7 @@ def color_usage_items(spark, sf):
 
 @query
 def color_report(spark, sf):
-    return report.color_report_lines(ST.preserve_colors(W.annotations(spark, sf)), "source_text")
+    return report.color_report_lines(ST.preserve_colors(W.annotations(spark, sf)), "source_text").drop("study_id")
 
 
 @query
@@ -498,7 +498,7 @@ def aligned_export_boxes(spark, sf):
 
 @query
 def alignment_totals(spark, sf):
-    return layout.alignment_totals(layout.align(_boxes(spark, sf)))
+    return layout.alignment_totals(layout.align(_boxes(spark, sf)), ("doc_id",))
 
 
 @query
@@ -534,7 +534,7 @@ def resized_export(spark, sf):
 
 @query
 def resize_totals(spark, sf):
-    return layout.resize_totals(layout.resize(W.annotations(spark, sf), "box"))
+    return layout.resize_totals(layout.resize(W.annotations(spark, sf), "box"), ("doc_id",))
 
 
 @query
@@ -635,7 +635,7 @@ def library_rows(spark, sf):
 @query
 def library_totals(spark, sf):
     out = ST.standardize(W.annotations(spark, sf))
-    return ST.standardize_totals(out)
+    return ST.standardize_totals(out, by=("doc_id",))
 
 
 @query
@@ -648,7 +648,7 @@ def preserved_rows(spark, sf):
 def color_workflow(spark, sf):
     notes = W.annotations(spark, sf)
     out = ST.export(notes, ST.StandardizeOptions(align=False, auto_resize=False, quotes=False))
-    return ST.color_workflow_totals(out, tables.extract_full(notes))
+    return ST.color_workflow_totals(out, tables.extract_full(notes), by=("doc_id",))
 
 
 @query

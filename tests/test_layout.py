@@ -146,3 +146,32 @@ def test_match_positions_against_all_pairs(spark):
     for n in new:
         hits = [h[3] for h in held if h[5].upper() == n[5].upper() and all(abs(a - b) < 5 for a, b in zip(h[7], n[7]))]
         assert got[n[3]] == min(hits, default=None)
+
+
+def test_documents_of_two_studies_stay_apart(spark):
+    """One document name in two studies: totals, matches, headers, runs and file lines."""
+    from annolake.operators import forms, matching
+    from annolake.sources import xfdf
+    rows = [(s, "crf", 1, i, "FreeText", text, (0.0, y, 10.0, y + 5)) for s, y in (("S1", 10.0), ("S2", 300.0))
+            for i, text in enumerate((f"DM = {s} Label", "DMTERM"))]
+    schema = ("study_id string, doc_id string, page int, annot_idx long, type string, content string, "
+              "rect struct<x0:double,y0:double,x1:double,y1:double>")
+    df = spark.createDataFrame(rows, schema)
+    totals = L.alignment_totals(L.align(df)).collect()
+    assert {r.study_id: r.horizontal_groups for r in totals} == {"S1": 1, "S2": 1}
+    assert matching.match_positions(df.filter("study_id = 'S1'"), df.filter("study_id = 'S2'")).filter("match_idx is not null").count() == 0
+    first = {r.study_id: r.label for r in forms.first_of_domain(forms.headers(df)).collect()}
+    assert first == {"S1": "S1 Label", "S2": "S2 Label"}
+    pages = spark.createDataFrame([("S1", "crf", 1, "A"), ("S1", "crf", 2, "A"), ("S2", "crf", 1, "A"), ("S2", "crf", 2, "B")],
+                                  "study_id string, doc_id string, page int, form string")
+    assert sorted(map(tuple, forms.form_runs(pages).collect())) == [("S1", "crf", 1, "A"), ("S2", "crf", 1, "A"), ("S2", "crf", 2, "B")]
+    toc = forms.bookmarks(pages, forms.headers(df)).filter("level = 2 and section = 2").collect()
+    assert {(r.study_id, r.domain) for r in toc} == {("S1", "DM"), ("S2", "DM")}
+    assert "study_id" in xfdf.LINE_ORDER
+
+
+def test_group_numbers_have_no_gaps(spark):
+    boxes = spark.createDataFrame([("S", "d", 1, i, y) for i, y in enumerate((0.0, 100.0, 101.0, 200.0, 300.0, 301.0))],
+                                  "study_id string, doc_id string, page int, annot_idx long, at double")
+    got = L.proximity_groups(boxes, "at", 10.0).select("at", "group_id").collect()
+    assert sorted(map(tuple, got)) == [(100.0, 0), (101.0, 0), (300.0, 1), (301.0, 1)]
