@@ -50,8 +50,9 @@ NUM, DEN = 75, 100
 SKETCH = 1 << 20
 #: Elements among which repeated ones are counted.
 NEAR = 1 << 21
-#: An element counted this many times as often as the mean counter is frequent.
-FREQUENT = 4
+#: An element is frequent if its counter is above this share of the mean; the order has
+#: two levels for each doubling from there.
+FREQUENT = 0.5
 #: Members of a cluster with which an open pair is tried first.
 PROBES = 6
 #: Entries in a block of an index list.
@@ -122,11 +123,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(signatures: DataFrame) -> np.ndarray:
-    """For each sketch counter 0, or how far above the mean its count is."""
+    """For each sketch counter 0, or in steps how far its count is above the bound."""
     parts = signatures.filter("n < 0").select("counts").coalesce(4).mapInArrow(_added, "counts binary").collect()
     total = sum((np.frombuffer(r.counts, np.uint32).astype(float) for r in parts), np.zeros(SKETCH))
     above = total / (FREQUENT * (total.mean() + 0.25))
-    return np.where(above > 1, 1 + np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
+    return np.where(above > 1, 1 + 2 * np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
 
 
 def _entries(levels: np.ndarray):
