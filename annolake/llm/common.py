@@ -13,15 +13,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting for the rows that go to a Python worker at a time.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """``df`` as a table written to the shared folder and read back.
 
     Cuts the lineage so that a lost executor costs no earlier work, and gives
     the optimizer the table's size, on which it decides about broadcasts.
+    ``batch``: for this job, so many rows at most go to a Python worker at a time;
+    for rows that hold whole texts.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/annolake-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch:
+        spark.conf.set(_BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch:
+            spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -49,7 +49,7 @@ NUM, DEN = 75, 100
 #: Counters of the frequency sketch; its size does not grow with the corpus.
 SKETCH = 1 << 20
 #: Elements among which repeated ones are counted.
-NEAR = 1 << 21
+NEAR = 3 << 19
 #: An element is frequent if its counter is above this share of the mean; the order has
 #: two levels for each doubling from there.
 FREQUENT = 0.5
@@ -326,7 +326,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     two = one.join(texts, F.col("b") == F.col("id")).select("a", "b", "x", F.col("text").alias("y"))
     return written(two.mapInArrow(_compare, "a long, b long, na long, nb long, shared long")
                    .groupBy("a", "b").agg(F.max_by(F.struct("na", "nb", "shared"), F.col("shared") / (F.col("na") + F.col("nb"))).alias("r"))
-                   .select("a", "b", "r.*"), "compared")
+                   .select("a", "b", "r.*"), "compared", 256)
 
 
 def _linked():
@@ -376,7 +376,7 @@ def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = pieces(docs.sparkSession)
-    signatures = written(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
+    signatures = written(docs.mapInArrow(_signatures, _SIGNATURE), "signatures", 1024)
     rows = signatures.filter("n >= 0").select("doc_id", "n", "print", "low")
     nodes = written(rows.filter("n > 0 and doc_id is not null").groupBy("print", "n")
                     .agg(F.min("doc_id").alias("node"), F.first("low").alias("low")), "nodes")
@@ -396,7 +396,7 @@ def join(docs: DataFrame) -> DataFrame:
     # index lists
     entries = docs.mapInArrow(_entries(_levels(signatures)), "element long, doc_id long, n long, pos long")
     shared = written(entries.repartition(n, "element").sortWithinPartitions("element")
-                     .mapInArrow(_shared, "element long, doc_id long, n long, pos long"), "lists")
+                     .mapInArrow(_shared, "element long, doc_id long, n long, pos long"), "lists", 2048)
     of = (rows.filter("n > 0 and doc_id is not null").select("doc_id", "print", "n")
           .join(nodes.select("print", "n", "node"), ["print", "n"]).select("doc_id", "node", "n").distinct()
           .join(members.select("node", "root"), "node").select("doc_id", "n", "root"))
