@@ -62,7 +62,7 @@ def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
 def statistics(texts: pa.Array) -> np.ndarray:
     """A row of statistics (``NAMES``) for each text."""
     batch = pa.record_batch([texts], names=["text"])
-    parts = [_statistics(*arrow_bytes(s.column(0))) for s in slices(batch, 0, 1 << 21)]
+    parts = [_statistics(*arrow_bytes(s.column(0))) for s in slices(batch, 0, 1 << 20)]
     return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)), np.float32)
 
 
