@@ -146,10 +146,12 @@ def align(annotations: DataFrame, horizontal_tolerance: float = 10.0,
     if method == "first_fit":
         taking = taking & (F.col("type") == "FreeText")
     none = F.lit(None).cast("double")
+    # both directions read the corners as they came, so neither repeats the other's scan
+    pools = df.filter(taking).select(*keys, "annot_idx", "_y", "_x")
     for wanted, at, tolerance, prefix in ((horizontal, "_y", horizontal_tolerance, "h"),
                                           (vertical, "_x", vertical_tolerance, "v")):
         if wanted:
-            pool = df.filter(taking).select(*keys, "annot_idx", at)
+            pool = pools.select(*keys, "annot_idx", at)
             df = _with_move(df, pool, at, tolerance, method, taking, keys, prefix)
         else:
             df = df.select("*", F.lit(None).cast("int").alias(f"{prefix}_group"),
