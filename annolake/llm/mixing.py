@@ -97,29 +97,39 @@ def draw(doc_id: Column, text: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(key, 11) / float(1 << 53)
 
 
-def mix(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFrame:
-    """``docs`` with topic, n_tokens, rate, probability and sampled.
-
-    ``powers``: for each dimension the power of its tempered target."""
+def describe(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` with topic, n_tokens and draw: all that the mix reads from a text."""
     if "topic" not in docs.columns:
         docs = docs.withColumn("topic", topic(F.col("text")))
-    docs = docs.withColumn("n_tokens", tokens(F.col("text")))
+    return docs.withColumn("n_tokens", tokens(F.col("text"))).withColumn(
+        "draw", draw(F.col("doc_id"), F.col("text"), seed))
+
+
+def rated(docs: DataFrame, powers: dict[str, float]) -> DataFrame:
+    """Described ``docs`` with rate, probability and sampled."""
     counted = written(cells(docs), "cells")
     targets = {d: written(tempered(counted, d, powers[d]), f"wanted-{d}") for d in DIMENSIONS}
     factors = rake(counted, targets)
-    rated = docs
+    out = docs
     for d in DIMENSIONS:
         side = factors[d].select(F.col("value").alias(f"__{d}"), F.col("factor").alias(f"__f_{d}"))
-        rated = rated.join(side, F.coalesce(rated[d], F.lit("")) == side[f"__{d}"], "left").drop(f"__{d}")
+        out = out.join(side, F.coalesce(out[d], F.lit("")) == side[f"__{d}"], "left").drop(f"__{d}")
     rate = reduce(lambda a, b: a * b, (F.col(f"__f_{d}") for d in DIMENSIONS))
     cell = counted.filter("tokens > 0")
     for d in DIMENSIONS:
         cell = cell.join(factors[d].select(F.col("value").alias(d), F.col("factor").alias(f"__f_{d}")), d)
     greatest = cell.agg(F.max(rate)).first()[0] or 1.0
-    return (rated.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
+    return (out.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
             .withColumn("probability", F.least(F.lit(1.0), F.col("rate") / greatest))
-            .withColumn("sampled", draw(F.col("doc_id"), F.col("text"), seed) < F.col("probability"))
-            .drop(*(f"__f_{d}" for d in DIMENSIONS)))
+            .withColumn("sampled", F.col("draw") < F.col("probability"))
+            .drop("draw", *(f"__f_{d}" for d in DIMENSIONS)))
+
+
+def mix(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFrame:
+    """``docs`` with topic, n_tokens, rate, probability and sampled.
+
+    ``powers``: for each dimension the power of its tempered target."""
+    return rated(describe(docs, seed), powers)
 
 
 def sample(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from annolake.llm import ann, chat, decontaminate, jaccard, lm, mixing, pii, quality, tokens, url_filter
+from annolake.llm.common import written
 from annolake.session import small_table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -81,7 +82,8 @@ def op9_token_output(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     """Every document's topic, tokens, rate, probability and whether it is sampled."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, POWERS).drop("text")
+    # texts are read once: what the mix needs of them is a narrow table
+    return mixing.rated(written(mixing.describe(docs).drop("text"), "described"), POWERS)
 
 
 QUERIES = {f.__name__: f for f in (
