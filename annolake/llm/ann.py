@@ -7,14 +7,17 @@
    projected to a few dimensions, once for each of ``CURVES`` curves.  Each projection is
    shifted at random, cut into a grid and ordered along its Hilbert curve.
 3. All curves are range-partitioned and sorted in one pass; places along them are exact.
-   Blocks of ``BLOCK`` places, with a margin of ``WINDOW`` on either side, go to a task
-   each, where every query meets the ``WINDOW`` places before and after its own.
-4. Each curve gives a query's best points; those of all curves are merged, and scores
+4. ``PROBES`` queries are compared with every point.  Where their true neighbours lie on
+   the curves says which recall a window gives; it is widened from ``WINDOW`` until that
+   is ``RECALL``, less two standard errors, whatever the table's size.
+5. Blocks of places go to a task each, and every query to all blocks that its window
+   touches, where it meets the places within the window before and after its own.
+6. Each curve gives a query's best points; those of all curves are merged, and scores
    are summed anew without rounding errors from the original vectors.
 
 Rotations and the grid's bounds come from a fixed seed and a sample of ``SAMPLE``
-vectors; every vector is indexed.  On 64 nearly independent dimensions and 51,000
-vectors recall at 20 is 0.96; it grows with curves and windows.
+vectors; every vector is indexed.  On nearly independent dimensions the window grows
+with the table, since no curve keeps their neighbours together.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part,
 nor do those without an id or of another length than the commonest.  Rows that repeat
@@ -35,7 +38,9 @@ from annolake.llm.common import pieces, written
 from annolake.session import small_table
 
 CURVES, WINDOW, DIMENSIONS, KEY_BITS = 16, 2048, 16, 64
-BLOCK = 8192
+RECALL, PROBES = 0.9, 128
+#: Places in a block: twice the window, between these; scores that a task holds at a time.
+BLOCK, LARGEST_BLOCK, SCORES = 8192, 32768, 1 << 21
 SAMPLE = 4096
 SEED = 8
 
@@ -119,16 +124,60 @@ def _keyed(curves: Curves):
     return run
 
 
-def _search(k: int, window: int, block: int):
+def _compared(ids: np.ndarray, asked: np.ndarray, k: int):
+    """The ``k`` best others of a few points, among all points of a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, found = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            rough = asked @ _matrix(batch.column(1)).T
+            rough[ids[:, None] == own[None, :]] = -np.inf
+            score = np.concatenate([score, rough], axis=1)
+            found = np.concatenate([found, np.broadcast_to(own, rough.shape)], axis=1)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+        real = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])[real.ravel()]), pa.array(found[real]),
+                                          pa.array(score[real])], ["asked", "id", "rough"])
+    return run
+
+
+def wide_enough(points: DataFrame, placed: DataFrame, k: int, window: int, recall: float, probes: int = PROBES) -> int:
+    """The window, ``window`` at least, at which the probes' lists have the recall."""
+    some = points.filter("query").select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(probes).toArrow()
+    if not some.num_rows:
+        return window
+    ids, asked = some.column(0).to_numpy(), _matrix(some.column(1).combine_chunks())
+    by_score = Window.partitionBy("asked").orderBy(F.desc("rough"), "id")
+    true = written(points.select("id", "vector").mapInArrow(_compared(ids, asked, k), "asked long, id long, rough double")
+                   .withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k).select("asked", "id"), "true")
+    seen = placed.select("curve", "place", "id", "query")
+    own = seen.filter("query").join(true.select(F.col("asked").alias("id")).distinct(), "id").select(
+        "curve", F.col("id").alias("asked"), F.col("place").alias("own"))
+    far = (seen.filter(~F.col("query")).join(true, "id").join(own, ["asked", "curve"])
+           .groupBy("asked", "id").agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("far")).toArrow())
+    if not far.num_rows:
+        return window
+    of, far = np.unique(far.column("asked").to_numpy(), return_inverse=True)[1], far.column("far").to_numpy()
+    while True:
+        shares = np.bincount(of, far <= window) / np.bincount(of)
+        if shares.mean() - 2 * shares.std() / len(shares) ** 0.5 >= recall or (far <= window).all():
+            return window
+        window += max(1, window // 8)
+
+
+def _search(k: int, window: int, slice_: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("place")
-        place, curve, ids, own, query = (table.column(c).to_numpy() for c in ("place", "curve", "id", "block", "query"))
+        place, curve, ids, query = (table.column(c).to_numpy() for c in ("place", "curve", "id", "query"))
         vectors = _matrix(table.column("vector").combine_chunks())
         points = np.flatnonzero(~query)
-        asked = np.flatnonzero(query & (place // block == own))
+        asked = np.flatnonzero(query)
         out = []
-        for at in range(0, len(asked), 256):
-            rows = asked[at:at + 256]
+        for at in range(0, len(asked), slice_):
+            rows = asked[at:at + slice_]
             low, high = np.searchsorted(place, [place[rows[0]] - window, place[rows[-1]] + window + 1])
             near = points[np.searchsorted(points, low):np.searchsorted(points, high)]
             if not len(near):
@@ -167,9 +216,10 @@ def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = CURVES, window: int = WINDOW,
-            id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+            id_: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest others of each row that
-    ``queries`` (a condition on vec_id) names."""
+    ``queries`` (a condition on vec_id) names.  ``window`` is the least one;
+    with a ``recall`` of 0 it is not widened."""
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_, vector).distinct(), "vectors")
     order = Window.partitionBy("vector").orderBy("vec_id")
@@ -197,11 +247,13 @@ def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = CURVES, wind
         total += r.n
     placed = sorted_.withColumn("part", part).join(small_table(spark, starts, "part long, start long"), "part").withColumn(
         "place", F.col("start") + within)
-    inner, block = F.pmod("place", F.lit(BLOCK)), F.floor(F.col("place") / BLOCK)
-    blocks = F.array_compact(F.array(block, F.when(inner < window, block - 1), F.when(inner >= BLOCK - window, block + 1)))
+    window = wide_enough(points, placed, k, window, recall)
+    size = max(BLOCK, min(2 * window, LARGEST_BLOCK))
+    reach = F.when(F.col("query"), F.lit(window)).otherwise(F.lit(0))
+    blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.col("place") - reach) / size),
+                        F.floor(F.least(F.lit(total - 1), F.col("place") + reach) / size))
     found = (placed.select("curve", "place", "id", "query", "vector", F.explode(blocks).alias("block"))
-             .filter(~F.col("query") | (F.floor(F.col("place") / BLOCK) == F.col("block")))
-             .groupBy("block").applyInArrow(_search(k + 1, window, BLOCK), "asked long, id long, rough double"))
+             .groupBy("block").applyInArrow(_search(k + 1, window, max(1, SCORES // size)), "asked long, id long, rough double"))
     merged = found.groupBy("asked", "id").agg(F.max("rough").alias("rough"))
     best = Window.partitionBy("asked").orderBy(F.desc("rough"), "id")
     kept = (merged.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("asked", "id")

@@ -50,6 +50,21 @@ def test_recall_with_blocks_and_margins(spark, monkeypatch):
     assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("block", [64, 8192])
+def test_windows_grow_until_the_recall_is_met(spark, monkeypatch, block):
+    """Windows of 4 places on 3 curves hold a fraction of the neighbours of 1500 points."""
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.normal(size=8)], 1) for i in range(1500)]
+    monkeypatch.setattr(A, "BLOCK", block)
+    df = spark.createDataFrame(data, SCHEMA)
+    want = {(q, j) for q, near in brute(data, 5).items() for _, j, _ in near}
+    share = lambda rows: len(want & {(r.query_id, r.vec_id) for r in rows}) / len(want)
+    # as many probes as queries: the measured recall is the whole one
+    assert share(A.nearest(df, F.col("vec_id") % 20 == 0, k=5, curves=3, window=4).collect()) >= 0.9
+    if block == 64:
+        assert share(A.nearest(df, F.col("vec_id") % 20 == 0, k=5, curves=3, window=4, recall=0.0).collect()) < 0.5
+
+
 def test_empty(spark):
     assert A.nearest(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     assert A.nearest(spark.createDataFrame([(0, [1.0], 1)], SCHEMA), F.lit(True)).count() == 0
