@@ -6,8 +6,12 @@ dimension's token totals meet the target shares, given the other factors.  Only
 cells, pre-aggregated before any shuffle, and factor tables take part, and they
 are joined and summed by Spark, so a source with a third of all rows is a few
 cells.  After the fit a document's rate is the product of its three factors, and
-it is sampled with its rate over the greatest rate: expected token totals then
-meet all targets at once.
+it is expected in as many copies as its rate times one scale: expected token totals
+then meet all targets at once.  The scale is one over the greatest rate, so that
+every document comes once at most, unless fewer than ``BUDGET`` of all tokens would be
+expected then.  In that case, where a small category is lifted far above the rest, the
+scale gives just this budget and documents of that category come several times:
+the whole part of their expected copies, and one more by the draw.
 
 Topics are told by the look of a text (``topic``), unless the documents bring a
 column of their own.  Null sources, languages and topics are the category ``""``;
@@ -28,6 +32,8 @@ from annolake.llm.common import written
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, TOLERANCE, SEED = 30, 1e-6, 11
+#: The least share of all tokens that a mix is expected to have.
+BUDGET = 0.5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -106,7 +112,7 @@ def describe(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def rated(docs: DataFrame, powers: dict[str, float]) -> DataFrame:
-    """Described ``docs`` with rate, probability and sampled."""
+    """Described ``docs`` with rate, probability, copies and sampled."""
     counted = written(cells(docs), "cells")
     targets = {d: written(tempered(counted, d, powers[d]), f"wanted-{d}") for d in DIMENSIONS}
     factors = rake(counted, targets)
@@ -118,22 +124,30 @@ def rated(docs: DataFrame, powers: dict[str, float]) -> DataFrame:
     cell = counted.filter("tokens > 0")
     for d in DIMENSIONS:
         cell = cell.join(factors[d].select(F.col("value").alias(d), F.col("factor").alias(f"__f_{d}")), d)
-    greatest = cell.agg(F.max(rate)).first()[0] or 1.0
+    seen = cell.agg(F.max(rate).alias("greatest"), F.sum(F.col("tokens") * rate).alias("mixed")).first()
+    least = BUDGET * (counted.agg(F.sum("tokens")).first()[0] or 0.0)
+    # tokens of the mix as the greatest rate allows them, and as the budget asks for
+    greatest = seen.greatest or 1.0
+    if seen.mixed and seen.mixed / greatest < least:
+        greatest = seen.mixed / least
     return (out.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
-            .withColumn("probability", F.least(F.lit(1.0), F.col("rate") / greatest))
-            .withColumn("sampled", F.col("draw") < F.col("probability"))
-            .drop("draw", *(f"__f_{d}" for d in DIMENSIONS)))
+            .withColumn("__copies", F.col("rate") / greatest)
+            .withColumn("probability", F.least(F.lit(1.0), F.col("__copies")))
+            .withColumn("copies", (F.floor("__copies") + (F.col("draw") < F.col("__copies") - F.floor("__copies")).cast("int")).cast("long"))
+            .withColumn("sampled", F.col("copies") > 0)
+            .drop("draw", "__copies", *(f"__f_{d}" for d in DIMENSIONS)))
 
 
 def mix(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFrame:
-    """``docs`` with topic, n_tokens, rate, probability and sampled.
+    """``docs`` with topic, n_tokens, rate, probability, copies and sampled.
 
     ``powers``: for each dimension the power of its tempered target."""
     return rated(describe(docs, seed), powers)
 
 
 def sample(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFrame:
-    """The sampled rows of ``docs`` with their own columns."""
+    """The sampled rows of ``docs`` with their own columns, in as many copies as the mix has."""
     needed = [c for c in ("doc_id", "text", *DIMENSIONS) if c in docs.columns]
     held = docs.select(F.struct("*").alias("__row"), *needed)
-    return mix(held, powers, seed).filter("sampled").select("__row.*")
+    taken = mix(held, powers, seed).filter("sampled")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

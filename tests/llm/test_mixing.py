@@ -59,6 +59,21 @@ def test_rates_against_numpy(spark):
             assert r.probability >= 0
 
 
+def test_a_tiny_category_does_not_set_the_scale(spark):
+    """One document of 4 tokens among 1000 of 40; divided by its rate, 2 % of the tokens would be left."""
+    data = [(i, "w " * 40, "en", "s", "x", 0) for i in range(1000)] + [(5000, "w " * 4, "odd", "s", "x", 0)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = M.mix(df, POWERS).collect()
+    total = sum(r.n_tokens for r in got)
+    mixed = {lang: sum(r.n_tokens * r.copies for r in got if r.lang == lang) for lang in ("en", "odd")}
+    assert sum(mixed.values()) == pytest.approx(M.BUDGET * total, rel=0.1)
+    share = 4 ** 0.5 / (4 ** 0.5 + 40000 ** 0.5)
+    assert mixed["odd"] == pytest.approx(share * M.BUDGET * total, abs=4)  # whole copies
+    assert all(r.sampled == (r.copies > 0) for r in got)
+    ids = [r.doc_id for r in M.sample(df, POWERS).collect()]
+    assert sorted(ids) == sorted(r.doc_id for r in got for _ in range(r.copies))
+
+
 def test_draws_follow_the_probabilities_and_repeat(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     a = {(r.doc_id, r.text): r.sampled for r in M.mix(df, POWERS).collect()}
