@@ -5,9 +5,11 @@ Base spans come from fixed patterns for e-mail addresses, IP addresses, card num
 fail the kind's test are dropped without a retry.
 
 On top of that, identifiers that no pattern knows are found by their context.
-Tokens (runs without white space) that hold a digit or ``@`` are instances; the two
-words before one are its lexical pattern.  Instances that a base pattern matches are
-the seeds.  Over the graph of patterns and instances, scores go back and forth for
+Base spans are the seeds, whole and with their spaces.  The other instances are runs
+of tokens (without white space) that hold a digit or ``@``, joined by single spaces, also
+with a lone bracket or hyphen between; a run ends before a token that a base span
+touches.  The two words before an instance, without digits, are its lexical pattern;
+those without one are of no use and left out.  Over the graph of patterns and instances, scores go back and forth for
 ``ROUNDS`` rounds: a pattern's confidence in a kind is the mean score of its distinct
 instances (one more counted as 0), an instance's score the best confidence among its
 patterns, 1 for seeds.  Patterns with at least ``SUPPORT`` seeds and a confidence of
@@ -39,7 +41,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_TOKEN = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+RUN = rf"(?<![^\x20\x09-\x0D]){_TOKEN}(?:\x20(?:[()-]\x20)?{_TOKEN})*+"
+#: Quotes and brackets around an instance; a bracket that closes within it stays.
+_LEAD = r"^(?:[\[{\"'<]|\((?![^()]*\)[^)\]}\"'>.,;:!?]))+"
+_TRAIL = r"(?:[\]}\"'>.,;:!?]|(?<!.\([^()]{0,64})\))+$"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ROUNDS, SUPPORT, CONFIDENCE, LENGTH = 3, 5, 0.8, 5
 _BEGIN, _END = "\ue000", "\ue001"
@@ -92,50 +98,72 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base``: (start, rank, end) of all base spans, in order."""
+def _matched(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with an array of (before, found, start) of each kind's valid matches."""
     whole = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("__digit", whole.rlike("[0-9]"))
     needs = {"email": F.contains(whole, F.lit("@")), "ip": F.col("__digit"), "card": F.col("__digit"),
              "phone": F.col("__digit") & F.contains(whole, F.lit("+"))}
+    none = F.array().cast("array<struct<before:string,found:string,start:bigint>>")
     for kind in KINDS:
         df = located(df, f"__{kind}", whole, PATTERNS[kind], needs[kind])
-    none = F.array().cast("array<struct<before:string,found:string,start:bigint>>")
+    return df.withColumns({f"__{kind}": F.filter(F.coalesce(f"__{kind}", none), lambda s: valid(kind, s["found"]))
+                           for kind in KINDS}).drop("__digit")
+
 
+def _based(matched: DataFrame) -> DataFrame:
     def spans(rank: int, kind: str) -> Column:
-        kept = F.filter(F.coalesce(f"__{kind}", none), lambda s: valid(kind, s["found"]))
-        return F.transform(kept, lambda s: F.struct(
+        return F.transform(f"__{kind}", lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), (s["start"] + F.length(s["found"])).alias("end")))
-    return df.withColumn("base", F.sort_array(F.concat(*(spans(r, k) for r, k in enumerate(KINDS))))).drop("__digit", *(f"__{k}" for k in KINDS))
+    return matched.withColumn("base", F.sort_array(F.concat(*(spans(r, k) for r, k in enumerate(KINDS)))))
+
+
+def base(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``base``: (start, rank, end) of all base spans, in order."""
+    return _based(_matched(docs, text)).drop(*(f"__{k}" for k in KINDS))
 
 
-def _seed(token: Column) -> Column:
-    """The kind whose base pattern matches (a part of) a token."""
-    tests = [(k, token.rlike(PATTERNS[k].replace(r"\G|", "")) & (valid(k, F.regexp_extract(token, PATTERNS[k], 0))))
-             for k in ("email", "ip", "card")]
-    tests.append(("phone", token.rlike(r"^\+[0-9]")))
-    return F.coalesce(*(F.when(test, F.lit(k)) for k, test in tests))
+def _pattern(before: Column) -> Column:
+    """The two words without digits that end a text's last line; blank, where it has none."""
+    return F.trim(F.regexp_extract(F.lower(F.substring_index(F.rtrim(before), "\n", -1)),
+                  r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D0-9@]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D0-9@]+)[\x20\x09-\x0D]*$", 0))
 
 
 def instances(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, start, end, pattern, instance, seed) of all tokens that may identify."""
+    """(doc_id, fp, start, end, pattern, instance, seed) of all base spans and runs that may identify."""
     whole = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(whole).alias("fp"), whole.alias("text")).filter(whole.rlike("[0-9@]"))
-    found = located(rows, "tokens", F.col("text"), TOKEN, F.lit(True))
-    token = F.regexp_replace("found", r"^[(\[{\"'<]+|[)\]}\"'>.,;:!?]+$", "")
-    lead = F.length("found") - F.length(F.regexp_replace("found", r"^[(\[{\"'<]+", ""))
-    words = F.regexp_extract(F.lower(F.substring_index(F.rtrim("before"), "\n", -1)),
-                             r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 0)
-    return (found.select("doc_id", "fp", F.inline("tokens"))
-            .select("doc_id", "fp", (F.col("start") + lead).alias("start"), token.alias("instance"),
-                    F.trim(words).alias("pattern"))
-            .withColumn("end", F.col("start") + F.length("instance"))
-            .filter("instance <> ''").withColumn("seed", _seed(F.col("instance"))))
+    found = located(_based(_matched(rows, "text")), "runs", F.col("text"), RUN, F.lit(True))
+
+    def told(s: Column, kind: str | None) -> Column:
+        return F.struct(s["start"].alias("start"), _pattern(s["before"]).alias("pattern"), s["found"].alias("instance"),
+                        F.lit(kind).cast("string").alias("seed"))
+    none = F.array().cast("array<struct<start:bigint,pattern:string,instance:string,seed:string>>")
+    every = F.concat(*(F.coalesce(F.transform(name, lambda s: told(s, kind)), none)
+                       for name, kind in [*((f"__{k}", k) for k in KINDS), ("runs", None)]))
+    some = found.select("doc_id", "fp", "base", F.filter(every, lambda s: s["pattern"] != "").alias("every"))
+    # a run's part before the tokens that a base span touches
+    end = lambda s: s["start"] + F.length(s["instance"])
+    first = lambda s: F.array_min(F.transform(
+        F.filter("base", lambda b: (b["start"] < end(s)) & (b["end"] > s["start"])), lambda b: b["start"]))
+    some = some.withColumn("every", F.transform("every", lambda s: F.struct(
+        s["start"].alias("start"), s["pattern"].alias("pattern"), s["instance"].alias("instance"), s["seed"].alias("seed"),
+        F.when(s["seed"].isNull(), first(s)).alias("first"))))
+    rows = some.select("doc_id", "fp", F.inline("every"))
+    cut = F.rtrim(F.regexp_replace(F.substr("instance", F.lit(1), F.greatest(F.lit(0), F.col("first") - F.col("start")).cast("int")),
+                                   r"[^\x20]*$", ""))
+    rows = rows.withColumn("instance", F.when(F.col("first").isNotNull(), cut).otherwise(F.col("instance")))
+    bare = F.regexp_replace("instance", _LEAD, "")
+    free = F.col("seed").isNull()
+    return (rows.withColumn("start", F.when(free, F.col("start") + F.length("instance") - F.length(bare)).otherwise(F.col("start")))
+            .withColumn("instance", F.when(free, F.regexp_replace(bare, _TRAIL, "")).otherwise(F.col("instance")))
+            .withColumn("end", F.col("start") + F.length("instance")).filter(F.col("instance").rlike("[0-9@]"))
+            .select("doc_id", "fp", "start", "end", "pattern", "instance", "seed"))
 
 
 def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(pattern, kind) that the seeds make reliable."""
-    edges = written(found.filter("pattern <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    edges = written(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     seeds = edges.filter("seed is not null")
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     scores = seeds.select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()

@@ -60,6 +60,24 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[0] == "email:17:40" or got[0].startswith("email:")
 
 
+def test_contexts_of_identifiers_with_spaces(spark):
+    cards = [c for c in (f"4111 1111 1111 {n}" for n in range(1000, 2000)) if luhn(c.replace(" ", ""))][:8]
+    rows = [(i, f"ring me on +1 (375) 555-439{i} soon") for i in range(8)]
+    rows += [(20 + i, f"my card is {c}, thanks") for i, c in enumerate(cards)]
+    rows += [(30 + i, f"from host 10.0.0.{i} came a call") for i in range(8)]
+    rows += [(50, "ring me on (375) 555-4393 soon"), (51, "ring me on 00 375 (55) now"), (52, "my card is 1234 5678 9012, thanks"),
+             (53, "from host fe80::1ff:23 10.0.0.77 x"), (54, "some thing is 1234 5678 9012")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: P_told(r.spans) for r in P.find(df).collect()}
+    assert got[50] == "phone:11:25"
+    assert got[51] == "phone:11:22"
+    assert got[52] == "card:11:25"
+    assert got[53] == "ip:10:22,ip:23:32"
+    assert got[54] == ""
+    found = {r.instance: r.seed for r in P.instances(df).collect()}
+    assert found["+1 (375) 555-4390"] == "phone" and found[cards[0]] == "card"
+
+
 def P_told(spans):
     return ",".join(f"{P.KINDS[s['rank']]}:{s['start']}:{s['end']}" for s in spans)
 
