@@ -60,7 +60,7 @@ def test_rates_against_numpy(spark):
 
 
 def test_a_tiny_category_does_not_set_the_scale(spark):
-    """One document of 4 tokens among 1000 of 40; divided by its rate, 2 % of the tokens would be left."""
+    """One document of 4 tokens among 1000 of 40; divided by its rate, 1 % of the tokens would be left."""
     data = [(i, "w " * 40, "en", "s", "x", 0) for i in range(1000)] + [(5000, "w " * 4, "odd", "s", "x", 0)]
     df = spark.createDataFrame(data, SCHEMA)
     got = M.mix(df, POWERS).collect()
