@@ -9,8 +9,10 @@ words (of all words, where an item has fewer).
    documents without enough of them end here.  This drops nothing.
 2. A shingle at place p of the document and q of the item puts the item's window at
    p - q.  Moving a window that starts before the first such place, or after the last,
-   towards it loses no shared shingle, so the windows that start at those places,
-   and between two of them less than an item apart, hold the best ones.
+   towards it loses no shared shingle.  Between two neighbouring such places that are d
+   apart, a window of n shingles holds 2 n - d shared ones at most.  So the windows that
+   start at those places, and between two of them up to 8/7 n (or less than an item)
+   apart, hold the best ones.
 3. Each window gets a 64-bit SimHash of its shingles with their counts.  Bits are cut
    into ``RADIUS`` + 1 blocks; two prints at most ``RADIUS`` bits apart agree in one
    block at least, so one equality join on blocks finds all pairs within the radius.
@@ -78,9 +80,10 @@ def _places(hits: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc_id", "fp", "item_id")
     enough = (hits.withColumn("hits", F.count(F.lit(1)).over(whole))
               .filter(7 * F.col("hits") >= 6 * F.col("n_grams"))
-              .select("doc_id", "fp", "item_id", "n_words", F.col("doc_words"), (F.col("p") - F.col("q")).alias("at")).distinct())
+              .select("doc_id", "fp", "item_id", "n_words", "n_grams", F.col("doc_words"), (F.col("p") - F.col("q")).alias("at")).distinct())
     before = F.lag("at").over(Window.partitionBy("doc_id", "fp", "item_id").orderBy("at"))
-    from_ = F.when(F.col("at") - before < F.col("n_words"), before + 1).otherwise(F.col("at"))
+    gap = F.col("at") - before
+    from_ = F.when((gap < F.col("n_words")) | (7 * gap <= 8 * F.col("n_grams")), before + 1).otherwise(F.col("at"))
     filled = enough.withColumn("from", from_).select(
         "doc_id", "fp", "n_words", "doc_words", F.explode(F.sequence("from", "at")).alias("start"))
     # a window hangs over neither end of its document

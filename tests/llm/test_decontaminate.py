@@ -60,6 +60,23 @@ def test_against_brute_force(spark):
     assert len(mine) > 30
 
 
+def test_swapped_parts_against_brute_force(spark):
+    """The best window lies between two places that are an item or more apart."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (100, 60, 150)]
+    docs = []
+    for n, text in items:
+        own = text.split()
+        for between in (0, 1, 3, 6, 12):  # strange words between the swapped halves
+            strange = [[word() for _ in range(k)] for k in (20, between, 20)]
+            docs.append((1000 * n + between, " ".join(strange[0] + own[n // 2:] + strange[1] + own[:n // 2] + strange[2])))
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == pytest.approx(want)
+    assert len(want) > 6
+
+
 def test_decontaminate_keeps_columns_and_clean_rows(spark):
     docs, items = tables()
     df = spark.createDataFrame([(d, t, "x") for d, t in docs + [(None, items[0][1]), (None, "clean")]], "doc_id long, text string, fp string")
