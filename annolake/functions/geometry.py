@@ -33,7 +33,7 @@ def flip(r: Column, page_height: Column) -> Column:
 def plain_number(c: Column) -> Column:
     """A double as text without an exponent, as coordinates are written in files."""
     text = c.cast("string")
-    digits = F.regexp_replace(text.cast("decimal(38,20)").cast("string"), "0+$", "")
+    digits = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", "")
     plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
     return F.when(F.contains(text, F.lit("E")), F.coalesce(plain, text)).otherwise(text)
 

@@ -2,7 +2,7 @@
 
 Bookmark rows carry sort columns (``section, domain, sort_page, ord``) instead
 of one running number, so that no document has to pass through one task; the
-sink sorts by ``TOC_ORDER``.
+sink sorts by ``toc_order(rows)``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,11 @@ FORM_LABEL, DOMAIN_LABEL = "Form_bookmarks", "SDTM"
 SCRIPT_HEADER = r"(?U)^[A-Z]{2}\s*=\s*[A-Z\s]+$"
 
 
+def toc_order(toc: DataFrame) -> list[str]:
+    """What bookmark rows are sorted by; tables of one study may lack the study."""
+    return [c for c in TOC_ORDER if c in toc.columns]
+
+
 def page_forms(pages: DataFrame, marked_only: bool = False) -> DataFrame:
     """``doc_id, page, form`` of each page; with ``marked_only`` only pages that say ``Form:``."""
     if marked_only:

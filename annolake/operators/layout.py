@@ -285,7 +285,7 @@ def resize_operations(resized: DataFrame, box: str = "rect", content: str = "con
 
 def resize_totals(resized: DataFrame, by: tuple[str, ...] | None = None) -> DataFrame:
     free = F.col("type") == "FreeText"
-    return resized.groupBy(*(by or document_key(resized))).agg(
+    return resized.groupBy(*(document_key(resized) if by is None else by)).agg(
         F.count("*").alias("total_annotations"), F.count_if(free).alias("freetext_annotations"),
         F.count_if("checked").alias("checked"), F.count_if("changed").alias("resized"),
         F.count_if(F.col("checked") & ~F.col("changed")).alias("skipped"))

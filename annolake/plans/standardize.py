@@ -158,7 +158,7 @@ def standardize_totals(rows: DataFrame, toc: DataFrame | None = None,
     """Modified, headers, boxes checked and resized, moves, shapes and bookmarks."""
     shape = ~F.col("type").isin("FreeText", *NOTE_TYPES)
     free = F.col("type") == "FreeText"
-    by = by or document_key(rows, *([] if toc is None else [toc]))
+    by = document_key(rows, *([] if toc is None else [toc])) if by is None else by
     out = rows.groupBy(*by).agg(
         F.count("*").alias("annotations_modified"), F.count("domain").alias("headers_found"),
         F.count_if(shape).alias("rectangles_styled"),
@@ -170,9 +170,13 @@ def standardize_totals(rows: DataFrame, toc: DataFrame | None = None,
         .alias("colors_standardized"))
     if toc is None:
         return out
+    figures = [c for c in out.columns if c not in by]
     entries = toc.groupBy(*by).agg(F.count("*").alias("bookmarks_created"))
-    return out.join(entries, list(by), "left").withColumn(
-        "bookmarks_created", F.coalesce("bookmarks_created", F.lit(0)))
+    both = out.unionByName(entries, allowMissingColumns=True)
+    return both.groupBy(*by).agg(
+        *(F.sum(c).alias(c) for c in figures),
+        F.coalesce(F.sum("bookmarks_created"), F.lit(0)).alias("bookmarks_created")
+    ).filter("annotations_modified is not null")
 
 
 def standard_bookmarks(rows: DataFrame, pages: DataFrame,
@@ -204,6 +208,6 @@ def color_workflow_totals(exported: DataFrame, existing: DataFrame, tolerance: f
                           by: tuple[str, ...] | None = None) -> DataFrame:
     """Exported rows, rows whose colour changed, and rows found again among the annotations."""
     matched = match_positions(exported, existing, tolerance)
-    return matched.groupBy(*(by or document_key(matched))).agg(
+    return matched.groupBy(*(document_key(matched) if by is None else by)).agg(
         F.count("*").alias("exported"), F.count_if("recolored").alias("colors_standardized"),
         F.count("match_idx").alias("imported"))

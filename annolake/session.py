@@ -27,7 +27,7 @@ def local_session(app: str = "annolake", cores: str = "*", partitions: int = 8,
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))
     if cores != "*":
-        builder = builder.config("annolake.input.pieces", cores)
+        builder = builder.config("spark.annolake.input.pieces", cores)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -35,18 +35,21 @@ def local_session(app: str = "annolake", cores: str = "*", partitions: int = 8,
     return spark
 
 
+_local_folder: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 
     A machine-local folder is made only where the setting is missing, which is
-    the case in local tests and never on a cluster.
+    the case in local tests and never on a cluster; one for all calls.
     """
+    global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="annolake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder = _local_folder or tempfile.mkdtemp(prefix="annolake-")
     return folder.rstrip("/")
 
 

@@ -63,13 +63,13 @@ TEMPLATES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as it lies, or dealt out to ``annolake.input.pieces`` pieces.
+    """A given table as it lies, or dealt out to ``spark.annolake.input.pieces`` pieces.
 
     The setting is for one machine whose tables are one row group each, which Spark
     cannot split; a cluster leaves it unset.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    pieces = spark.conf.get("annolake.input.pieces", None)
+    pieces = spark.conf.get("spark.annolake.input.pieces", None)
     return df.repartition(int(pieces)) if pieces else df
 
 

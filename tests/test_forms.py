@@ -36,7 +36,7 @@ def notes(spark, rows):
 
 
 def toc(df):
-    return [(r["level"], r["title"], r["page"]) for r in df.orderBy(*forms.TOC_ORDER).collect()]
+    return [(r["level"], r["title"], r["page"]) for r in df.orderBy(*forms.toc_order(df)).collect()]
 
 
 def test_standard_bookmarks(spark):

@@ -21,7 +21,7 @@ def notes(spark):
 def test_standardized_xfdf_round_trip(spark, notes, tmp_path):
     out = ST.export(notes.filter("doc_id = 'CRF-3'")).persist()
     xfdf.write_documents(xfdf.document_lines(out, "crf & co.pdf"), str(tmp_path / "x"))
-    parts = sorted(glob.glob(f"{tmp_path}/x/doc_id=CRF-3/*.txt"))
+    parts = sorted(glob.glob(f"{tmp_path}/x/study_id=*/doc_id=CRF-3/*.txt"))
     whole = "".join(open(p, encoding="utf8").read() for p in parts)
     assert whole.startswith('<?xml version="1.0" encoding="UTF-8"?>\n<xfdf ') and whole.rstrip().endswith("</annots>\n</xfdf>")
     assert '<f href="crf &amp; co.pdf"/>' in whole
@@ -53,8 +53,12 @@ def test_broken_elements_are_kept_apart(spark, tmp_path):
 def test_element_sinks(spark, notes, tmp_path, writer, row, take):
     rows = getattr(tables, take)(notes.filter("doc_id in ('CRF-1', 'CRF-2')"))
     getattr(xfdf, writer)(rows, str(tmp_path / "out"))
-    back = spark.read.format("xml").option("rowTag", row).load(f"{tmp_path}/out")
-    assert back.count() == rows.count() and {r[0] for r in back.select("doc_id").distinct().collect()} == {"CRF-1", "CRF-2"}
+    # two studies with one document name stay apart
+    rows = rows.unionByName(rows.filter("doc_id = 'CRF-1'").withColumn("study_id", F.lit("ST9")))
+    getattr(xfdf, writer)(rows, str(tmp_path / "two"))
+    back = spark.read.format("xml").option("rowTag", row).load(f"{tmp_path}/two")
+    per = lambda df: {(r.study_id, r.doc_id): r["count"] for r in df.groupBy("study_id", "doc_id").count().collect()}
+    assert per(back) == per(rows) and len(per(back)) == 3
 
 
 def test_relink(spark):
