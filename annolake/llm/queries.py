@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import ann, chat, decontaminate, jaccard, lm, mixing, pii, quality, repair, tokens, url_filter
+from annolake.llm import ann, chat, decontaminate, jaccard, lm, mixing, pii, quality, repair, resample, tokens, url_filter
 from annolake.llm.common import written
 from annolake.session import small_table
 
@@ -92,7 +92,12 @@ def op12_structure_repair(spark, sf_dir):
     return repair.report(rows, repair.damage(rows), "copies")
 
 
+def op13_importance_resampling(spark, sf_dir):
+    """Every document's weight towards the benchmark texts, its score, and its rank if drawn."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_pii, op5_decontamination, op6_lm_scoring,
     op7_quality_classifier, op8_ann, op9_token_output, op10_mixing,
-    op12_structure_repair)}
+    op12_structure_repair, op13_importance_resampling)}
