@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from annolake.llm import ann, chat, decontaminate, jaccard, lm, mixing, pii, quality, repair, resample, tokens, url_filter
+from annolake.llm import ann, chat, decontaminate, jaccard, licenses, lm, mixing, pii, quality, repair, resample, tokens, url_filter
 from annolake.llm.common import written
 from annolake.session import small_table
 
@@ -86,6 +86,12 @@ def op10_mixing(spark, sf_dir):
     return mixing.rated(written(mixing.describe(docs).drop("text"), "described"), POWERS)
 
 
+def op11_license_scan(spark, sf_dir):
+    """Every document's base phrases, and the labels of all notices in it."""
+    return (licenses.scan(table(spark, sf_dir, "documents"))
+            .withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}))
+
+
 def op12_structure_repair(spark, sf_dir):
     """Every conversation, damaged and mended: faults, least cost, edits, digest of what is left."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -100,4 +106,4 @@ def op13_importance_resampling(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_pii, op5_decontamination, op6_lm_scoring,
     op7_quality_classifier, op8_ann, op9_token_output, op10_mixing,
-    op12_structure_repair, op13_importance_resampling)}
+    op11_license_scan, op12_structure_repair, op13_importance_resampling)}

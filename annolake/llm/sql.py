@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annolake.llm import chat
+from annolake.llm import chat, licenses
 
 _PARTS = r"""
   SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -135,4 +135,30 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN final USING (conv_id)
 LEFT JOIN mended USING (conv_id)
 """
-ORACLE = {"op12_structure_repair": STRUCTURE_REPAIR, "op1_url_filter": URL_FILTER, "op2_chat_format": CHAT_FORMAT, "op6_lm_scoring": LM_SCORING}
+_NOTICES = [licenses.template(*t) for t in licenses.TEMPLATES]
+LICENSE_SCAN = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM docs),
+follow AS (SELECT *, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM placed WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+base AS (
+  SELECT doc_id, i, CASE WHEN w = 'cc' THEN 'cc-by' WHEN w = 'general' THEN 'gpl' ELSE 'reserved' END AS label FROM follow
+  WHERE (w = 'cc' AND w2 = 'by') OR (w = 'general' AND w2 = 'public' AND w3 = 'license')
+     OR (w = 'all' AND w2 = 'rights' AND w3 = 'reserved')),
+notices(t, label, place, w, is_key, size, need, keys) AS (VALUES
+  {", ".join(f"({n}, '{t.label}', {i}, '{w}', {i in t.keys}, {len(t.words)}, {t.need}, {len(t.keys)})"
+             for n, t in enumerate(_NOTICES) for i, w in enumerate(t.words))}),
+found AS (
+  SELECT doc_id, label, count(*) / size AS share FROM placed JOIN notices USING (w)
+  GROUP BY doc_id, t, label, i - place, size, need, keys HAVING count(*) >= need AND count(*) FILTER (is_key) = keys),
+told AS (SELECT doc_id, label, 1.0::DOUBLE AS share FROM base UNION ALL SELECT * FROM found)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM docs
+LEFT JOIN (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+                  string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+           FROM told GROUP BY doc_id) USING (doc_id)
+"""
+ORACLE = {"op11_license_scan": LICENSE_SCAN, "op12_structure_repair": STRUCTURE_REPAIR, "op1_url_filter": URL_FILTER, "op2_chat_format": CHAT_FORMAT, "op6_lm_scoring": LM_SCORING}
