@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from annolake.functions import color as C
-from annolake.functions.geometry import flip
+from annolake.functions.geometry import flip, rect
 from annolake.functions.metrics import STANDARD_FONT
 from annolake.functions.text import (DEFAULT_AUTHOR, HEADER_PATTERN, header_code, header_font_size,
                                      header_label, is_header, normalize_quotes, with_clean_text)
@@ -15,6 +15,7 @@ from annolake.operators.forms import bookmarks, headers, item_bookmarks, page_fo
 from annolake.operators.layout import PAGE, align, resize
 from annolake.operators.matching import match_positions
 from annolake.schemas import document_key
+from annolake.sources import xfdf
 
 # Types that take neither border nor fill.
 NOTE_TYPES = ("Text", "StrikeOut", "Caret", "Highlight", "Underline")
@@ -94,6 +95,21 @@ def export(annotations: DataFrame, options: StandardizeOptions = StandardizeOpti
         F.col("changed").alias("resized"))
 
 
+def export_files(spark: SparkSession, source: str, target: str,
+                 options: StandardizeOptions = StandardizeOptions(), pdf_name: Column | str = "document.pdf",
+                 page_height: Column | float = 792.0, places: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Scan the XFDF documents under ``source``, standardize them, write them under ``target``.
+
+    Gives the list of written files and the elements that could not be used.
+    Coordinates are written to ``places`` decimals.
+    """
+    parsed = xfdf.parse_elements(xfdf.read_elements(spark, source))
+    rows = export(xfdf.annotations_of(parsed, page_height), options)
+    box = F.col("xfdf_rect")
+    rows = rows.withColumn("xfdf_rect", rect(*(F.round(box[c], places) for c in ("x0", "y0", "x1", "y1"))))
+    return xfdf.write_files(xfdf.document_lines(rows, pdf_name), target), xfdf.rejected(parsed)
+
+
 def style_by_type(df: DataFrame, options: StandardizeOptions, rule: str = "present") -> Column:
     """What each annotation type gets; ``older`` is the rule with black text and thin borders."""
     kind = F.col("type")

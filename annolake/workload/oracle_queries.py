@@ -521,6 +521,32 @@ ORACLE["xfdf_restyle_totals"] = with_(ANN, _ELS, _RESTYLED, body=f"""SELECT doc_
   count(*) FILTER (rich AND coalesce(domain IN {_RED}, false)) AS red_annotations, count(*) FILTER (rich AND NOT coalesce(domain IN {_RED}, false)) AS blue_annotations, count(new_title) AS authors_changed FROM rt GROUP BY doc_id""")
 ORACLE["xfdf_relinked"] = """SELECT page_id AS doc_id, true AS changed, '<xfdf>' || chr(10) || '<f href="crf$' || page_id || '.pdf"/>' || chr(10) || html || '  <f href="out.pdf"/>' || chr(10) || '</xfdf>' AS new_text FROM pages"""
 
+# documents as files: names that studies share (``doc_id`` holds both here), coordinates to four places
+_FILE_ANN = ANN.replace("ann AS (", "all_ann AS (") + """,
+ann AS (SELECT * REPLACE (study_id || '/CRF-' || CAST(substr(doc_id, 5) AS BIGINT) // 5 AS doc_id, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1),
+    l_linestatus = 'F' OR page = 45 AS rich, trunc(r * 255) / 255 AS qr, trunc(g * 255) / 255 AS qg, trunc(b * 255) / 255 AS qb
+  FROM all_ann WHERE type = 'FreeText' AND """
+_KEYS = "split_part(doc_id, '/', 1) AS study_id, split_part(doc_id, '/', 2) AS doc_id"
+_USED = _FILE_ANN + "page < 46)"
+ORACLE["xfdf_standardized"] = ORACLE["export_lines"].replace(ANN, _USED).replace(_EXPORT_COLOR, f"CASE WHEN rich THEN {_QSTD} ELSE '#000000' END")
+_at = ORACLE["xfdf_standardized"].rindex("SELECT doc_id, page, annot_idx, i - 1 AS line_no")
+ORACLE["xfdf_standardized"] = ORACLE["xfdf_standardized"][:_at] + f"""SELECT {_KEYS}, row_number() OVER (PARTITION BY doc_id ORDER BY page, annot_idx, line_no) - 1 AS line_no, line FROM ({ORACLE["xfdf_standardized"][_at:]})"""
+ORACLE["xfdf_rejected"] = with_(_FILE_ANN + "page >= 46)", body=f"""SELECT {_KEYS}, ['broken element', 'missing content', 'invalid page', 'missing rect attribute', 'invalid rect format'][page - 45] AS error,
+  count(*) AS n, count(*) FILTER (page = 46) AS texts FROM ann GROUP BY doc_id, page""")
+ORACLE["xfdf_findings"] = checked(f"SELECT {_KEYS}, rule_no, message, count(*) AS n FROM f GROUP BY f.doc_id, rule_no, message").replace(ANN, _USED)
+_BACK = rf"""els AS (SELECT *, CASE WHEN page <> 47 THEN trim(content) END AS txt, trim(content) AS t, {_SHEX0} AS hexed FROM ann),
+back AS (
+  SELECT 'recolored' AS job, *, CASE WHEN rich THEN hexed END AS color, trim(author) AS title, CASE WHEN page = 45 THEN 'font-size:9.5pt'
+      WHEN rich THEN 'font-size:9.5pt;color:' || CASE WHEN page = 47 THEN hexed ELSE {_QSTD} END || ';font-weight:bold' END AS body_style, txt AS told FROM els
+  UNION ALL
+  SELECT 'restyled', * EXCLUDE (domain, is_header), CASE WHEN rich THEN hexed WHEN domain IS NULL THEN NULL WHEN domain IN {_RED} THEN '1.0 0.0 0.0' ELSE '0.0 0.0 1.0' END,
+    CASE WHEN author IS NOT NULL THEN 'Annotator' END, CASE WHEN rich THEN 'font-size:' || CASE WHEN is_header THEN '12.0' ELSE '10.0' END || 'pt;text-align:left;color:' ||
+      CASE WHEN domain IN {_RED} THEN '#FF0000' ELSE '#0000FF' END || ';font-weight:bold;font-style:italic;font-family:Arial;font-stretch:normal' END, CASE WHEN is_header THEN t ELSE upper(t) END
+  FROM (SELECT *, CASE WHEN page NOT IN (45, 47) THEN {_domain('t')} END AS domain, coalesce(page NOT IN (45, 47) AND regexp_matches(t, '^([A-Z]{{2}})\s*=\s*([^=]+)$'), false) AS is_header FROM els))"""
+ORACLE["xfdf_written_back"] = with_(_FILE_ANN + "page <> 46)", _BACK, body=f"""SELECT job, {_KEYS}, title, color, body_style,
+  CASE WHEN rich AND page NOT IN (45, 47) THEN told END AS paragraph, CASE WHEN NOT rich AND page <> 47 THEN told END AS contents, CASE WHEN page = 45 THEN t END AS span, count(*) AS n
+  FROM back GROUP BY ALL""")
+
 
 # --- settings --------------------------------------------------------------
 

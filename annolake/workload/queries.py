@@ -718,6 +718,71 @@ def xfdf_restyle_totals(spark, sf):
     return xfdf.restyle_totals(xfdf.restyle(_elements(spark, sf)))
 
 
+def _file_elements(spark, sf):
+    """Raw elements of documents of which five studies share a name; some cannot be used."""
+    notes = W.annotations(spark, sf).filter("type = 'FreeText'")
+    number = F.substring("doc_id", 5, 20).cast("long")
+    page, color = F.col("page"), F.col("stroke")
+    spanned = page == 45
+    rich = spanned | F.startswith("da", F.lit("/Helv"))
+    box = flip(F.col("rect"), F.lit(792.0))
+    listed = F.concat(F.lit("color: rgb("), F.concat_ws(", ", *((color[c] * 255).cast("int").cast("string") for c in "rgb")), F.lit(")"))
+    style = F.concat(F.lit("font-size:9.5pt;color:"), C.to_hex(color), F.lit(";font-weight:bold"))
+    text = F.when(page != 47, F.col("content"))
+    none = F.lit(None).cast("string")
+    return notes.select(
+        "study_id", F.concat(F.lit("CRF-"), F.floor(number / 5).cast("string")).alias("doc_id"), "annot_idx",
+        F.when(page == 48, F.concat(F.lit("p"), page.cast("string"))).otherwise((page - 1).cast("string")).alias("page_text"),
+        F.when(page == 50, F.lit("1,2,3")).when(page != 49, rect_text(rect(*(F.round(box[c], 4) for c in ("x0", "y0", "x1", "y1"))))).alias("rect_text"),
+        F.col("author").alias("title"), F.when(rich, C.to_hex(color)).alias("color"), F.when(~rich, text).alias("contents"),
+        F.when(rich & ~spanned, style).when(spanned, F.lit("font-size:9.5pt")).alias("body_style"),
+        F.when(rich & ~spanned, text).alias("paragraph"), F.when(spanned, listed).alias("span_style"),
+        F.when(spanned, text).alias("span"), none.alias("da"),
+        F.when(page == 46, F.concat(F.lit('<freetext page="45" rect="1,2,3,4"><contents>A & B '), F.col("annot_idx").cast("string"), F.lit("</contents></freetext>"))).alias("corrupt"))
+
+
+def _documents(spark, sf):
+    """The folder of XFDF documents that these elements make."""
+    folder = _run_folder(spark, "xfdf-in")
+    xfdf.write_files(xfdf.element_lines(_file_elements(spark, sf), "crf.pdf"), folder)
+    return folder
+
+
+@query
+def xfdf_standardized(spark, sf):
+    """Documents scanned, aligned, resized, written: every line of every file."""
+    out = _run_folder(spark, "xfdf-out")
+    ST.export_files(spark, _documents(spark, sf), out, pdf_name="crf.pdf")
+    return xfdf.read_lines(spark, out)
+
+
+@query
+def xfdf_rejected(spark, sf):
+    """Why elements of those documents cannot be used."""
+    found = xfdf.rejected(xfdf.parse_elements(xfdf.read_elements(spark, _documents(spark, sf))))
+    return found.groupBy("study_id", "doc_id", "error").agg(F.count("*").alias("n"), F.count("corrupt").alias("texts"))
+
+
+@query
+def xfdf_findings(spark, sf):
+    """The check of scanned documents."""
+    notes = xfdf.annotations_of(xfdf.parse_elements(xfdf.read_elements(spark, _documents(spark, sf))))
+    return check(notes, W.catalog(spark), EXACT).findings.groupBy("study_id", "doc_id", "rule_no", "message").agg(F.count("*").alias("n"))
+
+
+@query
+def xfdf_written_back(spark, sf):
+    """Colours and styles updated, written as documents and scanned again."""
+    out = {}
+    for name, update in (("recolored", xfdf.update_colors), ("restyled", xfdf.restyle)):
+        out[name] = _run_folder(spark, f"xfdf-{name}")
+        elements = _file_elements(spark, sf).filter("corrupt is null")
+        xfdf.write_files(xfdf.element_lines(update(elements), "crf.pdf"), out[name])
+    both = [xfdf.read_elements(spark, folder).withColumn("job", F.lit(name)) for name, folder in out.items()]
+    return both[0].unionByName(both[1]).groupBy("job", "study_id", "doc_id", "title", "color", "body_style", "paragraph", "contents", "span").agg(
+        F.count("*").alias("n"))
+
+
 @query
 def xfdf_relinked(spark, sf):
     pages = W.table(spark, sf, "pages")

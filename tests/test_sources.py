@@ -8,6 +8,7 @@ from annolake.operators import settings as S
 from annolake.plans import standardize as ST
 from annolake.sources import audit, fdf, tables, xfdf
 from annolake.sources.datasets import DatasetRegistry
+from annolake.schemas import ANNOTATIONS
 from annolake.workload import feeds as W
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +36,35 @@ def test_standardized_xfdf_round_trip(spark, notes, tmp_path):
     assert order == [r["content"] for r in out.orderBy("page", "annot_idx").collect()]
 
 
+def test_documents_in_and_out(spark, tmp_path):
+    """Two studies with one document name, and one document of many lines: one whole file each."""
+    text = "A & <B> \"quoted\""
+    raw = [("S1", "d 1/x", i, str(i % 3), "1.5,2,30,40", "me", "#FF0000", None, "color:#112233;font-size:9pt", text, None, None, None, None) for i in range(4000)]
+    raw += [("S2", "d 1/x", 0, "0", "1,2,3,4", None, None, text, None, None, None, None, "/F 9 Tf", None),
+            ("S2", "other", 5, None, None, None, None, None, None, None, None, None, None, "<freetext page='1'><contents>a & b</contents></freetext>")]
+    names = ("study_id doc_id annot_idx:long page_text rect_text title color contents body_style paragraph span_style span da corrupt").split()
+    elements = spark.createDataFrame(raw, ", ".join(f"{n.split(':')[0]} {(n.split(':') + ['string'])[1]}" for n in names)).repartition(5)
+    folder = str(tmp_path / "in")
+    files = xfdf.write_files(xfdf.element_lines(elements, "a&b.pdf"), folder)
+    assert sorted((r.study_id, r.doc_id) for r in files.collect()) == [("S1", "d 1/x"), ("S2", "d 1/x"), ("S2", "other")]
+    assert len(glob.glob(f"{folder}/*/*/*.txt")) == 3
+    back = xfdf.read_elements(spark, folder)
+    cols = ["study_id", "doc_id", "page_text", "rect_text", "color", "paragraph", "contents", "da"]
+    assert back.filter("corrupt is null").select(cols).exceptAll(elements.select(cols)).count() == 0
+    parsed = xfdf.parse_elements(back)
+    assert [(r.doc_id, r.error) for r in xfdf.rejected(parsed).collect()] == [("other", "broken element")]
+    notes_ = xfdf.annotations_of(parsed, 100.0)
+    assert notes_.schema.simpleString() == ANNOTATIONS.simpleString()
+    one = notes_.filter("study_id = 'S1'").orderBy("annot_idx").first()
+    assert (tuple(one.rect), one.content, one.da[:11]) == ((1.5, 60, 30, 98), text, "/Helv 9 Tf ")
+    # files that the list does not name are not read
+    with open(glob.glob(f"{folder}/study_id=S2/doc_id=other/*.txt")[0].replace("part-", "part-9"), "w") as f:
+        f.write("half a line")
+    assert xfdf.read_lines(spark, folder).filter("doc_id = 'other'").count() == 7
+    rows, bad = ST.export_files(spark, folder, str(tmp_path / "out"), ST.StandardizeOptions(align=False))
+    assert rows.count() == 2 and bad.count() == 2
+
+
 def test_broken_elements_are_kept_apart(spark, tmp_path):
     (tmp_path / "a.xfdf").write_text(
         '<xfdf xmlns="http://ns.adobe.com/xfdf/"><annots>'
