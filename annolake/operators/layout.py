@@ -1,14 +1,17 @@
 """Box layout: proximity groups, alignment, resizing.
 
-Grouping depends on order, so it needs a scan.  Rows with equal coordinates on
-a page always fall into one group, hence the scan only sees each distinct
-coordinate of a page once, with a count: the pre-aggregation runs before the
-shuffle and a page that holds a third of all boxes shrinks to its distinct
-coordinates.  The scan streams over sorted rows and keeps no group in memory.
+Equal coordinates of a page always fall into one group, so each distinct coordinate is
+looked at once, with a count, after map-side combining.  A page is one unit of work,
+unless it has more than ``LARGE_PAGE`` distinct coordinates.  Such a page is cut: where
+two neighbours lie further apart than the tolerance, no group of either rule reaches
+across, and these gaps part it into sessions, dealt out to many tasks.  Gaps are found
+between cells as wide as the tolerance, of which a page has as many as fit on it, however
+many boxes it holds.  What one task holds is one unit's distinct coordinates.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,77 +51,158 @@ def mark_skipped(df: DataFrame, skip: DataFrame | list[int] | None, out: str,
 
 # --- proximity groups ------------------------------------------------------
 
-def _scan(keys: list[str], tolerance: float, method: str):
-    """Give each distinct coordinate of a page its group number, streaming.
-
-    ``running_mean``: coordinates ascending; one joins while it is within the
-    tolerance of the open group's mean.  ``first_fit``: coordinates in order of
-    first appearance; one joins the oldest group whose founder is within the
-    tolerance.
-    """
+#: Distinct coordinates from which a page is cut into sessions.
+LARGE_PAGE = 10_000
+
+
+def _sessions(points: DataFrame, tolerance: float) -> DataFrame:
+    """``points`` (``_page``, ``_at``, …) with ``_session``: 0 on small pages, else the
+    number of gaps before."""
+    cell = F.floor(F.col("_at") / (tolerance if tolerance > 0 else 1.0))
+    large = points.groupBy("_page").agg(F.count("*").alias("_c")).filter(F.col("_c") > LARGE_PAGE).select(F.col("_page").alias("__page"))
+    cells = (points.join(large, F.col("_page").eqNullSafe(F.col("__page")), "left_semi").groupBy("_page", cell.alias("_cell"))
+             .agg(F.min("_at").alias("_low"), F.max("_at").alias("_high")))
+    line = Window.partitionBy("_page").orderBy("_cell")
+    gap = F.col("_low") - F.lag("_high").over(line)
+    # a mean may be rounded past its members: cut only where the gap leaves no doubt
+    cells = cells.select("_page", "_cell", F.coalesce(gap > tolerance * (1 + 1e-9) + 1e-9, F.lit(False)).cast("int").alias("_cut"))
+    cells = cells.select(F.col("_page").alias("__page"), F.col("_cell").alias("__cell"), F.sum("_cut").over(line).alias("_gaps"))
+    both = F.col("_page").eqNullSafe(F.col("__page")) & cell.eqNullSafe(F.col("__cell"))
+    return points.join(cells, both, "left").withColumn("_session", F.coalesce("_gaps", F.lit(0))).drop("__page", "__cell", "_gaps")
+
+
+def _running_mean(sessions: DataFrame, tolerance: float) -> DataFrame:
+    """Points ascending; one joins while it is within the tolerance of the open group's mean:
+    a fold over each session's sorted points."""
+    runs = sessions.groupBy("_page", "_session").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "_n"))).alias("_points"))
+
+    def step(state: Column, point: Column) -> Column:
+        near = (state["n"] > 0) & (F.abs(point["_at"] - state["total"] / state["n"]) <= tolerance)
+        opened = F.array(F.struct((state["i"] + 1).alias("i"), point["_at"].alias("start")))
+        return F.struct(
+            (F.when(near, state["total"]).otherwise(0.0) + point["_at"] * point["_n"]).alias("total"),
+            (F.when(near, state["n"]).otherwise(0) + point["_n"]).cast("long").alias("n"), (state["i"] + 1).alias("i"),
+            F.when(near, state["groups"]).otherwise(F.concat(state["groups"], opened)).alias("groups"))
+
+    empty = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("i"),
+                     F.array().cast("array<struct<i: int, start: double>>").alias("groups"))
+    runs = runs.withColumn("_groups", F.aggregate("_points", empty, step, lambda state: state["groups"]))
+
+    def sized(group: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_groups", k + 1)["i"], F.size("_points") + 1)
+        points = F.slice("_points", group["i"], end - group["i"])
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"))
+        sums = F.aggregate(points, none, lambda state, p: F.struct(
+            (state["n"] + p["_n"]).alias("n"), (state["total"] + p["_at"] * p["_n"]).alias("total")))
+        return F.struct(group["start"].alias("start"), sums.alias("sums"), points.alias("points"))
+
+    def members(group: Column) -> Column:
+        return F.transform(group["points"], lambda point: F.struct(
+            point["_at"].alias("_at"), F.struct(F.lit(0).cast("long").alias("no"), group["start"].alias("at")).alias("_order"),
+            group["sums"]["n"].alias("group_size"), (group["sums"]["total"] / group["sums"]["n"]).alias("group_mean")))
+
+    kept = F.filter(F.transform("_groups", sized), lambda group: group["sums"]["n"] >= 2)
+    return runs.select("_page", F.explode(F.flatten(F.transform(kept, members))).alias("_p")).select("_page", "_p.*")
+
+
+def _first_fit_scan(keys: list[str], tolerance: float):
+    """Points in order of first appearance; one joins the oldest group whose founder is
+    within the tolerance.  Founders lie further apart than that, so only the nearest one
+    on each side can be in reach: they are kept sorted, and found by bisection."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, group, total, count, founders = None, -1, 0.0, 0, []
+        unit, points, founders, groups, out = None, [], [], [], []
+
+        def close():
+            for value, group in points:
+                if group[2] >= 2:
+                    out.append((*unit, value, group[0], group[1], group[2], group[3] / group[2]))
+
+        def told() -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=[*keys, "_at", "_no", "_founder", "group_size", "group_mean"])
+            out.clear()
+            return frame
+
         for batch in batches:
-            groups = []
-            for *key, value, n in zip(*(batch[k] for k in keys), batch["_at"], batch["_n"]):
-                if key != page:
-                    page, group, total, count, founders = key, -1, 0.0, 0, []
-                if method == "running_mean":
-                    if count and abs(value - total / count) <= tolerance:
-                        total, count = total + value * n, count + n
-                    else:
-                        group, total, count = group + 1, value * n, n
-                    groups.append(group)
-                else:
-                    for number, founder in enumerate(founders):
-                        if abs(value - founder) <= tolerance:
-                            break
-                    else:
-                        number = len(founders)
-                        founders.append(value)
-                    groups.append(number)
-            yield batch[[*keys, "_at", "_n"]].assign(_group=groups)
+            for *key, value, n, first in zip(*(batch[k] for k in keys), batch["_at"], batch["_n"], batch["_first"]):
+                if key != unit:
+                    if unit is not None:
+                        close()
+                    unit, points, founders, groups = key, [], [], []
+                place, found = bisect_left(founders, value), None
+                for i in (place - 1, place):
+                    if 0 <= i < len(founders) and abs(value - founders[i]) <= tolerance and (found is None or groups[i][0] < found[0]):
+                        found = groups[i]
+                if found is None:
+                    found = [first, value, 0, 0.0]  # first appearance, founder, boxes, sum
+                    founders.insert(place, value)
+                    groups.insert(place, found)
+                found[2] += n
+                found[3] += value * n
+                points.append((value, found))
+            if out:
+                yield told()
+        if unit is not None:
+            close()
+        if out:
+            yield told()
 
     return scan
 
 
-def proximity_groups(boxes: DataFrame, at: str, tolerance: float, method: str = "running_mean",
-                     keys: tuple[str, ...] = PAGE, order: str = "annot_idx") -> DataFrame:
-    """Groups of two or more boxes per page: ``keys, at, group_id, group_size, group_mean``.
+def _first_fit(sessions: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    rows = sessions.select(*(F.col(f"_page.{k}").alias(k) for k in keys), "_session", "_at", "_n", "_first")
+    unit = [*keys, "_session"]
+    schema = rows.select(*unit, "_at", F.col("_first").alias("_no"), F.col("_at").alias("_founder"),
+                         F.col("_n").alias("group_size"), F.col("_at").alias("group_mean")).schema
+    scanned = (rows.repartition(*unit).sortWithinPartitions(*unit, "_first", "_at")
+               .mapInPandas(_first_fit_scan(unit, tolerance), schema))
+    return scanned.select(F.struct(*keys).alias("_page"), "_at", F.struct(F.col("_no").alias("no"), F.col("_founder").alias("at")).alias("_order"),
+                          "group_size", "group_mean")
 
-    One row per distinct coordinate that belongs to such a group.  Groups are
-    numbered from 0 on their page in scan order; single boxes have no number.
+
+def proximity_groups(boxes: DataFrame, at: str, tolerance: float, method: str = "running_mean",
+                     keys: tuple[str, ...] = PAGE, order: str = "annot_idx", numbered: bool = True) -> DataFrame:
+    """Groups of two or more boxes per page: ``keys, at, group_start, group_size, group_mean``.
+
+    One row per distinct coordinate that belongs to such a group; ``group_start``, its first
+    or founding coordinate, tells the groups of a page apart.  ``numbered`` adds
+    ``group_id``, from 0 on their page: by coordinate (``running_mean``), by their founders'
+    order of appearance (``first_fit``).  Groups start further apart than the tolerance,
+    so a page has no more than fit on it.
     """
     if method not in ("running_mean", "first_fit"):
         raise ValueError(f"unknown grouping {method!r}")
     keys = list(keys)
-    points = boxes.groupBy(*keys, F.col(at).cast("double").alias("_at")).agg(
-        F.count("*").alias("_n"), F.min(order).alias("_first"))
-    line = "_at" if method == "running_mean" else "_first"
-    schema = points.select(*keys, "_at", "_n", F.lit(0).alias("_group")).schema
-    scanned = (points.filter("_at is not null").repartition(*keys).sortWithinPartitions(*keys, line)
-               .mapInPandas(_scan(keys, tolerance, method), schema))
-    group = Window.partitionBy(*keys, "_group")
-    size = F.sum("_n").over(group)
-    sized = scanned.select(
-        *keys, F.col("_at").alias(at), "_group", size.alias("group_size"),
-        (F.sum(F.col("_at") * F.col("_n")).over(group) / size).alias("group_mean")
-    ).filter("group_size >= 2")
-    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_group")) - 1
-    return sized.select(*keys, at, number.alias("group_id"), "group_size", "group_mean")
+    # the page as one value, since parts of it may be null; the filter names all columns, so
+    # that both readers of the points share one shuffle
+    points = boxes.groupBy(F.struct(*keys).alias("_page"), F.col(at).cast("double").alias("_at")).agg(
+        F.count("*").alias("_n"), F.min(order).alias("_first")).filter(
+        "_at is not null and (_n > 0 or _first is not null)")
+    sessions = _sessions(points, tolerance)
+    members = (_running_mean(sessions, tolerance) if method == "running_mean"
+               else _first_fit(sessions, keys, tolerance))
+    out = [F.col("_at").alias(at), F.col("_order.at").alias("group_start"), "group_size", "group_mean"]
+    if numbered:
+        line = Window.partitionBy("_page").orderBy("_order")
+        groups = members.select("_page", "_order").distinct().select("_page", "_order", (F.row_number().over(line) - 1).alias("group_id"))
+        members = members.join(groups, ["_page", "_order"])
+        out.append("group_id")
+    return members.select(*(F.col(f"_page.{k}").alias(k) for k in keys), *out)
 
 
 # --- alignment -------------------------------------------------------------
 
 def _with_move(boxes: DataFrame, pool: DataFrame, at: str, tolerance: float, method: str,
-               moves: Column, keys: tuple[str, ...], prefix: str) -> DataFrame:
-    groups = proximity_groups(pool, at, tolerance, method, keys).select(
-        *keys, at, F.col("group_id").alias(f"{prefix}_group"),
+               moves: Column, keys: tuple[str, ...], prefix: str, numbered: bool) -> DataFrame:
+    number = F.col("group_id") if numbered else F.lit(None).cast("int")
+    groups = proximity_groups(pool, at, tolerance, method, keys, numbered=numbered).select(
+        *keys, at, number.alias(f"{prefix}_group"), F.col("group_start").alias(f"{prefix}_start"),
         F.col("group_mean").alias(f"{prefix}_mean"))
     on = [boxes[k].eqNullSafe(groups[k]) for k in keys] + [boxes[at] == groups[at]]
     joined = boxes.join(groups, on, "left").select(
-        *(boxes[c] for c in boxes.columns), f"{prefix}_group", f"{prefix}_mean")
+        *(boxes[c] for c in boxes.columns), f"{prefix}_group", f"{prefix}_start", f"{prefix}_mean")
     shift = F.abs(F.col(at) - F.col(f"{prefix}_mean"))
     return joined.withColumn(f"{prefix}_moved", F.coalesce(moves & _far(shift, method),
                                                           F.lit(False)))
@@ -131,12 +215,13 @@ def _far(shift: Column, method: str) -> Column:
 
 def align(annotations: DataFrame, horizontal_tolerance: float = 10.0,
           vertical_tolerance: float = 10.0, horizontal: bool = True, vertical: bool = True,
-          method: str = "running_mean", skip=None, keys: tuple[str, ...] = PAGE) -> DataFrame:
+          method: str = "running_mean", skip=None, keys: tuple[str, ...] = PAGE,
+          numbered: bool = True) -> DataFrame:
     """Move boxes to their group's mean: top edges along rows, left edges along columns.
 
     ``running_mean`` takes all annotations, ``first_fit`` FreeText only.  Adds
-    ``h_group, h_mean, h_moved, v_group, v_mean, v_moved`` and ``aligned`` (the
-    new rectangle, size kept).  The two directions read different coordinates,
+    ``h_group, h_start, h_mean, h_moved``, the same with ``v_``, and ``aligned`` (the new
+    rectangle, size kept); groups have numbers where ``numbered``, for reports.  The two directions read different coordinates,
     so neither waits for the other; the vertical move starts from the
     horizontal result.
     """
@@ -152,9 +237,9 @@ def align(annotations: DataFrame, horizontal_tolerance: float = 10.0,
                                           (vertical, "_x", vertical_tolerance, "v")):
         if wanted:
             pool = pools.select(*keys, "annot_idx", at)
-            df = _with_move(df, pool, at, tolerance, method, taking, keys, prefix)
+            df = _with_move(df, pool, at, tolerance, method, taking, keys, prefix, numbered)
         else:
-            df = df.select("*", F.lit(None).cast("int").alias(f"{prefix}_group"),
+            df = df.select("*", F.lit(None).cast("int").alias(f"{prefix}_group"), none.alias(f"{prefix}_start"),
                            none.alias(f"{prefix}_mean"), F.lit(False).alias(f"{prefix}_moved"))
     box = F.col("rect")
     y0 = F.when(F.col("h_moved"), F.col("h_mean")).otherwise(box["y0"])
@@ -187,14 +272,14 @@ def alignment_totals(aligned: DataFrame, by: tuple[str, ...] | None = None) -> D
     ``by``: one row for each of these, each document by default."""
     key = document_key(aligned)
     by = key if by is None else by
-    pages = aligned.groupBy(*dict.fromkeys([*by, *key, "page"]), "h_group", "v_group").agg(
+    pages = aligned.groupBy(*dict.fromkeys([*by, *key, "page"]), "h_start", "v_start").agg(
         F.count("*").alias("n"), F.count_if("h_moved").alias("h"), F.count_if("v_moved").alias("v"))
     spot = [*(F.col(c) for c in key), F.col("page")]
     return pages.groupBy(*by).agg(
         F.sum("n").alias("total_annotations"),
-        F.countDistinct(F.when(F.col("h_group").isNotNull(), F.struct(*spot, "h_group")))
+        F.countDistinct(F.when(F.col("h_start").isNotNull(), F.struct(*spot, "h_start")))
         .alias("horizontal_groups"),
-        F.countDistinct(F.when(F.col("v_group").isNotNull(), F.struct(*spot, "v_group")))
+        F.countDistinct(F.when(F.col("v_start").isNotNull(), F.struct(*spot, "v_start")))
         .alias("vertical_groups"),
         F.sum("h").alias("horizontal_aligned"), F.sum("v").alias("vertical_aligned"))
 

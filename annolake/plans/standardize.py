@@ -68,7 +68,7 @@ def export(annotations: DataFrame, options: StandardizeOptions = StandardizeOpti
     rows = annotations.filter(F.col("type") == "FreeText")
     if options.align:
         rows = align(rows, options.horizontal_tolerance, options.vertical_tolerance,
-                     method="first_fit", skip=options.align_skip)
+                     method="first_fit", skip=options.align_skip, numbered=False)
     else:
         rows = rows.withColumn("aligned", F.col("rect"))
     rows = with_clean_text(rows).filter(F.col("content") != "")
@@ -155,7 +155,7 @@ def standardize(annotations: DataFrame, options: StandardizeOptions = Standardiz
     if options.align:
         rows = align(rows, options.horizontal_tolerance, options.vertical_tolerance,
                      options.align_horizontal, options.align_vertical, "running_mean",
-                     options.align_skip)
+                     options.align_skip, numbered=False)
     else:
         rows = rows.select("*", F.lit(False).alias("h_moved"), F.lit(False).alias("v_moved"),
                            F.col("rect").alias("aligned"))

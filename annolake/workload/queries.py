@@ -487,18 +487,18 @@ def _corners(c: str):
 
 @query
 def aligned_boxes(spark, sf):
-    return layout.align(_boxes(spark, sf)).select("doc_id", "annot_idx", "h_moved", "v_moved", *_corners("aligned"))
+    return layout.align(_boxes(spark, sf), numbered=False).select("doc_id", "annot_idx", "h_moved", "v_moved", *_corners("aligned"))
 
 
 @query
 def aligned_export_boxes(spark, sf):
-    out = layout.align(_boxes(spark, sf), 1.0, 10.0, method="first_fit", skip=[2, 3])
+    out = layout.align(_boxes(spark, sf), 1.0, 10.0, method="first_fit", skip=[2, 3], numbered=False)
     return out.select("doc_id", "annot_idx", "h_moved", "v_moved", *_corners("aligned"))
 
 
 @query
 def alignment_totals(spark, sf):
-    return layout.alignment_totals(layout.align(_boxes(spark, sf)), ("doc_id",))
+    return layout.alignment_totals(layout.align(_boxes(spark, sf), numbered=False), ("doc_id",))
 
 
 @query

@@ -68,6 +68,34 @@ def test_groups_against_brute_force(spark, method, brute):
         assert sorted(g[2].expected for g in got) == pytest.approx(sorted(w[2] for w in want))
 
 
+def test_groups_with_null_keys_and_chains(spark, monkeypatch):
+    """Parts of the key may be null; dense chains, gaps of just the tolerance, negative coordinates."""
+    rng = random.Random(9)
+    for tolerance, large in ((0.0, 20), (0.1, 20), (1.0, 20), (7.5, 20), (1.0, 10_000)):
+        monkeypatch.setattr(L, "LARGE_PAGE", large)  # pages are cut into sessions, or are not
+        for method, brute in (("running_mean", running_mean), ("first_fit", first_fit)):
+            points = [rng.choice([k * max(tolerance, 1.0) - 20, rng.randrange(-300, 300) / 10, 50.0]) for k in range(150)]
+            rows = [(None, None, 1, i, "FreeText", "", "", (5.0, float(y), 6.0, float(y) + 1)) for i, y in enumerate(points)]
+            got = grouped(boxes(spark, rows), tolerance, method)
+            want = sorted((1, len(g), sum(g) / len(g)) for g in brute(points, tolerance))
+            assert sorted(g[1] for g in got) == sorted(w[1] for w in want)
+            assert sorted(g[2].expected for g in got) == pytest.approx(sorted(w[2] for w in want))
+
+
+def test_grouping_plan(spark, monkeypatch):
+    """The running mean needs no Python, and a page with gaps goes to many tasks."""
+    monkeypatch.setattr(L, "LARGE_PAGE", 1000)
+    rows = [box(i, 5, 40.0 * (i % 500) + i % 3) for i in range(6000)] + [box(i, 5, 40.0 * i, 2) for i in range(100)]
+    df = boxes(spark, rows).withColumn("at", F.col("rect.y0"))
+    points = df.groupBy(F.struct(*L.PAGE).alias("_page"), F.col("at").alias("_at")).agg(F.count("*").alias("_n"), F.min("annot_idx").alias("_first"))
+    sessions = L._sessions(points, 10.0)
+    assert sessions.select("_page", "_session").distinct().count() == 501
+    dealt = sessions.repartition(8, "_page", "_session").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 400
+    plan = L.proximity_groups(df, "at", 10.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInPandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_align_both_directions_and_operations(spark):
     df = boxes(spark, [box(0, 100, 50), box(1, 104, 52, text="x" * 40), box(2, 300, 51.9), box(3, 400, 400, kind="Square")])
     out = L.align(df)
