@@ -14,8 +14,10 @@ Two documents link when NUM / DEN of the union is shared.
    documents near each other share), then goes by hash, so common passages rarely make
    long lists.  Only these elements are shuffled.  A list is
    sorted by set size and cut into blocks; a block pair is skipped when sizes are too
-   far apart, or when the elements from the current position on are too few.  Pairs
-   that meet in fewer lists than two sets that link must are dropped.
+   far apart, or when the elements from the current position on are too few.  Before
+   any pair is formed, each set counts, for bands of partner sizes, in how many of its
+   lists it has a partner at all: where these are fewer than two sets that link must
+   share, the whole band is skipped.  Pairs that meet in too few lists are dropped too.
 4. *Answers by cluster.*  Lists yield pairs of clusters, not of their members, and
    only roots are compared.  Distances to the roots then bound what any two members
    can share: most cluster pairs are settled by that, the rest are compared member
@@ -55,6 +57,8 @@ NEAR = 3 << 19
 FREQUENT = 0.5
 #: Members of a cluster with which an open pair is tried first.
 PROBES = 6
+#: Bands of partner sizes for which a set's lists are counted.
+BANDS = 16
 #: Entries in a block of an index list.
 BLOCK = 512
 #: Bits of the id filter, of fixed size; a full one passes more rows and loses none.
@@ -230,50 +234,85 @@ def _once(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.concatenate([[True], (pairs[1:, :3] != pairs[:-1, :3]).any(axis=1)])] if len(pairs) else pairs
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, lists, need, first): pairs of clusters, in how many lists members of both
-    meet, the least that any two of these would have to share, and whether some list
-    may hold the first element that they share.
+def _band(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which of ``BANDS`` bands a partner of size m is in, seen from a set of size n."""
+    place = (np.log(m / n) / np.log(DEN / NUM) + 1) / 2 * BANDS
+    return np.clip(place.astype(np.int64), 0, BANDS - 1)
+
+
+def _meet(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(list, row, row) of two clusters that meet in a list and may link, as their sizes,
+    positions and, where known, bands say.
 
     Lists are sorted by size.  Short ones are taken together, each row with the row d
     places on; long ones block by block."""
+    n, rest, late, root = (table.column(c).to_numpy() for c in ("n", "rest", "late", "root"))
+    bands = table.column("bands").to_numpy() if "bands" in table.column_names else None
+
+    def may(x, y):
+        fits = (root[x] != root[y]) & _fits(n[x], n[y], rest[x], rest[y], late[x], late[y])
+        if bands is not None:
+            fits &= (bands[x] >> _band(n[x], n[y]) & bands[y] >> _band(n[y], n[x]) & 1) > 0
+        return fits
+
+    lengths = ends - starts
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    short = np.repeat(mixed & (lengths <= 32), lengths)
+    number = np.repeat(np.arange(len(starts)), lengths)
+    rows = np.flatnonzero(short)
+    for d in range(1, min(32, int(lengths[mixed].max(initial=0)))):
+        rows = rows[rows + d < len(number)]
+        rows = rows[number[rows] == number[rows + d]]
+        x = rows[may(rows, rows + d)]
+        if len(x):
+            yield number[x], x, x + d
+    for k in np.flatnonzero(mixed & (lengths > 32)):
+        s, e = starts[k], ends[k]
+        for i in range(s, e, BLOCK):
+            a = np.arange(i, min(i + BLOCK, e))
+            for j in range(i, e, BLOCK):
+                b = np.arange(j, min(j + BLOCK, e))
+                if n[j] * NUM > n[a[-1]] * DEN:
+                    break  # sizes only grow from here
+                if ((min(rest[a].max(), rest[b].max()) + min(late[a].max(), late[b].max())) * (NUM + DEN)
+                        < NUM * (n[i] + n[j])):
+                    continue  # too few elements, wherever in the blocks the positions are
+                x, y = np.nonzero(may(a[:, None], b[None, :]))
+                if len(x):
+                    yield np.full(len(x), k), a[x], b[y]
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, n, band, lists, need): in how many lists the sets of n of a cluster meet any
+    partner of a band, and the least that they would have to share with one of these."""
     for table, starts, ends in _lists(batches):
-        n, rest, late, root = (table.column(c).to_numpy() for c in ("n", "rest", "late", "root"))
-        found = []
+        n, root = table.column("n").to_numpy(), table.column("root").to_numpy()
+        least = np.full(len(n) * BANDS, np.iinfo(np.int64).max)
+        for _, x, y in _meet(table, starts, ends):
+            need = _need(n[x], n[y])
+            np.minimum.at(least, x * BANDS + _band(n[x], n[y]), need)
+            np.minimum.at(least, y * BANDS + _band(n[y], n[x]), need)
+        met = np.flatnonzero(least < np.iinfo(np.int64).max)
+        if len(met):
+            row, band = np.divmod(met, BANDS)
+            keys, place = np.unique(np.stack([root[row], n[row], band], axis=1), axis=0, return_inverse=True)
+            need = np.full(len(keys), np.iinfo(np.int64).max)
+            np.minimum.at(need, place.ravel(), least[met])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in keys.T), pa.array(np.bincount(place.ravel(), minlength=len(keys))), pa.array(need)],
+                                             ["root", "n", "band", "lists", "need"])
+
 
-        def keep(number, x, y):
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, lists, need, first): pairs of clusters, in how many lists members of both
+    meet, the least that any two of these would have to share, and whether some list
+    may hold the first element that they share."""
+    for table, starts, ends in _lists(batches):
+        n, rest, root = (table.column(c).to_numpy() for c in ("n", "rest", "root"))
+        found = []
+        for number, x, y in _meet(table, starts, ends):
             a, b = root[x], root[y]
             first = np.minimum(rest[x], rest[y]) * (NUM + DEN) >= NUM * (n[x] + n[y])
             found.append(_once(np.stack([number, np.minimum(a, b), np.maximum(a, b), _need(n[x], n[y]), first], axis=1)))
-
-        lengths = ends - starts
-        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        short = np.repeat(mixed & (lengths <= 32), lengths)
-        number = np.repeat(np.arange(len(starts)), lengths)
-        rows = np.flatnonzero(short)
-        for d in range(1, min(32, int(lengths[mixed].max(initial=0)))):
-            rows = rows[rows + d < len(number)]
-            rows = rows[number[rows] == number[rows + d]]
-            x = rows[(root[rows] != root[rows + d]) 
-                     & _fits(n[rows], n[rows + d], rest[rows], rest[rows + d], late[rows], late[rows + d])]
-            if len(x):
-                keep(number[x], x, x + d)
-        for k in np.flatnonzero(mixed & (lengths > 32)):
-            s, e = starts[k], ends[k]
-            for i in range(s, e, BLOCK):
-                a = np.arange(i, min(i + BLOCK, e))
-                for j in range(i, e, BLOCK):
-                    b = np.arange(j, min(j + BLOCK, e))
-                    if n[j] * NUM > n[a[-1]] * DEN:
-                        break  # sizes only grow from here
-                    if ((min(rest[a].max(), rest[b].max()) + min(late[a].max(), late[b].max())) * (NUM + DEN)
-                            < NUM * (n[i] + n[j])):
-                        continue  # too few elements, wherever in the blocks the positions are
-                    x, y = np.nonzero((root[a][:, None] != root[b][None, :])
-                                      & _fits(n[a][:, None], n[b][None, :], rest[a][:, None], rest[b][None, :],
-                                              late[a][:, None], late[b][None, :]))
-                    if len(x):
-                        keep(np.full(len(x), k), a[x], b[y])
         if found:
             pairs = _once(np.concatenate(found))[:, 1:]
             pairs = pairs[np.lexsort(pairs.T[::-1])]
@@ -400,10 +439,14 @@ def join(docs: DataFrame) -> DataFrame:
     of = (rows.filter("n > 0 and doc_id is not null").select("doc_id", "print", "n")
           .join(nodes.select("print", "n", "node"), ["print", "n"]).select("doc_id", "node", "n").distinct()
           .join(members.select("node", "root"), "node").select("doc_id", "n", "root"))
-    lists = (shared.join(of, ["doc_id", "n"]).groupBy("element", "root", "n")
-             .agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("pos").alias("late")))
-    pairs = written(lists.repartition(n, "element").sortWithinPartitions("element", "n").select("element", "n", "rest", "late", "root")
-                    .mapInArrow(_cross, "a long, b long, lists long, need long, first long")
+    lists = written(shared.join(of, ["doc_id", "n"]).groupBy("element", "root", "n")
+                    .agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("pos").alias("late")), "cluster-lists")
+    sorted_ = lambda df, *more: (df.select("element", "n", "rest", "late", "root", *more)
+                                 .repartition(n, "element").sortWithinPartitions("element", "n"))
+    bands = (sorted_(lists).mapInArrow(_partners, "root long, n long, band long, lists long, need long")
+             .groupBy("root", "n", "band").agg(F.sum("lists").alias("lists"), F.min("need").alias("need")).filter("lists >= need")
+             .groupBy("root", "n").agg(F.bit_or(F.expr("shiftleft(1L, cast(band as int))")).alias("bands")))
+    pairs = written(sorted_(lists.join(written(bands, "bands"), ["root", "n"]), "bands").mapInArrow(_cross, "a long, b long, lists long, need long, first long")
                     .groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("need").alias("need"), F.max("first").alias("first"))
                     .filter("lists >= need and first = 1").select("a", "b"), "cluster-pairs")
 
