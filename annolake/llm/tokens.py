@@ -25,6 +25,7 @@ partition, the only thing the driver gathers.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,6 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from annolake.llm.common import pieces, written
@@ -88,40 +90,75 @@ def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: i
     return value
 
 
+def cuts(rules: dict) -> bool:
+    """Whether a vocabulary file's rules let a text be cut at ASCII white space, and between
+    an ASCII letter or digit and a full stop or comma, without changing its ids: they
+    fold white space, lower-case, and then take only what a pattern matches, which
+    matches neither of these places."""
+    steps = rules.get("normalizer") or {}
+    steps = steps.get("normalizers", [steps])
+    kinds = [step.get("type") for step in steps]
+    folds = any(step.get("type") == "Replace" and step.get("pattern") == {"Regex": r"\s+"} and step.get("content") == " " for step in steps)
+    if not (folds and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"} and kinds.count("Replace") == 1):
+        return False
+    split = rules.get("pre_tokenizer") or {}
+    split = split.get("pretokenizers", [split])[0]
+    if split.get("type") != "Split" or split.get("behavior") != "Removed" or not split.get("invert"):
+        return False
+    matches = regex.compile(split["pattern"].get("Regex", r"\s")).findall
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    apart = all(matches(c + mark) == [c, mark] for c in letters for mark in ".,")
+    return apart and not any(" " in m for c in letters + ".,'-é" for m in matches(f"{c} {c}"))
+
+
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian uint32 ids.
 
-    The vocabulary's rules lower-case, and never join characters across ASCII white
-    space or between an ASCII letter or digit and a full stop or comma.  So each
-    distinct piece between such places is encoded once and remembered, by the worker
-    too, up to ``KNOWN`` pieces.  Texts that hold ``<|`` (special tokens, which are
-    found before lower-casing) go to the library whole.
+    Where the vocabulary's rules allow it (``cuts``), each distinct piece between the
+    places where texts may be cut is encoded once and remembered, by the worker too, up
+    to ``KNOWN`` pieces.  Texts that may hold special tokens, which are found before any
+    rule is applied, and all texts of other vocabularies go to the library whole.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    tokenizer = _TOKENIZERS[path]
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        marks = {token["content"][:2] for token in rules.get("added_tokens", [])}
+        _TOKENIZERS[path] = (Tokenizer.from_file(path), cuts(rules), sorted(marks))
+    tokenizer, may_cut, marks = _TOKENIZERS[path]
     known = _PIECES.setdefault(path, {})
 
     def ids(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t else _APART(b" ", t.encode("utf-8", "replace").lower()).split() for t in texts]
+        split = [None if any(mark in t for mark in marks) else pieces_of(t.encode("utf-8", "replace").lower()) for t in texts]
         new = list(set().union(*(s for s in split if s)).difference(known))
         if len(known) + len(new) > KNOWN:
             known.clear()
             new = list(set().union(*(s for s in split if s)))
         known.update(zip(new, ids([w.decode() for w in new])))
         return [ids([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
-    return encode
+    return encode if may_cut else ids
+
+
+def pieces_of(text: bytes) -> list[bytes]:
+    """Lower-case text cut at white space and between a letter or digit and a mark.
+
+    Every mark gets a sign before it, which goes again where no letter or digit stands
+    before: far fewer places than a pattern would have to look at."""
+    if b"\x1f" in text:
+        return _APART(b" ", text).split()
+    signed = text.replace(b".", b"\x1f.").replace(b",", b"\x1f,")
+    return _NOT_APART(rb"\1", signed).replace(b"\x1f", b" ").split()
 
 
 _TOKENIZERS: dict = {}
 _PIECES: dict[str, dict[bytes, bytes]] = {}
 _APART = re.compile(rb"(?<=[a-z0-9])(?=[.,])").sub
+_NOT_APART = re.compile(rb"([^a-z0-9])\x1f(?=[.,])").sub
 
 
 def _blocks(path: str):
@@ -164,7 +201,7 @@ _SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.
 
 def write(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The files' blocks, written to the shared folder and opened again."""
-    ranged = (docs.select("doc_id", "text").repartitionByRange(pieces(docs.sparkSession), "doc_id")
+    ranged = (docs.select("doc_id", "text").repartitionByRange(pieces(docs.sparkSession), "doc_id", F.substring("text", 1, 64))
               .sortWithinPartitions("doc_id", "text")
               .select(F.spark_partition_id().alias("part"), "doc_id", "text"))
     return written(ranged.mapInArrow(_blocks(tokenizer), ROW), "tokens")

@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -12,8 +14,11 @@ TEXTS = ["Plain words, here. it's", None, "", "  \n", "á ́b \x1c x\x85y <|endo
          "A.́ K,̈ x!, <|ENDOFTEXT|> 3.5", "word " * 80000, "가 ᆨ", "a.b,c", "Plain words, here. it's"]
 
 
-def want(rows):
-    t, start, out = Tokenizer.from_file(PATH), 0, []
+OTHER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def want(rows, path=PATH):
+    t, start, out = Tokenizer.from_file(path), 0, []
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")
         out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -28,6 +33,22 @@ def test_round_trip(spark):
     assert [tuple(r) for r in got] == want(rows)
 
 
+def test_another_vocabulary(spark):
+    """Its rules let no text be cut, so texts go to the library whole."""
+    with open(PATH) as one, open(OTHER) as two:
+        assert [T.cuts(json.load(f)) for f in (one, two)] == [True, False]
+    rows = list(enumerate(TEXTS))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [tuple(r) for r in T.encode_corpus(df, OTHER).orderBy("start").collect()] == want(rows, OTHER)
+
+
+def test_cut_places():
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b9", ".", ",", " ", "\n", "é", "-", "\x1f", "..", ""]) for _ in range(rng.randrange(30))).encode()
+        assert T.pieces_of(text) == T._APART(b" ", text).split()
+
+
 def test_empty(spark):
     assert T.encode_corpus(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
