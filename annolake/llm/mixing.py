@@ -3,9 +3,8 @@
 Documents are counted into cells (source, language, topic) by tokens.  Each
 dimension has a table of factors; one round sets every factor so that its
 dimension's token totals meet the target shares, given the other factors.  Only
-cells, pre-aggregated before any shuffle, and factor tables take part, and they
-are joined and summed by Spark, so a source with a third of all rows is a few
-cells.  After the fit a document's rate is the product of its three factors, and
+cells, pre-aggregated before any shuffle, take part, each with its three factors, and
+Spark sums them by category, so a source with a third of all rows is a few cells.  After the fit a document's rate is the product of its three factors, and
 it is expected in as many copies as its rate times one scale: expected token totals
 then meet all targets at once.  The scale is one over the greatest rate, so that
 every document comes once at most, unless fewer than ``BUDGET`` of all tokens would be
@@ -26,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annolake.llm.common import written
 
@@ -72,28 +71,28 @@ def rake(counted: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS
          tolerance: float = TOLERANCE) -> dict[str, DataFrame]:
     """Factors (value, factor) for each dimension, such that the cells' tokens times
     their three factors have the target shares, to ``tolerance``."""
-    goals, factors = {}, {}
+    held = counted.filter("tokens > 0")
     for d in DIMENSIONS:
-        present = counted.filter("tokens > 0").select(F.col(d).alias("value")).distinct()
-        kept = written(targets[d].filter("share > 0").join(present, "value"), f"target-{d}")
-        total = kept.agg(F.sum("share")).first()[0] or 1.0
-        goals[d] = kept.withColumn("share", F.col("share") / total)
-        factors[d] = kept.select("value", F.lit(1.0).alias("factor"))
+        present = held.select(F.col(d).alias("value")).distinct()
+        goal = targets[d].filter("share > 0").join(present, "value")
+        total = goal.agg(F.sum("share")).first()[0] or 1.0
+        held = (held.join(goal.select(F.col("value").alias(d), (F.col("share") / total).alias(f"share_{d}")), d)
+                .withColumn(f"f_{d}", F.lit(1.0)))
+    # a row for each cell with its three factors: a round is one plan and one small table
+    held = written(held, "cells-fit")
     for _ in range(rounds):
-        change = 0.0
+        fitted, moved = held, []
         for d in DIMENSIONS:
-            weighed = reduce(lambda df, o: df.join(factors[o].select(F.col("value").alias(o), F.col("factor").alias(f"f_{o}")), o),
-                             [o for o in DIMENSIONS if o != d], counted)
-            weight = reduce(lambda a, b: a * b, (F.col(f"f_{o}") for o in DIMENSIONS if o != d), F.col("tokens"))
-            sums = weighed.groupBy(F.col(d).alias("value")).agg(F.sum(weight).alias("total")).filter("total > 0")
-            new = written(goals[d].join(sums, "value").join(factors[d].withColumnRenamed("factor", "old"), "value")
-                          .select("value", (F.col("share") / F.col("total")).alias("factor"), "old"), f"factor-{d}")
-            moved = new.agg(F.max(F.abs(F.col("factor") / F.col("old") - 1))).first()[0]
-            change = max(change, moved or 0.0)
-            factors[d] = new.drop("old")
+            others = reduce(lambda a, b: a * b, (F.col(f"f_{o}") for o in DIMENSIONS if o != d), F.col("tokens"))
+            fitted = fitted.withColumn("new", F.col(f"share_{d}") / F.sum(others).over(Window.partitionBy(d)))
+            fitted = fitted.withColumn(f"moved_{d}", F.abs(F.col("new") / F.col(f"f_{d}") - 1)).withColumn(f"f_{d}", F.col("new")).drop("new")
+            moved.append(f"moved_{d}")
+        held = written(fitted.withColumn("moved", F.greatest(*moved)).drop(*moved), "cells-fit")
+        change = held.agg(F.max("moved")).first()[0] or 0.0
+        held = held.drop("moved")
         if change < tolerance:
             break
-    return factors
+    return {d: held.groupBy(F.col(d).alias("value")).agg(F.max(f"f_{d}").alias("factor")) for d in DIMENSIONS}
 
 
 def draw(doc_id: Column, text: Column, seed: int = SEED) -> Column:
@@ -111,8 +110,11 @@ def describe(docs: DataFrame, seed: int = SEED) -> DataFrame:
         "draw", draw(F.col("doc_id"), F.col("text"), seed))
 
 
-def rated(docs: DataFrame, powers: dict[str, float]) -> DataFrame:
-    """Described ``docs`` with rate, probability, copies and sampled."""
+def rated(docs: DataFrame, powers: dict[str, float], budget: float = BUDGET, repeats: bool = True) -> DataFrame:
+    """Described ``docs`` with rate, probability, copies and sampled.
+
+    ``budget``: the least share of all tokens to expect; without ``repeats`` it is given
+    up where documents would have to come twice."""
     counted = written(cells(docs), "cells")
     targets = {d: written(tempered(counted, d, powers[d]), f"wanted-{d}") for d in DIMENSIONS}
     factors = rake(counted, targets)
@@ -125,10 +127,10 @@ def rated(docs: DataFrame, powers: dict[str, float]) -> DataFrame:
     for d in DIMENSIONS:
         cell = cell.join(factors[d].select(F.col("value").alias(d), F.col("factor").alias(f"__f_{d}")), d)
     seen = cell.agg(F.max(rate).alias("greatest"), F.sum(F.col("tokens") * rate).alias("mixed")).first()
-    least = BUDGET * (counted.agg(F.sum("tokens")).first()[0] or 0.0)
+    least = budget * (counted.agg(F.sum("tokens")).first()[0] or 0.0)
     # tokens of the mix as the greatest rate allows them, and as the budget asks for
     greatest = seen.greatest or 1.0
-    if seen.mixed and seen.mixed / greatest < least:
+    if repeats and seen.mixed and seen.mixed / greatest < least:
         greatest = seen.mixed / least
     return (out.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
             .withColumn("__copies", F.col("rate") / greatest)
@@ -138,11 +140,11 @@ def rated(docs: DataFrame, powers: dict[str, float]) -> DataFrame:
             .drop("draw", "__copies", *(f"__f_{d}" for d in DIMENSIONS)))
 
 
-def mix(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, powers: dict[str, float], seed: int = SEED, budget: float = BUDGET, repeats: bool = True) -> DataFrame:
     """``docs`` with topic, n_tokens, rate, probability, copies and sampled.
 
     ``powers``: for each dimension the power of its tempered target."""
-    return rated(describe(docs, seed), powers)
+    return rated(describe(docs, seed), powers, budget, repeats)
 
 
 def sample(docs: DataFrame, powers: dict[str, float], seed: int = SEED) -> DataFrame:
