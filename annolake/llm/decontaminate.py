@@ -2,11 +2,13 @@
 
 A document leaks an item when a window of as many words as the item has a weighted
 (multiset) Jaccard similarity of ``SIMILARITY`` or more to it, over shingles of five
-words (of all words, where an item has fewer).
+words (of all words, where an item has fewer).  A document with fewer words than the
+item is one window, compared whole.
 
 1. Such a window shares 6/7 of the item's shingles, so only places where a document
    has item shingles matter.  Document shingles meet the benchmark's in one join;
-   documents without enough of them end here.  This drops nothing.
+   documents without enough of them (3/4, where the document is shorter) end here.
+   This drops nothing.
 2. A shingle at place p of the document and q of the item puts the item's window at
    p - q.  Moving a window that starts before the first such place, or after the last,
    towards it loses no shared shingle.  Between two neighbouring such places that are d
@@ -79,17 +81,18 @@ def _places(hits: DataFrame) -> DataFrame:
     """(doc_id, text, n_words, start) of the windows that may leak."""
     whole = Window.partitionBy("doc_id", "fp", "item_id")
     enough = (hits.withColumn("hits", F.count(F.lit(1)).over(whole))
-              .filter(7 * F.col("hits") >= 6 * F.col("n_grams"))
+              .filter(F.when(F.col("doc_words") < F.col("n_words"), 4 * F.col("hits") >= 3 * F.col("n_grams"))
+                      .otherwise(7 * F.col("hits") >= 6 * F.col("n_grams")))
               .select("doc_id", "fp", "item_id", "n_words", "n_grams", F.col("doc_words"), (F.col("p") - F.col("q")).alias("at")).distinct())
     before = F.lag("at").over(Window.partitionBy("doc_id", "fp", "item_id").orderBy("at"))
     gap = F.col("at") - before
     from_ = F.when((gap < F.col("n_words")) | (7 * gap <= 8 * F.col("n_grams")), before + 1).otherwise(F.col("at"))
     filled = enough.withColumn("from", from_).select(
         "doc_id", "fp", "n_words", "doc_words", F.explode(F.sequence("from", "at")).alias("start"))
-    # a window hangs over neither end of its document
+    # a window hangs over neither end of its document; a shorter document is one window
     last = F.col("doc_words") - F.col("n_words")
     inside = F.greatest(F.lit(0), F.least(F.col("start"), last))
-    return filled.select("doc_id", "fp", "n_words", inside.alias("start")).filter(last >= 0).distinct()
+    return filled.select("doc_id", "fp", "n_words", inside.alias("start")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -131,11 +134,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
             .select("doc_id", "fp", "n_words", "start", "item_id").distinct())
 
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"g.{k}")) for k in key]
-    shared = (near.alias("c").join(grams.alias("g"), reduce(lambda a, b: a & b, same))
-              .select("c.*", "g.h", "g.n").join(counts, ["item_id", "n_words", "h"])
-              .groupBy("item_id", "n_grams", *key).agg(F.sum(F.least("n", "m")).alias("shared"))
-              .withColumn("similarity", F.col("shared") / (2 * F.col("n_grams") - F.col("shared")))
-              .filter(F.col("shared") >= similarity * (2 * F.col("n_grams") - F.col("shared"))))
+    # of a window its own number of shingles: a shorter document has fewer than the item
+    own = F.sum("n").over(Window.partitionBy(*key)).alias("own")
+    union = F.col("own") + F.col("n_grams") - F.col("shared")
+    shared = (near.alias("c").join(grams.select("*", own).alias("g"), reduce(lambda a, b: a & b, same))
+              .select("c.*", "g.h", "g.n", "g.own").join(counts, ["item_id", "n_words", "h"])
+              .groupBy("item_id", "n_grams", "own", *key).agg(F.sum(F.least("n", "m")).alias("shared"))
+              .withColumn("similarity", F.col("shared") / union).filter(F.col("shared") >= similarity * union))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n_words"))
     return (shared.groupBy("doc_id", "fp", "item_id").agg(best.alias("best"))
             .select("doc_id", "fp", "item_id", (-F.col("best.start")).alias("start"), "best.n_words", "best.similarity"))

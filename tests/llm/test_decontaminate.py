@@ -22,9 +22,10 @@ def brute(docs, items):
             if not own:
                 continue
             have = grams(own, k)
-            for s in range(len(words) - len(own) + 1):
-                shared = sum((grams(words[s:s + len(own)], k) & have).values())
-                j = shared / (2 * sum(have.values()) - shared)
+            for s in range(max(1, len(words) - len(own) + 1)):  # a shorter document is one window
+                window = grams(words[s:s + len(own)], k)
+                shared = sum((window & have).values())
+                j = shared / (sum(window.values()) + sum(have.values()) - shared)
                 if j >= D.SIMILARITY:
                     best[d, i] = max(best.get((d, i), 0), j)
     return best
@@ -60,6 +61,26 @@ def test_against_brute_force(spark):
     assert len(mine) > 30
 
 
+def test_shorter_documents_against_brute_force(spark):
+    """Documents that are an item less some words, at the ends or inside."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (60, 20, 8, 5, 2, 150)]
+    docs = []
+    for n, text in items:
+        own = text.split()
+        for i in range(12):
+            cut = own[rng.randrange(0, 4):len(own) - rng.randrange(0, 1 + n // 5)]
+            if i % 3 == 2 and cut:
+                del cut[rng.randrange(len(cut))]
+            docs.append((1000 * n + i, " ".join(cut)))
+    docs.append((1, " ".join(items[0][1].split()[:56])))
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == pytest.approx(want)
+    assert (1, 60) in want and sum(len(dict(docs)[d].split()) < i for d, i in want) > 15
+
+
 def test_swapped_parts_against_brute_force(spark):
     """The best window lies between two places that are an item or more apart."""
     rng = random.Random(6)
