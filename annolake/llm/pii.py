@@ -8,9 +8,12 @@ On top of that, identifiers that no pattern knows are found by their context.
 Base spans are the seeds, whole and with their spaces.  The other instances are runs
 of tokens (without white space) that hold a digit or ``@``, joined by single spaces, also
 with a lone bracket or hyphen between; a run ends before a token that a base span
-touches.  The two words before an instance, without digits, are its lexical pattern;
-those without one are of no use and left out.  Over the graph of patterns and instances, scores go back and forth for
-``ROUNDS`` rounds: a pattern's confidence in a kind is the mean score of its distinct
+touches.  Runs that look like secrets (long hexadecimal or mixed strings) are seeds of a
+fifth kind; a look alone marks nothing, only a reliable context does.  An instance has
+lexical patterns of several families: the two words before it, without digits; the word
+before with the instance's shape; a label with its sign (``token =``).  Instances without
+any are of no use and left out.  Over the graph of patterns and instances, scores go back
+and forth for ``ROUNDS`` rounds: a pattern's confidence in a kind is the mean score of its distinct
 instances (one more counted as 0), an instance's score the best confidence among its
 patterns, 1 for seeds.  Patterns with at least ``SUPPORT`` seeds and a confidence of
 ``CONFIDENCE`` then mark their other instances of ``LENGTH`` characters or more,
@@ -33,6 +36,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from annolake.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans; what looks like a secret.
+ALL_KINDS = (*KINDS, "secret")
+SECRET = (r"^(?:(?=[^0-9]*[0-9])(?=[^A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}"
+          r"|(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2})$")
 #: Equal in what they match to the plain forms in the module's tests, but without
 #: trying a run of characters again from each of its places.
 PATTERNS = {
@@ -123,10 +130,23 @@ def base(docs: DataFrame, text: str = "text") -> DataFrame:
     return _based(_matched(docs, text)).drop(*(f"__{k}" for k in KINDS))
 
 
-def _pattern(before: Column) -> Column:
-    """The two words without digits that end a text's last line; blank, where it has none."""
-    return F.trim(F.regexp_extract(F.lower(F.substring_index(F.rtrim(before), "\n", -1)),
-                  r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D0-9@]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D0-9@]+)[\x20\x09-\x0D]*$", 0))
+_PLAIN = r"[^\x20\x09-\x0D0-9@]+"
+_GAP = r"[\x20\x09-\x0D]"
+
+
+def _line(before: Column) -> Column:
+    return F.lower(F.substring_index(F.rtrim(before), "\n", -1))
+
+
+def _patterns(line: Column, instance: Column) -> Column:
+    """The patterns of an instance after ``line``, each with its family's letter."""
+    two = F.trim(F.regexp_extract(line, rf"(?<![^\x20\x09-\x0D])({_PLAIN}){_GAP}+({_PLAIN}){_GAP}*$", 0))
+    one = F.trim(F.regexp_extract(line, rf"(?<![^\x20\x09-\x0D])({_PLAIN}){_GAP}*$", 0))
+    label = F.regexp_extract(line, rf"([A-Za-z_][A-Za-z_.-]*{_GAP}*[=:#]){_GAP}*[\"'(\[]*$", 1)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(instance, "[A-Za-z]+", "a"), "[0-9]{5,}", "N"), "[0-9]+", "n")
+    found = [F.when(two != "", F.concat(F.lit("2 "), two)), F.when(label != "", F.concat(F.lit("= "), F.regexp_replace(label, _GAP, ""))),
+             F.when((one != "") & (F.length(shape) <= 24), F.concat(F.lit("1 "), one, F.lit(" "), shape))]
+    return F.array_compact(F.array(*found))
 
 
 def instances(docs: DataFrame) -> DataFrame:
@@ -136,18 +156,18 @@ def instances(docs: DataFrame) -> DataFrame:
     found = located(_based(_matched(rows, "text")), "runs", F.col("text"), RUN, F.lit(True))
 
     def told(s: Column, kind: str | None) -> Column:
-        return F.struct(s["start"].alias("start"), _pattern(s["before"]).alias("pattern"), s["found"].alias("instance"),
+        return F.struct(s["start"].alias("start"), _line(s["before"]).alias("line"), s["found"].alias("instance"),
                         F.lit(kind).cast("string").alias("seed"))
-    none = F.array().cast("array<struct<start:bigint,pattern:string,instance:string,seed:string>>")
+    none = F.array().cast("array<struct<start:bigint,line:string,instance:string,seed:string>>")
     every = F.concat(*(F.coalesce(F.transform(name, lambda s: told(s, kind)), none)
                        for name, kind in [*((f"__{k}", k) for k in KINDS), ("runs", None)]))
-    some = found.select("doc_id", "fp", "base", F.filter(every, lambda s: s["pattern"] != "").alias("every"))
+    some = found.select("doc_id", "fp", "base", F.filter(every, lambda s: s["line"] != "").alias("every"))
     # a run's part before the tokens that a base span touches
     end = lambda s: s["start"] + F.length(s["instance"])
     first = lambda s: F.array_min(F.transform(
         F.filter("base", lambda b: (b["start"] < end(s)) & (b["end"] > s["start"])), lambda b: b["start"]))
     some = some.withColumn("every", F.transform("every", lambda s: F.struct(
-        s["start"].alias("start"), s["pattern"].alias("pattern"), s["instance"].alias("instance"), s["seed"].alias("seed"),
+        s["start"].alias("start"), s["line"].alias("line"), s["instance"].alias("instance"), s["seed"].alias("seed"),
         F.when(s["seed"].isNull(), first(s)).alias("first"))))
     rows = some.select("doc_id", "fp", F.inline("every"))
     cut = F.rtrim(F.regexp_replace(F.substr("instance", F.lit(1), F.greatest(F.lit(0), F.col("first") - F.col("start")).cast("int")),
@@ -155,10 +175,12 @@ def instances(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("instance", F.when(F.col("first").isNotNull(), cut).otherwise(F.col("instance")))
     bare = F.regexp_replace("instance", _LEAD, "")
     free = F.col("seed").isNull()
-    return (rows.withColumn("start", F.when(free, F.col("start") + F.length("instance") - F.length(bare)).otherwise(F.col("start")))
+    rows = (rows.withColumn("start", F.when(free, F.col("start") + F.length("instance") - F.length(bare)).otherwise(F.col("start")))
             .withColumn("instance", F.when(free, F.regexp_replace(bare, _TRAIL, "")).otherwise(F.col("instance")))
             .withColumn("end", F.col("start") + F.length("instance")).filter(F.col("instance").rlike("[0-9@]"))
-            .select("doc_id", "fp", "start", "end", "pattern", "instance", "seed"))
+            .withColumn("seed", F.when(free & F.col("instance").rlike(SECRET), F.lit("secret")).otherwise(F.col("seed"))))
+    return rows.select("doc_id", "fp", "start", "end", F.explode(_patterns(F.col("line"), F.col("instance"))).alias("pattern"),
+                       "instance", "seed")
 
 
 def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -179,7 +201,8 @@ def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confid
                          .unionByName(spread), "scores")
     held = seeds.groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= support)
     best = patterns.filter(F.col("confidence") >= confidence).join(held, ["pattern", "kind"])
-    return best.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    return best.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"),
+                                       F.max("confidence").alias("confidence"))
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
@@ -187,9 +210,11 @@ def find(docs: DataFrame, **options) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = written(instances(docs), "instances")
     reliable = written(learn(found, **options), "reliable")
-    rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int") - 1
-    added = written(found.filter("seed is null").filter(F.length("instance") >= LENGTH).join(reliable, "pattern")
-                    .groupBy(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"))
+    rank = F.array_position(F.array(*(F.lit(k) for k in ALL_KINDS)), F.col("kind")).cast("int") - 1
+    # of several reliable patterns around one instance, the most confident tells its kind
+    marked = (found.filter("seed is null or seed = 'secret'").filter(F.length("instance") >= LENGTH).join(reliable, "pattern")
+              .groupBy("doc_id", "fp", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")))
+    added = written(marked.groupBy(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"))
                     .agg(F.collect_set(F.struct("start", rank.alias("rank"), "end")).alias("added")), "added")
     rows = base(docs).select("doc_id", "base", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"))
     joined = rows.join(added, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("fp") == F.col("__fp")), "left")
@@ -200,7 +225,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
 def told(spans: Column) -> Column:
     """kind:start:end of all spans, comma-joined."""
-    kinds = F.array(*(F.lit(k) for k in KINDS))
+    kinds = F.array(*(F.lit(k) for k in ALL_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -218,6 +243,6 @@ def mask(text: Column, spans: Column, with_: str = "[{}]") -> Column:
         lambda s, p: F.struct(
             F.when(p["start"] < s["at"], s["out"]).otherwise(F.concat(
                 s["out"], F.substr(text, (s["at"] + 1).cast("int"), (p["start"] - s["at"]).cast("int")),
-                F.replace(F.lit(with_), F.lit("{}"), F.get(F.array(*(F.lit(k) for k in KINDS)), p["rank"])))).alias("out"),
+                F.replace(F.lit(with_), F.lit("{}"), F.get(F.array(*(F.lit(k) for k in ALL_KINDS)), p["rank"])))).alias("out"),
             F.greatest(s["at"], p["end"]).alias("at")),
         lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))

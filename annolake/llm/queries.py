@@ -44,7 +44,7 @@ def op4_pii(spark, sf_dir):
     """Every document's personal data: counts and digest of base spans, all spans."""
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *pii.counts(F.col("base")), F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"),
-                        pii.told(F.col("spans")).alias("spans"))
+                        pii.told(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_decontamination(spark, sf_dir):

@@ -78,8 +78,29 @@ def test_contexts_of_identifiers_with_spaces(spark):
     assert found["+1 (375) 555-4390"] == "phone" and found[cards[0]] == "card"
 
 
+def test_secrets_by_context(spark):
+    """Look-alikes make a label reliable; it then finds others, and a look alone marks nothing."""
+    rng = random.Random(3)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    rows = [(i, f'word{"" if i % 2 else " etwas"} token = "{hexed(40)}" and more') for i in range(12)]
+    rows += [(50, 'here token="tk_live-77x" ends'), (51, f"a checksum {hexed(40)} of a file"), (52, "other = 12345678"), (53, 'token = "no digits"')]
+    got = {r.doc_id: P_told(r.spans) for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].startswith("secret:") for i in range(12)) and got[1] == "secret:14:54"
+    assert got[51] == got[52] == got[53] == "" and got[50] in ("", "secret:12:23")
+
+
+def test_families_mark_unseen_identifiers(spark):
+    """Contexts that differ in all but the word before, and labels."""
+    rows = [(i, f"{'abcdefghij'[i] * 3} dial +1 (375) 555-439{i} soon") for i in range(8)]
+    rows += [(20 + i, f"{'abcdefghij'[i] * 3}\nip: 10.0.0.{i}") for i in range(8)]
+    rows += [(50, "xyz dial +1 (375) 555-43 soon"), (51, "zzz\nip: fe80::1ff:23"), (52, "xyz dial 12345 soon"), (53, "shop: 12345-77")]
+    got = {r.doc_id: P_told(r.spans) for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "phone:9:24" and got[51] == "ip:8:20"
+    assert got[52] == got[53] == ""
+
+
 def P_told(spans):
-    return ",".join(f"{P.KINDS[s['rank']]}:{s['start']}:{s['end']}" for s in spans)
+    return ",".join(f"{P.ALL_KINDS[s['rank']]}:{s['start']}:{s['end']}" for s in spans)
 
 
 def test_base_spans_stay(spark):
