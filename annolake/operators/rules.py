@@ -142,10 +142,8 @@ def with_facts(gated: DataFrame, catalog: Catalog,
         rows = lookup(rows, column_lists(catalog.variables, catalog.study_keys),
                       [*studies, (wanted, "domain")], {"columns": "_columns"},
                       options.salt, spread)
-        family = F.concat_ws("\x1f", *catalog.study_keys, wanted)
         rows = rows.withColumn("_closest", closest(
-            family, F.when(F.col("_missing"), variable), F.col("_columns"),
-            options.threshold)).drop("_columns")
+            F.when(F.col("_missing"), variable), F.col("_columns"), options.threshold)).drop("_columns")
     else:
         rows = rows.withColumn("_closest", empty)
 

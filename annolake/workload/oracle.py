@@ -168,8 +168,35 @@ base AS (
   UNION ALL SELECT *, 11, 0, 'ERROR', 'Incorrect Value', 'Conditional check failed for PFORRES: PFTESTCD is not CYTABNRM, but ' || trim(string_split(condition, '=')[2]), NULL FROM live WHERE NOT is_comment AND domain = 'PF' AND variable_name = 'PFORRES' AND len(string_split(condition, '=')) = 2 AND trim(string_split(condition, '=')[1]) = 'PFTESTCD' AND trim(string_split(condition, '=')[2]) <> 'CYTABNRM'),
 f AS (SELECT study_id, doc_id, page, annot_idx, part_idx, x0, y0, text, domain, variable_name, value, condition, label, pattern_type, rule_no, token_no, severity, category, message, suggested_correction FROM base)"""
 
-
-def checked(body: str) -> str:
+# misspelt names: the longest common block of two names, then of what is left and right of it
+_MISSED = "domain NOT LIKE 'SUPP%' AND NOT has_col AND variable_name NOT IN ('STUDYID', 'USUBJID')"
+_INSIDE = "i >= al AND i + k <= ah AND j >= bl AND j + k <= bh"
+SIMILAR = f"""miss AS (SELECT DISTINCT domain AS md, variable_name AS mv FROM vrows WHERE {_MISSED}),
+pairs AS (SELECT md, mv, name, ordinal, lower(mv) AS a, lower(name) AS b FROM miss JOIN vars ON domain = md),
+blocks AS (SELECT md, mv, name, i, j, k FROM pairs, range(length(a)) AS x(i), range(length(b)) AS y(j), range(1, least(length(a) - i, length(b) - j) + 1) AS z(k)
+  WHERE a[i + 1:i + k] = b[j + 1:j + k]),
+spans AS (SELECT md, mv, name, 0::BIGINT AS al, length(a) AS ah, 0::BIGINT AS bl, length(b) AS bh FROM pairs
+  UNION ALL SELECT md, mv, name, CASE WHEN side = 0 THEN al ELSE best.i + best.k END, CASE WHEN side = 0 THEN best.i ELSE ah END,
+    CASE WHEN side = 0 THEN bl ELSE best.j + best.k END, CASE WHEN side = 0 THEN best.j ELSE bh END
+  FROM (SELECT md, mv, name, al, ah, bl, bh, arg_max({{'i': i, 'j': j, 'k': k}}, (k, -i, -j)) AS best FROM spans JOIN blocks USING (md, mv, name)
+    WHERE {_INSIDE} GROUP BY md, mv, name, al, ah, bl, bh) AS cut, range(2) AS s(side)),
+common AS (SELECT md, mv, name, sum(k) AS m FROM (SELECT md, mv, name, al, bl, max(k) AS k FROM spans JOIN blocks USING (md, mv, name) WHERE {_INSIDE}
+  GROUP BY md, mv, name, al, ah, bl, bh) GROUP BY md, mv, name),
+hit AS (SELECT md, mv, arg_max(name, (ratio, -ordinal)) AS near, max(ratio) AS ratio FROM (SELECT *, 2.0 * m / (length(a) + length(b)) AS ratio FROM pairs JOIN common USING (md, mv, name))
+  WHERE ratio >= 0.85 GROUP BY md, mv)"""
+_EXACT = f"UNION ALL SELECT *, 6, 0, 'ERROR', 'Missing Variable', 'Variable ''' || variable_name || ''' not found in ' || domain, NULL FROM vrows WHERE {_MISSED}"
+_NEAR = f"""UNION ALL SELECT vrows.*, CASE WHEN near IS NULL THEN 6 ELSE 5 END, 0, CASE WHEN near IS NULL THEN 'ERROR' ELSE 'WARNING' END,
+    CASE WHEN near IS NULL THEN 'Missing Variable' ELSE 'Typo in Variable Name' END, 'Variable ''' || variable_name || ''' not found in ' || domain ||
+    CASE WHEN near IS NULL THEN '' ELSE ', but similar to ''' || near || ''' (similarity: ' || printf('%.2f', ratio) || ')' END, NULL
+    FROM vrows LEFT JOIN hit ON md = domain AND mv = variable_name WHERE {_MISSED}"""
+assert _EXACT in FINDINGS
+FINDINGS_SIMILAR = FINDINGS.replace("base AS (", SIMILAR + ",\nbase AS (").replace(_EXACT, _NEAR)
+
+
+def checked(body: str, similar: bool = False) -> str:
+    """SQL over the findings; with ``similar`` misspelt names are told."""
+    if similar:
+        return with_(ANN, EXTRACT, CATALOG, parse_ctes(), FINDINGS_SIMILAR, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
     return with_(ANN, EXTRACT, CATALOG, parse_ctes(), FINDINGS, body=body)
 
 

@@ -32,6 +32,7 @@ ORACLE["missing_variables"] = parsed("""SELECT domain, variable_name, count(*) A
   WHERE variable_name IS NOT NULL AND domain NOT LIKE 'SUPP%' AND domain IN (SELECT domain FROM ds)
   AND NOT EXISTS (SELECT 1 FROM vars v WHERE v.domain = ok.domain AND v.name = ok.variable_name) GROUP BY ALL""")
 ORACLE["findings"] = checked("""SELECT study_id, doc_id, page, annot_idx, part_idx, rule_no, token_no, domain, variable_name, severity, category, message, suggested_correction FROM f""")
+ORACLE["findings_similar"] = checked("SELECT study_id, doc_id, page, annot_idx, part_idx, rule_no, token_no, domain, variable_name, severity, category, message FROM f", similar=True)
 ORACLE["unused_datasets"] = parsed("""SELECT domain AS "Dataset", 'May be using vendor/external data or oversight in annotation' AS "Possible Reason" FROM ds
   WHERE domain NOT IN (SELECT domain FROM ok WHERE domain IS NOT NULL)""")
 ORACLE["variable_metadata"] = parsed("""SELECT ok.domain, ok.variable_name, CASE WHEN v.name IS NOT NULL THEN 'character' END AS variable_type, CASE WHEN v.name IS NOT NULL THEN 8 END AS variable_length,

@@ -12,8 +12,8 @@ from annolake.workload.queries import QUERIES
 from tools_check import rows
 
 SF = "/root/testdata/sf0.001"
-# have no SQL form; tested against brute force on fixtures
-WITHOUT_SQL = {"findings_similar", "document_quotes"}
+# has no SQL form; tested on fixtures
+WITHOUT_SQL = {"document_quotes"}
 
 
 @pytest.fixture(scope="module")

@@ -1,11 +1,11 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
-from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from annolake.operators import classify, report, rules
-from annolake.operators.similarity import best_match
+from annolake.operators.similarity import closest, column_lists
 from annolake.plans.check import check
 from annolake.session import small_table
 
@@ -119,18 +119,25 @@ def test_missing_variables(spark, catalog):
     assert {r["variable_name"]: r["variable_format"] for r in found.collect()} == {"AEXXXXXX": None, "ZZX": None, "AETERM": "F"}
 
 
-words = st.text(alphabet="abcdAE1", min_size=1, max_size=8)
-
-
-@given(words, st.lists(words, max_size=8), st.sampled_from([0.3, 0.6, 0.85]))
-def test_best_match_equals_full_scan(word, names, threshold):
+def full_scan(word, names, threshold):
     best, ratio = None, 0
     for name in names:
         r = SequenceMatcher(None, word.lower(), name.lower()).ratio()
         if r > ratio:
             best, ratio = name, r
-    assert best_match(word, names, threshold) == ((best, ratio) if best and ratio >= threshold else None)
-
-
-def test_similarity_is_not_symmetric():
-    assert best_match("tide", ["diet"], 0.1)[1] == 0.25 and best_match("diet", ["tide"], 0.1)[1] == 0.5
+    return (best, ratio, f"{ratio:.2f}") if best and ratio >= threshold else None
+
+
+def test_closest_equals_full_scan(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdAE1_") for _ in range(rng.randrange(1, 9)))
+    rows = [(i, word(), [word() for _ in range(rng.randrange(0, 8))]) for i in range(400)]
+    rows += [(1000, "tide", ["diet"]), (1001, "diet", ["tide"]), (1002, "AETRM", ["AESEQ", "AETERM", "AETERN"]), (1003, "xyz", [])]
+    words = spark.createDataFrame([(str(i), w) for i, w, _ in rows], "domain string, word string")
+    names = spark.createDataFrame([(str(i), k, n) for i, _, ns in rows for k, n in enumerate(ns)], "domain string, ordinal int, name string")
+    lists = column_lists(names)
+    for threshold in (0.1, 0.6, 0.85):
+        got = words.join(lists, "domain", "left").select("domain", closest(F.col("word"), F.col("columns"), threshold).alias("c")).collect()
+        assert {int(r.domain): r.c and tuple(r.c) for r in got} == {i: full_scan(w, ns, threshold) for i, w, ns in rows}
+    plan = words.join(lists, "domain").select(closest(F.col("word"), F.col("columns")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
