@@ -57,8 +57,9 @@ NEAR = 3 << 19
 FREQUENT = 0.5
 #: Members of a cluster with which an open pair is tried first.
 PROBES = 6
-#: Bands of partner sizes for which a set's lists are counted.
-BANDS = 16
+#: Bands of partner sizes for which a set's lists are counted, and how often: what one
+#: count drops, the next one misses.
+BANDS, ROUNDS = 16, 2
 #: Entries in a block of an index list.
 BLOCK = 512
 #: Bits of the id filter, of fixed size; a full one passes more rows and loses none.
@@ -443,10 +444,14 @@ def join(docs: DataFrame) -> DataFrame:
                     .agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("pos").alias("late")), "cluster-lists")
     sorted_ = lambda df, *more: (df.select("element", "n", "rest", "late", "root", *more)
                                  .repartition(n, "element").sortWithinPartitions("element", "n"))
-    bands = (sorted_(lists).mapInArrow(_partners, "root long, n long, band long, lists long, need long")
-             .groupBy("root", "n", "band").agg(F.sum("lists").alias("lists"), F.min("need").alias("need")).filter("lists >= need")
-             .groupBy("root", "n").agg(F.bit_or(F.expr("shiftleft(1L, cast(band as int))")).alias("bands")))
-    pairs = written(sorted_(lists.join(written(bands, "bands"), ["root", "n"]), "bands").mapInArrow(_cross, "a long, b long, lists long, need long, first long")
+    kept = sorted_(lists)
+    for _ in range(ROUNDS):
+        bands = (kept.mapInArrow(_partners, "root long, n long, band long, lists long, need long")
+                 .groupBy("root", "n", "band").agg(F.sum("lists").alias("lists"), F.min("need").alias("need")).filter("lists >= need")
+                 .groupBy("root", "n").agg(F.bit_or(F.expr("shiftleft(1L, cast(band as int))")).alias("bands")))
+        lists = written(lists.drop("bands").join(written(bands, "bands"), ["root", "n"]), "cluster-lists")
+        kept = sorted_(lists, "bands")
+    pairs = written(kept.mapInArrow(_cross, "a long, b long, lists long, need long, first long")
                     .groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("need").alias("need"), F.max("first").alias("first"))
                     .filter("lists >= need and first = 1").select("a", "b"), "cluster-pairs")
 
