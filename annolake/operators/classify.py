@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from annolake.functions.text import condition_pair, infer_domain, nonblank, strip
 from annolake.operators.joins import lookup
-from annolake.operators.patterns import (BUILTIN_COMMENTS, BUILTIN_PATTERNS, DEFAULT_PATTERNS,
-                                         Pattern, builtin_view, java_regex)
+from annolake.operators.patterns import (BUILTIN_COMMENTS, BUILTIN_PATTERNS, DEFAULT_PATTERNS, FIELD_MARK,
+                                         Pattern, builtin_view, java_regex, pattern_lists)
 from annolake.schemas import PARSED_FIELDS
 
 # i and u: letter case is ignored for all letters; U and d: white space and
@@ -73,29 +73,24 @@ def parse(annotations: DataFrame, patterns=None, dialect: str = "config", dm_var
     null on accepted rows, unmatched texts included.  ``accepted`` and
     ``rejected`` split the result.
 
+    ``patterns`` is a list for all, or a catalogue table (``patterns.CATALOG_SCHEMA``
+    with the ``study_keys``) where studies have their own; studies without a
+    catalogue match nothing.
     ``dm_variables`` is a list of names, or a DataFrame with ``name`` (and the
     ``study_keys``) where studies differ.
     """
     if dialect not in ("config", "builtin"):
         raise ValueError(f"unknown dialect {dialect!r}")
     builtin = dialect == "builtin"
-    if patterns is None:
-        patterns = BUILTIN_PATTERNS if builtin else DEFAULT_PATTERNS
-    patterns = [builtin_view(p) if builtin else p for p in patterns]
-
-    winner, stripped = F.col("_winner"), F.col("text")
     rows = annotations.withColumn("text", strip(F.col(text)))
-    # what comes out of an explode is not computed again by the steps and
-    # filters after it, so each text meets the regexes once
-    rows = rows.select("*", F.explode_outer(F.array(first_match(stripped, patterns)))
-                       .alias("_winner"))
-    rows = rows.withColumn("_groups", _groups(stripped, winner, patterns))
-    fields = {f: _field(f, winner, patterns) for f in PARSED_FIELDS}
-    rows = rows.select("*", *(e.alias(f) for f, e in fields.items()),
-                       _field("variables", winner, patterns).alias("_list")).drop("_groups")
-    comment = (lambda p: p.name in BUILTIN_COMMENTS) if builtin else (lambda p: p.is_comment)
-    rows = rows.select("*", _name(winner, patterns).alias("pattern_type"),
-                       _flag(winner, patterns, comment).alias("is_comment"))
+    if isinstance(patterns, DataFrame):
+        if builtin:
+            raise ValueError("the built-in dialect has its own patterns")
+        rows = _match_listed(rows, patterns, study_keys, salt)
+    else:
+        if patterns is None:
+            patterns = BUILTIN_PATTERNS if builtin else DEFAULT_PATTERNS
+        rows = _match(rows, [builtin_view(p) if builtin else p for p in patterns], builtin)
 
     parts = _parts(builtin)
     keep = [c for c in rows.columns if c not in ("variable_name", "value", "condition",
@@ -112,6 +107,42 @@ def parse(annotations: DataFrame, patterns=None, dialect: str = "config", dm_var
     return rows.select(*order, reject_reason(builtin).alias("reject_reason"))
 
 
+def _match(rows: DataFrame, patterns: list[Pattern], builtin: bool) -> DataFrame:
+    """``rows`` with the winner's name, flag and fields."""
+    winner, stripped = F.col("_winner"), F.col("text")
+    # what comes out of an explode is not computed again by the steps and
+    # filters after it, so each text meets the regexes once
+    rows = rows.select("*", F.explode_outer(F.array(first_match(stripped, patterns)))
+                       .alias("_winner"))
+    rows = rows.withColumn("_groups", _groups(stripped, winner, patterns))
+    fields = {f: _field(f, winner, patterns) for f in PARSED_FIELDS}
+    rows = rows.select("*", *(e.alias(f) for f, e in fields.items()),
+                       _field("variables", winner, patterns).alias("_list")).drop("_groups")
+    comment = (lambda p: p.name in BUILTIN_COMMENTS) if builtin else (lambda p: p.is_comment)
+    return rows.select("*", _name(winner, patterns).alias("pattern_type"),
+                       _flag(winner, patterns, comment).alias("is_comment"))
+
+
+def _match_listed(rows: DataFrame, catalog: DataFrame, study_keys: tuple[str, ...], salt: int) -> DataFrame:
+    """The same with patterns that are data: each row brings its study's list, tries it in
+    order up to the first match, and turns that into its fields by one replacement."""
+    fields = (*PARSED_FIELDS, "variables")
+    lists = pattern_lists(catalog, fields, _FLAGS, study_keys)
+    if not study_keys:  # one list for all
+        lists = lists.withColumn("_all", F.lit(1))
+    on = [(F.col(k), k) for k in study_keys] or [(F.lit(1), "_all")]
+    rows = lookup(rows, lists, on, {"patterns": "_patterns"}, salt, ["doc_id", "page", "annot_idx"])
+    entry = "struct<ordinal:int,name:string,is_comment:boolean,test:string,whole:string,template:string>"
+    text = F.translate("text", FIELD_MARK, " ")
+    first = F.aggregate("_patterns", F.lit(None).cast(entry), lambda found, p: F.when(
+        found.isNull() & F.rlike(text, p["test"]), p).otherwise(found))
+    rows = rows.select("*", F.explode_outer(F.array(first)).alias("_winner")).drop("_patterns")
+    rows = rows.withColumn("_groups", F.split(F.regexp_replace(text, F.col("_winner.whole"), F.col("_winner.template")), FIELD_MARK))
+    return rows.select(
+        "*", *(nonblank(F.get("_groups", F.lit(i))).alias("_list" if f == "variables" else f) for i, f in enumerate(fields)),
+        F.col("_winner.name").alias("pattern_type"), F.coalesce("_winner.is_comment", F.lit(False)).alias("is_comment")).drop("_groups")
+
+
 def _parts(builtin: bool) -> Column:
     """The rows an annotation gives: one per listed variable, two for a record link."""
     plain = {f: F.col(f) for f in PARSED_FIELDS if f != "domain"}

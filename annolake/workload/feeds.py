@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from annolake.functions.color import rgb
 from annolake.functions.geometry import rect
+from annolake.operators.patterns import CATALOG_SCHEMA, DEFAULT_PATTERNS, Pattern
 from annolake.operators.rules import Catalog
 from annolake.schemas import DATASET_CATALOG, VARIABLE_CATALOG
 from annolake.session import small_table
@@ -133,6 +134,33 @@ def catalog(spark: SparkSession) -> Catalog:
     return Catalog(datasets, variables, supp, links)
 
 
+#: Studies whose catalogues differ: the default one, it reversed and without some entries, none.
+STUDY_CATALOGS = {"ST0": "default", "ST1": "default", "ST2": "other", "ST3": "other"}
+
+
+def other_patterns() -> list[Pattern]:
+    return [p for i, p in enumerate(reversed(DEFAULT_PATTERNS)) if i % 5 != 2]
+
+
+def study_patterns(spark: SparkSession) -> DataFrame:
+    """A catalogue table for several studies."""
+    lists = {"default": list(DEFAULT_PATTERNS), "other": other_patterns()}
+    rows = [(study, i, p.name, p.description, p.regex, dict(p.groups), p.is_comment)
+            for study, kind in STUDY_CATALOGS.items() for i, p in enumerate(lists[kind], 1)]
+    return small_table(spark, rows, f"study_id string, {CATALOG_SCHEMA}")
+
+
+def part_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of many studies with mistakes: brand as study, part as entry."""
+    n = F.col("p_partkey")
+    name = F.when(n % 13 == 0, F.lit(" ")).when(n % 17 != 0, F.concat(F.lit("P"), (n % 40).cast("string")))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("study_id"), n.cast("int").alias("ordinal"), name.alias("name"),
+        F.when(n % 7 == 0, F.lit("")).otherwise(F.col("p_name")).alias("description"),
+        F.when(n % 5 == 0, F.concat(F.lit("("), F.col("p_type"))).otherwise(F.col("p_type")).alias("regex"),
+        F.create_map(F.lit("value"), (n % 4 - 1).cast("int")).alias("groups"), F.lit(False).alias("is_comment"))
+
+
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per event: user as document, event number as page, type as form."""
     form = F.concat(F.lit("Form: "), F.initcap("event_type"))

@@ -10,7 +10,7 @@ from annolake.operators import patterns as P
 from annolake.operators import report as R
 from annolake.workload import feeds as W
 from annolake.workload.oracle import (ANN, BOXES, CATALOG, CLEAN, EVENT_ANN, EVENT_PAGES, EXTRACT,
-                                      arr, checked, parsed, pick, q, with_)
+                                      arr, checked, parse_ctes, parsed, pick, q, with_)
 
 ORACLE: dict[str, str] = {}
 
@@ -23,6 +23,22 @@ _PARSED = """SELECT study_id, doc_id, page, annot_idx, part_idx, text, pattern_t
 ORACLE["parse_config"] = parsed(_PARSED)
 ORACLE["parse_builtin"] = parsed(_PARSED, "builtin")
 ORACLE["parse_rejected"] = parsed("SELECT study_id, doc_id, page, annot_idx, part_idx, pattern_type, reason AS reject_reason FROM parsed WHERE reason IS NOT NULL")
+
+
+def _study_parse(kind: str, patterns) -> str:
+    studies = ", ".join(q(s) for s, k in W.STUDY_CATALOGS.items() if k == kind)
+    return "SELECT * FROM (" + with_(ANN, EXTRACT.replace("WHERE ", f"WHERE study_id IN ({studies}) AND "), parse_ctes(patterns=patterns), body=_PARSED) + ")"
+
+
+ORACLE["parse_by_study"] = f"""{_study_parse("default", list(P.DEFAULT_PATTERNS))} UNION ALL {_study_parse("other", W.other_patterns())}
+UNION ALL SELECT * FROM ({with_(ANN, EXTRACT, body="SELECT study_id, doc_id, page, annot_idx, 0, content, NULL, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ext WHERE study_id = 'ST4'")})"""
+_ENTRY = """pat AS (SELECT p_brand AS study_id, p_partkey AS ordinal, CASE WHEN p_partkey % 13 = 0 THEN ' ' WHEN p_partkey % 17 <> 0 THEN 'P' || p_partkey % 40 END AS name, p_partkey AS n FROM part),
+seen AS (SELECT *, min(ordinal) OVER (PARTITION BY study_id, name) AS first FROM pat)"""
+ORACLE["catalog_problems"] = with_(_ENTRY, body="""SELECT study_id, ordinal, name, problem FROM (SELECT *, unnest(CASE WHEN name IS NULL THEN ['Missing required field: name'] ELSE list_filter([
+  CASE WHEN trim(name) = '' THEN 'Pattern name cannot be empty' WHEN ordinal > first THEN 'Pattern name ' || chr(39) || name || chr(39) || ' already exists' END,
+  CASE WHEN n % 7 = 0 THEN 'Pattern description cannot be empty' END,
+  CASE WHEN n % 5 = 0 THEN 'Invalid regex pattern: missing ), unterminated subpattern at position 0' END,
+  CASE WHEN n % 4 < 2 THEN 'Invalid group index for ''value'': must be positive integer' END], lambda x: x IS NOT NULL) END) AS problem FROM seen)""")
 _HITS = ", ".join(f"CASE WHEN regexp_matches(content, {q(p.regex)}) THEN {i} END" for i, p in enumerate(P.DEFAULT_PATTERNS, 1))
 ORACLE["pattern_trials"] = with_(ANN, EXTRACT, body=f"""SELECT ordinal, ({arr([p.name for p in P.DEFAULT_PATTERNS])})[ordinal] AS pattern_type,
   count(*) AS matched, count(*) FILTER (hits[1] = ordinal) AS won, count(*) FILTER (len(hits) > 1) AS shared

@@ -8,7 +8,7 @@ from annolake.functions import color as C
 from annolake.functions import metrics as M
 from annolake.functions import text as X
 from annolake.functions.geometry import flip, rect, rect_text
-from annolake.operators import classify, forms, layout, matching, report, rules
+from annolake.operators import classify, forms, layout, matching, patterns, report, rules
 from annolake.operators import settings as S
 from annolake.operators.patterns import DEFAULT_PATTERNS
 from annolake.plans import standardize as ST
@@ -73,6 +73,19 @@ def parse_rejected(spark, sf):
         *KEY, "part_idx", "pattern_type", "reject_reason")
 
 
+@query
+def parse_by_study(spark, sf):
+    """Studies with catalogues of their own in one job; a study without one matches nothing."""
+    notes = tables.extract(W.annotations(spark, sf))
+    rows = classify.parse(notes, W.study_patterns(spark), dm_variables=W.COLUMNS["DM"], study_keys=("study_id",))
+    return classify.accepted(rows).select(*PARSED)
+
+
+@query
+def catalog_problems(spark, sf):
+    return patterns.catalog_problems(W.part_patterns(spark, sf), ("study_id",))
+
+
 @query
 def pattern_trials(spark, sf):
     return classify.pattern_hit_counts(tables.extract(W.annotations(spark, sf)))
