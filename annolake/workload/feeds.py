@@ -134,6 +134,30 @@ def catalog(spark: SparkSession) -> Catalog:
     return Catalog(datasets, variables, supp, links)
 
 
+#: Datasets that the studies of ``study_folder`` have; study k lacks the k-th column of each.
+STUDY_DATASETS = ("DM", "AE", "VS", "SUPPDM", "RELREC")
+STUDIES = ("ST0", "ST1", "ST2")
+
+
+def study_columns(study: str, domain: str) -> list[str]:
+    names = list(COLUMNS[domain])
+    del names[(STUDIES.index(study) + 2) % len(names)]
+    return names
+
+
+def study_folder(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Datasets of several studies as Parquet, one row a customer; studies differ in
+    columns, and in the names that their SUPP and RELREC rows hold."""
+    key = F.col("c_custkey")
+    for k, study in enumerate(STUDIES):
+        for domain in STUDY_DATASETS:
+            special = {"QNAM": _pick(QNAMS[:k + 1], key), "IDVAR": _pick(IDVARS[:k % 2 + 1], key)}
+            rows = table(spark, sf_dir, "customer").select(*(
+                special.get(c, F.concat(F.lit(c), key.cast("string"))).alias(c) for c in study_columns(study, domain)))
+            rows.coalesce(1).write.parquet(f"{folder}/{study}/{domain.lower()}.parquet")
+    return folder
+
+
 #: Studies whose catalogues differ: the default one, it reversed and without some entries, none.
 STUDY_CATALOGS = {"ST0": "default", "ST1": "default", "ST2": "other", "ST3": "other"}
 

@@ -106,14 +106,14 @@ def field(name: str, patterns) -> str:
     return f"nullif(CASE win {' '.join(hits)} END, '')" if hits else "CAST(NULL AS VARCHAR)"
 
 
-def parse_ctes(dialect: str = "config", source: str = "ext", patterns=None) -> str:
+def parse_ctes(dialect: str = "config", source: str = "ext", patterns=None, dm=W.COLUMNS["DM"]) -> str:
     """CTE ``parsed``: every produced row with ``reason`` (null when accepted)."""
     builtin = dialect == "builtin"
     patterns = patterns or ([P.builtin_view(p) for p in P.BUILTIN_PATTERNS] if builtin else list(P.DEFAULT_PATTERNS))
     comments = [i for i, p in enumerate(patterns, 1)
                 if (p.name in P.BUILTIN_COMMENTS if builtin else p.is_comment)]
     names = " ".join(f"WHEN {i} THEN {q(p.name)}" for i, p in enumerate(patterns, 1))
-    dm = ", ".join(q(n) for n in W.COLUMNS["DM"])
+    dm = ", ".join(q(n) for n in dm) or "NULL"
     parts = """CASE WHEN variables IS NOT NULL
         THEN list_filter(list_transform(string_split_regex(variables, '[,/]'), lambda v: {'v': trim(v), 'val': value, 'c': condition}), lambda s: s.v <> '')"""
     if builtin:

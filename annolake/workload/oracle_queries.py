@@ -10,7 +10,7 @@ from annolake.operators import patterns as P
 from annolake.operators import report as R
 from annolake.workload import feeds as W
 from annolake.workload.oracle import (ANN, BOXES, CATALOG, CLEAN, EVENT_ANN, EVENT_PAGES, EXTRACT,
-                                      arr, checked, parse_ctes, parsed, pick, q, with_)
+                                      FINDINGS, arr, checked, parse_ctes, parsed, pick, q, values, with_)
 
 ORACLE: dict[str, str] = {}
 
@@ -49,6 +49,32 @@ ORACLE["missing_variables"] = parsed("""SELECT domain, variable_name, count(*) A
   AND NOT EXISTS (SELECT 1 FROM vars v WHERE v.domain = ok.domain AND v.name = ok.variable_name) GROUP BY ALL""")
 ORACLE["findings"] = checked("""SELECT study_id, doc_id, page, annot_idx, part_idx, rule_no, token_no, domain, variable_name, severity, category, message, suggested_correction FROM f""")
 ORACLE["findings_similar"] = checked("SELECT study_id, doc_id, page, annot_idx, part_idx, rule_no, token_no, domain, variable_name, severity, category, message FROM f", similar=True)
+
+
+def _study_catalog(study: str) -> tuple[list, str]:
+    """A study's DM columns and its catalogue tables."""
+    own = [d for d in W.STUDY_DATASETS if study in W.STUDIES]
+    k = W.STUDIES.index(study) if own else 0
+    names = {d: W.study_columns(study, d) for d in own}
+    tables = (("ds(domain, label)", [(d, dict(W.DATASETS)[d]) for d in own]), ("vars(domain, ordinal, name)", [(d, i, n) for d in own for i, n in enumerate(names[d], 1)]),
+              ("supp(domain, name)", [("SUPPDM", n) for n in W.QNAMS[:k + 1] if "SUPPDM" in own and "QNAM" in names["SUPPDM"]]),
+              ("links(name)", [(n,) for n in W.IDVARS[:k % 2 + 1] if "RELREC" in own and "IDVAR" in names["RELREC"]]))
+    width = {"ds(domain, label)": 2, "vars(domain, ordinal, name)": 3, "supp(domain, name)": 2, "links(name)": 1}
+    ctes = [f"{head} AS ({values(rows)})" if rows else f"{head} AS (SELECT {', '.join(['NULL::VARCHAR'] * width[head])} WHERE false)" for head, rows in tables]
+    return names.get("DM", []), ",\n".join(ctes)
+
+
+def _study_check(study: str) -> str:
+    dm, catalog = _study_catalog(study)
+    ext = EXTRACT.replace("WHERE ", f"WHERE study_id = '{study}' AND ")
+    return with_(ANN, ext, catalog, parse_ctes(dm=dm), FINDINGS_LINKED, body="SELECT study_id, rule_no, domain, message, count(*) AS n FROM f GROUP BY ALL")
+
+
+#: With the rule for a RELREC dataset that has no IDVAR, which the first feed's always has.
+FINDINGS_LINKED = FINDINGS.replace("domain = 'RELREC' AND ex AND condition IS NOT NULL)", "domain = 'RELREC' AND ex AND has_idvar AND condition IS NOT NULL)").replace(
+    "  UNION ALL SELECT * EXCLUDE (tok, tno), 10,", "  UNION ALL SELECT *, 9, 0, 'ERROR', 'Missing Variable', 'Domain ' || domain || ' does not contain IDVAR variable.', NULL FROM live WHERE NOT is_comment AND domain = 'RELREC' AND ex AND NOT has_idvar AND condition IS NOT NULL\n  UNION ALL SELECT * EXCLUDE (tok, tno), 10,")
+ORACLE["study_findings"] = " UNION ALL ".join(f"SELECT * FROM ({_study_check(s)})" for s in ("ST0", "ST1", "ST2", "ST3", "ST4"))
+ORACLE["study_variables"] = "SELECT * FROM (" + values([(s, d, i, n, "character") for s in W.STUDIES for d in W.STUDY_DATASETS for i, n in enumerate(W.study_columns(s, d), 1)]) + ") AS t(study_id, domain, ordinal, name, type)"
 ORACLE["unused_datasets"] = parsed("""SELECT domain AS "Dataset", 'May be using vendor/external data or oversight in annotation' AS "Possible Reason" FROM ds
   WHERE domain NOT IN (SELECT domain FROM ok WHERE domain IS NOT NULL)""")
 ORACLE["variable_metadata"] = parsed("""SELECT ok.domain, ok.variable_name, CASE WHEN v.name IS NOT NULL THEN 'character' END AS variable_type, CASE WHEN v.name IS NOT NULL THEN 8 END AS variable_length,
@@ -564,6 +590,13 @@ ORACLE["xfdf_written_back"] = with_(_FILE_ANN + "page <> 46)", _BACK, body=f"""S
   CASE WHEN rich AND page NOT IN (45, 47) THEN told END AS paragraph, CASE WHEN NOT rich AND page <> 47 THEN told END AS contents, CASE WHEN page = 45 THEN t END AS span, count(*) AS n
   FROM back GROUP BY ALL""")
 
+ORACLE["folder_totals"] = with_(_FILE_ANN + "page <> 46)", """fl AS (SELECT *, CASE WHEN k % 4 = 2 THEN 'bad' WHEN k % 3 = 1 THEN 'empty' ELSE 'good' END AS state, page < 46 AS usable
+  FROM (SELECT *, CAST(substr(split_part(doc_id, '/', 2), 5) AS BIGINT) AS k FROM ann)),
+dl AS (SELECT doc_id, CASE WHEN state = 'good' AND NOT bool_or(usable) THEN 'empty' ELSE state END AS status, CASE WHEN state = 'good' THEN count(*) FILTER (usable) ELSE 0 END AS n FROM fl GROUP BY doc_id, state)""",
+    body="""SELECT status, count(*) AS files, sum(n)::BIGINT AS elements FROM dl GROUP BY status
+  UNION ALL SELECT ['missing content', 'invalid page', 'missing rect attribute', 'invalid rect format'][page - 46], count(DISTINCT doc_id), count(*) FROM fl WHERE state = 'good' AND NOT usable GROUP BY page""")
+ORACLE["streamed_unused"] = parsed("SELECT domain FROM ds WHERE domain NOT IN (SELECT domain FROM ok WHERE domain IS NOT NULL)")
+
 
 # --- settings --------------------------------------------------------------
 

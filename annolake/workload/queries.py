@@ -15,6 +15,7 @@ from annolake.plans import standardize as ST
 from annolake.plans.check import check
 from annolake.session import shared_folder
 from annolake.sources import audit, fdf, tables, xfdf
+from annolake.sources.datasets import StudyRegistry
 from annolake.workload import feeds as W
 
 QUERIES = {}
@@ -112,6 +113,22 @@ def findings(spark, sf):
         "message", "suggested_correction")
 
 
+@query
+def study_findings(spark, sf):
+    """Studies with datasets of their own, checked in one job; two have none."""
+    registry = StudyRegistry(spark, W.study_folder(spark, sf, _run_folder(spark, "studies")), labels=dict(W.DATASETS))
+    return check(W.annotations(spark, sf), registry.catalog(), EXACT).findings.groupBy(
+        "study_id", "rule_no", "domain", "message").agg(F.count("*").alias("n"))
+
+
+@query
+def study_variables(spark, sf):
+    """The columns of all studies' datasets, from their files' footers."""
+    registry = StudyRegistry(spark, W.study_folder(spark, sf, _run_folder(spark, "studies")))
+    return registry.variable_catalog().select("study_id", "domain", "ordinal", "name", "type").join(
+        registry.dataset_catalog().select("study_id", "domain"), ["study_id", "domain"])
+
+
 @query
 def findings_similar(spark, sf):
     return _findings(spark, sf, rules.CheckOptions()).select(
@@ -899,3 +916,32 @@ def streamed_audit(spark, sf):
     append_by_day(rows, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy(F.col("event_date").cast("string").alias("event_date"), "user").agg(
         F.count("*").alias("n"))
+
+
+@query
+def streamed_unused(spark, sf):
+    """Datasets that no batch of a stream names; the domains seen are its state."""
+    from annolake.streaming.check_stream import append_findings, stream_seen, unused_so_far
+
+    folder = _run_folder(spark, "seen")
+    rows = stream_seen(W.line_annotations(_stream(spark, sf, "lineitem")), W.catalog(spark))
+    append_findings(rows, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return unused_so_far(spark, f"{folder}/out", W.catalog(spark))
+
+
+@query
+def folder_totals(spark, sf):
+    """A folder of documents worked off: good, empty and bad files, elements and rejects."""
+    from annolake.streaming import folder_job
+
+    source, target = _run_folder(spark, "folder-in"), _run_folder(spark, "folder-out")
+    number = F.substring("doc_id", 5, 20).cast("long")
+    lines = xfdf.element_lines(_file_elements(spark, sf).filter("corrupt is null"), "crf.pdf")
+    lines = lines.filter(~((number % 3 == 1) & (F.col("page") == 0)) & ~((number % 4 == 2) & (F.col("page") == 1)))
+    order = [c for c in xfdf.LINE_ORDER if c in lines.columns]
+    (lines.repartitionByRange("study_id", "doc_id").sortWithinPartitions(*order).select("study_id", "doc_id", "line")
+     .write.partitionBy("study_id", "doc_id").text(source))
+    folder_job.work_off(spark, f"{source}/study_id=*/doc_id=*", target, f"{target}/state").awaitTermination()
+    rejected = spark.read.parquet(f"{target}/{folder_job.REJECTED}")
+    files = folder_job.ledger(spark, target).groupBy("status").agg(F.count("*").alias("files"), F.sum("elements").alias("elements"))
+    return files.unionByName(rejected.groupBy(F.col("error").alias("status")).agg(F.countDistinct("doc_id").alias("files"), F.count("*").alias("elements")))
