@@ -77,12 +77,15 @@ class Font:
 
     def units(self, text: Column) -> Column:
         """Width of ``text`` in thousandths of the font size."""
-        if not self.widths:
-            return F.length(text) * self.default
-        table = F.array(*(F.lit(w) for w in _by_code(self.widths, self.default)))
-        return F.aggregate(
-            F.split(text, ""), F.lit(0),
-            lambda total, c: total + F.element_at(table, F.least(F.ascii(c), F.lit(256)) + 1))
+        # all characters at the default width, then what the classes differ from it
+        total = F.length(text) * self.default
+        classes: dict[int, str] = {}
+        for code, width in enumerate(_by_code(self.widths, self.default)[:256] if self.widths else []):
+            if width != self.default:
+                classes[width] = classes.get(width, "") + chr(code)
+        for width, chars in sorted(classes.items()):
+            total = total + (F.length(text) - F.length(F.translate(text, chars, ""))) * (width - self.default)
+        return total
 
 
 FONTS = (
@@ -93,6 +96,8 @@ FONTS = (
           "courier-boldoblique"), {}, 600),
 )
 STANDARD_FONT = "hebi"
+#: Wrapped lines that are put away together.
+_LINES = 64
 
 
 @dataclass(frozen=True)
@@ -169,7 +174,9 @@ class TextMeasurer:
     def wrapped_lines(self, text: Column, font, size, max_width: Column) -> Column:
         """Greedy fill by word; an over-long word at a line start stands alone."""
         size, blank_width = _col(size), self.width(F.lit(" "), font, size)
-        start = F.struct(F.array().cast("array<string>").alias("lines"),
+        # lines are added to a short array and put away in bulk, so adding one stays cheap
+        none = F.array().cast("array<string>")
+        start = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("lines"),
                          F.lit("").alias("line"), F.lit(0.0).alias("width"))
 
         def step(state, item):
@@ -179,17 +186,18 @@ class TextMeasurer:
             width = F.when(empty, item["width"]).otherwise(
                 state["width"] + blank_width + item["width"])
             fits = width <= max_width
-            done = F.when(fits, state["lines"]).when(
-                empty, F.array_append(state["lines"], item["word"])).otherwise(
-                F.array_append(state["lines"], state["line"]))
+            full = ~fits & (F.size(state["lines"]) >= _LINES)
+            lines = F.when(full, none).otherwise(state["lines"])
             return F.struct(
-                done.alias("lines"),
+                F.when(full, F.array_append(state["done"], state["lines"])).otherwise(state["done"]).alias("done"),
+                F.when(fits, lines).otherwise(F.array_append(lines, F.when(empty, item["word"]).otherwise(state["line"]))).alias("lines"),
                 F.when(fits, joined).when(empty, F.lit("")).otherwise(item["word"]).alias("line"),
                 F.when(fits, width).when(empty, F.lit(0.0)).otherwise(item["width"]).alias("width"))
 
         def finish(state):
-            return F.when(state["line"] == "", state["lines"]).otherwise(
+            last = F.when(state["line"] == "", state["lines"]).otherwise(
                 F.array_append(state["lines"], state["line"]))
+            return F.flatten(F.array_append(state["done"], last))
 
         lines = F.aggregate(self._words(text, font, size), start, step, finish)
         return F.when(self._blank(text), F.array().cast("array<string>")).otherwise(lines)
