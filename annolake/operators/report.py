@@ -93,20 +93,25 @@ def top_values(findings: DataFrame, column: str, n: int = 5, by: tuple[str, ...]
 
     ``errors_only`` keeps values that have an error, still ranked by all findings.
     """
-    if not by:
-        return top_values(findings.withColumn("_all", F.lit(0)), column, n, ("_all",),
-                          errors_only).drop("_all")
-    counts = findings.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(
-        F.count("*").alias("count"), F.min(_seen(findings)).alias("_first"),
+    # one pass: a finding counts for the total and for its value; only ranked rows are gathered
+    marks = F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("value")),
+                    F.struct(F.lit(False).alias("all"), F.col(column).cast("string").alias("value")))
+    rows = findings.select(*by, "severity", _seen(findings).alias("_seen"), F.explode(marks).alias("_m")).filter(
+        "_m.all or _m.value is not null")
+    counts = rows.groupBy(*by, F.col("_m.all").alias("_all"), F.col("_m.value").alias("_value")).agg(
+        F.count("*").alias("count"), F.min("_seen").alias("_first"),
         F.bool_or(F.col("severity") == "ERROR").alias("_error"))
     if errors_only:
-        counts = counts.filter("_error")
+        counts = counts.filter("_all or _error")
     # a per-key ranking over one row per value; Spark keeps n rows per task first
-    best = Window.partitionBy(*by).orderBy(F.desc("count"), "_first")
+    best = Window.partitionBy(*by, "_all").orderBy(F.desc("count"), "_first")
     ranked = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
-    totals = findings.groupBy(*by).agg(F.count("*").alias("_total"))
-    return ranked.join(totals, list(by)).select(*by, "rank", column, "count",
-                         _percent_text(F.col("count"), F.col("_total")).alias("percent"))
+    entry = F.struct("rank", F.col("_value").alias(column), "count")
+    gathered = ranked.groupBy(*by).agg(
+        F.max(F.when(F.col("_all"), F.col("count"))).alias("_total"),
+        F.array_sort(F.collect_list(F.when(~F.col("_all"), entry))).alias("_ranked"))
+    return gathered.select(*by, "_total", F.inline("_ranked")).select(
+        *by, "rank", column, "count", _percent_text(F.col("count"), F.col("_total")).alias("percent"))
 
 
 def summary(findings: DataFrame, by: tuple[str, ...] = (), top: int = 5, top_errors: int = 2) -> DataFrame:
