@@ -39,6 +39,19 @@ ORACLE["catalog_problems"] = with_(_ENTRY, body="""SELECT study_id, ordinal, nam
   CASE WHEN n % 7 = 0 THEN 'Pattern description cannot be empty' END,
   CASE WHEN n % 5 = 0 THEN 'Invalid regex pattern: missing ), unterminated subpattern at position 0' END,
   CASE WHEN n % 4 < 2 THEN 'Invalid group index for ''value'': must be positive integer' END], lambda x: x IS NOT NULL) END) AS problem FROM seen)""")
+ORACLE["variable_ranges"] = parsed(r"""SELECT study_id, doc_id, page, annot_idx, part_idx, unnest(ns) AS name, generate_subscripts(ns, 1) - 1 AS no FROM (SELECT *, CASE WHEN s1 = s2 AND d1 <> '' AND d2 <> '' AND CAST(nullif(d1, '') AS INT) <= CAST(nullif(d2, '') AS INT)
+    THEN list_transform(range(CAST(nullif(d1, '') AS INT), CAST(nullif(d2, '') AS INT) + 1), lambda x: s1 || x) ELSE [variable_name, variable_name_end] END AS ns
+  FROM (SELECT *, regexp_extract(variable_name, '^(.*?)(\d+)$', 1) AS s1, regexp_extract(variable_name_end, '^(.*?)(\d+)$', 1) AS s2, regexp_extract(variable_name, '^(.*?)(\d+)$', 2) AS d1,
+    regexp_extract(variable_name_end, '^(.*?)(\d+)$', 2) AS d2 FROM ok WHERE variable_name_end IS NOT NULL))""")
+_FIRST = P.DEFAULT_PATTERNS[0]
+_TRIED = " || ';' || ".join(f"'{name}=' || regexp_extract(content, {q(_FIRST.regex)}, {g})" for name, g in sorted(_FIRST.groups.items()))
+ORACLE["pattern_groups"] = with_(ANN, EXTRACT, body=f"""SELECT study_id, doc_id, page, annot_idx, hit AS matched, CASE WHEN hit THEN {_TRIED} END AS groups
+  FROM (SELECT *, regexp_matches(content, '^(?:' || {q(_FIRST.regex)} || ')') AS hit FROM ext)""")
+_IGNORING = FINDINGS.replace("live AS (SELECT * FROM facts WHERE pattern_type IS NOT NULL)", "live AS (SELECT * FROM facts WHERE pattern_type IS NOT NULL AND coalesce(upper(domain) NOT IN ('AE', 'LB'), true))").replace(
+    "NOT has_col AND variable_name NOT IN ('STUDYID', 'USUBJID')", "NOT has_col AND variable_name NOT IN ('STUDYID', 'USUBJID', 'AGE')").replace(
+    "NOT has_qnam AND upper(variable_name) NOT IN ('STUDYID', 'USUBJID')", "NOT has_qnam AND upper(variable_name) NOT IN ('STUDYID', 'USUBJID', 'AGE')").replace(
+    "NOT has_supp AND upper(variable_name) NOT IN ('STUDYID', 'USUBJID')", "NOT has_supp AND upper(variable_name) NOT IN ('STUDYID', 'USUBJID', 'AGE')")
+ORACLE["findings_ignoring"] = with_(ANN, EXTRACT, CATALOG, parse_ctes(), _IGNORING, body="SELECT domain, variable_name, rule_no, severity, count(*) AS n FROM f GROUP BY ALL")
 _HITS = ", ".join(f"CASE WHEN regexp_matches(content, {q(p.regex)}) THEN {i} END" for i, p in enumerate(P.DEFAULT_PATTERNS, 1))
 ORACLE["pattern_trials"] = with_(ANN, EXTRACT, body=f"""SELECT ordinal, ({arr([p.name for p in P.DEFAULT_PATTERNS])})[ordinal] AS pattern_type,
   count(*) AS matched, count(*) FILTER (hits[1] = ordinal) AS won, count(*) FILTER (len(hits) > 1) AS shared
@@ -390,6 +403,19 @@ _LINE = "'Page ' || page || ' [Group ' || {2} || ']: ''' || CASE WHEN length(con
 ORACLE["alignment_report"] = _rec(*_MEANS, body=f"""SELECT doc_id, page, 'horizontal' AS alignment_type, annot_idx, {_LINE.format('horizontally', 'x0, y0, x0, ny', 'hg')} FROM al WHERE h_moved
   UNION ALL SELECT doc_id, page, 'vertical', annot_idx, {_LINE.format('vertically', 'x0, ny, nx, ny', 'vg')} FROM al WHERE v_moved""")
 
+_BAR = "repeat('=', 80)"
+_REPORT = f"""tot AS (SELECT doc_id, count(*) AS n, count(DISTINCT (page, hg)) FILTER (hg IS NOT NULL) AS hs, count(DISTINCT (page, vg)) FILTER (vg IS NOT NULL) AS vs,
+  count(*) FILTER (h_moved) AS hm, count(*) FILTER (v_moved) AS vm FROM al GROUP BY doc_id),
+op AS (SELECT doc_id, page, 1 AS part, annot_idx, {_LINE.format('horizontally', 'x0, y0, x0, ny', 'hg')} FROM al WHERE h_moved
+  UNION ALL SELECT doc_id, page, 2, annot_idx, {_LINE.format('vertically', 'x0, ny, nx, ny', 'vg')} FROM al WHERE v_moved),
+blk AS (SELECT doc_id, 0 AS section, 0 AS page, 0 AS part, -1::BIGINT AS annot_idx, [{_BAR}, 'ANNOTATION ALIGNMENT REPORT', {_BAR}, '', 'Summary: Total annotations: ' || n || ', Horizontal groups: ' || hs ||
+    ', Vertical groups: ' || vs || ', Horizontal aligned: ' || hm || ', Vertical aligned: ' || vm || ', Errors: 0', ''] || CASE WHEN hm + vm > 0 THEN ['Alignment Operations:', repeat('-', 80)] ELSE [] END AS ls FROM tot
+  UNION ALL SELECT doc_id, 2, 0, 0, -1, CASE WHEN hm + vm > 0 THEN ['', {_BAR}] ELSE [{_BAR}] END FROM tot
+  UNION ALL SELECT doc_id, 1, page, 0, -1, ['', 'Page ' || page || ':'] FROM (SELECT DISTINCT doc_id, page FROM op)
+  UNION ALL SELECT doc_id, 1, page, part, -1, ['  ' || ['Horizontal', 'Vertical'][part] || ' alignments: ' || count(*)] FROM op GROUP BY doc_id, page, part
+  UNION ALL SELECT doc_id, 1, page, part, annot_idx, ['    ' || line] FROM op)"""
+ORACLE["alignment_report_lines"] = _rec(*_MEANS, _REPORT, body="SELECT doc_id, section, page, part, annot_idx, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM blk")
+
 
 def _need(line: str, size: str) -> str:
     """CTE ``nd``: box, width of the text and whether it fits, for every annotation."""

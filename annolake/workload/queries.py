@@ -87,6 +87,29 @@ def catalog_problems(spark, sf):
     return patterns.catalog_problems(W.part_patterns(spark, sf), ("study_id",))
 
 
+@query
+def variable_ranges(spark, sf):
+    """Names that a range such as ``AGE1``-``AGE4`` stands for."""
+    rows = classify.accepted(_parsed(spark, sf)).filter("variable_name_end is not null")
+    return rows.select(*KEY, "part_idx", F.posexplode(classify.expand_range(
+        F.col("variable_name"), F.col("variable_name_end"))).alias("no", "name"))
+
+
+@query
+def pattern_groups(spark, sf):
+    """One pattern tried on every text: did it match, and with which groups."""
+    tried = classify.try_pattern(tables.extract(W.annotations(spark, sf)), DEFAULT_PATTERNS[0])
+    groups = F.array_join(F.transform(F.array_sort(F.map_entries("groups")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return tried.select(*KEY, "matched", groups.alias("groups"))
+
+
+@query
+def findings_ignoring(spark, sf):
+    """The check without some domains and variables."""
+    options = rules.CheckOptions(fuzzy=False, ignore_domains=("ae", "LB"), ignore_variables=("STUDYID", "USUBJID", "AGE"))
+    return _findings(spark, sf, options).groupBy("domain", "variable_name", "rule_no", "severity").agg(F.count("*").alias("n"))
+
+
 @query
 def pattern_trials(spark, sf):
     return classify.pattern_hit_counts(tables.extract(W.annotations(spark, sf)))
@@ -537,6 +560,13 @@ def alignment_report(spark, sf):
         "doc_id", "page", "alignment_type", "annot_idx", "line")
 
 
+@query
+def alignment_report_lines(spark, sf):
+    """Whole alignment reports, head to foot."""
+    lines = layout.alignment_report_lines(layout.align(_boxes(spark, sf)))
+    return lines.select("doc_id", "section", "page", "part", "annot_idx", "line_no", "line")
+
+
 def _resize(spark, sf, variant, **options):
     out = layout.resize(W.annotations(spark, sf), variant, **options)
     return out.select("doc_id", "annot_idx", "checked", "changed", *_corners("resized"))
