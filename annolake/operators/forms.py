@@ -34,9 +34,15 @@ def page_forms(pages: DataFrame, marked_only: bool = False) -> DataFrame:
 
 def form_runs(page_forms: DataFrame) -> DataFrame:
     """First page of each run of equal form names; a name that returns starts a new run."""
+    return _runs(page_forms).drop("opens")
+
+
+def _runs(page_forms: DataFrame) -> DataFrame:
+    """The same, and whether a run ``opens`` its document."""
     key = document_key(page_forms)
     rows = with_previous(page_forms, key, "page", "form", "_before", page_chunk(F.col("page")))
-    return rows.filter("_before is null or _before <> form").select(*key, "page", "form")
+    return rows.filter("_before is null or _before <> form").select(
+        *key, "page", "form", F.col("_before").isNull().alias("opens"))
 
 
 def pages_with_run(pages: DataFrame, runs: DataFrame) -> DataFrame:
@@ -92,6 +98,21 @@ def _toc(df: DataFrame, section: int, level: int, title: Column, page: Column,
         F.lit(level).alias("level"), title.alias("title"), page.cast("int").alias("page"))
 
 
+def _headed(df: DataFrame, section: int, head: str, title: Column, page: Column,
+            domain: Column | None = None, sort_page: Column | None = None) -> DataFrame:
+    """Rows of level 2, and one of level 1 wherever ``opens`` is set; ``df`` is read once."""
+    levels = F.when(F.col("opens"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    rows = df.withColumn("_level", F.explode(levels))
+    below = F.col("_level") == 2
+    zero = F.lit(0)
+    return rows.select(
+        *document_key(df), F.lit(section).alias("section"),
+        F.when(below, F.lit("") if domain is None else domain).otherwise(F.lit("")).alias("domain"),
+        F.when(below, zero if sort_page is None else sort_page).otherwise(zero).cast("int").alias("sort_page"),
+        zero.cast("long").alias("ord"), F.col("_level").alias("level"),
+        F.when(below, title).otherwise(F.lit(head)).alias("title"), F.when(below, page).otherwise(F.lit(1)).cast("int").alias("page"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -102,14 +123,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def bookmarks(page_forms: DataFrame, headers: DataFrame, form_label: str = FORM_LABEL,
               domain_label: str = DOMAIN_LABEL) -> DataFrame:
     """Two trees: forms in page order; domains by code with their forms below."""
-    runs = form_runs(page_forms)
-    first = first_of_domain(headers)
-    below = domain_runs(headers, page_forms, runs)
+    runs, first = _runs(page_forms), first_of_domain(headers)
+    below = domain_runs(headers, page_forms, runs.drop("opens"))
+    # the row that opens a document brings the tree's head along
+    opens = F.col("domain") == F.min("domain").over(Window.partitionBy(*document_key(first)))
     return _union([
-        _toc(runs.select(*document_key(runs)).distinct(), 1, 1, F.lit(form_label), F.lit(1)),
-        _toc(runs, 1, 2, F.col("form"), F.col("page"), sort_page=F.col("page")),
-        _toc(first.select(*document_key(first)).distinct(), 2, 1, F.lit(domain_label), F.lit(1)),
-        _toc(first, 2, 2, F.col("domain"), F.col("first_page"), F.col("domain")),
+        _headed(runs, 1, form_label, F.col("form"), F.col("page"), sort_page=F.col("page")),
+        _headed(first.withColumn("opens", opens), 2, domain_label, F.col("domain"), F.col("first_page"), F.col("domain")),
         _toc(below, 2, 3, F.col("form"), F.col("run_page"), F.col("domain"), F.col("run_page")),
     ])
 
