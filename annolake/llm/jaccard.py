@@ -286,6 +286,18 @@ def _meet(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[tup
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(root, n, band, lists, need): in how many lists the sets of n of a cluster meet any
     partner of a band, and the least that they would have to share with one of these."""
+    keys, lists, needs, held = [], [], [], 0
+
+    def folded():
+        unique, place = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+        need = np.full(len(unique), np.iinfo(np.int64).max)
+        np.minimum.at(need, place.ravel(), np.concatenate(needs))
+        count = np.bincount(place.ravel(), np.concatenate(lists), len(unique)).astype(np.int64)
+        return unique, count, need
+
+    def rows(unique, count, need):
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in unique.T), pa.array(count), pa.array(need)], ["root", "n", "band", "lists", "need"])
+
     for table, starts, ends in _lists(batches):
         n, root = table.column("n").to_numpy(), table.column("root").to_numpy()
         least = np.full(len(n) * BANDS, np.iinfo(np.int64).max)
@@ -296,11 +308,18 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.flatnonzero(least < np.iinfo(np.int64).max)
         if len(met):
             row, band = np.divmod(met, BANDS)
-            keys, place = np.unique(np.stack([root[row], n[row], band], axis=1), axis=0, return_inverse=True)
-            need = np.full(len(keys), np.iinfo(np.int64).max)
-            np.minimum.at(need, place.ravel(), least[met])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in keys.T), pa.array(np.bincount(place.ravel(), minlength=len(keys))), pa.array(need)],
-                                             ["root", "n", "band", "lists", "need"])
+            keys.append(np.stack([root[row], n[row], band], axis=1))
+            lists.append(np.ones(len(met)))
+            needs.append(least[met])
+            held += len(met)
+        if held > 1 << 18:  # one row a set and band, as long as they are few
+            unique, count, need = folded()
+            keys, lists, needs, held = [unique], [count], [need], len(unique)
+            if held > 1 << 17:
+                yield rows(unique, count, need)
+                keys, lists, needs, held = [], [], [], 0
+    if held:
+        yield rows(*folded())
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +373,7 @@ def _places(ids: np.ndarray) -> np.ndarray:
 
 def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, na, nb, shared) of document pairs (a, b), written."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = written(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "ids")
     parts = ids.coalesce(8).mapInArrow(_id_bits, "bits binary").collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for part in parts:
