@@ -15,6 +15,7 @@ from annolake.operators.forms import bookmarks, headers, item_bookmarks, page_fo
 from annolake.operators.layout import PAGE, align, resize
 from annolake.operators.matching import match_positions
 from annolake.schemas import document_key
+from annolake.session import kept
 from annolake.sources import xfdf
 
 # Types that take neither border nor fill.
@@ -101,9 +102,10 @@ def export_files(spark: SparkSession, source: str, target: str,
     """Scan the XFDF documents under ``source``, standardize them, write them under ``target``.
 
     Gives the list of written files and the elements that could not be used.
-    Coordinates are written to ``places`` decimals.
+    Coordinates are written to ``places`` decimals.  The files are scanned once; alignment
+    and the other steps read the parsed elements from the shared folder.
     """
-    parsed = xfdf.parse_elements(xfdf.read_elements(spark, source))
+    parsed = kept(xfdf.parse_elements(xfdf.read_elements(spark, source)), "xfdf-parsed")
     rows = export(xfdf.annotations_of(parsed, page_height), options)
     box = F.col("xfdf_rect")
     rows = rows.withColumn("xfdf_rect", rect(*(F.round(box[c], places) for c in ("x0", "y0", "x1", "y1"))))
