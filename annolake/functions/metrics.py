@@ -2,7 +2,7 @@
 
 Widths are the public metrics of the standard PDF fonts in thousandths of the
 font size; a text's width is the sum over its characters, looked up by code
-point in a literal array.
+point in Arrow batches (``glyphs``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
+from annolake.functions import glyphs
+
 # Public glyph widths, width -> characters.
 HELVETICA_BOLD = {
     238: "'",
@@ -75,17 +77,20 @@ class Font:
     widths: dict[int, str] = field(hash=False)
     default: int
 
+    @property
+    def by_code(self) -> tuple[int, ...]:
+        """Width of each code point below 256."""
+        return tuple(_by_code(self.widths, self.default)[:256]) if self.widths else (self.default,) * 256
+
+    @property
+    def table(self) -> tuple[tuple[str, ...], tuple[int, ...], int]:
+        return self.names, self.by_code, self.default
+
     def units(self, text: Column) -> Column:
         """Width of ``text`` in thousandths of the font size."""
-        # all characters at the default width, then what the classes differ from it
-        total = F.length(text) * self.default
-        classes: dict[int, str] = {}
-        for code, width in enumerate(_by_code(self.widths, self.default)[:256] if self.widths else []):
-            if width != self.default:
-                classes[width] = classes.get(width, "") + chr(code)
-        for width, chars in sorted(classes.items()):
-            total = total + (F.length(text) - F.length(F.translate(text, chars, ""))) * (width - self.default)
-        return total
+        if not self.widths:
+            return F.length(text) * self.default
+        return glyphs.units(self.by_code, self.default)(text)
 
 
 FONTS = (
@@ -96,8 +101,6 @@ FONTS = (
           "courier-boldoblique"), {}, 600),
 )
 STANDARD_FONT = "hebi"
-#: Wrapped lines that are put away together.
-_LINES = 64
 
 
 @dataclass(frozen=True)
@@ -122,10 +125,13 @@ class TextMeasurer:
                 if font.lower() in known.names:
                     return known.units(text) * size / 1000.0
             return F.lit(None).cast("double")
-        name, rule = F.lower(font), F.when(F.lit(False), F.lit(None).cast("double"))
-        for known in self.fonts:
-            rule = rule.when(name.isin(*known.names), known.units(text) * size / 1000.0)
-        return rule
+        return glyphs.units_by_name(tuple(known.table for known in self.fonts))(text, font) * size / 1000.0
+
+    def _unknown(self, font) -> Column:
+        names = [name for known in self.fonts for name in known.names]
+        if isinstance(font, str):
+            return F.lit(font.lower() not in names)
+        return ~F.coalesce(F.lower(font).isin(*names), F.lit(False))
 
     def _blank(self, text: Column) -> Column:
         return text.isNull() | (F.length(F.btrim(text)) == 0)
@@ -166,68 +172,20 @@ class TextMeasurer:
         return F.when(self._blank(text), F.lit(True)).otherwise(
             (need["width"] <= width + 0.5) & (need["height"] <= height + 0.5))
 
-    def _words(self, text: Column, font, size: Column) -> Column:
-        parts = F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: F.length(w) > 0)
-        return F.transform(parts, lambda w: F.struct(
-            w.alias("word"), self.width(w, font, size).alias("width")))
+    def _wrapped(self, fold, text: Column, font, size, max_width: Column) -> Column:
+        columns = [text.cast("string"), _col(size).cast("double"), max_width.cast("double")]
+        if isinstance(font, str):
+            return fold(tuple(known.table for known in self.fonts if font.lower() in known.names))(*columns)
+        return fold(tuple(known.table for known in self.fonts))(*columns, font)
 
     def wrapped_lines(self, text: Column, font, size, max_width: Column) -> Column:
         """Greedy fill by word; an over-long word at a line start stands alone."""
-        size, blank_width = _col(size), self.width(F.lit(" "), font, size)
-        # lines are added to a short array and put away in bulk, so adding one stays cheap
-        none = F.array().cast("array<string>")
-        start = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("lines"),
-                         F.lit("").alias("line"), F.lit(0.0).alias("width"))
-
-        def step(state, item):
-            empty = state["line"] == ""
-            joined = F.when(empty, item["word"]).otherwise(
-                F.concat(state["line"], F.lit(" "), item["word"]))
-            width = F.when(empty, item["width"]).otherwise(
-                state["width"] + blank_width + item["width"])
-            fits = width <= max_width
-            full = ~fits & (F.size(state["lines"]) >= _LINES)
-            lines = F.when(full, none).otherwise(state["lines"])
-            return F.struct(
-                F.when(full, F.array_append(state["done"], state["lines"])).otherwise(state["done"]).alias("done"),
-                F.when(fits, lines).otherwise(F.array_append(lines, F.when(empty, item["word"]).otherwise(state["line"]))).alias("lines"),
-                F.when(fits, joined).when(empty, F.lit("")).otherwise(item["word"]).alias("line"),
-                F.when(fits, width).when(empty, F.lit(0.0)).otherwise(item["width"]).alias("width"))
-
-        def finish(state):
-            last = F.when(state["line"] == "", state["lines"]).otherwise(
-                F.array_append(state["lines"], state["line"]))
-            return F.flatten(F.array_append(state["done"], last))
-
-        lines = F.aggregate(self._words(text, font, size), start, step, finish)
+        lines = self._wrapped(glyphs.wrapped_lines, text, font, size, max_width)
         return F.when(self._blank(text), F.array().cast("array<string>")).otherwise(lines)
 
     def wrapped_size(self, text: Column, font, size, max_width: Column) -> Column:
         """``{lines, widest}`` of the wrapped text, without keeping the lines."""
-        size, blank_width = _col(size), self.width(F.lit(" "), font, size)
-        start = F.struct(F.lit(0).alias("lines"), F.lit(-1.0).alias("open"),
-                         F.lit(0.0).alias("widest"))
-
-        def step(state, item):
-            empty = state["open"] < 0
-            width = F.when(empty, item["width"]).otherwise(
-                state["open"] + blank_width + item["width"])
-            fits = width <= max_width
-            closed = F.when(empty, item["width"]).otherwise(state["open"])
-            return F.struct(
-                F.when(fits, state["lines"]).otherwise(state["lines"] + 1).alias("lines"),
-                F.when(fits, width).when(empty, F.lit(-1.0)).otherwise(item["width"]).alias("open"),
-                F.when(fits, state["widest"]).otherwise(
-                    F.greatest(state["widest"], closed)).alias("widest"))
-
-        def finish(state):
-            some = state["open"] >= 0
-            return F.struct(
-                (state["lines"] + some.cast("int")).alias("lines"),
-                F.when(some, F.greatest(state["widest"], state["open"]))
-                .otherwise(state["widest"]).alias("widest"))
-
-        return F.aggregate(self._words(text, font, size), start, step, finish)
+        return self._wrapped(glyphs.wrapped_size, text, font, size, max_width)
 
     def optimal(self, text: Column, font, size, width: Column | None = None,
                 line: Column | None = None) -> Column:
@@ -237,7 +195,7 @@ class TextMeasurer:
             return self.dimensions(text, font, size, line=line)
         wrapped = self.wrapped_size(text, font, size, width - 2 * self.horizontal_padding)
         blank = self._box(F.lit(2 * self.horizontal_padding), size + 2 * self.vertical_padding)
-        unknown = self.width(F.lit(" "), font, size).isNull()
+        unknown = self._unknown(font)
         return (F.when(self._blank(text), blank)
                 .when(unknown, self.dimensions(text, font, size, width, line))
                 .otherwise(self._box(
