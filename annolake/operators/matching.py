@@ -18,8 +18,8 @@ def match_positions(imported: DataFrame, existing: DataFrame, tolerance: float =
     tolerance and whose text is equal ignoring case; null where there is none.
 
     Both sides are first reduced to distinct (page, text, box), so copies of one
-    box cost one candidate, and are compared within a grid of the tolerance's
-    size: only boxes in the same or a neighbouring cell meet.
+    box cost one candidate, and are compared within a grid of cells four tolerances
+    wide: a box meets those in the cells that its reach touches, two and a quarter on average.
     """
     key = document_key(imported, existing)
     spots = [*key, "page", "_text", *(f"_{s}" for s in SIDES)]
@@ -30,13 +30,15 @@ def match_positions(imported: DataFrame, existing: DataFrame, tolerance: float =
 
     new = boxes(imported)
     wanted = new.select(*spots).distinct()
-    near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    cells = wanted.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).select(
-        *spots, (_cell(F.col("_x0"), tolerance) + F.col("_dx")).alias("_cx"),
-        (_cell(F.col("_y0"), tolerance) + F.col("_dy")).alias("_cy"))
+    size = 4 * tolerance
+
+    def touched(c: Column) -> Column:
+        return F.sequence(_cell(c - tolerance, size), _cell(c + tolerance, size))
+
+    cells = wanted.withColumn("_cx", F.explode(touched(F.col("_x0")))).withColumn("_cy", F.explode(touched(F.col("_y0"))))
     held = boxes(existing).groupBy(*spots).agg(F.min("annot_idx").alias("_idx")).select(
-        *key, "page", "_text", _cell(F.col("_x0"), tolerance).alias("_cx"),
-        _cell(F.col("_y0"), tolerance).alias("_cy"), "_idx",
+        *key, "page", "_text", _cell(F.col("_x0"), size).alias("_cx"),
+        _cell(F.col("_y0"), size).alias("_cy"), "_idx",
         *(F.col(f"_{s}").alias(f"_held_{s}") for s in SIDES))
     pairs = cells.join(held, [*key, "page", "_text", "_cx", "_cy"])
     for s in SIDES:
