@@ -29,6 +29,9 @@ size, copies are folded by map-side aggregation, and no step gathers a group.  S
 travel as texts of the documents that are still in question; a Bloom filter of fixed
 size on their ids keeps the others out of the shuffle.
 
+The driver gathers one row of levels and a few filters, packed.  Each stage and each scan
+costs it a block of 4 MB for a moment, so tables that are made in rounds take few of them.
+
 Texts without words (null too) have no set and link with nothing.  Rows without a
 doc_id have no component and take no part.  Rows that repeat a doc_id with another
 text are one document that links when any of its texts does.  Extra columns are
@@ -37,6 +40,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,17 +131,29 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
 
 
-def _levels(signatures: DataFrame) -> np.ndarray:
-    """For each sketch counter 0, or in steps how far its count is above the bound."""
-    parts = signatures.filter("n < 0").select("counts").coalesce(4).mapInArrow(_added, "counts binary").collect()
-    total = sum((np.frombuffer(r.counts, np.uint32).astype(float) for r in parts), np.zeros(SKETCH))
+def _leveled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each counter of the summed sketches 0, or in steps how far its count is above
+    the bound; packed."""
+    total = np.zeros(SKETCH)
+    for batch in batches:
+        for counts in batch.column(0):
+            total += np.frombuffer(counts.as_py(), np.uint32)
     above = total / (FREQUENT * (total.mean() + 0.25))
-    return np.where(above > 1, 1 + 2 * np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
+    levels = np.where(above > 1, 1 + 2 * np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(levels.tobytes())])], ["levels"])
 
 
-def _entries(levels: np.ndarray):
+def _levels(signatures: DataFrame) -> bytes:
+    """The levels of all sketch counters, packed; sketches are summed in tasks."""
+    found = (signatures.filter("n < 0").select("counts").coalesce(4).mapInArrow(_added, "counts binary")
+             .repartition(1).mapInArrow(_leveled, "levels binary").collect())
+    return bytes(found[0].levels) if found else zlib.compress(bytes(SKETCH))
+
+
+def _entries(packed: bytes):
     """Rows (element, doc_id, n, pos) of the elements a link has to share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(zlib.decompress(packed), np.uint8)
         seen: set[int] = set()
         for batch in batches:
             docs, parts, held = batch.column(0).to_pylist(), [], 0
@@ -361,26 +377,36 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _id_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter of all ids in any column, packed."""
     bits = np.zeros(FILTER_BITS, bool)
     for batch in batches:
-        bits[_places(np.asarray(batch.column(0)))] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], ["bits"])
+        for ids in batch.columns:
+            bits[_places(np.asarray(ids))] = True
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)])], ["bits"])
 
 
 def _places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
+def _in_filter(packed: bytes):
+    """Whether ids may be in the filter; it is unpacked once a task."""
+    unpacked: list[np.ndarray] = []
+
+    def run(ids: pa.Array) -> pa.Array:
+        if not unpacked:
+            unpacked.append(np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)))
+        return pa.array(unpacked[0][_places(np.asarray(ids.fill_null(0)))] > 0)
+    return F.arrow_udf(run, "boolean")
+
+
 def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, na, nb, shared) of document pairs (a, b), written."""
-    ids = written(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "ids")
-    parts = ids.coalesce(8).mapInArrow(_id_bits, "bits binary").collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part in parts:
-        bits |= np.frombuffer(part.bits, np.uint8)
-    in_filter = F.arrow_udf(lambda doc: pa.array(np.unpackbits(bits)[_places(np.asarray(doc.fill_null(0)))] > 0), "boolean")
-    texts = (docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).filter(in_filter("doc_id"))
-             .join(ids, F.col("doc_id") == F.col("id")).select(F.col("id"), "text"))
+    for part in pairs.select("a", "b").coalesce(4).mapInArrow(_id_bits, "bits binary").collect():
+        bits |= np.frombuffer(zlib.decompress(part.bits), np.uint8)
+    in_filter = _in_filter(zlib.compress(bits.tobytes(), 1))
+    texts = (docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("id").isNotNull()).filter(in_filter("id")))
     one = pairs.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("x"))
     two = one.join(texts, F.col("b") == F.col("id")).select("a", "b", "x", F.col("text").alias("y"))
     return written(two.mapInArrow(_compare, "a long, b long, na long, nb long, shared long")
@@ -408,11 +434,20 @@ def _roots(links: DataFrame) -> DataFrame:
             return links
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether edges (a, b) lead every a to one b from which no other leads on."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not (ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+                .filter("up > 1 or up = 1 and down = 1").limit(1).count())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node of ``edges`` (a, b) with the smallest node it reaches.
 
     Every round links each node's neighbours and the node to the smallest of them
-    (first for larger neighbours, then for smaller ones), until nothing changes."""
+    (first for larger neighbours, then for smaller ones), until only stars are left:
+    edges lead to smaller nodes, so a star's middle is its smallest node."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -423,10 +458,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                              F.col("low").alias("b")).filter("a <> b").distinct())
-        small = written(small, "small-star")
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        edges = written(small, "small-star")
+        if _stars(edges):
             stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
             return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
@@ -478,18 +511,13 @@ def join(docs: DataFrame) -> DataFrame:
     size = members.groupBy("root").agg(F.max("n").alias("most"), F.max("far").alias("far"), F.count(F.lit(1)).alias("members"))
     side = lambda k: size.select(F.col("root").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("most", "far", "members")))
     roots = compare(docs, pairs)
-    linked = [roots.filter(_linked()).select("a", "b")]
+    linked = roots.filter(_linked()).select("a", "b")
     reach = lambda nx, ny: (nx + ny) * ((DEN - NUM) / (DEN + NUM)) + 1e-6
     open_ = written(roots.filter(~_linked()).select("a", "b", _apart().alias("apart")).join(side("a"), "a").join(side("b"), "b")
                     .filter((F.col("members_a") + F.col("members_b") > 2)
                             & (F.col("apart") - F.col("far_a") - F.col("far_b") <= reach(F.col("most_a"), F.col("most_b")))),
                     "open-clusters")
-    if open_.limit(1).count():
-        linked += _members_answers(docs, members, open_, linked[0], reach)
-    edges = linked[0]
-    for more in linked[1:]:
-        edges = edges.unionByName(more)
-    labels = components(edges)
+    labels = _members_answers(docs, members, open_, linked, reach) if open_.limit(1).count() else components(linked)
     labelled = written(members.join(labels.withColumnRenamed("node", "root"), "root", "left").select(
         "node", F.coalesce("label", "root").alias("component_id")), "labels")
     final = written(nodes.select("print", "n", "node").join(labelled, "node").select("print", "n", "component_id"), "classes")
@@ -498,8 +526,9 @@ def join(docs: DataFrame) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _members_answers(docs: DataFrame, members: DataFrame, open_: DataFrame, known: DataFrame, reach) -> list[DataFrame]:
-    """Links (of roots) between clusters whose roots leave the matter open; ``known``: links so far."""
+def _members_answers(docs: DataFrame, members: DataFrame, open_: DataFrame, known: DataFrame, reach) -> DataFrame:
+    """Components of the roots by the links so far (``known``) and those between clusters
+    whose roots leave the matter open."""
     some = members.filter("node <> root").withColumn(
         "k", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node"), "node"))).filter(F.col("k") <= PROBES)
     probes = written(_asked(open_, some, reach), "probes")
@@ -511,8 +540,11 @@ def _members_answers(docs: DataFrame, members: DataFrame, open_: DataFrame, know
         label.select(F.col("node").alias("b"), F.col("label").alias("at_b")), "b", "left")
     left = written(joined.filter("at_a is null or at_b is null or at_a <> at_b").drop("at_a", "at_b"), "still-open")
     if not left.limit(1).count():
-        return [found]
-    return [found, *_all_answers(docs, members, left, reach)]
+        return label
+    edges = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    for more in _all_answers(docs, members, left, reach):
+        edges = edges.unionByName(more)
+    return components(edges)
 
 
 def _asked(open_: DataFrame, members: DataFrame, reach) -> DataFrame:

@@ -116,3 +116,41 @@ def test_word_hashes(monkeypatch, window):
     assert np.diff(at).tolist() == [len((t or "").encode().split()) for t in texts]
     assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
     assert len(shingles(hashes[:3], 5)) == 1 and len(shingles(hashes[:0], 5)) == 0
+
+
+def jobs_of(spark, run):
+    """How many jobs ``run`` makes the driver start."""
+    group = f"jaccard-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_stars_need_one_round(spark):
+    """Each job costs the driver memory; no round is spent on finding that nothing changes."""
+    edges = spark.createDataFrame([(1, 2), (1, 3), (5, 4), (6, 4)], "a long, b long")
+    assert jobs_of(spark, lambda: J.components(edges)) <= 14
+    assert {(r.node, r.label) for r in J.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)}
+
+
+def test_stars(spark):
+    for edges, answer in (([], True), ([(3, 1), (2, 1), (9, 4)], True), ([(3, 1), (3, 2)], False), ([(3, 2), (2, 1)], False),
+                          ([(-1, -5), (0, -5)], True)):
+        assert J._stars(spark.createDataFrame(edges, "a long, b long")) == answer
+
+
+def test_driver_gathers_little(spark):
+    """One packed row of levels, whatever the number of partitions; packed filters for pairs."""
+    rows = [(i, " ".join(f"w{i % 7}x{j}" for j in range(60)) + f" t{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    levels = J._levels(docs.mapInArrow(J._signatures, J._SIGNATURE))
+    assert len(levels) < J.SKETCH // 8
+    pairs = spark.createDataFrame([(i + 7, i) for i in range(193)], "a long, b long").repartition(8)
+    bits = pairs.mapInArrow(J._id_bits, "bits binary").collect()
+    assert sum(len(r.bits) for r in bits) < J.FILTER_BITS // 8
+    assert jobs_of(spark, lambda: J.compare(docs, pairs)) <= 10
+    assert {(r.a, r.b) for r in J.compare(docs, pairs).filter(J._linked()).collect()} == {(i + 7, i) for i in range(193)}
