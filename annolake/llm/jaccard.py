@@ -73,7 +73,7 @@ FILTER_BITS = 1 << 23
 def text_sets(batch: pa.RecordBatch, column: int, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
     """Row number in the batch and sorted set of each text."""
     row = 0
-    for piece in slices(batch, column):
+    for piece in slices(batch, column, 1 << 20):
         hashes, at = word_hashes(*arrow_bytes(piece.column(column)))
         for i in range(piece.num_rows):
             yield row, np.unique(shingles(hashes[at[i]:at[i + 1]], width))

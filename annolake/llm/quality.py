@@ -21,8 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from annolake.llm.common import small_batches, written
 from annolake.llm.wordhash import arrow_bytes, mix, slices, word_hashes
 
+#: Whole texts that go to a Python worker at a time, at most.
+TEXTS = 1024
 #: Labelled rows that the trees are fitted to, at most.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAF, RIDGE = 80, 4, 64, 0.15, 20, 1.0
@@ -62,7 +65,7 @@ def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
 def statistics(texts: pa.Array) -> np.ndarray:
     """A row of statistics (``NAMES``) for each text."""
     batch = pa.record_batch([texts], names=["text"])
-    parts = [_statistics(*arrow_bytes(s.column(0))) for s in slices(batch, 0, 1 << 20)]
+    parts = [_statistics(*arrow_bytes(s.column(0))) for s in slices(batch, 0, 1 << 18)]
     return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)), np.float32)
 
 
@@ -173,8 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees fitted to ``labels`` (doc_id, label) of ``docs``; learns from nothing else."""
     describe = F.arrow_udf(lambda texts: pa.array(list(statistics(texts)), pa.list_(pa.float32())), "array<float>")
     known = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = (docs.select("doc_id", describe("text").alias("x")).join(known, "doc_id")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow())
+    first = (docs.select("doc_id", describe("text").alias("x")).join(known, "doc_id")
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    with small_batches(docs.sparkSession, TEXTS):
+        rows = first.toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     x = np.asarray(rows["x"].combine_chunks().flatten()).reshape(rows.num_rows, -1)
@@ -199,6 +204,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` that score ``THRESHOLD`` or more, with their own columns."""
+    """``docs`` that score ``THRESHOLD`` or more, with their own columns, written."""
     model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return docs.filter(score(model, F.col("text")) >= THRESHOLD)
+    return written(docs.filter(score(model, F.col("text")) >= THRESHOLD), "kept", TEXTS)

@@ -66,7 +66,8 @@ def quality_labels(spark, sf_dir):
 def op7_quality_classifier(spark, sf_dir):
     """Every document's score, learnt from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.classify(docs, quality_labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+    scored = quality.classify(docs, quality_labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+    return written(scored, "scored", quality.TEXTS)
 
 
 def op8_ann(spark, sf_dir):

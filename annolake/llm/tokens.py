@@ -43,8 +43,9 @@ from annolake.session import small_table
 BLOCK = 1 << 16
 RANK = 512
 END = 2
-#: A worker's memory of encoded pieces is emptied at this size (some 200 MB).
-KNOWN = 1 << 20
+#: A worker's memory of encoded pieces is cut down to those in use at this size (some 25 MB); it
+#: stays with the worker, whatever stage that serves next.
+KNOWN = 1 << 17
 #: Documents encoded at a time.
 DOCS = 256
 ROW = ("part int, block int, before long, n_ids long, doc_ids binary, ends binary, levels array<binary>, "
@@ -116,7 +117,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     Where the vocabulary's rules allow it (``cuts``), each distinct piece between the
     places where texts may be cut is encoded once and remembered, by the worker too, up
-    to ``KNOWN`` pieces.  Texts that may hold special tokens, which are found before any
+    to ``KNOWN`` pieces or those of the texts at hand.  Texts that may hold special tokens, which are found before any
     rule is applied, and all texts of other vocabularies go to the library whole.
     """
     from tokenizers import Tokenizer
@@ -135,10 +136,12 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [None if any(mark in t for mark in marks) else pieces_of(t.encode("utf-8", "replace").lower()) for t in texts]
-        new = list(set().union(*(s for s in split if s)).difference(known))
+        used = set().union(*(s for s in split if s))
+        new = list(used.difference(known))
         if len(known) + len(new) > KNOWN:
+            still = {w: known[w] for w in used.intersection(known)}
             known.clear()
-            new = list(set().union(*(s for s in split if s)))
+            known.update(still)
         known.update(zip(new, ids([w.decode() for w in new])))
         return [ids([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
     return encode if may_cut else ids
@@ -204,7 +207,7 @@ def write(docs: DataFrame, tokenizer: str) -> DataFrame:
     ranged = (docs.select("doc_id", "text").repartitionByRange(pieces(docs.sparkSession), "doc_id", F.substring("text", 1, 64))
               .sortWithinPartitions("doc_id", "text")
               .select(F.spark_partition_id().alias("part"), "doc_id", "text"))
-    return written(ranged.mapInArrow(_blocks(tokenizer), ROW), "tokens")
+    return written(ranged.mapInArrow(_blocks(tokenizer), ROW), "tokens", 4 * DOCS)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at a time; a single longer word is taken whole.
-WINDOW = 1 << 20
+#: Bytes hashed at a time; a single longer word is taken whole.  A worker keeps
+#: powers for each between tasks, 16 bytes, and needs several times that while it hashes.
+WINDOW = 1 << 18
 _rng = np.random.default_rng(20)
 _VALUE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64)
 _VALUE[65:91] = _VALUE[97:123]

@@ -77,3 +77,36 @@ def test_flat_trees_walk_like_nested_ones():
         return 1 / (1 + np.exp(-total))
     assert np.allclose(model.score(x), [walk(r) for r in x])
     assert ((model.score(x) > 0.5) == y).mean() > 0.97
+
+
+def test_few_texts_go_to_a_worker_at_a_time(spark, monkeypatch):
+    """While texts are described and scored, Python workers get 1024 of them at most; the setting is put back."""
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def noted(f):
+        return lambda self, *a, **b: (seen.append(int(spark.conf.get(setting))), f(self, *a, **b))[1]
+
+    before = spark.conf.get(setting)
+    rows = corpus(60)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, label int")
+    monkeypatch.setattr(DataFrame, "toArrow", noted(DataFrame.toArrow))
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted(DataFrameWriter.parquet))
+    Q.keep(docs, labels)
+    assert len(seen) == 2 and max(seen) <= 1024
+    assert spark.conf.get(setting) == before
+
+
+def test_statistics_take_little_memory():
+    """Beside 16 MB of texts, numpy's arrays stay a small part of it."""
+    import tracemalloc
+
+    texts = pa.array(["some words of a text, " * 180] * 4096)
+    tracemalloc.start()
+    Q.statistics(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20

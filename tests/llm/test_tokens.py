@@ -59,3 +59,16 @@ def test_random_access(ids):
     assert T.unpack(levels, bitmaps).tolist() == ids
     for i in range(0, len(ids), 37):
         assert T.token_at(levels, bitmaps, ranks, i) == ids[i]
+
+
+def test_worker_remembers_few_pieces():
+    """What a worker keeps between tasks is small, and pieces in use are not encoded again."""
+    T._PIECES.clear()
+    encode = T.encoder(PATH)
+    whole = Tokenizer.from_file(PATH)
+    for k in range(0, 300_000, 30_000):
+        texts = ["often used words " + " ".join(f"w{i}" for i in range(k, k + 30_000))]
+        got = encode(texts)
+        assert {b"often", b"used", b"words"} <= set(T._PIECES[PATH]) and len(T._PIECES[PATH]) <= 1 << 17
+    assert got == [np.array(whole.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()]
+    T._PIECES.clear()
