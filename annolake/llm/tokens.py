@@ -30,6 +30,7 @@ import os
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -112,12 +113,44 @@ def cuts(rules: dict) -> bool:
     return apart and not any(" " in m for c in letters + ".,'-é" for m in matches(f"{c} {c}"))
 
 
+def by_model(tokenizer, rules: dict) -> Callable[[str], bytes] | None:
+    """Ids of one piece that ``_PLAIN`` matches, for a vocabulary file whose texts may be cut.
+
+    All that its rules do to such a piece is to lower-case it, take what their pattern matches
+    and spell that in byte letters; the library's model encodes each match, without the
+    library's steps for any other text.  None where the rules do more than that."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split, *rest = rules["pre_tokenizer"].get("pretokenizers", [rules["pre_tokenizer"]])
+    if [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] != [("ByteLevel", False, False)]:
+        return None
+    signs = "".join(c for c in map(chr, range(256)) if _PLAIN(c))
+    if tokenizer.normalizer.normalize_str(signs) != signs.lower():
+        return None
+    level, spelled = ByteLevel(add_prefix_space=False, use_regex=False), [chr(b) if b < 128 else "\ufffe" for b in range(256)]
+    for c in signs:
+        for byte, letter in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
+            spelled[byte] = letter
+    spelled = "".join(spelled)
+    pattern, tokenize = split["pattern"]["Regex"], tokenizer.model.tokenize
+    matches, one = regex.compile(pattern).findall, _RUNS(pattern) is not None
+
+    def ids(piece: str) -> bytes:
+        piece = piece.lower()
+        parts = (piece,) if one and piece.isalpha() else matches(piece)
+        if not piece.isascii():
+            parts = [charmap_decode(part.encode(), "strict", spelled)[0] for part in parts]
+        return array("I", [token.id for part in parts for token in tokenize(part)]).tobytes()
+    return ids
+
+
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian uint32 ids.
 
     Where the vocabulary's rules allow it (``cuts``), each distinct piece between the
     places where texts may be cut is encoded once and remembered, by the worker too, up
-    to ``KNOWN`` pieces or those of the texts at hand.  Texts that may hold special tokens, which are found before any
+    to ``KNOWN`` pieces or those of the texts at hand; plain ones by the library's model
+    alone, where that is the same (``by_model``).  Texts that may hold special tokens, which are found before any
     rule is applied, and all texts of other vocabularies go to the library whole.
     """
     from tokenizers import Tokenizer
@@ -127,13 +160,19 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         marks = {token["content"][:2] for token in rules.get("added_tokens", [])}
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), cuts(rules), sorted(marks))
-    tokenizer, may_cut, marks = _TOKENIZERS[path]
+        whole, may_cut = Tokenizer.from_file(path), cuts(rules)
+        _TOKENIZERS[path] = (whole, may_cut, by_model(whole, rules) if may_cut else None, sorted(marks))
+    tokenizer, may_cut, plain, marks = _TOKENIZERS[path]
     known = _PIECES.setdefault(path, {})
 
     def ids(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def of_pieces(new: list[str]) -> Iterator[bytes]:
+        fast = [bool(plain and _PLAIN(w)) for w in new]
+        others = iter(ids([w for w, f in zip(new, fast) if not f]))
+        return (plain(w) if f else next(others) for w, f in zip(new, fast))
+
     def encode(texts: list[str]) -> list[bytes]:
         split = [None if any(mark in t for mark in marks) else pieces_of(t.encode("utf-8", "replace").lower()) for t in texts]
         used = set().union(*(s for s in split if s))
@@ -142,7 +181,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             still = {w: known[w] for w in used.intersection(known)}
             known.clear()
             known.update(still)
-        known.update(zip(new, ids([w.decode() for w in new])))
+        known.update(zip(new, of_pieces([w.decode() for w in new])))
         return [ids([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
     return encode if may_cut else ids
 
@@ -160,6 +199,10 @@ def pieces_of(text: bytes) -> list[bytes]:
 
 _TOKENIZERS: dict = {}
 _PIECES: dict[str, dict[bytes, bytes]] = {}
+#: A short piece of ASCII signs and Latin-1 letters: no combining mark, so its normal form is itself.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{1,99}").fullmatch
+#: Patterns that take a run of letters whole: what they try before needs an apostrophe.
+_RUNS = re.compile(r"('\w+\|)*\[\\p\{L\}\]\+(\||$)").match
 _APART = re.compile(rb"(?<=[a-z0-9])(?=[.,])").sub
 _NOT_APART = re.compile(rb"([^a-z0-9])\x1f(?=[.,])").sub
 

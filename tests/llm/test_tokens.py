@@ -49,6 +49,43 @@ def test_cut_places():
         assert T.pieces_of(text) == T._APART(b" ", text).split()
 
 
+def test_plain_pieces_by_model(monkeypatch):
+    """Plain pieces get the library's ids from its model alone; only others go through all of its steps."""
+    rng, whole, sent = random.Random(4), Tokenizer.from_file(PATH), []
+    signs = [chr(i) for i in range(33, 256)] + ["'s", "'ll", "'", "the", "e\u0301", "<", "\u0338", "a" * 60, "ſ", "K", "Σ"]
+    words = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(20000)]
+    words = [w for w in words if "<|" not in w] + ["ÀÉÎÕÜß'S", "naïve***", "x'd9½", "ÿ÷×", "o" * 300]
+    T._PIECES.clear()
+    T.encoder(PATH)
+    parts = T._TOKENIZERS[PATH]
+
+    class Seen:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return parts[0].encode_batch_fast(texts, **options)
+
+    monkeypatch.setitem(T._TOKENIZERS, PATH, (Seen(), *parts[1:]))
+    got = T.encoder(PATH)(words)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(words, add_special_tokens=False)]
+    assert sent and not any(w.isalpha() and w.isascii() and len(w) < 100 for w in sent)
+    sent.clear()
+    T.encoder(PATH)(["Straße, naïve*** c'était 3.14 (plain) words 가 o\u0301"])
+    assert sorted(sent) == ["o\u0301", "가"]
+    T._PIECES.clear()
+
+
+def test_rules_beyond_the_model():
+    """Rules that do more to a plain piece than lower-case, match and spell it leave it to the library."""
+    with open(PATH) as f:
+        rules = json.load(f)
+    assert T.by_model(Tokenizer.from_file(PATH), rules)
+    steps = rules["pre_tokenizer"]["pretokenizers"]
+    for more in (steps[:1], steps + steps[1:], [steps[0], {**steps[1], "use_regex": True}], [steps[0], {**steps[1], "add_prefix_space": True}]):
+        assert T.by_model(Tokenizer.from_file(PATH), {**rules, "pre_tokenizer": {"type": "Sequence", "pretokenizers": more}}) is None
+    assert [bool(T._RUNS(p)) for p in (r"'s|'t|[\p{L}]+|x", r"[\p{L}]+", r"\p{L}{2}|[\p{L}]+", r"[\p{L}]+?", r"'(s|[\p{L}]+)")] == [
+        True, True, False, False, False]
+
+
 def test_empty(spark):
     assert T.encode_corpus(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
