@@ -168,10 +168,10 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def ids(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of_pieces(new: list[str]) -> Iterator[bytes]:
-        fast = [bool(plain and _PLAIN(w)) for w in new]
-        others = iter(ids([w for w, f in zip(new, fast) if not f]))
-        return (plain(w) if f else next(others) for w, f in zip(new, fast))
+    def of_pieces(new: list[str]) -> list[bytes]:
+        done = [plain(w) if plain and _PLAIN(w) else None for w in new]
+        others = iter(ids([w for w, i in zip(new, done) if i is None]))
+        return [next(others) if i is None else i for i in done]
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [None if any(mark in t for mark in marks) else pieces_of(t.encode("utf-8", "replace").lower()) for t in texts]
@@ -194,7 +194,7 @@ def pieces_of(text: bytes) -> list[bytes]:
     if b"\x1f" in text:
         return _APART(b" ", text).split()
     signed = text.replace(b".", b"\x1f.").replace(b",", b"\x1f,")
-    return _NOT_APART(rb"\1", signed).replace(b"\x1f", b" ").split()
+    return _NOT_APART(b"", signed).replace(b"\x1f", b" ").split()
 
 
 _TOKENIZERS: dict = {}
@@ -204,7 +204,7 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]{1,99}").fullmatch
 #: Patterns that take a run of letters whole: what they try before needs an apostrophe.
 _RUNS = re.compile(r"('\w+\|)*\[\\p\{L\}\]\+(\||$)").match
 _APART = re.compile(rb"(?<=[a-z0-9])(?=[.,])").sub
-_NOT_APART = re.compile(rb"([^a-z0-9])\x1f(?=[.,])").sub
+_NOT_APART = re.compile(rb"\x1f(?<![a-z0-9]\x1f)").sub
 
 
 def _blocks(path: str):
