@@ -6,15 +6,20 @@ unless it has more than ``LARGE_PAGE`` distinct coordinates.  Such a page is cut
 two neighbours lie further apart than the tolerance, no group of either rule reaches
 across, and these gaps part it into sessions, dealt out to many tasks.  Gaps are found
 between cells as wide as the tolerance, of which a page has as many as fit on it, however
-many boxes it holds.  What one task holds is one unit's distinct coordinates.
+many boxes it holds.  What one task holds is one unit's distinct coordinates.  Alignment
+deals out pages of up to ``LARGE_PAGE`` boxes once, for both directions.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annolake.functions.geometry import height, rect, width
@@ -194,18 +199,149 @@ def proximity_groups(boxes: DataFrame, at: str, tolerance: float, method: str =
 
 # --- alignment -------------------------------------------------------------
 
-def _with_move(boxes: DataFrame, pool: DataFrame, at: str, tolerance: float, method: str,
-               moves: Column, keys: tuple[str, ...], prefix: str, numbered: bool) -> DataFrame:
-    number = F.col("group_id") if numbered else F.lit(None).cast("int")
-    groups = proximity_groups(pool, at, tolerance, method, keys, numbered=numbered).select(
-        *keys, at, number.alias(f"{prefix}_group"), F.col("group_start").alias(f"{prefix}_start"),
-        F.col("group_mean").alias(f"{prefix}_mean"))
-    on = [boxes[k].eqNullSafe(groups[k]) for k in keys] + [boxes[at] == groups[at]]
-    joined = boxes.join(groups, on, "left").select(
-        *(boxes[c] for c in boxes.columns), f"{prefix}_group", f"{prefix}_start", f"{prefix}_mean")
-    shift = F.abs(F.col(at) - F.col(f"{prefix}_mean"))
-    return joined.withColumn(f"{prefix}_moved", F.coalesce(moves & _far(shift, method),
-                                                          F.lit(False)))
+def _page_scan(keys: list[str], horizontal: float | None, vertical: float | None, method: str):
+    """Moves of whole pages, whose boxes come one after the other: one row for each distinct
+    corner that belongs to a group.  What is held is one batch and one page."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def running_mean(points, tolerance):
+            total, n, found = 0.0, 0, []
+            for at in sorted(points):
+                c = points[at][0]
+                if not n or not abs(at - total / n) <= tolerance:
+                    total, n = 0.0, 0
+                    found.append([at, 0, 0.0, []])
+                total, n = total + at * c, n + c
+                found[-1][1:3] = n, total
+                found[-1][3].append(at)
+            return found
+
+        def first_fit(points, tolerance):
+            founders, groups, found = [], [], []
+            for at, (n, first) in sorted(points.items(), key=lambda p: (p[1][1] is not None, p[1][1] or 0, p[0])):
+                place, own = bisect_left(founders, at), None
+                for i in (place - 1, place):
+                    # an unknown first appearance is no earlier than any
+                    if 0 <= i < len(founders) and abs(at - founders[i]) <= tolerance and (own is None or groups[i][4] < own[4]):
+                        own = groups[i]
+                if own is None:
+                    own = [at, 0, 0.0, [], math.nan if first is None else first]
+                    founders.insert(place, at)
+                    groups.insert(place, own)
+                    found.append(own)
+                own[1] += n
+                own[2] += at * n
+                own[3].append(at)
+            return found
+
+        def groups_of(values, ids, tolerance, apart):
+            """Coordinate -> number, start and mean of its group of two boxes or more.
+
+            ``apart``: boxes without a page have no order, so first fit groups equal ones only.
+            """
+            points = {}
+            for at, first in zip(values, ids):
+                if at is None:
+                    continue
+                point = points.get(at)
+                if point is None:
+                    points[at] = [1, first]
+                else:
+                    point[0] += 1
+                    if first is not None and (point[1] is None or first < point[1]):
+                        point[1] = first
+            found = (running_mean if method == "running_mean" else first_fit)(points, -1.0 if apart else tolerance)
+            out, number = {}, 0
+            for start, n, total, members, *_ in found:
+                if n >= 2:
+                    told = (number, start + 0.0, total / n)  # no negative zero, as grouping gives none
+                    number += 1
+                    for at in members:
+                        out[at] = told
+            return out
+
+        def moves(batch, starts):
+            ids, ys, xs = (batch.column(c).to_pylist() for c in ("annot_idx", "_y", "_x"))
+            none, rows, h_out, v_out = (None, None, None), [], [], []
+            apart = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys if method == "first_fit" else ():
+                if pa.types.is_integer(batch.schema.field(k).type):
+                    apart |= np.asarray(pc.is_null(batch.column(k)))
+            for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+                if high - low < 2:
+                    continue
+                page_ids, page_ys, page_xs = ids[low:high], ys[low:high], xs[low:high]
+                h = {} if horizontal is None else groups_of(page_ys, page_ids, horizontal, apart[low])
+                v = {} if vertical is None else groups_of(page_xs, page_ids, vertical, apart[low])
+                if not h and not v:
+                    continue
+                seen = set()
+                for i, corner in enumerate(zip(page_ys, page_xs), low):
+                    by_h, by_v = h.get(corner[0], none), v.get(corner[1], none)
+                    if (by_h is not none or by_v is not none) and corner not in seen:
+                        seen.add(corner)
+                        rows.append(i)
+                        h_out.append(by_h)
+                        v_out.append(by_v)
+            taken = batch.select([*keys, "_y", "_x"]).take(pa.array(rows, pa.int64()))
+            added = [pa.array([r[k] for r in side], pa.int32() if k == 0 else pa.float64()) for side in (h_out, v_out) for k in range(3)]
+            return pa.RecordBatch.from_arrays([*taken.columns, *added], names=[*taken.schema.names, *(
+                f"{p}_{c}" for p in "hv" for c in ("group", "start", "mean"))])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            held, n = table.to_batches()[0], table.num_rows
+            differs = np.zeros(n - 1, dtype=bool)
+            for k in keys:
+                one, other = held.column(k).slice(1), held.column(k).slice(0, n - 1)
+                same = pc.or_(pc.fill_null(pc.equal(one, other), False), pc.and_(pc.is_null(one), pc.is_null(other)))
+                differs |= ~np.asarray(same)
+            starts = [0, *(np.flatnonzero(differs) + 1).tolist()]
+            if len(starts) > 1:
+                yield moves(held.slice(0, starts[-1]), starts[:-1])
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield moves(held, [0])
+
+    return scan
+
+
+def _moves(pool: DataFrame, keys: tuple[str, ...], horizontal: float | None, vertical: float | None,
+           method: str, numbered: bool) -> DataFrame:
+    """``keys, _y, _x`` of corners in groups, with ``group, start, mean`` of both directions.
+
+    Pages of up to ``LARGE_PAGE`` boxes are dealt out whole and take one pass; larger ones go
+    through ``proximity_groups``, which parts them.  Their list has a row for each
+    ``LARGE_PAGE`` boxes at most; a page that only shares its hash goes with them unharmed.
+    """
+    keys = list(keys)
+    page = F.xxhash64(*keys)
+    large = pool.groupBy(page.alias("_large")).agg(F.count("*").alias("_c")).filter(F.col("_c") > LARGE_PAGE).select("_large")
+    large = F.broadcast(large)
+    small = pool.join(large, page == F.col("_large"), "left_anti")
+    rest = pool.join(large, page == F.col("_large"), "left_semi")
+    spots = rest.select(*keys, "_y", "_x").distinct()
+    schema = spots.select("*", *(F.lit(None).cast(kind).alias(f"{p}_{c}") for p in "hv"
+                                 for c, kind in (("group", "int"), ("start", "double"), ("mean", "double")))).schema
+    whole = (small.select(*keys, "annot_idx", "_y", "_x").repartition(*keys).withColumn("_hash", page)
+             .sortWithinPartitions("_hash", *keys).drop("_hash")
+             .mapInArrow(_page_scan(keys, horizontal, vertical, method), schema))
+    for prefix, at, tolerance in (("h", "_y", horizontal), ("v", "_x", vertical)):
+        if tolerance is None:
+            spots = spots.select("*", *(F.lit(None).cast(kind).alias(f"{prefix}_{c}")
+                                        for c, kind in (("group", "int"), ("start", "double"), ("mean", "double"))))
+            continue
+        groups = proximity_groups(rest, at, tolerance, method, tuple(keys), numbered=numbered)
+        number = F.col("group_id") if numbered else F.lit(None)
+        groups = groups.select(*keys, at, number.cast("int").alias(f"{prefix}_group"),
+                               F.col("group_start").alias(f"{prefix}_start"), F.col("group_mean").alias(f"{prefix}_mean"))
+        on = [spots[k].eqNullSafe(groups[k]) for k in keys] + [spots[at] == groups[at]]
+        spots = spots.join(groups, on, "left").select(*(spots[c] for c in spots.columns),
+                                                      *(f"{prefix}_{c}" for c in ("group", "start", "mean")))
+    return whole.unionByName(spots)
 
 
 def _far(shift: Column, method: str) -> Column:
@@ -230,17 +366,23 @@ def align(annotations: DataFrame, horizontal_tolerance: float = 10.0,
     taking = ~F.col("_skip")
     if method == "first_fit":
         taking = taking & (F.col("type") == "FreeText")
-    none = F.lit(None).cast("double")
-    # both directions read the corners as they came, so neither repeats the other's scan
-    pools = df.filter(taking).select(*keys, "annot_idx", "_y", "_x")
-    for wanted, at, tolerance, prefix in ((horizontal, "_y", horizontal_tolerance, "h"),
-                                          (vertical, "_x", vertical_tolerance, "v")):
-        if wanted:
-            pool = pools.select(*keys, "annot_idx", at)
-            df = _with_move(df, pool, at, tolerance, method, taking, keys, prefix, numbered)
-        else:
-            df = df.select("*", F.lit(None).cast("int").alias(f"{prefix}_group"), none.alias(f"{prefix}_start"),
-                           none.alias(f"{prefix}_mean"), F.lit(False).alias(f"{prefix}_moved"))
+    # both directions read the corners as they came, so one join brings both moves
+    if horizontal or vertical:
+        pool = df.filter(taking).select(*keys, "annot_idx", "_y", "_x")
+        moves = _moves(pool, keys, horizontal_tolerance if horizontal else None,
+                       vertical_tolerance if vertical else None, method, numbered)
+        # the corners differ most, so the join sorts by them first
+        on = [df[c].eqNullSafe(moves[c]) for c in ("_y", "_x", *reversed(keys))]
+        df = df.join(moves, on, "left").select(*(df[c] for c in df.columns), *(
+            f"{p}_{c}" for p in "hv" for c in ("group", "start", "mean")))
+    else:
+        none = F.lit(None)
+        df = df.select("*", *(none.cast("int" if c == "group" else "double").alias(f"{p}_{c}") for p in "hv" for c in ("group", "start", "mean")))
+    for prefix, at in (("h", "_y"), ("v", "_x")):
+        shift = F.abs(F.col(at) - F.col(f"{prefix}_mean"))
+        df = df.withColumn(f"{prefix}_moved", F.coalesce(taking & _far(shift, method), F.lit(False)))
+        if not numbered:
+            df = df.withColumn(f"{prefix}_group", F.lit(None).cast("int"))
     box = F.col("rect")
     y0 = F.when(F.col("h_moved"), F.col("h_mean")).otherwise(box["y0"])
     y1 = F.when(F.col("h_moved"), F.col("h_mean") + height(box)).otherwise(box["y1"])
