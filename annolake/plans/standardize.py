@@ -67,6 +67,9 @@ def export(annotations: DataFrame, options: StandardizeOptions = StandardizeOpti
     width and the change to a bottom origin.
     """
     rows = annotations.filter(F.col("type") == "FreeText")
+    # the colour first: it is shorter than the strings it is read from, which then need not be dealt out
+    source = C.text_color(F.col("da"), appearance=F.col("appearance_text"), policy="export")
+    rows = rows.withColumn("source_color", source)
     if options.align:
         rows = align(rows, options.horizontal_tolerance, options.vertical_tolerance,
                      method="first_fit", skip=options.align_skip, numbered=False)
@@ -75,8 +78,6 @@ def export(annotations: DataFrame, options: StandardizeOptions = StandardizeOpti
     rows = with_clean_text(rows).filter(F.col("content") != "")
     if options.quotes:
         rows = rows.withColumn("content", normalize_quotes(F.col("content")))
-    source = C.text_color(F.col("da"), appearance=F.col("appearance_text"), policy="export")
-    rows = rows.withColumn("source_color", source)
     rows = rows.withColumn("text_color", options.standard(F.col("source_color")))
     rows = rows.withColumn("font_size", header_font_size(
         F.col("content"), options.header_size, options.text_size).cast("double"))
@@ -145,8 +146,6 @@ def standardize(annotations: DataFrame, options: StandardizeOptions = Standardiz
     rows = rows.withColumn("font_size", F.when(F.col("is_header"), F.lit(options.header_size))
                            .otherwise(F.lit(options.text_size)).cast("double"))
     rows = rows.withColumn("source_color", C.text_color(F.col("da"), F.col("stroke")))
-    rows = rows.withColumn("text_color", options.standard(F.col("source_color")))
-    rows = rows.withColumn("style", style_by_type(rows, options))
     if options.auto_resize:
         rows = resize(rows, "standard", max_width=options.max_width, max_height=options.max_height,
                       skip=options.resize_skip, cleaned=True, font_size=F.col("font_size"))
@@ -154,6 +153,10 @@ def standardize(annotations: DataFrame, options: StandardizeOptions = Standardiz
         rows = rows.withColumn("resized", F.col("rect")).withColumn(
             "checked", F.lit(False)).withColumn("changed", F.lit(False))
     rows = rows.withColumnRenamed("rect", "old_rect").withColumnRenamed("resized", "rect")
+    # what alignment deals out is short: a header's parts instead of its text, one colour of two
+    pattern = options.header_pattern
+    rows = rows.withColumn("domain", header_code(F.col("content"), pattern)).withColumn(
+        "label", header_label(F.col("content"), pattern))
     if options.align:
         rows = align(rows, options.horizontal_tolerance, options.vertical_tolerance,
                      options.align_horizontal, options.align_vertical, "running_mean",
@@ -161,14 +164,14 @@ def standardize(annotations: DataFrame, options: StandardizeOptions = Standardiz
     else:
         rows = rows.select("*", F.lit(False).alias("h_moved"), F.lit(False).alias("v_moved"),
                            F.col("rect").alias("aligned"))
-    pattern = options.header_pattern
+    rows = rows.withColumn("text_color", options.standard(F.col("source_color")))
+    rows = rows.withColumn("style", style_by_type(rows, options))
     return rows.select(
         "study_id", "doc_id", "page", "annot_idx", "type",
         F.lit(options.author_name).alias("author"), "content", "is_header", "style",
         "source_color", "text_color", "old_rect", F.col("aligned").alias("rect"), "checked",
         F.col("changed").alias("resized"), "h_moved", "v_moved",
-        header_code(F.col("content"), pattern).alias("domain"),
-        header_label(F.col("content"), pattern).alias("label"))
+        "domain", "label")
 
 
 def standardize_totals(rows: DataFrame, toc: DataFrame | None = None,
