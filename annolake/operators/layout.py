@@ -352,23 +352,26 @@ def _far(shift: Column, method: str) -> Column:
 def align(annotations: DataFrame, horizontal_tolerance: float = 10.0,
           vertical_tolerance: float = 10.0, horizontal: bool = True, vertical: bool = True,
           method: str = "running_mean", skip=None, keys: tuple[str, ...] = PAGE,
-          numbered: bool = True) -> DataFrame:
+          numbered: bool = True, pool: DataFrame | None = None) -> DataFrame:
     """Move boxes to their group's mean: top edges along rows, left edges along columns.
 
     ``running_mean`` takes all annotations, ``first_fit`` FreeText only.  Adds
     ``h_group, h_start, h_mean, h_moved``, the same with ``v_``, and ``aligned`` (the new
-    rectangle, size kept); groups have numbers where ``numbered``, for reports.  The two directions read different coordinates,
+    rectangle, size kept); groups have numbers where ``numbered``, for reports.  ``pool`` are the boxes that make the
+    groups, the same ones by default; whoever has them before costly steps saves repeating these.  The two directions read different coordinates,
     so neither waits for the other; the vertical move starts from the
     horizontal result.
     """
-    df = mark_skipped(annotations.withColumn("_y", F.col("rect.y0"))
-                      .withColumn("_x", F.col("rect.x0")), skip, "_skip")
+    def corners(boxes: DataFrame) -> DataFrame:
+        return mark_skipped(boxes.withColumn("_y", F.col("rect.y0")).withColumn("_x", F.col("rect.x0")), skip, "_skip")
+
+    df = corners(annotations)
     taking = ~F.col("_skip")
     if method == "first_fit":
         taking = taking & (F.col("type") == "FreeText")
     # both directions read the corners as they came, so one join brings both moves
     if horizontal or vertical:
-        pool = df.filter(taking).select(*keys, "annot_idx", "_y", "_x")
+        pool = (df if pool is None else corners(pool)).filter(taking).select(*keys, "annot_idx", "_y", "_x")
         moves = _moves(pool, keys, horizontal_tolerance if horizontal else None,
                        vertical_tolerance if vertical else None, method, numbered)
         # the corners differ most, so the join sorts by them first

@@ -63,19 +63,19 @@ class StandardizeOptions:
 def export(annotations: DataFrame, options: StandardizeOptions = StandardizeOptions()) -> DataFrame:
     """The rows a standardized XFDF file holds.
 
-    Alignment comes first and sees blank boxes too; then text, colour, size,
-    width and the change to a bottom origin.
+    Alignment sees blank boxes too; then come text, colour, size, width and the change to
+    a bottom origin.
     """
     rows = annotations.filter(F.col("type") == "FreeText")
     # the colour first: it is shorter than the strings it is read from, which then need not be dealt out
     source = C.text_color(F.col("da"), appearance=F.col("appearance_text"), policy="export")
     rows = rows.withColumn("source_color", source)
+    boxes, rows = rows, with_clean_text(rows).filter(F.col("content") != "")
     if options.align:
         rows = align(rows, options.horizontal_tolerance, options.vertical_tolerance,
-                     method="first_fit", skip=options.align_skip, numbered=False)
+                     method="first_fit", skip=options.align_skip, numbered=False, pool=boxes)
     else:
         rows = rows.withColumn("aligned", F.col("rect"))
-    rows = with_clean_text(rows).filter(F.col("content") != "")
     if options.quotes:
         rows = rows.withColumn("content", normalize_quotes(F.col("content")))
     rows = rows.withColumn("text_color", options.standard(F.col("source_color")))
@@ -99,18 +99,20 @@ def export(annotations: DataFrame, options: StandardizeOptions = StandardizeOpti
 
 def export_files(spark: SparkSession, source: str, target: str,
                  options: StandardizeOptions = StandardizeOptions(), pdf_name: Column | str = "document.pdf",
-                 page_height: Column | float = 792.0, places: int = 4) -> tuple[DataFrame, DataFrame]:
+                 page_height: Column | float = 792.0, places: int = 4,
+                 compression: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan the XFDF documents under ``source``, standardize them, write them under ``target``.
 
     Gives the list of written files and the elements that could not be used.
     Coordinates are written to ``places`` decimals.  The files are scanned once; alignment
-    and the other steps read the parsed elements from the shared folder.
+    and the other steps read the parsed elements from the shared folder.  ``compression``
+    (``gzip``) is that of the written files.
     """
     parsed = kept(xfdf.parse_elements(xfdf.read_elements(spark, source)), "xfdf-parsed")
     rows = export(xfdf.annotations_of(parsed, page_height), options)
     box = F.col("xfdf_rect")
     rows = rows.withColumn("xfdf_rect", rect(*(F.round(box[c], places) for c in ("x0", "y0", "x1", "y1"))))
-    return xfdf.write_files(xfdf.document_lines(rows, pdf_name), target), xfdf.rejected(parsed)
+    return xfdf.write_elements(rows, target, xfdf.document_texts(), pdf_name, compression), xfdf.rejected(parsed)
 
 
 def style_by_type(df: DataFrame, options: StandardizeOptions, rule: str = "present") -> Column:
@@ -160,7 +162,7 @@ def standardize(annotations: DataFrame, options: StandardizeOptions = Standardiz
     if options.align:
         rows = align(rows, options.horizontal_tolerance, options.vertical_tolerance,
                      options.align_horizontal, options.align_vertical, "running_mean",
-                     options.align_skip, numbered=False)
+                     options.align_skip, numbered=False, pool=annotations)  # resizing moves no upper left corner
     else:
         rows = rows.select("*", F.lit(False).alias("h_moved"), F.lit(False).alias("v_moved"),
                            F.col("rect").alias("aligned"))
